@@ -11,6 +11,7 @@ from tallyframe.llm.quality_rules import quality_measures
 from tallyframe.llm.sql_chat import CHAT_SQL
 from tallyframe.llm.sql_mixing import MIX_SQL
 from tallyframe.llm.url_filter import judge_urls
+from tallyframe.llm.warc import WARC_SQL, archive_round_trip
 from tallyframe.session import read_table
 
 
@@ -32,6 +33,10 @@ def op4_mix_sources(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    return archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark, sf_dir):
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -41,8 +46,8 @@ def op7_decontaminate(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_chat_format, op3_quality_rules, op4_mix_sources, op6_url_filter, op7_decontaminate)}
+    return {f.__name__: f for f in (op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate)}
 
 
 def oracle_sql():
-    return {"op2_chat_format": CHAT_SQL, "op4_mix_sources": MIX_SQL}
+    return {"op2_chat_format": CHAT_SQL, "op4_mix_sources": MIX_SQL, "op5_warc": WARC_SQL}
