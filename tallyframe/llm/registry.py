@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.chat import chat_digest
 from tallyframe.llm.decontaminate import leak_report
 from tallyframe.llm.mixing import mix_sources
+from tallyframe.llm.near_dup import near_duplicates
 from tallyframe.llm.quality_rules import quality_measures
 from tallyframe.llm.sql_chat import CHAT_SQL
 from tallyframe.llm.sql_mixing import MIX_SQL
@@ -45,8 +46,12 @@ def op7_decontaminate(spark, sf_dir):
     return leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate)}
+    return {f.__name__: f for f in (op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate, op8_near_dedup)}
 
 
 def oracle_sql():
