@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.chat import chat_digest
 from tallyframe.llm.decontaminate import leak_report
 from tallyframe.llm.html_extract import extract_pages
+from tallyframe.llm.line_crf import quality_scores
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.near_dup import near_duplicates
 from tallyframe.llm.quality_rules import quality_measures
@@ -56,12 +57,16 @@ def op8_near_dedup(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_html_extract(spark, sf_dir):
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate, op8_near_dedup, op10_html_extract)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate, op8_near_dedup, op9_quality_classifier, op10_html_extract)}
 
 
 def oracle_sql():
