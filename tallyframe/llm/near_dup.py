@@ -145,15 +145,20 @@ def rare_shingle_pairs(members: DataFrame, texts: DataFrame, rules: NearRules) -
                 yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "label", "n", "shingle"])
 
     exploded = materialize(members.join(texts, "id").mapInArrow(run, "id long, label long, n long, shingle long"), "near-shingles")
-    counts = exploded.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+    counts = exploded.groupBy("shingle", "label").agg(F.count("*").alias("held")).groupBy("shingle").agg(F.sum("held").alias("df"), F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels"))
+    counts = counts.select("shingle", "df", "labels", F.col("most.label").alias("main"))
     # a shingle of one component gives no pairs, but still takes its place in the order
     rarity = Window.partitionBy("id").orderBy("df", "shingle")
-    place = exploded.join(counts, "shingle").withColumn("place", F.row_number().over(rarity))
-    prefix = place.filter(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).filter("low <> high").select("shingle", "id", "label", "n")
-    prefix = materialize(prefix, "near-prefix")
-    other = prefix.select("shingle", F.col("id").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"))
-    fits = (F.col("id") < F.col("other")) & (F.col("label") != F.col("label_o")) & (100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o"))
-    return prefix.join(other, "shingle").filter(fits).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    placed = exploded.join(counts, "shingle").withColumn("place", F.row_number().over(rarity))
+    prefix = placed.filter(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).filter("labels > 1")
+    prefix = materialize(prefix.select("shingle", "id", "label", "n", "place", (F.col("label") == F.col("main")).alias("in_main")), "near-prefix")
+    other = prefix.select("shingle", F.col("id").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"), F.col("place").alias("place_o"), F.col("in_main").alias("main_o"))
+    # the rows of a shingle's main component never meet each other, and two rows meet once
+    fits = (F.col("label") != F.col("label_o")) & (F.col("main_o") | (F.col("id") < F.col("other")))
+    # what follows the first common shingle must suffice for the intersection that the threshold asks for
+    most_common = 1 + F.least(F.col("n") - F.col("place"), F.col("n_o") - F.col("place_o"))
+    fits = fits & ((100 + percent) * most_common >= percent * (F.col("n") + F.col("n_o")))
+    return prefix.filter("not in_main").join(other, "shingle").filter(fits).select(*ordered(F.col("id"), F.col("other"))).distinct()
 
 
 def near_groups(docs: DataFrame, rules: NearRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
