@@ -49,6 +49,15 @@ def amount(value: Column, unit: Column) -> Column:
     return F.struct((value * factor).alias("value"), F.nullif(base, F.lit("")).alias("unit"))
 
 
+def _once(found: Column) -> Column:
+    """amount() of a struct (value, unit) that is computed only once."""
+    return F.try_element_at(F.transform(F.array(found), lambda x: F.when(x.isNotNull(), amount(x["value"], x["unit"]))), F.lit(1))
+
+
+def _raw(value: Column, unit: Column) -> Column:
+    return F.struct(value.alias("value"), unit.alias("unit"))
+
+
 def _found(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
@@ -64,11 +73,11 @@ def parse_quantity(text: Column) -> Column:
     pack, bare = rf"(\d+){_TIMES}{_NUMBER}\s*{_UNIT}", rf"(\d+){_TIMES}{_NUMBER}"
     plain = [r"(\d+[.,]\d+)\s*(ml|мл|l|л|g|г|kg|кг|бр|pcs)", r"(\d+)\s*(ml|мл|l|л|g|г|kg|кг|бр|pcs)"]
     times = lambda p: number(_group(clean, p, 1)) * number(_group(clean, p, 2))
-    found = F.when(_found(clean, pack), amount(times(pack), _group(clean, pack, 3)))
-    found = found.when(_found(clean, bare), amount(times(bare), _group(clean, _UNIT, 1)))
+    found = F.when(_found(clean, pack), _raw(times(pack), _group(clean, pack, 3)))
+    found = found.when(_found(clean, bare), _raw(times(bare), _group(clean, _UNIT, 1)))
     for p in plain:
-        found = found.when(_found(clean, p), amount(number(_group(clean, p, 1)), _group(clean, p, 2)))
-    return found
+        found = found.when(_found(clean, p), _raw(number(_group(clean, p, 1)), _group(clean, p, 2)))
+    return _once(found)
 
 
 def largest_quantity(text: Column) -> Column:
@@ -88,9 +97,9 @@ def unit_price_quantity(text: Column) -> Column:
     found = None
     for pattern, packed in ((_NUMBER + _TIMES + _NUMBER + r"\s*" + weight, True), (_NUMBER + _TIMES + _NUMBER + r"\s*" + volume, True), (_NUMBER + r"\s*" + weight, False), (_NUMBER + r"\s*" + volume, False)):
         value = number(_group(clean, pattern, 1)) * (number(_group(clean, pattern, 2)) if packed else F.lit(1.0))
-        option = _found(clean, pattern), amount(value, _group(clean, pattern, 3 if packed else 2))
+        option = _found(clean, pattern), _raw(value, _group(clean, pattern, 3 if packed else 2))
         found = F.when(*option) if found is None else found.when(*option)
-    return found
+    return _once(found)
 
 
 def raw_quantity(text: Column) -> Column:

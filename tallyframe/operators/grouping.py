@@ -85,4 +85,4 @@ def integrity_violations(members: DataFrame) -> DataFrame:
     """Counts of three violations: product in several groups, group of one product, group of one store."""
     by_product = members.groupBy("product_id").agg(F.count_distinct("group_id").alias("n")).filter("n > 1").agg(F.count("*").alias("n_violations")).select(F.lit("product_in_groups").alias("rule"), "n_violations")
     sizes = members.groupBy("group_id").agg(F.count_distinct("product_id").alias("p"), F.count_distinct("store").alias("s"))
-    return by_product.union(sizes.agg(F.count_if("p < 2")).select(F.lit("single_product"), "*")).union(sizes.agg(F.count_if("s < 2")).select(F.lit("single_store"), "*"))
+    return by_product.union(sizes.agg(F.count_if(F.col("p") < 2)).select(F.lit("single_product"), "*")).union(sizes.agg(F.count_if(F.col("s") < 2)).select(F.lit("single_store"), "*"))

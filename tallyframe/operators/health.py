@@ -32,7 +32,7 @@ def _fold(df: DataFrame, key: str, order: list[str], start, step, names: list[st
 
 def debounce_alerts(alerts: DataFrame, key: str, at: str, tie: str, seconds: float = 300.0) -> DataFrame:
     """`sent` is true unless the same key's last alert that was sent is less than so many seconds old."""
-    timed = alerts.withColumn("_s", F.unix_micros(at) / 1e6)
+    timed = alerts.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
 
     def step(last, row):
         send = last is None or row[3] - last >= seconds
@@ -51,7 +51,7 @@ class BreakerRules:
 def circuit_breaker(events: DataFrame, key: str, at: str, tie: str, failed: str, rules: BreakerRules | None = None) -> DataFrame:
     """State of each key's breaker after each event (closed, open, half_open) and whether the call was let through."""
     rules = rules or BreakerRules()
-    timed = events.withColumn("_s", F.unix_micros(at) / 1e6)
+    timed = events.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
 
     def step(state, row):
         name, count, since = state

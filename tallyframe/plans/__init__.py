@@ -1 +1,13 @@
-"""See the README for what lives here."""
+"""Registered queries by theme; catalog holds them and their SQL twins."""
+
+from __future__ import annotations
+
+import importlib
+
+THEMES = ("offers", "events", "names", "links")
+
+
+def load_all() -> None:
+    """Imports every theme, which registers its queries."""
+    for theme in THEMES:
+        importlib.import_module(f"tallyframe.plans.{theme}")
