@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("offers", "events", "names", "links")
+THEMES = ("offers", "events", "names", "links", "stream_queries")
 
 
 def load_all() -> None:
