@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import quantity, similarity, text
-from tallyframe.operators import grouping, matching
+from tallyframe.operators import grouping, matching, phases, standardise
 from tallyframe.plans.catalog import register
 from tallyframe.plans.offers import OFFERS, group_members, offers
 from tallyframe.session import read_table
@@ -268,3 +268,93 @@ def r_components(spark, d):
 
 for _f in (r_seq_ratio, r_fast_matcher, r_multi_pass, r_strict_greedy, r_greedy_groups, r_components):
     register(_f.__name__, _f)
+
+
+def q_fallback_lookup(spark, d):
+    """Part names looked up among names of other parts: exact, then without the first word."""
+    p = _parts(spark, d)
+    table = p.filter("id % 3 = 0").select("id", F.col("name").alias("known"))
+    rows = p.filter("id % 3 = 1").select(F.col("id").alias("row_id"), "name", "size")
+    last = lambda c: F.element_at(F.split(F.col(c), " "), -1)
+    keys = [(F.concat_ws("|", "name", F.lit("x")), F.concat_ws("|", "known", F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise(F.lit("y")))), (last("name"), last("known"))]
+    return phases.fallback_lookup(rows, table.withColumn("hit", F.col("id")), keys, "hit", "id").select("row_id", "hit")
+
+
+register(
+    "q_fallback_lookup",
+    q_fallback_lookup,
+    "WITH k AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 = 0), a AS (SELECT name, min(id) AS hit FROM k WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT string_split(name, ' ')[-1] AS w, min(id) AS hit FROM k GROUP BY 1) "
+    "SELECT p_partkey AS row_id, coalesce(a.hit, b.hit) AS hit FROM part LEFT JOIN a ON a.name = p_name LEFT JOIN b ON b.w = string_split(p_name, ' ')[-1] WHERE p_partkey % 3 = 1",
+)
+
+
+def q_first_fit(spark, d):
+    p = _parts(spark, d)
+    catalogue = p.filter("id % 2 = 1").select(F.col("id").alias("off_id"), F.col("brand").alias("off_brand"), F.col("size").alias("off_size"), F.col("id").alias("ord"))
+    return phases.first_fit(p.filter("id % 2 = 0"), catalogue)
+
+
+register(
+    "q_first_fit",
+    q_first_fit,
+    "SELECT id, off_id, fits FROM (SELECT a.p_partkey AS id, b.p_partkey AS off_id, abs(a.p_size - b.p_size) <= 0.15 * greatest(a.p_size, b.p_size) AS fits, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(a.p_size - b.p_size) <= 0.15 * greatest(a.p_size, b.p_size) DESC, b.p_partkey) AS n FROM part a JOIN part b ON lower(a.p_brand) = lower(b.p_brand) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1) WHERE n = 1",
+)
+
+
+def q_shared_identifier(spark, d):
+    return phases.shared_identifier_groups(offers(spark, d).select("product_id", "store", "ord").filter("ord % 50 = 0"), "product_id", "store", "store").select("product_id", "n_stores", F.array_join("members", ",").alias("stores"))
+
+
+register("q_shared_identifier", q_shared_identifier, OFFERS + " SELECT product_id, count(DISTINCT store) AS n_stores, string_agg(DISTINCT store, ',' ORDER BY store) AS stores FROM offers WHERE ord % 50 = 0 GROUP BY product_id HAVING count(DISTINCT store) >= 2")
+
+
+def q_rule_mining(spark, d):
+    return standardise.mined_words(read_table(spark, d, "part"), "p_type", "p_name", 5)
+
+
+register("q_rule_mining", q_rule_mining, "SELECT p_type, word, n FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, word) AS r FROM (SELECT p_type, word, count(*) AS n FROM (SELECT p_type, unnest(regexp_extract_all(lower(p_name), '[a-z]{3,}')) AS word FROM part) GROUP BY ALL HAVING count(*) >= 2)) WHERE r <= 5")
+
+
+def q_table_counts(spark, d):
+    return standardise.table_counts(spark, {**{n: read_table(spark, d, n) for n in ("part", "orders", "events")}, "missing": None})
+
+
+register("q_table_counts", q_table_counts, "SELECT 'part' AS table_name, count(*) AS n_rows FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'missing', 0")
+
+
+def _stocked(spark, d) -> DataFrame:
+    stores = offers(spark, d).groupBy("product_id").agg(F.min_by("store", F.struct("price4", "store")).alias("store"))
+    return _parts(spark, d).join(stores, F.col("id") == F.col("product_id")).select("id", "store", "name", "brand", F.col("type").alias("category"), "size", F.lit(None).cast("string").alias("barcode"))
+
+
+def r_jaccard_matcher(spark, d):
+    return phases.jaccard_matcher(_stocked(spark, d).filter("size < 15"), 0.3, 1)
+
+
+def r_phase_matcher(spark, d):
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return phases.phase_matcher(_stocked(spark, d), vectors, 0.2, 0.3)
+
+
+def r_hybrid_match(spark, d):
+    products, catalogue = _catalogue(spark, d)
+    return phases.hybrid_match(products.filter("size < 10"), catalogue.filter("off_size < 10"), 1000)
+
+
+def r_transliterated_match(spark, d):
+    products, catalogue = _catalogue(spark, d)
+    return phases.transliterated_match(products.filter("size < 4"), catalogue.filter("off_size < 4"))
+
+
+def r_importer_matches(spark, d):
+    products, catalogue = _catalogue(spark, d)
+    return phases.importer_matches(products.filter("size < 4"), catalogue.filter("off_size < 4"))
+
+
+def r_standard_products(spark, d):
+    raw = offers(spark, d).select(F.col("product_id").alias("sku"), "store", F.concat("name", F.lit(" "), F.col("size").cast("string"), F.lit(" g")).alias("name"), (F.col("price4") / 10000).alias("price"), (F.col("old4") / 10000).alias("old_price"))
+    return standardise.standard_products(raw, ["red ring", "blue bolt"], [("fasteners", ["bolt"]), ("parts", ["ring", "gear"])], {"ASIA": ["promo"]})
+
+
+for _f in (r_jaccard_matcher, r_phase_matcher, r_hybrid_match, r_transliterated_match, r_importer_matches, r_standard_products):
+    register(_f.__name__, _f)
