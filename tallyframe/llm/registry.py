@@ -13,6 +13,7 @@ from tallyframe.llm.near_dup import near_duplicates
 from tallyframe.llm.quality_rules import quality_measures
 from tallyframe.llm.sql_chat import CHAT_SQL
 from tallyframe.llm.sql_mixing import MIX_SQL
+from tallyframe.llm.sql_texts import LEAKS_SQL, NEAR_SQL, REPEATS_SQL, URLS_SQL
 from tallyframe.llm.suffix_dedup import repeat_report
 from tallyframe.llm.url_filter import judge_urls
 from tallyframe.llm.warc import WARC_SQL, archive_round_trip
@@ -70,4 +71,13 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_chat_format": CHAT_SQL, "op4_mix_sources": MIX_SQL, "op5_warc": WARC_SQL}
+    """op3, op9 and op10 have no SQL form: tokenisers and trained models."""
+    return {
+        "op1_suffix_dedup": REPEATS_SQL,
+        "op2_chat_format": CHAT_SQL,
+        "op4_mix_sources": MIX_SQL,
+        "op5_warc": WARC_SQL,
+        "op6_url_filter": URLS_SQL,
+        "op7_decontaminate": LEAKS_SQL,
+        "op8_near_dedup": NEAR_SQL,
+    }

@@ -79,20 +79,17 @@ class UrlJudge:
         return None, None
 
     def terms(self, url: str) -> tuple[int, int]:
-        """Strict hits and different soft terms, between boundaries, percent-escapes decoded."""
+        """How many different strict and soft terms there are, between boundaries, percent-escapes decoded."""
         text = (unquote_to_bytes(url).decode("utf-8", "replace") if "%" in url else url).translate(_LOWER)
-        strict, soft = 0, set()
+        found: dict[bool, set[str]] = {True: set(), False: set()}
         if self.empty:
             return 0, 0
         for end, (n, term, is_strict) in self.automaton.iter(text):
-            before, after = text[end - n : end - n + 1] and text[max(end - n, 0)] if end >= n else "", text[end + 1 : end + 2]
+            before, after = text[end - n] if end >= n else "", text[end + 1 : end + 2]
             if "a" <= before <= "z" or "a" <= after <= "z":
                 continue
-            if is_strict:
-                strict += 1
-            else:
-                soft.add(term)
-        return strict, len(soft)
+            found[is_strict].add(term)
+        return len(found[True]), len(found[False])
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = split_url(url)
@@ -102,10 +99,10 @@ class UrlJudge:
 
 
 def judge_urls(pages: DataFrame, rules: UrlRules | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One row per page: key, host, path, rule, verdict, strict_hits, soft_terms."""
+    """One row per page: key, host, path, rule, verdict, strict_terms, soft_terms."""
     rules = rules or UrlRules()
     kind = pages.schema[key].dataType.simpleString()
-    names = [key, "host", "path", "rule", "verdict", "strict_hits", "soft_terms"]
+    names = [key, "host", "path", "rule", "verdict", "strict_terms", "soft_terms"]
 
     def run(batches):
         judge = UrlJudge(rules).judge
@@ -114,4 +111,4 @@ def judge_urls(pages: DataFrame, rules: UrlRules | None = None, key: str = "page
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(columns, [pa.string()] * 4 + [pa.int64()] * 2, strict=True))], names)
 
-    return pages.select(key, url).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, strict_hits long, soft_terms long")
+    return pages.select(key, url).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, strict_terms long, soft_terms long")
