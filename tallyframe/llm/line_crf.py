@@ -187,7 +187,7 @@ def _curve(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[bytes], labels: np.ndarray, rules: CrfRules) -> QualityModel:
     lines = read_lines(texts)
     if not len(lines.text) or len(np.unique(labels)) < 2:
-        return QualityModel(np.zeros(1 + 3 * len(OWN)), np.zeros((2, 2)), np.ones(1 + 3 * len(OWN)), (1e-6, 0.0), 0.5)
+        return QualityModel(np.zeros(1 + 3 * len(OWN)), np.zeros((2, 2)), np.ones(1 + 3 * len(OWN)), (0.0, 0.0), 0.5)
     x = with_neighbours(lines).astype(np.float64)
     scale = np.maximum(x.std(axis=0), 0.05)
     scale[0] = 1.0
