@@ -16,7 +16,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text column of each holds about `limit` bytes, or one row."""
     for batch in batches:
         column = batch.column(text)
@@ -32,11 +32,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <
         yield batch.slice(start)
 
 
-def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.RecordBatch], pa.Array], limit: int = 4 << 20) -> DataFrame:
     """The rows of df, all columns untouched, for which verdict(batch) holds."""
 
     def run(batches):
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, limit):
             yield batch.filter(verdict(batch))
 
     return df.mapInArrow(run, df.schema)

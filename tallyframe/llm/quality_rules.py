@@ -192,7 +192,7 @@ def quality_measures(docs: DataFrame, rules: FertilityRules | None = None, key:
 
     def run(batches):
         judge = Judge(rules)
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 4 << 20):
             rows = judge.rows(text_bytes(batch.column(text)), batch.column(lang).to_pylist())
             columns = list(zip(*rows, strict=True)) or [()] * 10
             types = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2

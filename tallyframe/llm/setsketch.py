@@ -36,13 +36,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
+    """Powers of an odd number and of its inverse, modulo 2**64. Long tables, for long texts, aren't kept."""
+    size = 1 << max(16, (n - 1).bit_length())
+    return _kept_powers(size) if size <= 1 << 21 else _new_powers(n)
+
+
+@lru_cache(maxsize=2)
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(n)
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     odd = 0x9E3779B97F4A7C15
-    inverse = pow(odd, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n - 1, p, _U)])) for p in (odd, inverse))
+    found = []
+    for p in (odd, pow(odd, -1, 1 << 64)):
+        table = np.full(n, p, _U)
+        table[0] = 1
+        found.append(np.multiply.accumulate(table, out=table))
+    return found[0], found[1]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +63,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = (a == 32) | ((a >= 9) & (a <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[1], space, [1]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    size = max(1 << 16, 1 << (len(a)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(a) + 1)
     total = np.zeros(len(a) + 1, _U)
     np.cumsum((a.astype(_U) + _U(1)) * up[: len(a)], out=total[1:])
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(_U)), begin, end
