@@ -9,8 +9,9 @@ from tallyframe.llm.decontaminate import leak_report
 from tallyframe.llm.html_extract import extract_pages
 from tallyframe.llm.line_crf import quality_scores
 from tallyframe.llm.mixing import mix_sources
-from tallyframe.llm.near_dup import near_duplicates
+from tallyframe.llm.near_dup import NearRules, near_duplicates
 from tallyframe.llm.quality_rules import quality_measures
+from tallyframe.llm.setsketch import SketchRules
 from tallyframe.llm.sql_chat import CHAT_SQL
 from tallyframe.llm.sql_mixing import MIX_SQL
 from tallyframe.llm.sql_texts import LEAKS_SQL, NEAR_SQL, REPEATS_SQL, URLS_SQL
@@ -55,7 +56,7 @@ def op7_decontaminate(spark, sf_dir):
 
 
 def op8_near_dedup(spark, sf_dir):
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), NearRules(sketch=SketchRules(words=4)))
 
 
 def op9_quality_classifier(spark, sf_dir):

@@ -20,7 +20,7 @@ class SketchRules:
     """words: per shingle. registers: in a sketch. rows: registers per band.
     rate, base, top: of the exponential values and of their logarithm."""
 
-    words: int = 4
+    words: int = 5
     registers: int = 128
     rows: int = 4
     rate: float = 20.0

@@ -249,11 +249,11 @@ def test_leaks_equal_brute_force(spark, docs, texts, none, block_words):
 # 8 ---------------------------------------------------------------------------------------------
 
 
-def brute_groups(rows):
+def brute_groups(rows, words=5):
     sets = {}
     for key, t in rows:
         w = (t or "").encode().lower().split()
-        sets[key] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[key] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
     low = {k: k for k in sets}
     changed = True
     while changed:
@@ -265,15 +265,15 @@ def brute_groups(rows):
     return {k: (len(sets[k]), low[k]) for k in sets}
 
 
-@pytest.mark.parametrize("limit", [24, 2])
-def test_near_groups_equal_brute_force(spark, docs, texts, none, limit):
+@pytest.mark.parametrize("limit,words", [(24, 5), (2, 4)])
+def test_near_groups_equal_brute_force(spark, docs, texts, none, limit, words):
     draw = random.Random(5)
     base = sentence(draw, 100).split()
     more = [(100 + i, " ".join(w if draw.random() > p else "y" + str(draw.randrange(99)) for w in base)) for i, p in enumerate([0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.03, 0.02, 0.06, 0.08])]
     rows = list(enumerate(texts)) + more
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash"))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, near_dup.NearRules(pair_limit=limit)).collect()}
-    assert got == brute_groups(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, near_dup.NearRules(setsketch.SketchRules(words=words), pair_limit=limit)).collect()}
+    assert got == brute_groups(rows, words)
     if limit == 24:
         left = near_dup.keep_first_of_group(docs)
         assert left.columns == docs.columns

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tallyframe.llm import registry
+from tallyframe.llm import near_dup, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
 def test_near_stage_keeps_one_of_each_group(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
-    report = registry.queries()["op8_near_dedup"](spark, SF).collect()
+    report = near_dup.near_duplicates(docs).collect()
     assert kept == {r.doc_id for r in report if r.kept}
 
 
