@@ -55,10 +55,10 @@ class FertilityRules:
 
 
 DEFAULT_BANDS = {
-    "en": Band(2.03, 6.0, 0.05, 0.40),
-    "de": Band(2.05, 6.0, 0.05, 0.40),
-    "es": Band(1.80, 6.0, 0.05, 0.40),
-    "fr": Band(1.83, 6.0, 0.05, 0.40),
+    "en": Band(2.00, 6.0, 0.05, 0.40),
+    "de": Band(2.02, 6.0, 0.05, 0.40),
+    "es": Band(1.78, 6.0, 0.05, 0.40),
+    "fr": Band(1.80, 6.0, 0.05, 0.40),
     "latin": Band(1.3, 8.0, 0.10, 0.4),
     "other": Band(0.3, 8.0, 0.90, 0.4),
 }
