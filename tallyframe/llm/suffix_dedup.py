@@ -26,6 +26,7 @@ occurrence keeps; rows with a null key stay whole; empty tables stay empty.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +52,7 @@ class RepeatRules:
 
     length: int = 100
     hot: int = 6000
-    batch: int = 1_200_000
+    batch: int = 300_000
     remembered: int = 60_000
 
 
@@ -67,10 +68,9 @@ class Ranges:
         self.starts = self.ends - sizes
         n = len(self.data)
         if not n:
-            self.fp, self.at, self.n, self.doc, *self.twins = (np.zeros(0, np.int64) for _ in range(6))
-            self.grams = 0
+            self.fp, self.at, self.n, self.doc = (np.zeros(0, np.int64) for _ in range(4))
             return
-        hashed = self._hashes(n)
+        hashed = self._hashes()
         self.grams = length - GRAM + 1
         least = _sliding(hashed, self.grams, np.minimum)
         new = np.zeros(len(least) + 1, bool)
@@ -84,18 +84,11 @@ class Ranges:
         real = begin < self.ends[np.minimum(doc, len(self.ends) - 1)] - (length - 1)
         self.at, self.n, self.doc = begin[real], size[real], doc[real]
         self.fp = least[self.at].view(np.int64)
-        # neighbouring anchor positions with equal grams: text that may repeat inside one range
-        padded = np.concatenate([np.zeros(self.grams - 1, _U), least, np.zeros(self.grams - 1, _U)])
-        anchors = np.flatnonzero(_sliding(padded, self.grams, np.maximum) == hashed)
-        twin = np.flatnonzero(hashed[anchors[1:]] == hashed[anchors[:-1]])
-        self.twins = anchors[twin], anchors[twin + 1]
+        self.hashed, self.least = hashed, least
 
-    def _hashes(self, n: int) -> np.ndarray:
+    def _hashes(self) -> np.ndarray:
         """A hash of the 16-gram at each position."""
-        words = np.empty(n - 7, _U)
-        for o in range(8):
-            part = np.frombuffer(self.data, "<u8", count=(n - o) // 8, offset=o)
-            words[o::8] = part[: len(words[o::8])]
+        words = _words(self.data)
         hashed = words[:-8] * _U(0x9E3779B97F4A7C15)
         hashed ^= hashed >> _U(32)
         hashed += words[8:] * _U(0xC2B2AE3D27D4EB4F)
@@ -105,7 +98,13 @@ class Ranges:
 
     def places(self) -> np.ndarray:
         """How many places each range counts for: two or more if a gram that anchors it may occur in it twice."""
-        left, right = self.twins
+        if not len(self.at):
+            return self.n
+        # neighbouring anchor positions with equal grams: text that may repeat inside one range
+        padded = np.concatenate([np.zeros(self.grams - 1, _U), self.least, np.zeros(self.grams - 1, _U)])
+        anchors = np.flatnonzero(_sliding(padded, self.grams, np.maximum) == self.hashed)
+        twin = np.flatnonzero(self.hashed[anchors[1:]] == self.hashed[anchors[:-1]])
+        left, right = anchors[twin], anchors[twin + 1]
         nth = np.searchsorted(left, self.at)
         inside = np.append(right, np.iinfo(np.int64).max)[nth] < self.at + self.n + self.grams - 1
         return np.maximum(np.where(inside, 2, 1), np.where(self.n > self.grams, -(-self.n // PIECE), 1))
@@ -144,12 +143,10 @@ def repeated_starts(contexts: list[tuple[bytes, tuple]], length: int) -> np.ndar
     order = place[suffix_order(text[:-7], length)]
     order = order[order >= 0]
     at = starts[order]
-    same = np.ones(len(at) - 1, bool)
+    same, words = np.ones(len(at) - 1, bool), _words(data)
     for shift in [*range(0, length - 7, 8), length - 8]:
-        words = np.frombuffer(data, np.uint8)
-        left = _words_at(words, at[:-1] + shift)
-        same &= left == _words_at(words, at[1:] + shift)
-        del left
+        there = words[at + shift]
+        same &= there[1:] == there[:-1]
     group = np.concatenate([[0], np.flatnonzero(~same) + 1])
     first = np.minimum.reduceat(order, group)
     later = order != np.repeat(first, np.diff(np.concatenate([group, [len(order)]])))
@@ -159,10 +156,20 @@ def repeated_starts(contexts: list[tuple[bytes, tuple]], length: int) -> np.ndar
     return np.add.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64)
 
 
-def _words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes at each place, as integers."""
-    view = np.lib.stride_tricks.as_strided(text.view(np.uint8), (len(text) - 7, 8), (1, 1))
-    return np.ascontiguousarray(view[at]).view(_U).ravel()
+def _repeats_inside(context: bytes, length: int) -> bool:
+    """Whether a string of the context may start in it twice. All its strings share the bytes
+    from the last start to the end of the first string; those must then occur again."""
+    last = len(context) - length
+    return context.find(context[last:length], last + 1) >= 0
+
+
+def _words(data: bytes) -> np.ndarray:
+    """The eight bytes at each position of data, as integers."""
+    words = np.empty(len(data) - 7, _U)
+    for o in range(8):
+        part = np.frombuffer(data, "<u8", count=(len(data) - o) // 8, offset=o)
+        words[o::8] = part[: len(words[o::8])]
+    return words
 
 
 def _anchor_counts(docs: DataFrame, rules: RepeatRules, key: str, text: str) -> DataFrame:
@@ -177,6 +184,12 @@ def _anchor_counts(docs: DataFrame, rules: RepeatRules, key: str, text: str) ->
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "fp long, id long, places int")
 
 
+def _with_anchors(batch: pa.RecordBatch, text: str) -> list[bytes]:
+    """The texts that have repeated anchors; empty ones for the others."""
+    some = batch.column("fps").is_valid().to_pylist()
+    return [t if s else b"" for t, s in zip(text_bytes(batch.column(text)), some, strict=True)]
+
+
 def _chosen(found: Ranges, fps: list, hot: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of ranges with repeated anchors that are not hot, and of those that are."""
     known = np.unique(np.array([x for f in fps if f is not None for x in f], np.int64))
@@ -192,7 +205,7 @@ def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str) -> D
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in small_batches(batches, text):
-            found = Ranges(text_bytes(batch.column(text)), length)
+            found = Ranges(_with_anchors(batch, text), length)
             cold, hot, _ = _chosen(found, batch.column("fps").to_pylist(), batch.column("hot").to_pylist())
             ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[found.docs]
             which, begin, size = found.pieces(cold)
@@ -222,29 +235,44 @@ def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str) -> D
 def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
     """(id, start, mask) of the first occurrence of every distinct context."""
 
-    def flush(groups: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
-        ordered = sorted(groups.items(), key=lambda c: c[1])
-        masks = repeated_starts(ordered, rules.length)
-        places = [p for _, p in ordered]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int32()), pa.array(masks)], ["id", "start", "mask"])
+    def rows(places: list[tuple[int, int]], masks: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int32()), pa.array(masks, pa.int64())], ["id", "start", "mask"])
+
+    def flush(groups: dict[bytes, tuple[int, int]], alone: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if groups:
+            ordered = sorted(groups.items(), key=lambda c: c[1])
+            yield rows([p for _, p in ordered], repeated_starts(ordered, rules.length))
+        if alone:
+            yield rows(alone, np.zeros(len(alone), np.int64))
 
     def run(batches):
         groups: dict[bytes, tuple[int, int]] = {}
+        alone: list[tuple[int, int]] = []
+        own: dict[bytes, tuple[int, int]] = {}
         held, last = 0, None
+
+        def settle() -> int:
+            """The anchor's contexts go to be sorted, or aside if one is all and holds no string twice."""
+            if len(own) == 1 and not _repeats_inside(*own, rules.length):
+                alone.extend(own.values())
+                return 0
+            groups.update(own)
+            return sum(map(len, own)) + len(own)
+
         for batch in batches:
             for fp, doc_id, start, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if fp != last and held >= rules.batch:
-                    yield flush(groups)
-                    groups, held = {}, 0
+                if fp != last:
+                    held += settle()
+                    own = {}
+                    if held >= rules.batch or len(alone) >= 50_000:
+                        yield from flush(groups, alone)
+                        groups, alone, held = {}, [], 0
                 last, place = fp, (doc_id, start)
-                before = groups.get(context)
-                if before is None:
-                    held += len(context) + 1
-                    groups[context] = place
-                elif place < before:
-                    groups[context] = place
-        if groups:
-            yield flush(groups)
+                before = own.get(context)
+                if before is None or place < before:
+                    own[context] = place
+        settle()
+        yield from flush(groups, alone)
 
     return contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "id long, start int, mask long")
 
@@ -258,14 +286,14 @@ def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "
     of_doc = materialize(of_doc.withColumnRenamed("id", "_anchor_id"), "repeat-documents")
     # the same shuffle of the texts serves both joins
     on = F.col(key).cast("long") == F.col("_anchor_id")
-    firsts = _marks(_contexts(docs.join(of_doc.hint("merge"), on).drop("_anchor_id"), rules, key, text), rules)
+    firsts = _marks(_contexts(docs.join(of_doc.hint("merge"), on, "left").drop("_anchor_id"), rules, key, text), rules)
     firsts = firsts.groupBy(F.col("id").alias("_mark_id")).agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     both = docs.join(of_doc.hint("merge"), on, "left").drop("_anchor_id").join(firsts.hint("merge"), F.col(key).cast("long") == F.col("_mark_id"), "left").drop("_mark_id")
     length, fields = rules.length, docs.schema.names
 
     def run(batches):
         for batch in small_batches(batches, text):
-            found = Ranges(text_bytes(batch.column(text)), length)
+            found = Ranges(_with_anchors(batch, text), length)
             spans = [[] for _ in range(batch.num_rows)]
             flagged = _flagged(found, batch)
             if len(flagged):
