@@ -4,7 +4,8 @@ A byte goes if a string of `length` bytes that covers it also starts earlier
 (in a document of smaller key, or further forward in the same one).
 
 Suffixes that agree on `length` bytes must meet in one task. Each string of
-that length has an anchor: its smallest hashed 16-gram. Neighbouring start
+that length has an anchor: its smallest hashed gram (of 37 bytes for strings of
+100, so that an anchor covers at most 64 starts). Neighbouring start
 positions with the same anchor form a range; a range with the bytes that its
 strings span is a context. Anchors that occur once in the corpus cannot lie in
 a repeated string and are left out. The contexts of an anchor meet, equal ones
@@ -40,7 +41,7 @@ from tallyframe.llm.suffix_sort import suffix_order
 from tallyframe.session import materialize
 
 _U = np.uint64
-GRAM = 16
+#: Starts in a piece of a range, at most: one bit of a mask each.
 PIECE = 64
 CUT = "_cut_spans"
 
@@ -50,7 +51,7 @@ class RepeatRules:
     """length: bytes of a repeated string. hot: places of an anchor beyond which its ranges are
     split. batch: bytes sorted at once. remembered: contexts a task remembers to drop copies early."""
 
-    length: int = 100
+    length: int = 100  # 16 at least
     hot: int = 6000
     batch: int = 300_000
     remembered: int = 60_000
@@ -70,8 +71,9 @@ class Ranges:
         if not n:
             self.fp, self.at, self.n, self.doc = (np.zeros(0, np.int64) for _ in range(4))
             return
-        hashed = self._hashes()
-        self.grams = length - GRAM + 1
+        gram = max(8, length - PIECE + 1)
+        self.grams = length - gram + 1
+        hashed = self._hashes(gram)
         least = _sliding(hashed, self.grams, np.minimum)
         new = np.zeros(len(least) + 1, bool)
         new[1:-1] = least[1:] != least[:-1]
@@ -86,12 +88,14 @@ class Ranges:
         self.fp = least[self.at].view(np.int64)
         self.hashed, self.least = hashed, least
 
-    def _hashes(self) -> np.ndarray:
-        """A hash of the 16-gram at each position."""
-        words = _words(self.data)
-        hashed = words[:-8] * _U(0x9E3779B97F4A7C15)
-        hashed ^= hashed >> _U(32)
-        hashed += words[8:] * _U(0xC2B2AE3D27D4EB4F)
+    def _hashes(self, gram: int) -> np.ndarray:
+        """A hash of the gram at each position."""
+        words, n = _words(self.data), len(self.data) - gram + 1
+        hashed = np.zeros(n, _U)
+        for offset in dict.fromkeys([*range(0, gram - 8, 8), gram - 8]):
+            hashed += words[offset : offset + n]
+            hashed *= _U(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> _U(32)
         hashed *= _U(0xD6E8FEB86659FD93)
         hashed ^= hashed >> _U(32)
         return hashed
@@ -280,7 +284,8 @@ def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
 def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one more column: the byte spans to remove, as begin, end, begin, end ..."""
     rules = rules or RepeatRules()
-    occurring = materialize(_anchor_counts(docs, rules, key, text), "repeat-anchors")
+    # read twice, for the counts and for the join: cheaper to find again than to keep
+    occurring = _anchor_counts(docs, rules, key, text)
     repeated = occurring.groupBy("fp").agg(F.sum("places").alias("all")).filter("all > 1").select("fp", (F.col("all") > rules.hot).alias("is_hot"))
     of_doc = occurring.select("fp", "id").join(repeated, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("is_hot"), F.col("fp"))).alias("hot"))
     of_doc = materialize(of_doc.withColumnRenamed("id", "_anchor_id"), "repeat-documents")
