@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame
 SPACES = b" \t\n\r\x0b\x0c"
 
 
+#: Rows that Spark hands to Python at once, at most: texts of a few kilobytes make a few megabytes.
+ROWS_AT_ONCE = 1000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are held to ROWS_AT_ONCE, for the memory of executors and workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
+        conf.set(name, str(ROWS_AT_ONCE))
+    return df
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -39,4 +51,4 @@ def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.RecordBatch], pa.A
         for batch in small_batches(batches, text, limit):
             yield batch.filter(verdict(batch))
 
-    return df.mapInArrow(run, df.schema)
+    return modest_batches(df).mapInArrow(run, df.schema)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.arrow import small_batches, text_bytes
+from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
 
 #: Fixed by contract: ASCII letters and digits, and all bytes of other characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -244,7 +244,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules | None = None
     """docs with two more columns: merged hit ranges in words, and the sorted keys of items hit."""
     rules = rules or LeakRules()
     context = docs.sparkSession.sparkContext
-    marked, first = docs, True
+    marked, first = modest_batches(docs), True
     for block in item_blocks(items, rules, item_key, item_text):
         marked = _mark(marked, context.broadcast(LeakIndex(block, rules.window)), text, first)
         first = False

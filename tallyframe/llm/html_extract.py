@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.arrow import small_batches
+from tallyframe.llm.arrow import modest_batches, small_batches
 from tallyframe.llm.dom import INLINE, Page, read_page, squeeze
 
 #: Parts of class and id names, by what they tell.
@@ -334,4 +334,4 @@ def extract_pages(pages: DataFrame, rules: ExtractRules | None = None, labelled:
             texts = main_texts([read_page(h or "") for h in batch.column(html).to_pylist()], unary, pair, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 
-    return pages.select(key, url, html).mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
+    return modest_batches(pages).select(key, url, html).mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")

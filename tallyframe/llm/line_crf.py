@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrow import small_batches, text_bytes
+from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
 from tallyframe.llm.setsketch import word_hashes
 
 OWN = ("upper", "symbol", "bang", "digit", "bar", "punct", "repeat", "long_word", "short_word", "few_words", "many_words", "no_end", "mixed_case")
@@ -236,5 +236,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rules: CrfRules | None =
             scores = model.score(text_bytes(batch.column(text))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    scored = modest_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
     return scored.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", "predicted")

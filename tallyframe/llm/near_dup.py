@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import setsketch
-from tallyframe.llm.arrow import small_batches, text_bytes
+from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
 from tallyframe.llm.components import components
 from tallyframe.llm.setsketch import SketchRules
 from tallyframe.session import materialize
@@ -60,7 +60,7 @@ def sketches(docs: DataFrame, rules: NearRules, key: str, text: str) -> DataFram
             regs = [setsketch.registers(s, sketch).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(regs, pa.binary())], ["id", "n", "h1", "h2", "regs"])
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, h1 long, h2 long, regs binary")
+    return modest_batches(docs).select(key, text).mapInArrow(run, "id long, n long, h1 long, h2 long, regs binary")
 
 
 def bands(reps: DataFrame, rules: NearRules) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.arrow import SPACES, keep_rows, small_batches, text_bytes
+from tallyframe.llm.arrow import SPACES, keep_rows, modest_batches, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -50,7 +50,7 @@ class FertilityRules:
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
     min_words: int = 50
     max_repeat_percent: int = 50
-    cached_words: int = 500_000
+    cached_words: int = 300_000
     bands: dict[str, Band] = field(default_factory=lambda: dict(DEFAULT_BANDS))
 
 
@@ -199,7 +199,7 @@ def quality_measures(docs: DataFrame, rules: FertilityRules | None = None, key:
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     names = [key, *COUNTS, *RATIOS, "base_failed", "kept"]
-    return docs.select(key, text, lang).mapInArrow(run, f"`{key}` {kind}, {MEASURES_DDL}")
+    return modest_batches(docs).select(key, text, lang).mapInArrow(run, f"`{key}` {kind}, {MEASURES_DDL}")
 
 
 def keep_quality(docs: DataFrame, rules: FertilityRules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:

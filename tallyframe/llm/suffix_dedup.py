@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.arrow import small_batches, text_bytes
+from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
 from tallyframe.llm.suffix_sort import suffix_order
 from tallyframe.session import materialize
 
@@ -283,7 +283,7 @@ def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
 
 def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one more column: the byte spans to remove, as begin, end, begin, end ..."""
-    rules = rules or RepeatRules()
+    rules, docs = rules or RepeatRules(), modest_batches(docs)
     # read twice, for the counts and for the join: cheaper to find again than to keep
     occurring = _anchor_counts(docs, rules, key, text)
     repeated = occurring.groupBy("fp").agg(F.sum("places").alias("all")).filter("all > 1").select("fp", (F.col("all") > rules.hot).alias("is_hot"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrow import small_batches
+from tallyframe.llm.arrow import modest_batches, small_batches
 from tallyframe.session import materialize, scratch_path
 
 PREFIX = "urn:x-page:"
@@ -132,7 +132,7 @@ def write_archive(pages: DataFrame, rules: WarcRules | None = None, key: str = "
         if out is not None:
             out.close()
 
-    rows = with_decisions(pages, rules, key, url, html).select("page_id", "url", "html", "size", "digest", "refers_to")
+    rows = with_decisions(modest_batches(pages), rules, key, url, html).select("page_id", "url", "html", "size", "digest", "refers_to")
     return materialize(rows.mapInArrow(write, INDEX_DDL).withColumn("folder", F.lit(folder)), "warc-index")
 
 
