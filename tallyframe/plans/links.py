@@ -302,7 +302,7 @@ register(
 
 
 def q_shared_identifier(spark, d):
-    return phases.shared_identifier_groups(offers(spark, d).select("product_id", "store", "ord").filter("ord % 50 = 0"), "product_id", "store", "store").select("product_id", "n_stores", F.array_join("members", ",").alias("stores"))
+    return phases.shared_identifier_groups(offers(spark, d).select("product_id", "store"), "product_id", "store", "store").select("product_id", "n_stores", F.array_join("members", ",").alias("stores"))
 
 
 register("q_shared_identifier", q_shared_identifier, OFFERS + " SELECT product_id, count(DISTINCT store) AS n_stores, string_agg(DISTINCT store, ',' ORDER BY store) AS stores FROM offers WHERE ord % 50 = 0 GROUP BY product_id HAVING count(DISTINCT store) >= 2")
