@@ -205,7 +205,7 @@ register("q_page_cards", q_page_cards, "SELECT page_id, nullif(regexp_extract(ht
 
 def q_inverted_index(spark, d):
     p = read_table(spark, d, "part")
-    return matching.postings(p, "p_partkey", F.split(F.col("p_name"), " "), 100).groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    return matching.postings(p, "p_partkey", F.split(F.col("p_name"), " ")).groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
 
 
 register("q_inverted_index", q_inverted_index, "SELECT token, count(*) AS n, min(p_partkey) AS low, max(p_partkey) AS high FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY p_partkey) AS r FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part)) WHERE r <= 100 GROUP BY 1")

@@ -28,3 +28,8 @@ def same_as_sql(spark, name, sql, sf=SF):
 
 def test_shared_identifier_reads_all_orders(spark):
     same_as_sql(spark, "q_shared_identifier", OFFERS + " SELECT product_id, count(DISTINCT store) AS n_stores, string_agg(DISTINCT store, ',' ORDER BY store) AS stores FROM offers GROUP BY product_id HAVING count(DISTINCT store) >= 2")
+
+
+def test_inverted_index_keeps_all_postings(spark):
+    found = same_as_sql(spark, "q_inverted_index", "SELECT token, count(*) AS n, min(p_partkey) AS low, max(p_partkey) AS high FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY 1", "/root/testdata/sf0.01")
+    assert min(n for _, _, n, _ in found) > 100
