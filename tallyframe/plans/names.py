@@ -71,7 +71,7 @@ _SIZED = "WITH s AS (SELECT *, p_name || ' ' || CASE WHEN p_partkey % 7 = 0 THEN
 
 
 def q_parse_quantity(spark, d):
-    sized = _sized(spark, d).filter("p_partkey % 7 <> 0").withColumn("q", quantity.parse_quantity(F.col("label")))
+    sized = _sized(spark, d).withColumn("q", quantity.parse_quantity(F.col("label")))
     return sized.select("p_partkey", "label", F.col("q.value").alias("value"), F.col("q.unit").alias("unit"))
 
 
@@ -126,7 +126,7 @@ register(
 
 
 def q_qty_compat_classes(spark, d):
-    p = read_table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size")).filter("p_partkey < 400")
+    p = read_table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"))
     other = p.select(F.col("p_partkey").alias("other"), "p_brand", F.col("size").alias("size2"))
     g = F.lit("g")
     return p.join(other, "p_brand").filter("p_partkey < other").select(

@@ -1,6 +1,7 @@
 """Queries over all rows of their tables: results equal SQL without cuts, or brute force, on inputs where a cut would show."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -33,3 +34,26 @@ def test_shared_identifier_reads_all_orders(spark):
 def test_inverted_index_keeps_all_postings(spark):
     found = same_as_sql(spark, "q_inverted_index", "SELECT token, count(*) AS n, min(p_partkey) AS low, max(p_partkey) AS high FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY 1", "/root/testdata/sf0.01")
     assert min(n for _, _, n, _ in found) > 100
+
+
+def test_qty_compat_classes_pairs_all_parts(spark):
+    sql = """SELECT a.p_partkey, b.p_partkey AS other, CASE WHEN r <= 1.3 THEN 'same_size' WHEN r <= 5 THEN 'different_size' ELSE 'incompatible' END AS class4, r <= 1.25 AS agree25, x / y BETWEEN 0.75 AND 1.25 AS between75, abs(x - y) <= 0.15 * greatest(x, y) AS share15
+ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey, LATERAL (SELECT CAST(a.p_size AS DOUBLE) AS x, CAST(b.p_size AS DOUBLE) AS y), LATERAL (SELECT greatest(x, y) / least(x, y) AS r)"""
+    found = same_as_sql(spark, "q_qty_compat_classes", sql, "/root/testdata/sf0.01")
+    assert any(400 <= v for r in found for v in r if type(v) is int)
+
+
+def test_parse_quantity_reads_packs(spark):
+    """A pack without a known unit after it takes the first unit's letters anywhere in the label, as the reference does."""
+    base = {"g": (1.0, "g"), "kg": (1000.0, "g"), "ml": (1.0, "ml"), "l": (1000.0, "ml")}
+    want = {}
+    for key, name, size in duckdb.sql(f"SELECT p_partkey, p_name, p_size FROM '{SF}/part.parquet'").fetchall():
+        packs, unit = (2 if key % 7 == 0 else 1), [" g", " kg", "ml", " l", " pcs", ""][key % 6]
+        label = f"{name} {'2 x ' if packs == 2 else ''}{size}{unit}"
+        written = unit.strip()
+        if packs == 2 and written not in base:
+            written = (re.search("ml|l|g|kg", label) or [""])[0]
+        scale, kind = base.get(written, (1.0, written or None))
+        want[key] = (label, None if packs == 1 and not unit else packs * size * scale, kind)
+    got = {r.p_partkey: (r.label, r.value, r.unit) for r in entry.queries()["q_parse_quantity"](spark, SF).collect()}
+    assert got == want and sum(" 2 x " in v[0] for v in got.values()) == 29
