@@ -328,7 +328,7 @@ def _stocked(spark, d) -> DataFrame:
 
 
 def r_jaccard_matcher(spark, d):
-    return phases.jaccard_matcher(_stocked(spark, d).filter("size < 15"), 0.3, 1)
+    return phases.jaccard_matcher(_stocked(spark, d), 0.3, 1)
 
 
 def r_phase_matcher(spark, d):
@@ -338,17 +338,17 @@ def r_phase_matcher(spark, d):
 
 def r_hybrid_match(spark, d):
     products, catalogue = _catalogue(spark, d)
-    return phases.hybrid_match(products.filter("size < 10"), catalogue.filter("off_size < 10"), 1000)
+    return phases.hybrid_match(products, catalogue, catalogue.count())
 
 
 def r_transliterated_match(spark, d):
     products, catalogue = _catalogue(spark, d)
-    return phases.transliterated_match(products.filter("size < 4"), catalogue.filter("off_size < 4"))
+    return phases.transliterated_match(products, catalogue)
 
 
 def r_importer_matches(spark, d):
     products, catalogue = _catalogue(spark, d)
-    return phases.importer_matches(products.filter("size < 4"), catalogue.filter("off_size < 4"))
+    return phases.importer_matches(products, catalogue)
 
 
 def r_standard_products(spark, d):

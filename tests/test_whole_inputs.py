@@ -1,5 +1,7 @@
 """Queries over all rows of their tables: results equal SQL without cuts, or brute force, on inputs where a cut would show."""
 
+import collections
+import difflib
 import os
 import re
 
@@ -7,16 +9,22 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyframe.operators import phases
 from tallyframe.plans.offers import OFFERS
 
 SF = "/root/testdata/sf0.001"
 
 
-def same_as_sql(spark, name, sql, sf=SF):
+def tables(sf=SF):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
     for f in os.listdir(sf):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
+    return con
+
+
+def same_as_sql(spark, name, sql, sf=SF):
+    con = tables(sf)
     got, want = entry.queries()[name](spark, sf), con.sql(sql)
     order = sorted(want.columns)
     assert sorted(got.columns) == order
@@ -57,3 +65,46 @@ def test_parse_quantity_reads_packs(spark):
         want[key] = (label, None if packs == 1 and not unit else packs * size * scale, kind)
     got = {r.p_partkey: (r.label, r.value, r.unit) for r in entry.queries()["q_parse_quantity"](spark, SF).collect()}
     assert got == want and sum(" 2 x " in v[0] for v in got.values()) == 29
+
+
+def parts(sf=SF):
+    return duckdb.sql(f"SELECT p_partkey, p_name, lower(p_brand), p_type, p_size FROM '{sf}/part.parquet'").fetchall()
+
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def test_importer_matches_all_parts(spark):
+    left, right = [p for p in parts() if p[0] % 2 == 0], [p for p in parts() if p[0] % 2 == 1]
+    want = collections.Counter()
+    for a in left:
+        for b in right:
+            if a[0] % 10 == 0 and b[0] == a[0] + 1:
+                want[a[0], b[0], 1.0, "barcode"] += 1
+            if (a[2] in b[2] or b[2] in a[2]) and ratio(a[1], b[1]) >= 0.6:
+                want[a[0], b[0], round(ratio(a[1], b[1]), 9), "brand"] += 1
+            if a[1][:20] == b[1][:20] and ratio(a[1], b[1]) >= 0.7:
+                want[a[0], b[0], round(ratio(a[1], b[1]) * 0.8, 9), "prefix"] += 1
+    got = collections.Counter((r.id, r.off_id, round(r.confidence, 9), r.method) for r in entry.queries()["r_importer_matches"](spark, SF).collect())
+    assert got == want
+
+
+def test_jaccard_matcher_pairs_all_sizes(spark):
+    stores = dict(tables().sql(OFFERS + " SELECT product_id, arg_min(store, {'a': price4, 'b': store}) FROM offers GROUP BY 1").fetchall())
+    rows = [p for p in parts() if p[0] in stores]
+    words = lambda p: {w for w in p[1].split() if len(w) > 1}
+    score = lambda a, b: len(words(a) & words(b)) / len(words(a) | words(b))
+    want = {(a[0], b[0], round(score(a, b), 9)) for a in rows for b in rows if a[3] == b[3] and stores[a[0]] < stores[b[0]] and score(a, b) >= 0.3}
+    assert {(r.a, r.b, round(r.score, 9)) for r in entry.queries()["r_jaccard_matcher"](spark, SF).collect()} == want
+
+
+def test_matchers_get_whole_sides(spark, monkeypatch):
+    seen = {}
+    for name in ("hybrid_match", "transliterated_match"):
+        real = getattr(phases, name)
+        monkeypatch.setattr(phases, name, lambda *a, name=name, real=real: seen.update({name: a}) or real(*a))
+    ids = {p[0] for p in parts() if p[0] % 2 == 0}
+    assert {r.id for r in entry.queries()["r_hybrid_match"](spark, SF).collect()} == ids
+    assert {r.id for r in entry.queries()["r_transliterated_match"](spark, SF).collect()} == ids
+    assert all((a[0].count(), a[1].count()) == (100, 100) for a in seen.values()) and seen["hybrid_match"][2] == 100
