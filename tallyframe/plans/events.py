@@ -118,8 +118,8 @@ for _f in (r_alert_debounce, r_circuit_breaker, r_rate_limiter):
 def q_upsert_merge(spark, d):
     e = _events(spark, d)
     target = relational.last_values(e.filter("event_type = 'view'"), ["user_id"], ["ts", "event_id"], ["event_id", "value"])
-    source = relational.last_values(e.filter("event_type = 'click' and user_id >= 50"), ["user_id"], ["ts", "event_id"], ["event_id", "value"])
-    return history.upsert(target.filter("user_id < 100"), source, ["user_id"], ["event_id", "value"])
+    source = relational.last_values(e.filter("event_type = 'click'"), ["user_id"], ["ts", "event_id"], ["event_id", "value"])
+    return history.upsert(target, source, ["user_id"], ["event_id", "value"])
 
 
 _LAST = "SELECT user_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE "
@@ -134,7 +134,7 @@ register(
 def q_insert_ignore(spark, d):
     e = _events(spark, d)
     first = lambda kind: e.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return history.insert_ignore(first("signup").filter("user_id % 2 = 0"), first("click"), ["user_id"])
+    return history.insert_ignore(first("signup"), first("click"), ["user_id"])
 
 
 register(

@@ -271,10 +271,10 @@ for _f in (r_seq_ratio, r_fast_matcher, r_multi_pass, r_strict_greedy, r_greedy_
 
 
 def q_fallback_lookup(spark, d):
-    """Part names looked up among names of other parts: exact, then without the first word."""
+    """Part names looked up among all part names: exact among every second part, then by the last word."""
     p = _parts(spark, d)
-    table = p.filter("id % 3 = 0").select("id", F.col("name").alias("known"))
-    rows = p.filter("id % 3 = 1").select(F.col("id").alias("row_id"), "name", "size")
+    table = p.select("id", F.col("name").alias("known"))
+    rows = p.select(F.col("id").alias("row_id"), "name", "size")
     last = lambda c: F.element_at(F.split(F.col(c), " "), -1)
     keys = [(F.concat_ws("|", "name", F.lit("x")), F.concat_ws("|", "known", F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise(F.lit("y")))), (last("name"), last("known"))]
     return phases.fallback_lookup(rows, table.withColumn("hit", F.col("id")), keys, "hit", "id").select("row_id", "hit")

@@ -141,7 +141,7 @@ def q_grouped_first(spark, d):
 
 @_q("q_nulls_last", " SELECT o.o_orderkey AS ord, l.line FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 300) o LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey ORDER BY l.line ASC NULLS LAST, ord LIMIT 200", "")
 def q_nulls_last(spark, d):
-    head = read_table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(300)
+    head = read_table(spark, d, "orders").select("o_orderkey")
     lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("line"))
     joined = head.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("ord"), "line")
     return relational.page(joined, [F.col("line").asc_nulls_last(), "ord"], 200)

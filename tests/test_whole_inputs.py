@@ -108,3 +108,35 @@ def test_matchers_get_whole_sides(spark, monkeypatch):
     assert {r.id for r in entry.queries()["r_hybrid_match"](spark, SF).collect()} == ids
     assert {r.id for r in entry.queries()["r_transliterated_match"](spark, SF).collect()} == ids
     assert all((a[0].count(), a[1].count()) == (100, 100) for a in seen.values()) and seen["hybrid_match"][2] == 100
+
+
+LAST = "SELECT user_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE "
+
+
+def test_upsert_merge_reads_all_users(spark):
+    same_as_sql(
+        spark,
+        "q_upsert_merge",
+        f"WITH t AS ({LAST} event_type = 'view' GROUP BY 1), s AS ({LAST} event_type = 'click' GROUP BY 1) "
+        "SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(s.event_id, t.event_id) AS event_id, coalesce(s.value, t.value) AS value, CASE WHEN t.user_id IS NULL THEN 'inserted' WHEN s.user_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM t FULL JOIN s ON t.user_id = s.user_id",
+        "/root/testdata/sf0.01",
+    )
+
+
+def test_insert_ignore_reads_all_users(spark):
+    same_as_sql(spark, "q_insert_ignore", "WITH t AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT * FROM t UNION ALL SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM t) GROUP BY 1")
+
+
+def test_fallback_lookup_reads_all_parts(spark):
+    sql = """WITH a AS (SELECT p_name AS name, min(p_partkey) AS hit FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT string_split(p_name, ' ')[-1] AS w, min(p_partkey) AS hit FROM part GROUP BY 1)
+ SELECT p_partkey AS row_id, coalesce(a.hit, b.hit) AS hit FROM part LEFT JOIN a ON a.name = p_name LEFT JOIN b ON b.w = string_split(p_name, ' ')[-1]"""
+    same_as_sql(spark, "q_fallback_lookup", sql)
+
+
+def test_nulls_last_sorts_all_orders(spark, tmp_path):
+    """Order keys from 2000 on come first by line, so the page depends on orders beyond the first 300."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS o_orderkey FROM range(3000)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"COPY (SELECT range AS l_orderkey, CASE WHEN range < 2000 THEN 2 ELSE 1 END AS l_linenumber FROM range(2950)) TO '{tmp_path}/lineitem.parquet'")
+    got = entry.queries()["q_nulls_last"](spark, str(tmp_path)).collect()
+    assert [(r.ord, r.line) for r in got] == [(k, 1) for k in range(2000, 2200)]
