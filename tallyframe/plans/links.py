@@ -137,8 +137,7 @@ def _index(spark, d):
 
 def q_shared_tokens_ge2(spark, d):
     docs, items, tokens = _index(spark, d)
-    rare = lambda df, key: df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).filter(F.length("token") >= 9)
-    return matching.shared_token_pairs(rare(docs, "doc_id"), rare(items, "item_id"), "doc_id", "item_id", 2)
+    return matching.shared_token_pairs(matching.postings(docs, "doc_id", tokens), matching.postings(items, "item_id", tokens), "doc_id", "item_id", 2)
 
 
 _LONG = "SELECT DISTINCT {0}, token FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) >= 9"

@@ -140,3 +140,8 @@ def test_nulls_last_sorts_all_orders(spark, tmp_path):
     con.sql(f"COPY (SELECT range AS l_orderkey, CASE WHEN range < 2000 THEN 2 ELSE 1 END AS l_linenumber FROM range(2950)) TO '{tmp_path}/lineitem.parquet'")
     got = entry.queries()["q_nulls_last"](spark, str(tmp_path)).collect()
     assert [(r.ord, r.line) for r in got] == [(k, 1) for k in range(2000, 2200)]
+
+
+def test_shared_tokens_count_short_words(spark):
+    token = "SELECT DISTINCT {0}, token FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) > 2"
+    same_as_sql(spark, "q_shared_tokens_ge2", f"SELECT doc_id, item_id, count(*) AS shared FROM ({token.format('doc_id', 'documents')}) JOIN ({token.format('item_id', 'benchmark')}) USING (token) GROUP BY ALL HAVING count(*) >= 2")
