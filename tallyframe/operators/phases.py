@@ -65,22 +65,35 @@ def first_fit(products: DataFrame, catalogue: DataFrame) -> DataFrame:
     return best.select("id", "m.off_id", "m.fits")
 
 
-def hybrid_match(products: DataFrame, catalogue: DataFrame, n_docs: int) -> DataFrame:
+def hybrid_match(products: DataFrame, catalogue: DataFrame, n_docs: int, least: float = 0.45) -> DataFrame:
     """products (id, name, brand, size, barcode), catalogue (off_*): barcode; then .85 of .4 brand + .3 size +
-    .3 name against TF-IDF cosine. The brand result wins from .75 on, or from nine tenths of the cosine."""
+    .3 name against TF-IDF cosine. The brand result wins from .75 on, or from nine tenths of the cosine.
+    Where neither reaches `least`, .5 times sequence ratio with all catalogue names, if that does."""
     by_code = products.join(catalogue.filter("off_barcode is not null").groupBy(F.col("off_barcode").alias("barcode")).agg(F.min("off_id").alias("off_id")), "barcode").select("id", "off_id", F.lit(1.0).alias("confidence"), F.lit("barcode").alias("method"))
     rest = products.join(by_code, "id", "left_anti")
     p, o = rest.withColumn("t", _tokens("name")), catalogue.withColumn("o", _tokens("off_name"))
     same = p.join(o, F.col("brand") == F.col("off_brand"))
     close = F.when(quantity.within_share(F.col("size"), F.col("off_size")), 1.0).otherwise(0.0)
-    brand = matching.best_candidate(same.withColumn("score", 0.85 * (0.4 + 0.3 * close + 0.3 * similarity.jaccard(F.col("t"), F.col("o")))), "id", "off_id", "score").select("id", F.col("off_id").alias("brand_off"), F.col("score").alias("brand_score"))
+    brand = matching.best_candidate(same.withColumn("score", 0.85 * (0.4 + 0.3 * close + 0.3 * similarity.jaccard(F.col("t"), F.col("o")))), "id", "off_id", "score").select("id", F.col("off_id").alias("brand_off"), F.col("score").alias("brand_score")).filter(F.col("brand_score") >= least)
     idf = matching.inverse_frequencies(matching.postings(o, "off_id", F.col("o")), "off_id", n_docs).select("token", "idf")
     cos = matching.cosine_pairs(matching.tfidf_weights(p, "id", F.col("t"), idf), matching.tfidf_weights(o, "off_id", F.col("o"), idf), "id", "off_id")
-    cosine = matching.best_candidate(cos, "id", "off_id", "cosine").select("id", F.col("off_id").alias("cos_off"), "cosine")
+    cosine = matching.best_candidate(cos, "id", "off_id", "cosine").select("id", F.col("off_id").alias("cos_off"), "cosine").filter(F.col("cosine") >= least)
     both = brand.join(cosine, "id", "full")
     wins = (F.col("brand_score") >= 0.75) | (F.col("brand_score") >= 0.9 * F.col("cosine")) | F.col("cosine").isNull()
     chosen = both.select("id", F.when(wins, F.col("brand_off")).otherwise(F.col("cos_off")).alias("off_id"), F.when(wins, F.col("brand_score")).otherwise(F.col("cosine")).alias("confidence"), F.when(wins, "brand").otherwise("cosine").alias("method"))
-    return by_code.unionByName(chosen)
+    left = rest.join(chosen, "id", "left_anti").select("id", text.normal_name(F.col("name")).alias("n"))
+    return by_code.unionByName(chosen).unionByName(left.join(_nearest_names(left, catalogue, 2 * least), "n").select("id", "off_id", (0.5 * F.col("ratio")).alias("confidence"), F.lit("fuzzy").alias("method")))
+
+
+def _nearest_names(products: DataFrame, catalogue: DataFrame, least: float) -> DataFrame:
+    """(n, off_id, ratio): the catalogue row nearest in spelling to each distinct name n, from `least` on. Names meet by
+    length: a ratio of `least` needs lengths within the factor (2 - least) / least of each other, so none is lost."""
+    length = F.length("n")
+    lengths = F.sequence(F.floor(length * least / (2 - least)).cast("int"), F.ceil(length * (2 - least) / least).cast("int"))
+    names = products.select("n").distinct().filter(length > 0).withColumn("_len", F.explode(lengths))
+    known = catalogue.select("off_id", text.normal_name(F.col("off_name")).alias("o")).filter(F.length("o") > 0).groupBy("o").agg(F.min("off_id").alias("off_id")).withColumn("_len", F.length("o"))
+    scored = names.join(known, "_len").withColumn("ratio", similarity.sequence_ratio(F.col("n"), F.col("o")))
+    return matching.best_candidate(scored.filter(F.col("ratio") >= least), "n", "off_id", "ratio").select("n", "off_id", "ratio")
 
 
 def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int = 50, least: float = 0.45) -> DataFrame:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallyframe.operators import phases
+from tallyframe.operators import matching, phases
 from tallyframe.plans.offers import OFFERS
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,23 @@ def test_nulls_last_sorts_all_orders(spark, tmp_path):
 def test_shared_tokens_count_short_words(spark):
     token = "SELECT DISTINCT {0}, token FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) > 2"
     same_as_sql(spark, "q_shared_tokens_ge2", f"SELECT doc_id, item_id, count(*) AS shared FROM ({token.format('doc_id', 'documents')}) JOIN ({token.format('item_id', 'benchmark')}) USING (token) GROUP BY ALL HAVING count(*) >= 2")
+
+
+def test_fast_match_by_brand_and_by_spelling(spark):
+    p = spark.createDataFrame([(1, "red ring", None, "acme", None), (2, "yoghurt creamy natural organic plain", None, None, None), (3, "zzz", None, None, None)], "id long, name string, barcode string, brand string, size double")
+    c = spark.createDataFrame([(10, "widget", None, "acme foods", None), (11, "plain yoghurts creamyy naturale organics", None, None, None)], "off_id long, off_name string, off_barcode string, off_brand string, off_size double")
+    got = {r.id: (r.off_id, r.method, round(r.confidence, 9)) for r in matching.fast_match(p, c).collect()}
+    assert got[1] == (10, "token", 0.5)
+    assert 3 not in got
+    p = spark.createDataFrame([(2, "abcdefgh jklmnop qrstuvw zyxwvut milk one two", None, None)], "id long, name string, barcode string, size double")
+    c = spark.createDataFrame([(11, "milk abcdefgk jklmnoq", None, None), (12, "abcdefgh jklmnox qrstuvx zyxwvux milks ones twos", None, None)], "off_id long, off_name string, off_barcode string, off_size double")
+    best = ratio("abcdefgh jklmnop qrstuvw zyxwvut milk one two", "abcdefgh jklmnox qrstuvx zyxwvux milks ones twos") * 0.8
+    got = [(r.id, r.off_id, r.method, round(r.confidence, 9)) for r in matching.fast_match(p, c).collect()]
+    assert got == [(2, 12, "fuzzy", round(best, 9))]
+
+
+def test_hybrid_match_ends_with_spelling(spark):
+    p = spark.createDataFrame([(1, "chocolate", "none", 1.0, None), (2, "qq", "none", 1.0, None)], "id long, name string, brand string, size double, barcode string")
+    c = spark.createDataFrame([(10, "chocolates", "x", 1.0, None), (11, "bread", "x", 1.0, None)], "off_id long, off_name string, off_brand string, off_size double, off_barcode string")
+    got = [(r.id, r.off_id, r.method, round(r.confidence, 9)) for r in phases.hybrid_match(p, c, 2).collect()]
+    assert got == [(1, 10, "fuzzy", round(0.5 * ratio("chocolate", "chocolates"), 9))]
