@@ -38,7 +38,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 class LeakRules:
     """window: words that must match in a row. block_words: words of items per broadcast block.
 
-    max_span: spans of more hit words than this are cut out of a document;
+    max_span: spans of more hit words than this are cut out of a document, and
+    so are spans shorter than a window, which are whole short items;
     max_coverage: documents with a larger share of hit words go altogether.
     """
 
@@ -289,7 +290,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules | None = No
                 keep.append(sum(b - a for a, b in spans) <= rules.max_coverage * len(at))
                 parts, done = [], 0
                 for a, b in spans:
-                    if b - a > rules.max_span:
+                    if b - a > rules.max_span or b - a < rules.window:
                         parts.append(text_[done : at[a][0]])
                         done = at[b - 1][1]
                 changed.append(done > 0)
