@@ -126,7 +126,7 @@ _LAST = "SELECT user_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id
 register(
     "q_upsert_merge",
     q_upsert_merge,
-    f"WITH t AS ({_LAST} event_type = 'view' AND user_id < 100 GROUP BY 1), s AS ({_LAST} event_type = 'click' AND user_id >= 50 GROUP BY 1) "
+    f"WITH t AS ({_LAST} event_type = 'view' GROUP BY 1), s AS ({_LAST} event_type = 'click' GROUP BY 1) "
     "SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(s.event_id, t.event_id) AS event_id, coalesce(s.value, t.value) AS value, CASE WHEN t.user_id IS NULL THEN 'inserted' WHEN s.user_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM t FULL JOIN s ON t.user_id = s.user_id",
 )
 
@@ -140,7 +140,7 @@ def q_insert_ignore(spark, d):
 register(
     "q_insert_ignore",
     q_insert_ignore,
-    "WITH t AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' AND user_id % 2 = 0 GROUP BY 1) SELECT * FROM t UNION ALL SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM t) GROUP BY 1",
+    "WITH t AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT * FROM t UNION ALL SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM t) GROUP BY 1",
 )
 
 

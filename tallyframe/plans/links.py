@@ -140,8 +140,8 @@ def q_shared_tokens_ge2(spark, d):
     return matching.shared_token_pairs(matching.postings(docs, "doc_id", tokens), matching.postings(items, "item_id", tokens), "doc_id", "item_id", 2)
 
 
-_LONG = "SELECT DISTINCT {0}, token FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) >= 9"
-register("q_shared_tokens_ge2", q_shared_tokens_ge2, f"SELECT doc_id, item_id, count(*) AS shared FROM ({_LONG.format('doc_id', 'documents')}) JOIN ({_LONG.format('item_id', 'benchmark')}) USING (token) GROUP BY ALL HAVING count(*) >= 2")
+_WORD_SET = "SELECT DISTINCT {0}, token FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) > 2"
+register("q_shared_tokens_ge2", q_shared_tokens_ge2, f"SELECT doc_id, item_id, count(*) AS shared FROM ({_WORD_SET.format('doc_id', 'documents')}) JOIN ({_WORD_SET.format('item_id', 'benchmark')}) USING (token) GROUP BY ALL HAVING count(*) >= 2")
 
 
 def q_tfidf_cosine_top1(spark, d):
@@ -282,8 +282,8 @@ def q_fallback_lookup(spark, d):
 register(
     "q_fallback_lookup",
     q_fallback_lookup,
-    "WITH k AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 = 0), a AS (SELECT name, min(id) AS hit FROM k WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT string_split(name, ' ')[-1] AS w, min(id) AS hit FROM k GROUP BY 1) "
-    "SELECT p_partkey AS row_id, coalesce(a.hit, b.hit) AS hit FROM part LEFT JOIN a ON a.name = p_name LEFT JOIN b ON b.w = string_split(p_name, ' ')[-1] WHERE p_partkey % 3 = 1",
+    "WITH k AS (SELECT p_partkey AS id, p_name AS name FROM part), a AS (SELECT name, min(id) AS hit FROM k WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT string_split(name, ' ')[-1] AS w, min(id) AS hit FROM k GROUP BY 1) "
+    "SELECT p_partkey AS row_id, coalesce(a.hit, b.hit) AS hit FROM part LEFT JOIN a ON a.name = p_name LEFT JOIN b ON b.w = string_split(p_name, ' ')[-1]",
 )
 
 
@@ -304,7 +304,7 @@ def q_shared_identifier(spark, d):
     return phases.shared_identifier_groups(offers(spark, d).select("product_id", "store"), "product_id", "store", "store").select("product_id", "n_stores", F.array_join("members", ",").alias("stores"))
 
 
-register("q_shared_identifier", q_shared_identifier, OFFERS + " SELECT product_id, count(DISTINCT store) AS n_stores, string_agg(DISTINCT store, ',' ORDER BY store) AS stores FROM offers WHERE ord % 50 = 0 GROUP BY product_id HAVING count(DISTINCT store) >= 2")
+register("q_shared_identifier", q_shared_identifier, OFFERS + " SELECT product_id, count(DISTINCT store) AS n_stores, string_agg(DISTINCT store, ',' ORDER BY store) AS stores FROM offers GROUP BY product_id HAVING count(DISTINCT store) >= 2")
 
 
 def q_rule_mining(spark, d):

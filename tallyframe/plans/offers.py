@@ -139,7 +139,7 @@ def q_grouped_first(spark, d):
     return relational.cap_per_key(offers(spark, d), ["category", "store"], ["ts", "ord", "line"], 3).select("category", "store", "product_id", "name")
 
 
-@_q("q_nulls_last", " SELECT o.o_orderkey AS ord, l.line FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 300) o LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey ORDER BY l.line ASC NULLS LAST, ord LIMIT 200", "")
+@_q("q_nulls_last", " SELECT o.o_orderkey AS ord, l.line FROM orders o LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey ORDER BY l.line ASC NULLS LAST, ord LIMIT 200", "")
 def q_nulls_last(spark, d):
     head = read_table(spark, d, "orders").select("o_orderkey")
     lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("line"))
