@@ -6,7 +6,6 @@ import os
 import re
 
 import duckdb
-import pytest
 
 import __spark_entry__ as entry
 from tallyframe.operators import matching, phases
@@ -165,12 +164,3 @@ def test_hybrid_match_ends_with_spelling(spark):
     c = spark.createDataFrame([(10, "chocolates", "x", 1.0, None), (11, "bread", "x", 1.0, None)], "off_id long, off_name string, off_brand string, off_size double, off_barcode string")
     got = [(r.id, r.off_id, r.method, round(r.confidence, 9)) for r in phases.hybrid_match(p, c, 2).collect()]
     assert got == [(1, 10, "fuzzy", round(0.5 * ratio("chocolate", "chocolates"), 9))]
-
-
-def test_short_items_are_cut_out(spark):
-    decontaminate = pytest.importorskip("tallyframe.llm.decontaminate")
-    docs = spark.createDataFrame([(1, "so the secret answer is forty two they said to all of us here", 61), (2, "nothing of the kind was said", 28)], "doc_id long, text string, n_chars long")
-    items = spark.createDataFrame([(1, "Answer is FORTY two")], "item_id long, text string")
-    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.remove_leaks(docs, items).collect()}
-    text = "so the secret  they said to all of us here"
-    assert got == {1: (text, len(text)), 2: ("nothing of the kind was said", 28)}
