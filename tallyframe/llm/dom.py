@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
@@ -12,9 +13,9 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements without text of the page proper.
-SILENT = frozenset("head script style title template svg math canvas audio video object select option datalist textarea iframe noscript noembed noframes xmp".split())
+SILENT = frozenset("head script style title template svg canvas audio video object select option datalist textarea iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag closes these, where they are open nearer than the limits.
 _CLOSES = {
@@ -54,15 +55,18 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def read_page(source: str) -> Page:
-    """Never fails: what is no tag is text, what is not closed is closed at the end."""
+    """Never fails: what is no tag is text, what is not closed is closed at the end. Nesting has no limit."""
     page = Page()
     stack, block, at, links, silent = [0], 0, 0, 0, 0
     elements, pieces = page.elements, page.pieces
+    #: Open elements by tag: a tag that is not open needs no search of the stack.
+    held: Counter[str] = Counter()
 
     def close_to(n: int) -> None:
         nonlocal block, links, silent
         while len(stack) > n:
             tag = elements[stack.pop()].tag
+            held[tag] -= 1
             block += tag not in INLINE
             links -= tag == "a"
             silent -= tag in SILENT
@@ -87,7 +91,7 @@ def read_page(source: str) -> Page:
         tag, raw = found[2].lower(), source[found.end() : end - 1]
         at = end
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if elements[stack[i]].tag == tag:
                     close_to(i)
                     break
@@ -96,14 +100,14 @@ def read_page(source: str) -> Page:
             say(" ")
             continue
         if tag not in _NO_P or tag == "p":
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held["p"] else ():
                 if elements[stack[i]].tag == "p":
                     close_to(i)
                     break
                 if elements[stack[i]].tag not in INLINE:
                     break
         closes, limits = _CLOSES.get(tag, ((), ()))
-        for i in range(len(stack) - 1, 0, -1) if closes else ():
+        for i in range(len(stack) - 1, 0, -1) if any(held[c] for c in closes) else ():
             if elements[stack[i]].tag in closes:
                 close_to(i)
                 break
@@ -117,13 +121,12 @@ def read_page(source: str) -> Page:
         hidden = "hidden" in found_attributes or "display:none" in style or found_attributes.get("aria-hidden") == "true"
         elements.append(Element(tag, stack[-1], len(stack), f"{found_attributes.get('class', '')} {found_attributes.get('id', '')}".strip().lower(), found_attributes.get("role", "").lower(), hidden))
         stack.append(len(elements) - 1)
+        held[tag] += 1
         links += tag == "a"
         silent += tag in SILENT
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = stop.start() if stop else n
-        if len(stack) > 512:  # deeper nesting is read as if it were closed
-            close_to(512)
     return page
 
 

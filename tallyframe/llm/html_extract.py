@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element, and every other element with a telling class, is a node
-that is content or not. A node's own potential comes from its tag, names,
+that is content or not; what lies in silent elements (scripts, styles, heads)
+has no text and no node. A node's own potential comes from its tag, names,
 role, and text; the potentials between parent and child depend on the child's
 kind. Messages of the sum-product algorithm pass up and down each tree; nodes
 whose content marginal reaches the threshold give their text.
@@ -12,8 +13,9 @@ given, a fixed number is built by `labelled_pages` from templates, since the
 tables hold none.
 
 Defined results: null html is an empty page with empty text; anything that is
-not markup is text; nesting beyond 512 levels is read as closed; repeated rows
-are treated alike; an empty table stays empty.
+not markup is text; nesting has no limit; a node whose marginal equals the
+threshold is content; repeated rows are treated alike; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyframe.llm.arrow import modest_batches, small_batches
-from tallyframe.llm.dom import INLINE, Page, read_page, squeeze
+from tallyframe.llm.dom import INLINE, SILENT, Page, read_page, squeeze
 
 #: Parts of class and id names, by what they tell.
 NAMES = {
@@ -42,6 +45,8 @@ NAMES = {
     "body": "content article post entry story main body text blogpost page-content",
 }
 _NAME_OF = {word: kind for kind, words in NAMES.items() for word in words.split()}
+#: Parts of a name that say nothing by themselves. A name with any other unknown part ("related-work") tells nothing.
+_PLAIN = frozenset("list box area block section container wrapper wrap inner outer item items bar links link posts page site top bottom left right primary secondary global row col column module unit slot form title text body main content".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _TAGS = {
     "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form button fieldset dialog", "article": "article", "main": "main",
@@ -67,25 +72,40 @@ class ExtractRules:
     seed: int = 11
 
 
+def name_kinds(names: str) -> set[str]:
+    """What class and id names tell: the kinds of the parts of each name that is made of known parts only."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = [p for p in _SPLIT.split(name) if p]
+        if all(p in _NAME_OF or p in _PLAIN for p in parts):
+            found.update(_NAME_OF[p] for p in parts if p in _NAME_OF)
+    return found
+
+
 class Forest:
     """The model nodes of many pages as arrays, by depth."""
 
     def __init__(self, pages: list[Page]):
-        parent, kind, rows, depth, owner, self.pieces = [], [], [], [], [], []
+        parent, kind, rows, depth, owner, of_element, self.pieces = [], [], [], [], [], [], []
         for number, page in enumerate(pages):
             node_of: list[int] = []
             tells: list[set[str]] = []
-            for e in page.elements:
-                hits = {_NAME_OF[w] for w in _SPLIT.split(e.names) if w in _NAME_OF} if e.names else set()
+            in_body: list[bool] = []  # inside an article or main element
+            silent: list[bool] = []
+            for i, e in enumerate(page.elements):
+                silent.append(e.tag in SILENT or (e.parent >= 0 and silent[e.parent]))
+                hits = name_kinds(e.names)
                 if e.role in ROLES:
                     hits.add(ROLES[e.role])
                 tells.append(hits)
-                if e.parent < 0 or e.tag not in INLINE or hits or e.hidden:
+                in_body.append(e.parent >= 0 and (in_body[e.parent] or page.elements[e.parent].tag in ("article", "main")))
+                if e.parent < 0 or (not silent[i] and (e.tag not in INLINE or hits or e.hidden)):
                     node_of.append(len(parent))
                     parent.append(node_of[e.parent] if e.parent >= 0 else -1)
                     depth.append(depth[node_of[e.parent]] + 1 if e.parent >= 0 else 0)
                     kind.append(0)
                     owner.append(number)
+                    of_element.append(i)
                     rows.append(None)
                 else:
                     node_of.append(node_of[e.parent])
@@ -111,7 +131,7 @@ class Forest:
                     on.append(_AT["linked"])
                 elif size and linked * 4 >= size:
                     on.append(_AT["half_linked"])
-                if tag == "header" and not any(page.elements[a].tag in ("article", "main") for a in _ancestors(page, i)):
+                if tag == "header" and not in_body[i]:
                     on.append(_AT["top_header"])
                 rows[node_of[i]] = on
                 kind[node_of[i]] = KINDS.index(tag)
@@ -119,6 +139,7 @@ class Forest:
         self.kind = np.array(kind, np.int64)
         self.depth = np.array(depth, np.int64)
         self.page = np.array(owner, np.int64)
+        self.element = np.array(of_element, np.int64)
         self.feature_node = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
         self.feature = np.array([f for r in rows for f in r], np.int64)
         order = np.argsort(self.depth, kind="stable")
@@ -130,13 +151,6 @@ class Forest:
         return np.bincount(self.feature_node, unary[self.feature], len(self.parent))
 
 
-def _ancestors(page: Page, i: int):
-    i = page.elements[i].parent
-    while i >= 0:
-        yield i
-        i = page.elements[i].parent
-
-
 def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Content marginal of each node, and marginals (node, parent label, own label) of each edge.
     pair: log potentials (kind of child, parent label, child label)."""
@@ -151,7 +165,7 @@ def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np
         message -= message.max(axis=1, keepdims=True)
         sent[level] = message
         for label in (0, 1):
-            up[:, label] += np.bincount(forest.parent[level], message[:, label], n)
+            np.add.at(up[:, label], forest.parent[level], message[:, label])
     belief = up.copy()
     joint = np.zeros((n, 2, 2))
     for level in forest.levels[1:]:
@@ -174,11 +188,7 @@ def train(pages: list[tuple[Page, set[int]]], rules: ExtractRules) -> tuple[np.n
     # a page counts once, however many nodes it has
     size = np.bincount(forest.page, minlength=len(pages))
     weight = 1.0 / size[forest.page]
-    labels, at = np.zeros(len(forest.parent), np.int64), 0
-    for page, content in pages:
-        nodes = [i for i, e in enumerate(page.elements) if e.parent < 0 or _is_node(e)]
-        labels[at : at + len(nodes)] = [i in content for i in nodes]
-        at += len(nodes)
+    labels = np.array([e in pages[p][1] for p, e in zip(forest.page.tolist(), forest.element.tolist(), strict=True)], np.int64)
     child = np.flatnonzero(forest.parent >= 0)
     seen_pair = np.zeros((len(KINDS), 2, 2))
     np.add.at(seen_pair, (forest.kind[child], labels[forest.parent[child]], labels[child]), weight[child])
@@ -198,10 +208,6 @@ def train(pages: list[tuple[Page, set[int]]], rules: ExtractRules) -> tuple[np.n
     return unary, pair
 
 
-def _is_node(element) -> bool:
-    return element.tag not in INLINE or element.hidden or element.role in ROLES or any(w in _NAME_OF for w in _SPLIT.split(element.names))
-
-
 def labelled_pages(rules: ExtractRules) -> list[tuple[Page, set[int]]]:
     """Pages built from templates; elements whose start tag bears data-content="1" are content."""
     draw = random.Random(rules.seed)
@@ -219,24 +225,33 @@ def labelled_pages(rules: ExtractRules) -> list[tuple[Page, set[int]]]:
         if draw.random() < 0.2:
             body += f' <a href="/x">{words(1, 3)}</a> ' + sentences(1, 2)
         if draw.random() < 0.2:
-            return f"<p{mark}><b>{body}<br>"
+            return draw.choice([f"<p{mark}>{body}", f"<p{mark}>{words(2, 5)}<br>{body}</p>", f"<p{mark}><em>{body}</p>"])
         return f"<p{mark}>{body}</p>"
 
+    def nested(inner: str, deep: int) -> str:
+        """inner in so many elements without telling names."""
+        for _ in range(deep):
+            tag = draw.choice(["div", "div", "div", "section", "details", "center", "noscript"])
+            inner = f"<{tag}{draw.choice(['', f' class=\"{word()}-{word()}\"', f' id=\"{word()}{draw.randint(1, 99)}\"'])}{mark}>{inner}</{tag}>"
+        return inner
+
     def article() -> str:
         parts = [f"<h1{mark}>{words(2, 9)}</h1>"] if draw.random() < 0.9 else []
         if parts and draw.random() < 0.2:
             parts = [f"<header{mark}>{parts[0]}</header>"]
         for _ in range(draw.randint(1, 9) if draw.random() < 0.9 else draw.randint(10, 60)):
             roll = draw.random()
-            if roll < 0.75:
+            if roll < 0.66:
                 parts.append(paragraph())
-            elif roll < 0.8:
+            elif roll < 0.71:
                 parts.append(f"<h2{mark}>{words(2, 6)}</h2>")
-            elif roll < 0.84:
+            elif roll < 0.75:
                 parts.append(f"<ul{mark}>" + "".join(f"<li{mark}>{words(4, 12)}</li>" for _ in range(3)) + "</ul>")
-            elif roll < 0.87:
+            elif roll < 0.78:
                 parts.append(f"<blockquote{mark}><p{mark}>{sentences(1, 2)}</p></blockquote>")
-            elif roll < 0.9:
+            elif roll < 0.88:
+                parts.append(nested(paragraph() if draw.random() < 0.7 else words(5, 40), draw.choice([1, 1, 1, 2, 3])))
+            elif roll < 0.91:
                 parts.append(f"<table{mark}><tr{mark}><td{mark}>{words(1, 4)}</td><td{mark}>{words(1, 4)}</td></tr></table>")
             else:
                 parts.append(draw.choice([ad, share, related])())
@@ -294,10 +309,10 @@ def labelled_pages(rules: ExtractRules) -> list[tuple[Page, set[int]]]:
 
     found = []
     for _ in range(rules.pages):
-        tag, names = draw.choice([("article", ""), ("article", ""), ("main", ""), ("div", named("content post entry story main-content article-body")), ("section", named("content post"))])
+        tag, names = draw.choice([("article", ""), ("article", ""), ("main", ""), ("div", named("content post entry story main-content article-body")), ("section", named("content post")), ("div", "")])
         inner = f"<{tag} {names}{mark}>{article()}</{tag}>"
         if draw.random() < 0.3:
-            inner = f"<div{mark}>{inner}</div>"
+            inner = nested(inner, draw.choice([1, 1, 2, 3, draw.randint(4, 60)]))
         if draw.random() < 0.2:
             inner = f"<main{mark}>{inner}</main>"
         pieces = [top() for _ in range(draw.randint(1, 2))] + [other() for _ in range(draw.randint(0, 2))] + [inner]
@@ -309,6 +324,12 @@ def labelled_pages(rules: ExtractRules) -> list[tuple[Page, set[int]]]:
     return found
 
 
+@lru_cache(maxsize=4)
+def _built_in(rules: ExtractRules) -> tuple[np.ndarray, np.ndarray]:
+    """Potentials trained on the built pages, once per rules and driver process."""
+    return train(labelled_pages(rules), rules)
+
+
 def main_texts(pages: list[Page], unary: np.ndarray, pair: np.ndarray, threshold: float) -> list[str]:
     forest = Forest(pages)
     if not len(forest.parent):
@@ -325,7 +346,7 @@ def main_texts(pages: list[Page], unary: np.ndarray, pair: np.ndarray, threshold
 def extract_pages(pages: DataFrame, rules: ExtractRules | None = None, labelled: list[tuple[Page, set[int]]] | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars. The potentials (a few hundred numbers) go with the function."""
     rules = rules or ExtractRules()
-    unary, pair = train(labelled if labelled is not None else labelled_pages(rules), rules)
+    unary, pair = train(labelled, rules) if labelled is not None else _built_in(rules)
     kind = pages.schema[key].dataType.simpleString()
     threshold = rules.threshold
 
