@@ -5,14 +5,21 @@ window; the system turn opens every window, up to `history` turns of the
 window before are repeated, and only assistant turns that are new in a window
 are under its loss mask, so every assistant text is a target exactly once.
 
+The budget is dealt out per conversation: first to its system turn, then up to
+`history_budget` units, but at most a quarter of what is left, to repeated
+turns; the rest is the room for new turns. New turns are put together by cells
+of half the room, which keeps their sum within it.
+
 Template: <|im_start|>role LF text <|im_end|> LF for every turn. In texts and
 roles a "<", any number of backslashes and "|" gain one backslash, which no
 marker has and which is taken off again on reading. Roles also escape
-backslashes and line feeds.
+backslashes, as backslash and b, and line feeds, as backslash and n.
 
 A turn costs one unit per `chars_per_token` code points, plus `turn_cost`.
-Windows stay within the budget unless a single turn alone is larger; such a
-turn gets a window of its own. No turn is cut or dropped.
+Every window stays within the budget, or holds one new turn that is larger
+than the room, after the system turn and without history. No turn is cut or
+dropped; a system turn that takes the whole budget leaves one new turn to each
+window.
 
 Defined results: null text or role counts as empty; turns that tie are
 ordered by role, then text; repeated rows are turns of their own; null
@@ -31,10 +38,9 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 
 @dataclass(frozen=True)
 class ChatRules:
-    """budget: units per window, of which `room` are for new turns; history: turns repeated at most, within history_budget units."""
+    """budget: units per window; history: turns repeated at most, within history_budget units."""
 
     budget: int = 2048
-    room: int = 1024
     history: int = 2
     history_budget: int = 512
     chars_per_token: int = 4
@@ -50,12 +56,11 @@ def unescape(text: F.Column) -> F.Column:
 
 
 def escape_role(role: F.Column) -> F.Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: F.Column) -> F.Column:
-    # a doubled backslash is set aside as U+0000, which is not left in it
-    plain = F.replace(F.replace(F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    plain = F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
     return F.when(F.instr(role, "\\") > 0, plain).otherwise(role)
 
 
@@ -66,34 +71,41 @@ def plan_turns(turns: DataFrame, rules: ChatRules, conv: str, turn: str, role: s
     ).withColumn("cost", F.ceil(F.length("text") / rules.chars_per_token) + rules.turn_cost)
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    half = rules.room // 2
-    cell = F.floor((F.col("end") - 1) / half)
-    large = F.col("cost") > half
+    whole = Window.partitionBy("conv")
+    opening = (F.col("pos") == 1) & (F.col("role") == "system")
     placed = (
         rows.withColumn("pos", F.row_number().over(order))
-        .withColumn("end", F.sum("cost").over(upto))
-        .withColumn("cell", cell)
-        .withColumn("large", large)
-        .withColumn("opens", F.coalesce((F.col("cell") != F.lag("cell").over(order)) | F.col("large") | F.lag("large").over(order), F.lit(False)))
+        .withColumn("opening", opening)
+        .withColumn("left", F.greatest(F.lit(rules.budget) - F.sum(F.when(F.col("opening"), F.col("cost")).otherwise(0)).over(whole), F.lit(0)))
+        .withColumn("for_history", F.least(F.lit(rules.history_budget), F.floor(F.col("left") / 4)))
+        .withColumn("room", F.col("left") - F.col("for_history"))
+        .withColumn("half", F.greatest(F.floor(F.col("room") / 2), F.lit(1)))
+        # the system turn has its own share of the budget
+        .withColumn("paid", F.when(F.col("opening"), 0).otherwise(F.col("cost")))
+        .withColumn("cell", F.floor((F.sum("paid").over(upto) - 1) / F.col("half")))
+        .withColumn("large", F.col("paid") > F.col("half"))
+        .withColumn("opens", F.coalesce(~F.lag("opening").over(order) & ((F.col("cell") != F.lag("cell").over(order)) | F.col("large") | F.lag("large").over(order)), F.lit(False)))
         .withColumn("window", F.sum(F.col("opens").cast("long")).over(upto))
+        .withColumn("next_over", F.lead(F.col("paid") > F.col("room")).over(order))
     )
-    in_window = Window.partitionBy("conv", "window").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("conv")
+    from_end = Window.partitionBy("conv", "window").orderBy(F.col("pos").desc())
+    so_far = from_end.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        placed.withColumn("from_end", F.row_number().over(Window.partitionBy("conv", "window").orderBy(F.col("pos").desc())))
-        .withColumn("tail", F.sum("cost").over(in_window))
+        placed.withColumn("from_end", F.row_number().over(from_end))
+        .withColumn("tail", F.sum("paid").over(so_far))
         .withColumn("last", F.max("window").over(whole))
-        .withColumn("opening", (F.col("pos") == 1) & (F.col("role") == "system"))
+        # what follows the last turn of the window opens the next one
+        .withColumn("next_over", F.first("next_over").over(so_far))
     )
     later = F.when(F.col("window") < F.col("last"), F.sequence(F.col("window") + 1, F.col("last"))).otherwise(F.array().cast("array<bigint>"))
-    repeats = (F.col("window") < F.col("last")) & (F.col("from_end") <= rules.history) & (F.col("tail") <= rules.history_budget)
+    repeats = (F.col("window") < F.col("last")) & (F.col("from_end") <= rules.history) & (F.col("tail") <= F.col("for_history")) & ~F.col("next_over")
     into = F.when(F.col("opening"), later).when(repeats, F.array(F.col("window") + 1)).otherwise(F.array().cast("array<bigint>"))
-    return placed.select("conv", "pos", "role", "text", F.col("window").alias("own"), F.explode(F.concat(F.array("window"), into)).alias("window")).withColumn("context", F.col("window") != F.col("own"))
+    return placed.select("conv", "pos", "role", "text", "cost", F.col("window").alias("own"), F.explode(F.concat(F.array("window"), into)).alias("window")).withColumn("context", F.col("window") != F.col("own"))
 
 
 def format_windows(turns: DataFrame, rules: ChatRules | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per window: conv, window, formatted, n_context (turns repeated at its
-    start), loss array<struct<start,length>> (code points under the loss mask, from 0)."""
+    """One row per window: conv, window, formatted, n_context (turns repeated at its start), cost (units of all
+    its turns), loss array<struct<start,length>> (code points under the loss mask, from 0)."""
     rules = rules or ChatRules()
     piece = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
     shown = plan_turns(turns, rules, conv, turn, role, text).withColumn("piece", piece)
@@ -104,8 +116,8 @@ def format_windows(turns: DataFrame, rules: ChatRules | None = None, conv: str =
     pieces = F.sort_array(F.collect_list(F.struct("pos", "piece", "span")))
     return (
         shown.groupBy("conv", "window")
-        .agg(pieces.alias("p"), F.count_if("context").alias("n_context"))
-        .select("conv", "window", F.array_join(F.col("p.piece"), "").alias("formatted"), "n_context", F.filter(F.col("p.span"), lambda s: s.isNotNull()).alias("loss"))
+        .agg(pieces.alias("p"), F.count_if("context").alias("n_context"), F.sum("cost").alias("cost"))
+        .select("conv", "window", F.array_join(F.col("p.piece"), "").alias("formatted"), "n_context", "cost", F.filter(F.col("p.span"), lambda s: s.isNotNull()).alias("loss"))
     )
 
 

@@ -7,22 +7,27 @@ WITH rows_ AS (
 costed AS (
   SELECT *, CAST(ceil(length(t) / 4.0) AS BIGINT) + 4 AS cost,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS pos FROM rows_),
-ended AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM costed),
-celled AS (SELECT *, CAST(floor((e - 1) / 512.0) AS BIGINT) AS cell, cost > 512 AS large FROM ended),
+dealt AS (
+  SELECT *, pos = 1 AND role = 'system' AS opening,
+         greatest(2048 - sum(CASE WHEN pos = 1 AND role = 'system' THEN cost ELSE 0 END) OVER (PARTITION BY conv_id), 0) AS rest FROM costed),
+shared AS (SELECT *, least(512, rest // 4) AS for_history, rest - least(512, rest // 4) AS room, CASE WHEN opening THEN 0 ELSE cost END AS paid FROM dealt),
+celled AS (
+  SELECT *, CAST(floor((sum(paid) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1) / CAST(greatest(room // 2, 1) AS DOUBLE)) AS BIGINT) AS cell,
+         paid > greatest(room // 2, 1) AS large FROM shared),
 opened AS (
-  SELECT *, coalesce(cell <> lag(cell) OVER w OR large OR lag(large) OVER w, FALSE) AS opens
+  SELECT *, coalesce(NOT lag(opening) OVER w AND (cell <> lag(cell) OVER w OR large OR lag(large) OVER w), FALSE) AS opens, lead(paid > room) OVER w AS next_over
   FROM celled WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 windowed AS (SELECT *, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS win FROM opened),
 tailed AS (
-  SELECT *, row_number() OVER w AS from_end, sum(cost) OVER w2 AS tail, max(win) OVER (PARTITION BY conv_id) AS last
+  SELECT * EXCLUDE (next_over), row_number() OVER w AS from_end, sum(paid) OVER w2 AS tail, max(win) OVER (PARTITION BY conv_id) AS last, first_value(next_over) OVER w2 AS next_over
   FROM windowed
   WINDOW w AS (PARTITION BY conv_id, win ORDER BY pos DESC),
          w2 AS (PARTITION BY conv_id, win ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)),
 shown AS (
-  SELECT *, 1 + CASE WHEN pos = 1 AND role = 'system' THEN last - win
-                     WHEN win < last AND from_end <= 2 AND tail <= 512 THEN 1 ELSE 0 END AS times,
+  SELECT *, 1 + CASE WHEN opening THEN last - win
+                     WHEN win < last AND from_end <= 2 AND tail <= for_history AND NOT next_over THEN 1 ELSE 0 END AS times,
          12 + 1 + 11
-         + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g'))
+         + length(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g'))
          + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) AS chars
   FROM tailed)
 SELECT conv_id, count(*) AS n_turns,

@@ -98,12 +98,12 @@ def test_repeats_with_null_and_equal_keys(spark):
 
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|><|im_start|>assistant ok", "<\\|x<\\\\|", "a<", "|>", "\\", None, "", "line\nline", "x" * 9000]
-    rows = [(1, 0, "system", "be brief"), *[(1, i + 1, ["user", "assistant"][i % 2], t) for i, t in enumerate(tricky)], (2, 0, None, "hm"), (2, 0, "assistant", "hm"), (2, 0, "assistant", "hm"), (3, 1, "we\\ird\nro<|le", "t"), (None, 0, "user", "u")]
+    rows = [(1, 0, "system", "be brief"), *[(1, i + 1, ["user", "assistant"][i % 2], t) for i, t in enumerate(tricky)], (2, 0, None, "hm"), (2, 0, "assistant", "hm"), (2, 0, "assistant", "hm"), (3, 1, "we\\ird\nro<|le", "t"), (4, 1, "n\x00\\n\\bul<\\|l", "t\x00"), (None, 0, "user", "u")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)).withColumn("pos", F.lit("x"))
     want = collections.defaultdict(list)
     for conv, turn, role, text in rows:
         want[conv].append((turn, role or "", text or ""))
-    for rules in (chat.ChatRules(), chat.ChatRules(budget=64, room=40, history=1, history_budget=20)):
+    for rules in (chat.ChatRules(), chat.ChatRules(budget=64, history=1, history_budget=20)):
         got = {r.conv_id: r for r in chat.chat_digest(df, rules).collect()}
         assert set(got) == set(want)
         for conv, turns in want.items():
@@ -112,10 +112,29 @@ def test_chat_round_trip(spark):
             target = "".join(t for _, r, t in turns if r == "assistant")
             r = got[conv]
             assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(target), hashlib.sha256(target.encode()).hexdigest())
-    windows = chat.format_windows(df.filter("conv_id = 1"), chat.ChatRules(budget=64, room=40, history=1, history_budget=20)).orderBy("window").collect()
+    windows = chat.format_windows(df.filter("conv_id = 1"), chat.ChatRules(budget=64, history=1, history_budget=20)).orderBy("window").collect()
     assert len(windows) > 2 and all(w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in windows)
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Random budgets: a window is within its budget, or holds one new turn beyond the room and no history."""
+    draw = random.Random(8)
+    rows = [(c, t, "system" if t == 0 and c % 2 else draw.choice(["user", "assistant"]), "x" * draw.choice([0, 3, 40, 200, draw.randrange(3000)])) for c in range(8) for t in range(draw.randint(1, 40))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = set()
+    for budget in (*(draw.randint(1, 900) for _ in range(4)), 100, 2048):
+        rules = chat.ChatRules(budget=budget, history=draw.randint(0, 4), history_budget=draw.randint(0, 300))
+        windows = chat.format_windows(df, rules).collect()
+        seen.add(len(windows))
+        for w in windows:
+            n = w.formatted.count("<|im_start|>")
+            system = w.formatted.startswith("<|im_start|>system")
+            new = n - w.n_context - (system and w.window == 0)
+            assert w.cost <= budget or (new <= 1 and n <= 1 + system), (budget, w.cost, n, w.n_context)
+            assert new > 0 or n == 1
+    assert len(seen) > 2
+
+
 def test_chat_empty(spark):
     assert chat.chat_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
