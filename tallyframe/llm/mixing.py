@@ -12,8 +12,9 @@ totals of cells of virtual time, and only the one cell that holds it is
 sorted. The result does not depend on either grid.
 
 Defined results: null texts have size 0 and are never taken; null sources
-are one source, last in order; repeated rows count one by one; an empty
-table stays empty.
+are one source, last in order; a null key is digested like any other, and rows
+that tie in digest are ordered by key, size and digest of the text; repeated
+rows count one by one, each with copies of its own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.arrow import free_names
 from tallyframe.session import materialize
 
 #: Words of the contract: anything but space, tab, LF, VT, FF and CR.
@@ -75,6 +77,7 @@ def _scheduled(docs: DataFrame, rules: MixRules, key: str, text: str, source: st
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             digest.alias("digest"),
+            F.xxhash64(F.col(text)).alias("body"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sized",
@@ -89,12 +92,12 @@ def _scheduled(docs: DataFrame, rules: MixRules, key: str, text: str, source: st
         .drop("of", "held", "budget")
         .withColumnsRenamed({"source": "b_source", "bucket": "b_bucket"})
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "key", "size", "body", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         sized.withColumn("run", F.sum("size").over(inside))
         .join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("served", F.col("passed") + F.col("run"))
-        .select("key", "source", "size", "digest", "row", "source_rank", "source_size", "target", "served")
+        .select("key", "source", "size", "digest", "body", "row", "source_rank", "source_size", "target", "served")
     )
     return materialize(placed, "mix-placed"), sources
 
@@ -102,7 +105,7 @@ def _scheduled(docs: DataFrame, rules: MixRules, key: str, text: str, source: st
 def _copy(number) -> F.Column:
     """The place of a copy in the global order, as a comparable struct; number counts from 0."""
     finish = (F.col("served") + F.col("source_size") * number) / F.col("target")
-    return F.struct(finish.alias("finish"), F.col("source_rank"), F.col("digest"), F.col("key"), F.col("size"), F.col("row"), number.alias("copy"))
+    return F.struct(finish.alias("finish"), F.col("source_rank"), F.col("digest"), F.col("key"), F.col("size"), F.col("body"), F.col("row"), number.alias("copy"))
 
 
 def _cut(placed: DataFrame, sources: DataFrame, rules: MixRules) -> F.Column | None:
@@ -127,20 +130,27 @@ def _cut(placed: DataFrame, sources: DataFrame, rules: MixRules) -> F.Column | N
 
 def mix_sources(docs: DataFrame, rules: MixRules | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: key, size, source_size, target, taken, virtual_finish (of its first copy)."""
-    rules = rules or MixRules()
+    return _mixed(docs, rules or MixRules(), key, text, source).select(F.col("key").alias(key), "size", "source_size", "target", "taken", "virtual_finish")
+
+
+def _mixed(docs: DataFrame, rules: MixRules, key: str, text: str, source: str) -> DataFrame:
+    """One row per row of docs: key, source, body, row, size, source_size, target, taken, virtual_finish."""
     placed, sources = _scheduled(docs, rules, key, text, source)
     cut = _cut(placed, sources, rules)
     taken = [F.when(F.lit(True) if cut is None else _copy(F.lit(i)) < cut, F.col("size")).otherwise(0) for i in range(rules.most)]
-    return placed.select(
-        F.col("key").alias(key), "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"), (F.col("served") / F.nullif(F.col("target"), F.lit(0.0))).alias("virtual_finish")
-    )
+    return placed.select("key", "source", "body", "row", "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"), (F.col("served") / F.nullif(F.col("target"), F.lit(0.0))).alias("virtual_finish"))
 
 
 def mixed_documents(docs: DataFrame, rules: MixRules | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents the mix takes, with all their columns, the number of copies
-    and the first copy's virtual finish time, range-sorted by it. Rows that
-    share a key share the larger number of copies."""
-    report = mix_sources(docs, rules, key, text, source).filter("taken > 0")
-    copies = report.groupBy(F.col(key).alias("_mix_key")).agg(F.max(F.expr("taken div size")).cast("int").alias("mix_copies"), F.min("virtual_finish").alias("mix_finish"))
+    """The documents the mix takes, with all their columns, the number of copies and the first copy's virtual
+    finish time, range-sorted by it. Rows that share key, source and text are numbered on both sides, so each
+    gets the copies of its own place in the order."""
+    mixed = _mixed(docs, rules or MixRules(), key, text, source)
+    on_key, on_source, on_body, on_nth, body, nth = free_names(docs, "_mix_key", "_mix_source", "_mix_body", "_mix_nth", "_body", "_nth")
+    same = Window.partitionBy("key", "source", "body").orderBy("virtual_finish", "row")
+    copies = mixed.withColumn(on_nth, F.row_number().over(same)).filter("taken > 0")
+    copies = copies.select(F.col("key").alias(on_key), F.col("source").alias(on_source), F.col("body").alias(on_body), on_nth, F.expr("taken div size").cast("int").alias("mix_copies"), F.col("virtual_finish").alias("mix_finish"))
     own = [c for c in ("mix_copies", "mix_finish") if c in docs.columns]
-    return docs.drop(*own).join(copies, F.col(key).eqNullSafe(F.col("_mix_key"))).drop("_mix_key").orderBy("mix_finish", key)
+    numbered = docs.drop(*own).withColumn(body, F.xxhash64(F.col(text))).withColumn(nth, F.row_number().over(Window.partitionBy(key, source, body).orderBy(F.lit(0))))
+    found = numbered.join(copies, F.col(key).eqNullSafe(F.col(on_key)) & F.col(source).eqNullSafe(F.col(on_source)) & (F.col(body) == F.col(on_body)) & (F.col(nth) == F.col(on_nth)))
+    return found.drop(on_key, on_source, on_body, on_nth, body, nth).orderBy("mix_finish", key)

@@ -13,11 +13,12 @@
    pairs from different components are verified. This loses no link.
 
 All pairs of a large bucket are never formed, and no step gathers a group in
-one task.
+one task: groups that hold over 1/`hot_parts` of the rows, of which there are
+fewer than `hot_parts`, are joined by broadcast and the others by shuffle.
 
 Defined results: null or empty texts have empty sets and link with nothing;
-rows that share a key are one document; null keys stand alone; an empty table
-stays empty.
+rows that share a key are one document, of which keep_first_of_group keeps one
+row; null keys stand alone; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,21 +31,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import setsketch
-from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
-from tallyframe.llm.components import components
+from tallyframe.llm.arrow import free_names, modest_batches, small_batches, text_bytes
 from tallyframe.llm.setsketch import SketchRules
+from tallyframe.operators.grouping import link_components
 from tallyframe.session import materialize
 
 
 @dataclass(frozen=True)
 class NearRules:
     """percent: least intersection over union. doubt: estimates this far below it are not verified
-    (over five standard deviations of the estimate)."""
+    (over five standard deviations of the estimate). pair_limit: members of a bucket that gives all its
+    pairs. hot_parts: groups with more than this part of the rows are joined by broadcast."""
 
     sketch: SketchRules = field(default_factory=SketchRules)
     percent: int = 80
     doubt: float = 0.20
     pair_limit: int = 24
+    hot_parts: int = 1000
 
 
 def sketches(docs: DataFrame, rules: NearRules, key: str, text: str) -> DataFrame:
@@ -115,19 +118,33 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, total: int, rules: NearRules) -> DataFrame:
+    """rows with the columns of their group, where it is among groups (keys, held, values). Fewer than `hot_parts`
+    groups can hold over 1/hot_parts of the `total` rows; those are broadcast, and their rows are dealt by `spread`."""
+    values = [c for c in groups.columns if c not in keys]
+    hot = groups.filter(F.col("held") * rules.hot_parts > total).withColumnsRenamed({c: f"_hot_{c}" for c in groups.columns})
+    cold = groups.filter(F.col("held") * rules.hot_parts <= total).withColumnsRenamed({c: f"_cold_{c}" for c in groups.columns})
+    found = rows.join(F.broadcast(hot), [rows[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys], "left")
+    on = F.when(F.col("_hot_held").isNull(), F.col(keys[-1])).otherwise(F.xxhash64(spread))
+    on = [F.col(k) == F.col(f"_cold_{k}") for k in keys[:-1]] + [on == F.col(f"_cold_{keys[-1]}")]
+    joined = found.join(cold, on, "left").select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
+    return joined.filter("held is not null")
+
+
 def ordered(a, b) -> tuple[F.Column, F.Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def bucket_pairs(links: DataFrame, rules: NearRules) -> tuple[DataFrame, DataFrame]:
+def bucket_pairs(links: DataFrame, total: int, rules: NearRules) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a < b), and the (key, rep) rows of large buckets. links: key, rep, held."""
     small = links.filter(F.col("held") <= rules.pair_limit).select("key", "rep")
     close = small.join(small.withColumnRenamed("rep", "other"), "key").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     company = links.groupBy("rep").agg(F.sum("held").alias("company"))
     large = links.filter(F.col("held") > rules.pair_limit).select("key", "rep")
     rank = F.struct(F.col("company"), -F.col("rep"))
-    pivots = large.join(company, "rep").groupBy("key").agg(F.max(rank).alias("most"), F.min("rep").alias("low")).select("key", F.explode(F.array(-F.col("most.col2"), F.col("low"))).alias("pivot"))
-    star = large.join(pivots, "key").filter("rep <> pivot").select(*ordered(F.col("rep"), F.col("pivot")))
+    pivots = large.join(company, "rep").groupBy("key").agg(F.count("*").alias("held"), F.array(-F.max(rank)["col2"], F.min("rep")).alias("pivots"))
+    star = with_group(large, pivots, ["key"], "rep", total, rules).select("rep", F.explode("pivots").alias("pivot"))
+    star = star.filter("rep <> pivot").select(*ordered(F.col("rep"), F.col("pivot")))
     return close.union(star).distinct(), large
 
 
@@ -167,29 +184,31 @@ def near_groups(docs: DataFrame, rules: NearRules | None = None, key: str = "doc
     sketched = materialize(sketches(docs, rules, key, text), "near-sketches")
     full = sketched.filter("n > 0 and id is not null")
     digest = ["n", "h1", "h2"]
-    classes = full.groupBy(*digest).agg(F.min("id").alias("rep"))
-    reps = materialize(full.join(classes.select("rep", *digest), digest).filter("id = rep").select("rep", "n", "regs").dropDuplicates(["rep", "n", "regs"]), "near-reps")
+    # partial minima: however many copies a class has, each task sends one row of it
+    first = F.min(F.struct("id", "regs"))
+    classes = materialize(full.groupBy(*digest).agg(F.count("*").alias("held"), first.alias("first")).select(*digest, "held", F.col("first.id").alias("rep"), F.col("first.regs").alias("regs")), "near-classes")
+    reps = classes.select("rep", "n", "regs")
+    n_docs, n_reps = classes.agg(F.coalesce(F.sum("held"), F.lit(0)), F.count("*")).first()
     rows = bands(reps, rules)
+    n_bands = rules.sketch.registers // rules.sketch.rows
     held = rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    links = materialize(rows.join(held, "key"), "near-links")
-    pairs, large = bucket_pairs(links, rules)
+    links = materialize(with_group(rows, held, ["key"], "rep", n_reps * n_bands, rules), "near-links")
+    pairs, large = bucket_pairs(links, n_reps * n_bands, rules)
     pairs = materialize(likely_pairs(pairs, reps, rules), "near-pairs")
     wanted = large.select(F.col("rep").alias("id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = materialize(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id"), "near-texts")
     edges = materialize(verified(pairs, texts, rules), "near-edges")
-    labels = components(edges, "near-first")
+    labels = link_components(edges)
     known = large.join(labels, large.rep == labels.node, "left").select("key", F.col("rep").alias("id"), F.coalesce("label", "rep").alias("label"))
     known = materialize(known, "near-known")
     torn = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     members = materialize(known.join(torn, "key").select("id", "label").distinct(), "near-torn")
     more = materialize(verified(rare_shingle_pairs(members, texts, rules), texts, rules), "near-more")
-    labels = components(edges.union(more), "near-last")
-    groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*digest, F.coalesce("label", "rep").alias("component"))
-    groups = groups.withColumnsRenamed({c: f"of_{c}" for c in digest})
-    same = F.lit(True)
-    for c in digest:
-        same = same & (F.col(c) == F.col(f"of_{c}"))
-    return sketched.join(groups, same & (F.col("n") > 0), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    labels = link_components(edges.union(more))
+    groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*digest, "held", F.coalesce("label", "rep").alias("component"))
+    placed = with_group(full.select("id", *digest), groups, digest, "id", n_docs, rules).select("id", "n", "component")
+    alone = sketched.filter("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component"))
+    return placed.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,8 +218,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules | None = None, key: str =
 
 
 def keep_first_of_group(docs: DataFrame, rules: NearRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: the smallest key of each group, once."""
-    gone = near_groups(docs, rules, key, text).filter("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
-
-
+    """The documents that stay, with all their columns: the smallest key of each group, once, even where rows repeat
+    (rows of one key differ in nothing the operator knows; any one of them stays). Rows with a null key all stay."""
+    found = materialize(near_groups(docs, rules, key, text), "near-groups")
+    gone_name, twin_name = free_names(docs, "_gone", "_twin")
+    gone = found.filter("id <> component_id").select(F.col("id").alias(gone_name)).distinct()
+    twins = materialize(found.filter("id = component_id").groupBy(F.col("id").alias(twin_name)).agg(F.count("*").alias("held")).filter("held > 1").select(twin_name), "near-twins")
+    left = docs.join(gone, F.col(key).cast("long") == F.col(gone_name), "left_anti")
+    if twins.isEmpty():
+        return left
+    is_twin = F.col(key).cast("long") == F.col(twin_name)
+    return left.join(twins, is_twin, "left_anti").unionByName(left.join(twins, is_twin, "left_semi").dropDuplicates([key]))

@@ -20,8 +20,10 @@ Texts are shuffled once by key; marks come back to them by key. Spans never
 cross documents.
 
 Defined results: null is an empty text; texts shorter than `length` stay
-whole; rows that share a key are one document, each row keeping what the first
-occurrence keeps; rows with a null key stay whole; empty tables stay empty.
+whole; rows that share key and text are one document, each row keeping what the
+first occurrence keeps (a key stands for one text: rows of one key with
+different texts are not told apart); rows with a null key stay whole; extra
+columns may have any names; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.arrow import modest_batches, small_batches, text_bytes
-from tallyframe.llm.suffix_sort import suffix_order
+from tallyframe.llm.arrow import free_names, modest_batches, small_batches, text_bytes
+from tallyframe.llm.suffix_sort import MOST, suffix_order
 from tallyframe.session import materialize
 
 _U = np.uint64
@@ -48,14 +50,24 @@ CUT = "_cut_spans"
 
 @dataclass(frozen=True)
 class RepeatRules:
-    """length: bytes of a repeated string. hot: places of an anchor beyond which its ranges are
-    split. batch: bytes sorted at once. remembered: contexts a task remembers to drop copies early."""
+    """length: bytes of a repeated string, 16 to 2,000. hot: places of an anchor beyond which its ranges are
+    split (fewer, for long strings: see split_beyond). batch: bytes sorted at once, beside those of one anchor.
+    remembered: contexts a task remembers to drop copies early."""
 
-    length: int = 100  # 16 at least
+    length: int = 100
     hot: int = 6000
     batch: int = 300_000
     remembered: int = 60_000
 
+    def __post_init__(self):
+        if not 16 <= self.length <= 2000 or not 1 <= self.batch <= MOST // 2:
+            raise ValueError(f"length must be 16 to 2000 and batch 1 to {MOST // 2}")
+
+    @property
+    def split_beyond(self) -> int:
+        """Places of an anchor whose contexts, after a batch, still fit the suffix sort at once."""
+        return min(self.hot, (MOST - self.batch - 16) // (self.length + PIECE + 1))
+
 
 class Ranges:
     """The anchor ranges of the texts of one batch that are long enough."""
@@ -188,9 +200,13 @@ def _anchor_counts(docs: DataFrame, rules: RepeatRules, key: str, text: str) ->
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "fp long, id long, places int")
 
 
-def _with_anchors(batch: pa.RecordBatch, text: str) -> list[bytes]:
+#: Columns joined to the documents, under names that are free there: repeated anchors, hot ones, marks.
+FOUND = "_fps", "_hot_fps", "_marks"
+
+
+def _with_anchors(batch: pa.RecordBatch, text: str, fps: str) -> list[bytes]:
     """The texts that have repeated anchors; empty ones for the others."""
-    some = batch.column("fps").is_valid().to_pylist()
+    some = batch.column(fps).is_valid().to_pylist()
     return [t if s else b"" for t, s in zip(text_bytes(batch.column(text)), some, strict=True)]
 
 
@@ -202,15 +218,15 @@ def _chosen(found: Ranges, fps: list, hot: list) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(np.isin(found.fp, known) & ~is_hot), np.flatnonzero(is_hot), burning
 
 
-def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str) -> DataFrame:
+def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_name: str, hot_name: str) -> DataFrame:
     """(fp, id, start, size, context) of ranges with repeated anchors; copies a task has seen are dropped."""
     length = rules.length
 
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in small_batches(batches, text):
-            found = Ranges(_with_anchors(batch, text), length)
-            cold, hot, _ = _chosen(found, batch.column("fps").to_pylist(), batch.column("hot").to_pylist())
+            found = Ranges(_with_anchors(batch, text, fps_name), length)
+            cold, hot, _ = _chosen(found, batch.column(fps_name).to_pylist(), batch.column(hot_name).to_pylist())
             ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[found.docs]
             which, begin, size = found.pieces(cold)
             doc = found.doc[which]
@@ -281,26 +297,27 @@ def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
     return contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "id long, start int, mask long")
 
 
-def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one more column: the byte spans to remove, as begin, end, begin, end ..."""
+def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text", cut: str = CUT) -> DataFrame:
+    """docs with one more column, `cut`: the byte spans to remove, as begin, end, begin, end ..."""
     rules, docs = rules or RepeatRules(), modest_batches(docs)
+    fps_name, hot_name, marks_name, anchor_id, mark_id = free_names(docs, *FOUND, "_anchor_id", "_mark_id")
     # read twice, for the counts and for the join: cheaper to find again than to keep
     occurring = _anchor_counts(docs, rules, key, text)
-    repeated = occurring.groupBy("fp").agg(F.sum("places").alias("all")).filter("all > 1").select("fp", (F.col("all") > rules.hot).alias("is_hot"))
-    of_doc = occurring.select("fp", "id").join(repeated, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("is_hot"), F.col("fp"))).alias("hot"))
-    of_doc = materialize(of_doc.withColumnRenamed("id", "_anchor_id"), "repeat-documents")
+    repeated = occurring.groupBy("fp").agg(F.sum("places").alias("all")).filter("all > 1").select("fp", (F.col("all") > rules.split_beyond).alias("is_hot"))
+    of_doc = occurring.select("fp", "id").join(repeated, "fp").groupBy("id").agg(F.collect_set("fp").alias(fps_name), F.collect_set(F.when(F.col("is_hot"), F.col("fp"))).alias(hot_name))
+    of_doc = materialize(of_doc.withColumnRenamed("id", anchor_id), "repeat-documents")
     # the same shuffle of the texts serves both joins
-    on = F.col(key).cast("long") == F.col("_anchor_id")
-    firsts = _marks(_contexts(docs.join(of_doc.hint("merge"), on, "left").drop("_anchor_id"), rules, key, text), rules)
-    firsts = firsts.groupBy(F.col("id").alias("_mark_id")).agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    both = docs.join(of_doc.hint("merge"), on, "left").drop("_anchor_id").join(firsts.hint("merge"), F.col(key).cast("long") == F.col("_mark_id"), "left").drop("_mark_id")
+    on = F.col(key).cast("long") == F.col(anchor_id)
+    firsts = _marks(_contexts(docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id), rules, key, text, fps_name, hot_name), rules)
+    firsts = firsts.groupBy(F.col("id").alias(mark_id)).agg(F.collect_list(F.struct("start", "mask")).alias(marks_name))
+    both = docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id).join(firsts.hint("merge"), F.col(key).cast("long") == F.col(mark_id), "left").drop(mark_id)
     length, fields = rules.length, docs.schema.names
 
     def run(batches):
         for batch in small_batches(batches, text):
-            found = Ranges(_with_anchors(batch, text), length)
+            found = Ranges(_with_anchors(batch, text, fps_name), length)
             spans = [[] for _ in range(batch.num_rows)]
-            flagged = _flagged(found, batch)
+            flagged = _flagged(found, *(batch.column(c).to_pylist() for c in (fps_name, hot_name, marks_name)))
             if len(flagged):
                 n = len(found.data)
                 change = np.bincount(flagged, minlength=n + 1) - np.bincount(flagged + length, minlength=n + 1)
@@ -309,14 +326,14 @@ def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "
                     own = gone[a:b]
                     if own.any():
                         spans[i] = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(spans, pa.list_(pa.int64()))], [*fields, CUT])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(spans, pa.list_(pa.int64()))], [*fields, cut])
 
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(CUT, T.ArrayType(T.LongType()))]))
+    return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(cut, T.ArrayType(T.LongType()))]))
 
 
-def _flagged(found: Ranges, batch: pa.RecordBatch) -> np.ndarray:
+def _flagged(found: Ranges, fps: list, burning: list, marks: list) -> np.ndarray:
     """Starts, in the joined texts, of strings that also start earlier."""
-    cold, hot, _ = _chosen(found, batch.column("fps").to_pylist(), batch.column("hot").to_pylist())
+    cold, hot, _ = _chosen(found, fps, burning)
     _, begin, size = found.pieces(cold)
     if len(hot):
         single = np.repeat(found.at[hot], found.n[hot])
@@ -324,7 +341,6 @@ def _flagged(found: Ranges, batch: pa.RecordBatch) -> np.ndarray:
         begin, size = np.concatenate([begin, single]), np.concatenate([size, np.ones(len(single), np.int64)])
     if not len(begin):
         return begin
-    marks = batch.column("marks").to_pylist()
     places, masks = [], []
     for i, at in zip(found.docs.tolist(), found.starts.tolist(), strict=True):
         for m in marks[i] or ():
@@ -369,11 +385,12 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str =
     """docs without repeated passages; spans shrink to whole characters. Documents of which only
     white space is left go. `length`, if a column, is set anew where the text changes."""
     fields, length = docs.schema, length if length in docs.columns else None
+    cut = free_names(docs, CUT)[0]
 
     def run(batches):
         for batch in small_batches(batches, text):
-            column, spans = batch.column(text), batch.column(CUT).to_pylist()
-            out = batch.drop_columns([CUT])
+            column, spans = batch.column(text), batch.column(cut).to_pylist()
+            out = batch.drop_columns([cut])
             if any(spans):
                 new = column.to_pylist()
                 counts = out.column(length).to_pylist() if length else None
@@ -400,4 +417,4 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str =
                 out = out.filter(pa.array(keep, pa.bool_()))
             yield out
 
-    return mark_repeats(docs, rules, key, text).mapInArrow(run, fields)
+    return mark_repeats(docs, rules, key, text, cut).mapInArrow(run, fields)

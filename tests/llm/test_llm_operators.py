@@ -57,25 +57,25 @@ def test_suffix_order(depth):
         assert sorted(order) == list(range(len(s))) and heads == sorted(heads)
 
 
-def brute_repeats(rows):
+def brute_repeats(rows, length=100):
     seen, out = set(), {}
     for key, text in sorted(rows):
         data = (text or "").encode()
         gone = np.zeros(len(data), bool)
-        for i in range(len(data) - 99):
-            s = data[i : i + 100]
+        for i in range(len(data) - length + 1):
+            s = data[i : i + length]
             if s in seen:
-                gone[i : i + 100] = True
+                gone[i : i + length] = True
             seen.add(s)
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         out[key] = (len(data), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("rules", [suffix_dedup.RepeatRules(), suffix_dedup.RepeatRules(hot=3, batch=500, remembered=4)])
+@pytest.mark.parametrize("rules", [suffix_dedup.RepeatRules(), suffix_dedup.RepeatRules(hot=3, batch=500, remembered=4), suffix_dedup.RepeatRules(length=16), suffix_dedup.RepeatRules(length=600), suffix_dedup.RepeatRules(length=2000)])
 def test_repeats_equal_brute_force(docs, texts, rules):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs, rules).collect()}
-    assert got == brute_repeats(list(enumerate(texts)))
+    assert got == brute_repeats(list(enumerate(texts)), rules.length)
 
 
 def test_repeats_removed_keep_columns(docs, texts, none):
@@ -86,6 +86,30 @@ def test_repeats_removed_keep_columns(docs, texts, none):
     assert suffix_dedup.remove_repeats(none).count() == 0 and suffix_dedup.repeat_report(none).count() == 0
 
 
+def test_one_anchor_with_many_long_contexts_fits_the_sort(spark):
+    """3,500 distinct texts of 700 bytes around one long passage: more than a suffix sort takes at once, so the anchor is split."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh") for _ in range(590))
+    rows = [(i, f"{i:06d}" * 9 + passage + f"{i:06d}" * 9) for i in range(3500)] + [(9999, f"{7:06d}" * 9 + passage + f"{7:06d}" * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = suffix_dedup.RepeatRules(length=600)
+    assert rules.split_beyond < 3500
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_report(df, rules).collect()}
+    assert got[9999] == len(rows[-1][1]) and got == {k: v[1] for k, v in brute_repeats(rows, 600).items()}
+    with pytest.raises(ValueError):
+        suffix_dedup.RepeatRules(length=2001)
+
+
+def test_repeats_and_clashing_columns(docs, texts):
+    extra = docs
+    for name in ("hot", "fps", "marks", "_cut_spans", "_fps", "_anchor_id", "_mark_id", "_gone", "_mix_key", "_leak_spans", "mix_copies"):
+        extra = extra.withColumn(name, F.lit("mine"))
+    for out in (suffix_dedup.remove_repeats(extra), near_dup.keep_first_of_group(extra), mixing.mixed_documents(extra), quality_rules.keep_quality(extra), decontaminate.remove_leaks(extra, docs.sparkSession.createDataFrame([(1, texts[9])], "item_id long, text string"))):
+        rows = out.collect()
+        assert set(extra.columns) <= set(out.columns) and rows
+        assert all(r[c] == "mine" for r in rows for c in ("hot", "fps", "marks", "_cut_spans", "_anchor_id", "_gone", "_mix_key", "_leak_spans"))
+
+
 def test_repeats_with_null_and_equal_keys(spark):
     long = "".join(chr(97 + (i * i) % 26) for i in range(300))
     df = spark.createDataFrame([(None, long), (1, long), (1, long), (2, long)], "doc_id long, text string")
@@ -187,6 +211,16 @@ def test_mix(docs, texts, none):
     assert set(docs.columns) < set(mixing.mixed_documents(docs).columns)
 
 
+def test_mix_counts_repeated_rows_one_by_one(spark):
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "a b c d e f", "t"), (None, "x y", None), (None, "x y", None), (2, None, "s"), (3, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share, budget in ((1.0, 28), (1.5, 42), (0.3, 8.4)):
+        out = mixing.mixed_documents(df, mixing.MixRules(share=share)).collect()
+        assert sum(len(r.text.split()) * r.mix_copies for r in out) <= budget
+        report = mixing.mix_sources(df, mixing.MixRules(share=share)).collect()
+        assert sum(r.taken for r in report) == sum(len(r.text.split()) * r.mix_copies for r in out)
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
@@ -241,7 +275,7 @@ def test_urls(spark):
 # 7 ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 30])
+@pytest.mark.parametrize("block_words", [200_000, 30])
 def test_leaks_equal_brute_force(spark, docs, texts, none, block_words):
     items = [(1, " ".join(texts[8].split()[5:40])), (2, texts[9].upper()), (3, "two WORDS!"), (4, None), (5, "..."), (10, " ".join(texts[9].split()[20:31])), (6, "ab ab ab ab ab ab ab ab ab ab ab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -251,7 +285,7 @@ def test_leaks_equal_brute_force(spark, docs, texts, none, block_words):
         w = words(t)
         for i in range(max(len(w) - 9, 1) if w else 0):
             windows[tuple(w[i : i + 10])].add(str(key))
-    got = {r.doc_id: r for r in decontaminate.leak_report(docs, bench, decontaminate.LeakRules(block_words=block_words)).collect()}
+    got = {r.doc_id: r for r in decontaminate.leak_report(docs, bench, decontaminate.LeakRules(block_words=block_words, blocks_at_once=2)).collect()}
     for i, t in enumerate(texts):
         w, hit, keys = words(t), set(), set()
         for n in {len(x) for x in windows}:
@@ -273,6 +307,14 @@ def test_short_items_are_cut_out(spark):
     assert got == {1: (text, len(text)), 2: ("nothing of the kind was said", 28)}
 
 
+def test_repetitive_texts_take_time_in_proportion():
+    """A short item and a periodic one: no step walks more than the lengths of short items."""
+    index = decontaminate.LeakIndex([(1, b"ab ab"), (2, b"ab " * 500)], 10)
+    words = [b"ab"] * 30_000
+    spans, keys = index.search(index.encode(words))
+    assert keys == {1, 2} and decontaminate.merge_spans(spans) == [(0, len(words))]
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
@@ -308,6 +350,24 @@ def test_near_groups_equal_brute_force(spark, docs, texts, none, limit, words):
         assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_groups_keep_one_of_repeated_rows(spark):
+    draw = random.Random(6)
+    a, b = sentence(draw, 60), sentence(draw, 50)
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "x"), (5, b, "z"), (5, b, "z"), (None, a, "n"), (None, a, "n"), (7, "", "e"), (7, "", "e"), (8, None, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = near_dup.keep_first_of_group(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 5), (False, 7), (False, 8), (True, 0), (True, 0)]
+
+
+@pytest.mark.parametrize("hot_parts", [3, 1000])
+def test_near_groups_do_not_depend_on_hot_parts(spark, texts, hot_parts):
+    rows = list(enumerate(texts)) + [(500 + i, texts[8]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, near_dup.NearRules(hot_parts=hot_parts, pair_limit=3)).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_sketches_merge_and_estimate():
     rules = setsketch.SketchRules(registers=512)
     x = setsketch.mix(np.arange(1, 3001, dtype=np.uint64))
