@@ -7,7 +7,9 @@ average to a document's raw quality, which a fitted logistic curve maps to a
 score.
 
 Training takes a bounded sample of labelled documents (`sample`, those of the
-smallest digests of their keys, both labels alike). Lines start with their
+smallest digests of their keys, both labels alike, of at most `longest` bytes
+each). A document's labels count once; null labels, other values than 0 and 1,
+and labels that contradict each other are left out. Lines start with their
 document's label; lines of bad documents that the first model holds for good
 are relabelled once. Keys, languages and sources are no features.
 
@@ -37,9 +39,11 @@ for _i, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 
 @dataclass(frozen=True)
 class CrfRules:
-    """sample: labelled documents to train on, at most. steps, rate, decay: of training."""
+    """sample: labelled documents to train on, at most; longest: bytes of one, at most, so that what comes to the
+    driver is bounded. steps, rate, decay: of training."""
 
     sample: int = 2000
+    longest: int = 20_000
     steps: int = 120
     rate: float = 0.5
     decay: float = 1e-3
@@ -217,10 +221,11 @@ def held_out(key) -> F.Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, rules: CrfRules, key: str, text: str, label: str) -> tuple[list[bytes], np.ndarray]:
     """At most rules.sample labelled texts, half of each label as far as there are any."""
-    open_rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    open_rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
+    open_rows = open_rows.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"), F.max(label).alias("_other")).filter("_label = _other").drop("_other")
     order = F.md5(F.col("_key").cast("string")), F.col("_key")
     half = [open_rows.filter(F.col("_label") == v).orderBy(*order).limit(rules.sample // 2) for v in (0, 1)]
-    chosen = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(half[0].union(half[1])), F.col("_id") == F.col("_key"))
+    chosen = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(half[0].union(half[1])), F.col("_id") == F.col("_key")).filter(F.octet_length("_text") <= rules.longest)
     rows = sorted(chosen.select("_key", "_label", "_text").toLocalIterator(), key=lambda r: (r._key, r._text))
     return [r._text.encode() for r in rows], np.array([r._label for r in rows], np.int64)
 

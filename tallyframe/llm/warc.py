@@ -41,12 +41,14 @@ INDEX_DDL = "page_id long, file string, offset long, length long, url string, di
 @dataclass(frozen=True)
 class WarcRules:
     """least_bytes: of payloads stored once. file_bytes: an archive file is closed beyond.
-    gap: bytes between ranges that are read along; read_bytes: most in one read."""
+    gap: bytes between ranges that are read along; read_bytes: most in one read; task_bytes: of archive
+    that a reading task takes, about."""
 
     least_bytes: int = 100
     file_bytes: int = 256 << 20
     gap: int = 64 << 10
     read_bytes: int = 8 << 20
+    task_bytes: int = 32 << 20
     level: int = 6
     date: str = "2024-01-01T00:00:00Z"
 
@@ -151,7 +153,8 @@ def coalesce_ranges(rows: list[tuple[str, int, int]], gap: int, most: int) -> li
 
 def read_archive(selected: DataFrame, rules: WarcRules | None = None, payloads: bool = True) -> DataFrame:
     """The records of selected index rows: page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest, and the payload (null for revisits)."""
+    payload_bytes, payload_digest, and the payload (null for revisits). Ranges are
+    dealt to tasks by archive bytes, in order, so neighbouring records are read together."""
     rules = rules or WarcRules()
     ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     names = [f.split()[0] for f in ddl.split(", ")]
@@ -192,8 +195,10 @@ def read_archive(selected: DataFrame, rules: WarcRules | None = None, payloads:
         if handle is not None:
             handle.close()
 
-    part = F.floor(F.col("offset") / (4 * rules.read_bytes))
-    return selected.withColumn("part", part).repartition("folder", "file", "part").sortWithinPartitions("folder", "file", "offset").select("folder", "file", "offset", "length").mapInArrow(read, ddl)
+    # adaptive execution would merge tasks by the size of index rows, but leaves a stated number alone
+    tasks = selected.agg(F.ceil(F.sum("length") / rules.task_bytes)).first()[0] or 1
+    dealt = selected.repartitionByRange(int(tasks), "folder", "file", "offset").sortWithinPartitions("folder", "file", "offset")
+    return dealt.select("folder", "file", "offset", "length").mapInArrow(read, ddl)
 
 
 def archive_round_trip(pages: DataFrame, rules: WarcRules | None = None) -> DataFrame:

@@ -186,6 +186,61 @@ def test_quality_counts(docs, texts, none):
     assert quality_rules.quality_measures(none).count() == 0 and quality_rules.keep_quality(none).count() == 0
 
 
+def brute_ratios(text, lang, rules):
+    """Characters per token, fallback share and entropy, word by word, and the verdict of the bands."""
+    import math
+
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=rules.vocabulary)
+    ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", text) for i in pieces.encode(w)]
+    if not ids:
+        return 0.0, 0.0, 0.0
+    counts = collections.Counter(ids)
+    entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()) / math.log2(len(ids)) if len(ids) > 1 else 0.0
+    return len(re.sub(r"[\x20\x09-\x0D]", "", text)) / len(ids), sum(pieces.is_byte(i) for i in ids) / len(ids), entropy
+
+
+def test_quality_ratios_and_verdict_equal_brute_force(docs, texts):
+    rules = quality_rules.FertilityRules()
+    got = {r.doc_id: r for r in quality_rules.quality_measures(docs).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        want = brute_ratios(t or "", "en" if i % 3 else None, rules)
+        assert (r.chars_per_token, r.fallback_share, r.token_entropy) == pytest.approx(want)
+        band = rules.bands["en" if i % 3 else quality_rules.script_of((t or "").encode())]
+        inside = band.min_chars_per_token <= want[0] <= band.max_chars_per_token and want[1] <= band.max_fallback_share and want[2] >= band.min_entropy
+        assert r.kept == (not r.base_failed and inside)
+    assert {r.doc_id for r in quality_rules.keep_quality(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
+SENTENCES = {
+    "cyrillic": "Река поднялась на полметра за ночь, и город решил укрепить старую стену до зимы.",
+    "greek": "Το ποτάμι ανέβηκε μισό μέτρο μέσα στη νύχτα και η πόλη θα ενισχύσει το παλιό τείχος.",
+    "arabic": "ارتفع منسوب النهر نصف متر خلال الليل وقررت المدينة تقوية الجدار القديم.",
+    "hebrew": "הנהר עלה בחצי מטר במהלך הלילה והעיר החליטה לחזק את החומה הישנה.",
+    "devanagari": "रात भर में नदी आधा मीटर ऊपर उठ गई और शहर पुरानी दीवार को मजबूत करेगा।",
+    "thai": "แม่น้ำสูงขึ้นครึ่งเมตร และเมืองตัดสินใจเสริมกำแพงเก่าก่อนฤดูหนาว",
+    "han": "河水一夜之间上涨了半米 城市决定在冬天到来之前加固旧城墙",
+    "kana": "川は一晩で半メートル上がり 町は冬が来る前に古い壁を強くすることに決めました",
+    "hangul": "강물이 하룻밤 사이에 반 미터 올라갔고 도시는 낡은 벽을 보강하기로 했습니다",
+    "latin": "The river rose half a metre overnight, and the city will strengthen the old wall.",
+}
+
+
+def test_scripts_have_bands_of_their_own(spark):
+    """Prose of each script is kept without a language; the same bytes as noise of rare signs are not."""
+    rules = quality_rules.FertilityRules(min_words=1, max_repeat_percent=100)
+    rows = [(i, s, None) for i, s in enumerate(SENTENCES.values())]
+    noise = "".join(chr(0x13000 + i) for i in range(60))
+    rows += [(50, " ".join(noise[i : i + 5] for i in range(0, 60, 5)), None), (51, "x" * 400_000, None), (52, " ".join(["aaaa"] * 60), "xx")]
+    got = {r.doc_id: r for r in quality_rules.quality_measures(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rules).collect()}
+    for i, name in enumerate(SENTENCES):
+        assert quality_rules.script_of(SENTENCES[name].encode()) == name and got[i].kept, (name, got[i])
+    assert quality_rules.script_of(noise.encode()) == "other" and not got[50].kept
+    assert not got[51].kept and got[51].word_chars == 400_000 and not got[52].kept
+
+
 def test_quality_verdict_does_not_depend_on_cache(docs):
     small = quality_rules.FertilityRules(cached_words=5)
     rows = lambda rules: sorted(map(tuple, quality_rules.quality_measures(docs, rules).collect()))
@@ -403,6 +458,27 @@ def test_classifier(spark, docs, none):
     assert {r.score for r in line_crf.quality_scores(df, marks.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_on_held_out_labels(spark):
+    """Figures on the labels kept out of training, given in the README."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    got = line_crf.quality_scores(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    accuracy = np.mean([r.predicted == r.quality for r in got])
+    print("held out", len(got), "auc", auc, "accuracy", accuracy)
+    assert auc > 0.98 and accuracy > 0.95
+
+
+def test_classifier_labels(spark):
+    """Repeated labels count once; null, unknown and contradictory ones and very long texts are not learnt from."""
+    docs = spark.createDataFrame([(i, "A fine line of words here." if i % 2 else "BAD!!! $$$ ###", "x") for i in range(60)] + [(60, "w " * 40_000, "x")], "doc_id long, text string, score string")
+    labels = [(i, i % 2) for i in range(60)] * 2 + [(3, 0), (5, None), (None, 1), (7, 9), (60, 1)]
+    texts, marks = line_crf.training_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int"), line_crf.CrfRules(), "doc_id", "text", "quality")
+    want = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and i != 3]
+    assert len(texts) == len(want) and marks.tolist() == [i % 2 for i in want]
+
+
 def test_forward_backward_equals_enumeration():
     draw = np.random.default_rng(0)
     score, move = draw.normal(size=4), draw.normal(size=(2, 2))
