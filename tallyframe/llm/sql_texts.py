@@ -46,8 +46,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 """
 
 
-def _hits(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"CASE WHEN regexp_matches(u, '(^|[^a-z]){t}([^a-z]|$)') THEN 1 ELSE 0 END" for t in terms)
+def _hits(terms: dict[str, int]) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(u, '(^|[^a-z]){t}([^a-z]|$)') THEN {w} ELSE 0 END" for t, w in terms.items())
 
 
 URLS_SQL = rf"""
@@ -59,6 +59,7 @@ r AS (SELECT *, CASE
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule,
-  CAST({_hits(STRICT_TERMS)} AS BIGINT) AS strict_terms, CAST({_hits(SOFT_TERMS)} AS BIGINT) AS soft_terms FROM h)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR strict_terms > 0 OR soft_terms >= 2 THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms FROM r
+  CAST({_hits(dict.fromkeys(STRICT_TERMS, 1))} AS BIGINT) AS strict_terms, CAST({_hits(dict.fromkeys(SOFT_TERMS, 1))} AS BIGINT) AS soft_terms,
+  CAST({_hits(SOFT_TERMS)} AS BIGINT) AS soft_weight FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR strict_terms > 0 OR soft_weight >= 12 THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms, soft_weight FROM r
 """

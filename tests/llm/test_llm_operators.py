@@ -312,6 +312,10 @@ URLS = {
     "https://x.org/sussex/adult": ("x.org", "/sussex/adult", None, "allow"),
     "https://x.org/sex-adult": ("x.org", "/sex-adult", None, "block"),
     "https://x.org/sex/sex": ("x.org", "/sex/sex", None, "allow"),
+    "https://x.org/free-download": ("x.org", "/free-download", None, "allow"),
+    "https://x.org/free/loans/bet": ("x.org", "/free/loans/bet", None, "allow"),
+    "https://x.org/free-cash/loans-bet": ("x.org", "/free-cash/loans-bet", None, "block"),
+    "https://x.org/" + "a" * 200_000 + "/porn": ("x.org", "/" + "a" * 200_000 + "/porn", None, "block"),
     "http://com": ("com", "", None, "allow"),
     "no scheme/casino": ("", "", None, "block"),
     "": ("", "", None, "allow"),
@@ -325,6 +329,8 @@ def test_urls(spark):
     for r in url_filter.judge_urls(pages).collect():
         assert (r.host, r.path, r.rule, r.verdict) == URLS[rows[r.page_id][1]]
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    odd = url_filter.UrlRules(rules=(("org", None, "block"), (None, "/", "block"), ("org", "/", "allow"), ("org", "/", "block")))
+    assert url_filter.UrlJudge(odd).judge("https://x.org/porn")[2:4] == ("org/", "allow")
 
 
 # 7 ---------------------------------------------------------------------------------------------
