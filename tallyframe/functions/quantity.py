@@ -24,7 +24,15 @@ BGN_PER_EUR = 1.95583
 AMOUNT = "struct<value:double,unit:string>"
 _NUMBER = r"(\d+(?:[.,]\d+)?)"
 _TIMES = r"\s*[xх×]\s*"
-_UNIT = "(ml|мл|l|л|g|г|kg|кг)"
+
+
+def _spellings(*names: str) -> str:
+    """A group of all spellings of the units, the longest first."""
+    return "(" + "|".join(sorted((s for s, unit in UNITS.items() if unit in names), key=lambda s: (-len(s), s))) + ")"
+
+
+_WEIGHT, _VOLUME = _spellings("g", "kg"), _spellings("ml", "l")
+_UNIT, _COUNTED = _spellings("g", "kg", "ml", "l"), _spellings("g", "kg", "ml", "l", "pcs")
 
 
 def _map(table: dict) -> Column:
@@ -71,7 +79,7 @@ def parse_quantity(text: Column) -> Column:
     without, decimals, whole numbers; null if there is none."""
     clean = F.lower(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), "&[a-z]+;", " "))
     pack, bare = rf"(\d+){_TIMES}{_NUMBER}\s*{_UNIT}", rf"(\d+){_TIMES}{_NUMBER}"
-    plain = [r"(\d+[.,]\d+)\s*(ml|мл|l|л|g|г|kg|кг|бр|pcs)", r"(\d+)\s*(ml|мл|l|л|g|г|kg|кг|бр|pcs)"]
+    plain = [rf"({form})\s*{_COUNTED}" for form in (r"\d+[.,]\d+", r"\d+")]
     times = lambda p: number(_group(clean, p, 1)) * number(_group(clean, p, 2))
     found = F.when(_found(clean, pack), _raw(times(pack), _group(clean, pack, 3)))
     found = found.when(_found(clean, bare), _raw(times(bare), _group(clean, _UNIT, 1)))
@@ -83,7 +91,8 @@ def parse_quantity(text: Column) -> Column:
 def largest_quantity(text: Column) -> Column:
     """A pack if there is one, else the largest single quantity in base units."""
     clean = F.lower(text)
-    pack, single = rf"(\d+){_TIMES}{_NUMBER}\s*(kg|кг|mg|мг|ml|мл|gr|гр|g|г|cl|dl|l|л)", rf"{_NUMBER}\s*(kg|кг|mg|мг|ml|мл|gr|гр|g|г|cl|dl|l|л)(?![\p{{L}}])"
+    unit = _spellings("kg", "mg", "ml", "g", "cl", "dl", "l")
+    pack, single = rf"(\d+){_TIMES}{_NUMBER}\s*{unit}", rf"{_NUMBER}\s*{unit}(?![\p{{L}}])"
     values = F.regexp_extract_all(clean, F.lit(single), F.lit(1))
     units = F.regexp_extract_all(clean, F.lit(single), F.lit(2))
     each = F.arrays_zip(values.alias("v"), units.alias("u"))
@@ -93,9 +102,9 @@ def largest_quantity(text: Column) -> Column:
 
 def unit_price_quantity(text: Column) -> Column:
     """Weight pack, volume pack, weight, volume: the first that matches, in g or ml."""
-    clean, weight, volume = F.lower(text), "(kg|кг|gr|гр|g|г)", "(ml|мл|l|л)"
-    found = None
-    for pattern, packed in ((_NUMBER + _TIMES + _NUMBER + r"\s*" + weight, True), (_NUMBER + _TIMES + _NUMBER + r"\s*" + volume, True), (_NUMBER + r"\s*" + weight, False), (_NUMBER + r"\s*" + volume, False)):
+    clean, found = F.lower(text), None
+    for packed, unit in ((p, u) for p in (True, False) for u in (_WEIGHT, _VOLUME)):
+        pattern = (_NUMBER + _TIMES if packed else "") + _NUMBER + r"\s*" + unit
         value = number(_group(clean, pattern, 1)) * (number(_group(clean, pattern, 2)) if packed else F.lit(1.0))
         option = _found(clean, pattern), _raw(value, _group(clean, pattern, 3 if packed else 2))
         found = F.when(*option) if found is None else found.when(*option)
@@ -104,7 +113,7 @@ def unit_price_quantity(text: Column) -> Column:
 
 def raw_quantity(text: Column) -> Column:
     """Value and unit as written, pieces and centimetres included."""
-    pattern = rf"{_NUMBER}\s*(kg|кг|ml|мл|gr|гр|g|г|l|л|бр|pcs|cm|см)(?![\p{{L}}])"
+    pattern = rf"{_NUMBER}\s*{_COUNTED[:-1]}|cm|см)(?![\p{{L}}])"
     clean = F.lower(text)
     return F.when(_found(clean, pattern), F.struct(number(_group(clean, pattern, 1)).alias("value"), unit_name(_group(clean, pattern, 2)).alias("unit")))
 
@@ -203,3 +212,53 @@ def format_quantity(value: Column, unit: Column) -> Column:
     """Whole numbers without decimals."""
     shown = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
     return F.concat_ws(" ", shown, unit)
+
+
+def listed_quantity(text: Column, patterns: list[str], pick: str = "first", base: bool = True) -> Column:
+    """struct(value, unit) by a list of patterns, each with a number and a unit as its groups. pick: first (the first
+    pattern that matches, its first match) or max (the largest of all matches). base: in base units, else as written."""
+    clean = F.lower(text)
+    shape = amount if base else lambda v, u: F.struct(v.alias("value"), unit_name(u).alias("unit"))
+    each = lambda p: F.transform(F.arrays_zip(F.regexp_extract_all(clean, F.lit(p), F.lit(1)).alias("v"), F.regexp_extract_all(clean, F.lit(p), F.lit(2)).alias("u")), lambda x: shape(number(x["v"]), x["u"]))
+    if pick == "max":
+        return F.array_max(F.flatten(F.array(*[each(p) for p in patterns])))
+    return F.coalesce(*[F.try_element_at(each(p), F.lit(1)) for p in patterns])
+
+
+def name_quantity(text: Column) -> Column:
+    """The parsers put together: additive packs, the lower end of ranges, then the first quantity."""
+    packs = added_packs(text)
+    return F.coalesce(F.when(packs.isNotNull(), F.struct(packs.alias("value"), F.lit("pcs").alias("unit"))), range_start(text), parse_quantity(text))
+
+
+def extended_measures(text: Column) -> Column:
+    """struct(area, diameter, watts, washes, parts) of a text: "20x30 cm" is 600, Ø24, 60 W, 40 washes, 3 parts; null where absent."""
+    clean = F.lower(text)
+    one = lambda pattern, n=1: number(F.nullif(F.regexp_extract(clean, pattern, n), F.lit("")))
+    sides = rf"{_NUMBER}{_TIMES}{_NUMBER}\s*(?:cm|см)"
+    return F.struct(
+        (one(sides) * one(sides, 2)).alias("area"), one(rf"[øф]\s*{_NUMBER}").alias("diameter"), one(rf"{_NUMBER}\s*(?:watts?|w|вт)(?![\p{{L}}])").alias("watts"),
+        one(r"(\d+)\s*(?:washes|wash|пранета|пране)").alias("washes"), one(r"(\d+)\s*(?:parts|части|piece set)").alias("parts"),
+    )
+
+
+def spec_table(html: Column, labels: dict[str, str]) -> Column:
+    """struct of the named fields from a page's specification rows: the cell or text that follows each label."""
+    cell = lambda label: F.nullif(F.trim(F.regexp_extract(html, rf"(?isu){label}\s*:?\s*(?:</[a-z]+>\s*)*(?:<[^>]+>\s*)*([^<]+)", 1)), F.lit(""))
+    return F.struct(*[cell(label).alias(name) for name, label in labels.items()])
+
+
+_PACK = r"(?iu)\s*\(?(\d+)\s*(?:pack|pcs|бр\.?|броя)(?:\s*/?\s*(?:pack|пакет))?\)?"
+
+
+def pack_phrase(text: Column) -> Column:
+    """struct(pack, rest): the pieces of a pack phrase, and the text without it."""
+    return F.struct(F.nullif(F.regexp_extract(text, _PACK, 1), F.lit("")).try_cast("int").alias("pack"), F.trim(F.regexp_replace(text, _PACK, "")).alias("rest"))
+
+
+def packaging(text: Column) -> Column:
+    """struct(clean, value, unit) of a packaging text such as "per 500 g": it must be a quantity and nothing else."""
+    clean = F.trim(F.regexp_replace(F.lower(text), r"^(?:per|pro|за)\s+|[.\s]+$", ""))
+    pattern = rf"^{_NUMBER}\s*{_COUNTED}\.?$"
+    found = F.when(clean.rlike(pattern), amount(number(F.regexp_extract(clean, pattern, 1)), F.regexp_extract(clean, pattern, 2)))
+    return F.struct(clean.alias("clean"), found["value"].alias("value"), found["unit"].alias("unit"))

@@ -68,6 +68,12 @@ def categories_fit(a: Column, b: Column, wild: str = "other") -> Column:
     return (a == b) | (a == wild) | (b == wild) | a.isNull() | b.isNull()
 
 
+def product_types(text: Column, types: dict[str, list[str]]) -> Column:
+    """The types of which a keyword stands in the text between word limits, in the table's order."""
+    found = [F.when(reduce(lambda a, b: a | b, [_bounded(k, text) for k in words]), F.lit(t)) for t, words in types.items()]
+    return F.filter(F.array(*found), lambda t: t.isNotNull())
+
+
 def types_conflict(a: Column, b: Column) -> Column:
     """Both have types and share none."""
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
@@ -108,3 +114,58 @@ def availability(text: Column) -> Column:
     """sold_out, scheduled, upcoming or in_store from a page's wording."""
     low = F.lower(text)
     return F.when(low.rlike("sold ?out|изчерпан|разпродаден"), "sold_out").when(low.rlike(r"(from|от) \d{1,2}\.\d{1,2}"), "scheduled").when(low.rlike("soon|очаквайте|предстои"), "upcoming").otherwise("in_store")
+
+
+def included(text: Column, include: list[str], exclude: list[str], otherwise: bool = False) -> Column:
+    """False with a word to exclude, else true with one to include, else `otherwise`."""
+    return F.when(has_keyword(text, exclude), False).when(has_keyword(text, include), True).otherwise(otherwise)
+
+
+def card_text(text: Column, terms: list[str], least: int = 3) -> Column:
+    """Whether a card's text is a product: long enough and without any of the terms."""
+    return F.coalesce((F.length(F.trim(text)) >= least) & ~has_keyword(text, terms), F.lit(False))
+
+
+def longest_keyword_category(text: Column, rules: list[tuple[str, list[str]]], otherwise: str | None = None) -> Column:
+    """The category of the longest keyword between word limits; the first listed among equals."""
+    ordered = sorted(((k, c) for c, words in rules for k in words), key=lambda kc: -len(kc[0]))
+    return F.coalesce(*[F.when(_bounded(k, text), F.lit(c)) for k, c in ordered], F.lit(otherwise).cast("string"))
+
+
+def category_or_brand(text: Column, brand: Column, rules: list[tuple[str, list[str]]], by_brand: dict[str, str]) -> Column:
+    """The first category with a keyword anywhere in the text, else the brand's."""
+    table = F.create_map(*[F.lit(x) for pair in by_brand.items() for x in pair])
+    return F.coalesce(*[F.when(has_keyword(text, words), F.lit(c)) for c, words in rules], F.try_element_at(table, F.lower(brand)))
+
+
+def category_code(category: Column, codes: dict[str, str], otherwise: str = "99000000") -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), category), F.lit(otherwise))
+
+
+def product_variants(text: Column, kinds: list[str]) -> Column:
+    """Sorted variants: the percentage, if there is one, and the listed kinds that stand in the text."""
+    percent = F.nullif(F.replace(F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit(".")), F.lit(""))
+    return F.array_sort(F.filter(F.array(F.concat(percent, F.lit("%")), *[F.when(_bounded(k, text), F.lit(k)) for k in kinds]), lambda v: v.isNotNull()))
+
+
+def brand_in_scan(scan: Column, name: Column, brands: list[str], most: int = 20) -> Column:
+    """Brand from the text of a scanned package: the longest listed one that the name lacks, else the first line, if it is
+    short and begins with a capital."""
+    named = F.coalesce(*[F.when(_bounded(b.lower(), scan) & ~_bounded(b.lower(), name), F.lit(b)) for b in sorted(brands, key=lambda b: -len(b))], F.lit(None).cast("string"))
+    line = F.trim(F.substring_index(scan, "\n", 1))
+    return F.coalesce(named, F.when(line.rlike(r"^\p{Lu}") & (F.length(line) <= most), line))
+
+
+def normal_brand(brand: Column, variants: dict[str, str], suffixes: tuple[str, ...] = ("ltd", "llc", "gmbh", "inc", "ad", "ood", "ад", "оод", "еоод"), ignore: tuple[str, ...] = NO_BRAND) -> Column:
+    """known_brand without its legal form, in its usual spelling."""
+    name = F.trim(F.regexp_replace(known_brand(brand, ignore), rf"[\s,]+(?:{'|'.join(suffixes)})\.?$", ""))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in variants.items() for x in pair]), name), name)
+
+
+def alias_brand(brand: Column, aliases: dict[str, str]) -> Column:
+    """The brand behind an alias, as written without hyphens and spaces, else as transliterated; null if there is none."""
+    from tallyframe.functions.text import to_latin
+
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    plain = F.regexp_replace(F.lower(brand), r"[\s-]", "")
+    return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, to_latin(plain)))

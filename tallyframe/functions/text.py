@@ -31,7 +31,10 @@ def strip_markup(text: Column) -> Column:
 
 
 def unescape_entities(text: Column) -> Column:
-    """The five basic entities, the non-breaking space, and decimal references up to U+FFFF are left to html readers."""
+    """The five basic entities, the non-breaking space, and decimal references of printable ASCII characters; the rest
+    stays as it is."""
+    for code in (33, 35, *range(40, 48), 58, 63, 64, 91, 93, 95, 124):
+        text = F.replace(text, F.lit(f"&#{code};"), F.lit(chr(code)))
     for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -162,11 +165,48 @@ def without_prefix(name: Column, brand: Column) -> Column:
     return F.when(F.startswith(F.lower(name), F.concat(F.lower(brand), F.lit(" "))) & (F.length(rest) > 0), rest).otherwise(name)
 
 
+#: Latin name of a size's unit by the first letter of its spelling.
+_SIZE_UNITS = {"к": "kg", "k": "kg", "м": "ml", "m": "ml", "г": "g", "g": "g", "л": "l", "l": "l"}
+_SIZE = r"(?iu)(\d+(?:[.,]\d+)?)\s*([кk][гg]|[мm][лl]|[гg][рr]?(?![гgрrа])|[лl](?![иі]))"
+
+
 def normalise_size(text: Column) -> Column:
-    """Sizes in one Latin spelling: decimal points, kg, g, l and ml next to their number."""
-    number = r"(\d+(?:\.\d+)?)\s*"
-    text = F.regexp_replace(text, r"(\d),(\d)", "$1.$2")
-    text = F.regexp_replace(text, number + "[кКkK][гГgG]", "$1kg")
-    text = F.regexp_replace(text, number + "[гГgG][рРrR]?(?![гГgGрРrRаА])", "$1g")
-    text = F.regexp_replace(text, number + "[лЛlL](?![иІ])", "$1l")
-    return F.regexp_replace(text, number + "[мМmM][лЛlL]", "$1ml")
+    """Sizes in one Latin spelling: decimal points, kg, g, l and ml next to their number. The text is taken apart once,
+    into sizes, decimal numbers and single characters."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){_SIZE}|\d+,\d+|."), F.lit(0))
+    units = F.create_map(*[F.lit(x) for pair in _SIZE_UNITS.items() for x in pair])
+
+    def spelt(piece):
+        number = F.replace(F.regexp_extract(piece, _SIZE, 1), F.lit(","), F.lit("."))
+        unit = F.try_element_at(units, F.lower(F.substring(F.regexp_extract(piece, _SIZE, 2), 1, 1)))
+        return F.when(unit.isNotNull(), F.concat(number, unit)).when(F.length(piece) > 1, F.replace(piece, F.lit(","), F.lit("."))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, spelt), "")
+
+
+def squeezed_name(text: Column) -> Column:
+    """normal_name of a text that is squeezed first: line breaks and tabs count as spaces before punctuation goes."""
+    return squeeze(F.regexp_replace(squeeze(F.lower(text)), r"[^\p{L}\p{N}_ ]", " "))
+
+
+def without_quantities(text: Column, words_: list[str]) -> Column:
+    """Normal name without quantities and without given words (such as organic) between word limits."""
+    return normal_without(F.regexp_replace(F.lower(text), r"\d+(?:[.,]\d+)?\s*(?:kg|кг|g|гр|г|ml|мл|l|л|бр|pcs)(?![\p{L}\p{N}])", " "), words_)
+
+
+def group_title(text: Column, drop: list[str], most: int = 50) -> Column:
+    """The group key as it is shown: more of it, each word with a capital."""
+    return F.initcap(group_key(text, drop, most))
+
+
+def comparison_tokens(text: Column, noise: list[str], stop: list[str], synonyms: dict[str, str] | None = None) -> Column:
+    """Expanded tokens of a name after noise patterns, quantities, percents and ranges are cut out."""
+    plain = F.lower(text)
+    for pattern in (r"\d+\s*-\s*\d+", r"\d+(?:[.,]\d+)?\s*%", *noise):
+        plain = F.regexp_replace(plain, "(?iu)" + pattern, " ")
+    return expand_tokens(words(without_quantities(plain, []), 1, stop), synonyms)
+
+
+def strip_marks(text: Column) -> Column:
+    """Without trade-mark signs, quotation marks and surrounding punctuation."""
+    return squeeze(F.regexp_replace(F.regexp_replace(text, "[®™©\"„“”«»]", ""), r"^[\s.,;:-]+|[\s.,;:-]+$", ""))

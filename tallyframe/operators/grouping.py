@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import materialize
@@ -86,3 +88,32 @@ def integrity_violations(members: DataFrame) -> DataFrame:
     by_product = members.groupBy("product_id").agg(F.count_distinct("group_id").alias("n")).filter("n > 1").agg(F.count("*").alias("n_violations")).select(F.lit("product_in_groups").alias("rule"), "n_violations")
     sizes = members.groupBy("group_id").agg(F.count_distinct("product_id").alias("p"), F.count_distinct("store").alias("s"))
     return by_product.union(sizes.agg(F.count_if(F.col("p") < 2)).select(F.lit("single_product"), "*")).union(sizes.agg(F.count_if(F.col("s") < 2)).select(F.lit("single_store"), "*"))
+
+
+def orphan_groups(groups: DataFrame, members: DataFrame, key: str = "group_id", claimed: str = "n_stores", store: str = "store") -> DataFrame:
+    """Groups without members, or with other than the claimed number of stores: key, claimed, actual, problem."""
+    actual = members.groupBy(F.col(key).alias("_key")).agg(F.count_distinct(store).alias("actual"))
+    found = groups.join(actual, F.col(key) == F.col("_key"), "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    problem = F.when(F.col("actual") == 0, "orphan").when(F.col("actual") != F.col(claimed), "stores")
+    return found.select(key, F.col(claimed).alias("claimed"), "actual", problem.alias("problem")).filter("problem is not null")
+
+
+def constraint_violations(df: DataFrame, unique: list[list[str]], checks: dict[str, Column], references: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+    """(rule, n_violations) of UNIQUE keys (rows beyond the first of a key), CHECKs (rows for which they are false) and
+    foreign keys (rows whose value the other table lacks; null values refer to nothing)."""
+    parts = [df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_violations")).select(F.lit("unique:" + ",".join(keys)).alias("rule"), "n_violations") for keys in unique]
+    parts += [df.agg(F.count_if(~rule).alias("n_violations")).select(F.lit("check:" + name).alias("rule"), "n_violations") for name, rule in checks.items()]
+    for name, (column, other, key) in references.items():
+        missing = df.filter(F.col(column).isNotNull()).join(other.select(F.col(key).alias("_ref")), F.col(column) == F.col("_ref"), "left_anti")
+        parts.append(missing.agg(F.count("*").alias("n_violations")).select(F.lit("reference:" + name).alias("rule"), "n_violations"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repaired_groups(members: DataFrame, pairs_match: DataFrame, most_ratio: float = 2.5) -> DataFrame:
+    """members (group_id, product_id, store, price) of groups after repair: members that match fewer than half of the others
+    go (pairs_match: group_id, a, b, matches), then groups that are left with one store, or with prices beyond the ratio."""
+    seen = pairs_match.select("group_id", F.explode(F.array("a", "b")).alias("product_id"), "matches")
+    kept = seen.groupBy("group_id", "product_id").agg(F.count_if("matches").alias("yes"), F.count("*").alias("n")).filter(2 * F.col("yes") >= F.col("n")).select("group_id", "product_id")
+    left = members.join(kept, ["group_id", "product_id"])
+    fine = left.groupBy("group_id").agg(F.count_distinct("store").alias("s"), (F.max("price") <= most_ratio * F.min("price")).alias("ok")).filter((F.col("s") >= 2) & F.col("ok")).select("group_id")
+    return left.join(fine, "group_id", "left_semi")

@@ -48,29 +48,34 @@ class BreakerRules:
     successes: int = 2
 
 
+#: Name, count (failures while closed, successes while half open), time it opened.
+CLOSED = ("closed", 0, 0.0)
+
+
+def breaker_step(state: tuple, now: float, bad: bool, rules: BreakerRules) -> tuple[tuple, tuple[str, bool]]:
+    """The breaker after one event, its name and whether the call was let through."""
+    name, count, since = state
+    if name == "open":
+        if now - since < rules.timeout:
+            return state, (name, False)
+        name, count = "half_open", 0
+    if name == "closed":
+        count = count + 1 if bad else 0
+        name, since = ("open", now) if count >= rules.failures else (name, since)
+    elif bad:
+        name, count, since = "open", 0, now
+    else:
+        count += 1
+        name, count = ("closed", 0) if count >= rules.successes else (name, count)
+    return (name, count, since), (name, True)
+
+
 def circuit_breaker(events: DataFrame, key: str, at: str, tie: str, failed: str, rules: BreakerRules | None = None) -> DataFrame:
     """State of each key's breaker after each event (closed, open, half_open) and whether the call was let through."""
     rules = rules or BreakerRules()
     timed = events.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
 
-    def step(state, row):
-        name, count, since = state
-        now, bad = row[3], bool(row[4])
-        if name == "open":
-            if now - since < rules.timeout:
-                return state, (name, False)
-            name, count = "half_open", 0
-        if name == "closed":
-            count = count + 1 if bad else 0
-            name, since = ("open", now) if count >= rules.failures else (name, since)
-        elif bad:
-            name, count, since = "open", 0, now
-        else:
-            count += 1
-            name, count = ("closed", 0) if count >= rules.successes else (name, count)
-        return (name, count, since), (name, True)
-
-    return _fold(timed, key, [at, tie], lambda: ("closed", 0, 0.0), step, ["_s", failed], "state string, allowed boolean")
+    return _fold(timed, key, [at, tie], lambda: CLOSED, lambda state, row: breaker_step(state, row[3], bool(row[4]), rules), ["_s", failed], "state string, allowed boolean")
 
 
 @dataclass(frozen=True)

@@ -63,8 +63,9 @@ def split_retention(df: DataFrame, at: str, cutoff: Column) -> tuple[DataFrame,
     return df.filter(F.col(at) >= cutoff), df.filter(F.col(at) < cutoff)
 
 
-def price_statistics(prices: DataFrame, keys: list[str], at: str, price: str, as_of: Column) -> DataFrame:
-    """Averages of the last 30 and 90 days, extremes, volatility and trend per key."""
+def price_statistics(prices: DataFrame, keys: list[str], at: str, price: str, as_of: Column, deal: float = 0.25) -> DataFrame:
+    """Averages of the last 30 and 90 days, extremes, volatility, trend per day, and the price below which an offer is a
+    deal (`deal` of the way from the lowest to the average), per key."""
     since = lambda days: F.col(at) > as_of - F.expr(f"INTERVAL {days} DAYS")
     day = F.unix_date(F.col(at).cast("date")).cast("double")
     return prices.filter(F.col(at) <= as_of).groupBy(*keys).agg(
@@ -74,4 +75,21 @@ def price_statistics(prices: DataFrame, keys: list[str], at: str, price: str, as
         F.max(price).alias("max_ever"),
         F.stddev_samp(price).alias("volatility"),
         F.regr_slope(F.col(price), day).alias("trend"),
+        (F.min(price) + (F.avg(price) - F.min(price)) * deal).alias("deal_threshold"),
     )
+
+
+def current_versions(rows: DataFrame, versions: DataFrame, keys: list[str], valid_to: str = "valid_to") -> DataFrame:
+    """rows with the version that is valid now, if they have one."""
+    return rows.join(versions.filter(F.col(valid_to).isNull()).drop(valid_to), keys, "left")
+
+
+def touch(target: DataFrame, seen: DataFrame, keys: list[str], first: str = "first_seen", last: str = "last_seen") -> DataFrame:
+    """target after another sight of some keys: the first time seen stays the earliest, the last becomes the latest; new keys are added."""
+    both = target.select(*keys, first, last).unionByName(seen.select(*keys, first, last))
+    return both.groupBy(*keys).agg(F.min(first).alias(first), F.max(last).alias(last))
+
+
+def insert_replace(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """source and those rows of target whose key it lacks (source keys are unique)."""
+    return source.unionByName(target.join(source.select(*keys), keys, "left_anti"))

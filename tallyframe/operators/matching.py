@@ -33,13 +33,22 @@ def shared_token_pairs(left: DataFrame, right: DataFrame, l_key: str, r_key: str
 
 
 def inverse_frequencies(index: DataFrame, key: str, n_docs: Column | int) -> DataFrame:
-    """(token, df, idf) with idf = ln((N+1)/(df+1)) + 1."""
-    return index.groupBy("token").agg(F.count_distinct(key).alias("df")).withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
+    """(token, df, idf) with idf = ln((N+1)/(df+1)) + 1; index has one row per token and key."""
+    return index.groupBy("token").agg(F.count(key).alias("df")).withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
+
+
+def token_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, token, n): how often each row holds each token."""
+    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def tfidf_weights(df: DataFrame, key: str, tokens: Column, idf: DataFrame) -> DataFrame:
     """(key, token, weight) with tf = 1 + ln(count), scaled to unit length."""
-    counts = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return weighted(token_counts(df, key, tokens), key, idf)
+
+
+def weighted(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """(key, token, weight) from token counts, scaled to unit length."""
     raw = counts.join(idf, "token").withColumn("w", (1 + F.log("n")) * F.col("idf"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
@@ -52,16 +61,20 @@ def cosine_pairs(left: DataFrame, right: DataFrame, l_key: str, r_key: str) -> D
 
 
 def best_candidate(pairs: DataFrame, probe: str, candidate: str, score: str) -> DataFrame:
-    """The best candidate of each probe; the smallest among equals."""
-    w = Window.partitionBy(probe).orderBy(F.col(score).desc(), candidate)
-    return pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The best candidate of each probe by a partial aggregate; the smallest among equals, one without a score last."""
+    rest = [c for c in pairs.columns if c not in (probe, candidate)]
+    order = F.struct(F.col(score).isNull().alias("_none"), (-F.col(score)).alias("_low"), F.col(candidate), *rest)
+    return pairs.groupBy(probe).agg(F.min(order).alias("_b")).select(*[F.col(c) if c == probe else F.col(f"_b.{c}") for c in pairs.columns])
 
 
 def mutual_best(pairs: DataFrame, a: str, b: str, score: str, least: float) -> DataFrame:
-    """Pairs in which either side is the other's best and the score reaches `least`."""
-    ra = F.row_number().over(Window.partitionBy(a).orderBy(F.col(score).desc(), b))
-    rb = F.row_number().over(Window.partitionBy(b).orderBy(F.col(score).desc(), a))
-    return pairs.withColumns({"_a": ra, "_b": rb}).filter((F.col("_a") == 1) & (F.col("_b") == 1) & (F.col(score) >= least)).drop("_a", "_b")
+    """Pairs (a, b, score) in which either side is the other's best and the score reaches `least`. Every pair is
+    seen from both sides by one partial aggregate, so nothing is sorted and pairs are made once."""
+    view = lambda side, own, other: F.struct(F.lit(side).alias("side"), F.col(own).alias("own"), F.struct((-F.col(score)).alias("low"), F.col(other).alias("other")).alias("best"))
+    both = pairs.filter(F.col(score).isNotNull()).select(F.explode(F.array(view("a", a, b), view("b", b, a))).alias("v")).groupBy("v.side", "v.own").agg(F.min("v.best").alias("best"))
+    mine = both.filter("side = 'a'").select(F.col("own").alias(a), F.col("best.other").alias(b), (-F.col("best.low")).alias(score))
+    theirs = both.filter("side = 'b'").select(F.col("best.other").alias(a), F.col("own").alias(b))
+    return mine.join(theirs, [a, b]).filter(F.col(score) >= least)
 
 
 def exact_groups(products: DataFrame, key: list[Column], store: str, product: str) -> DataFrame:
@@ -92,21 +105,25 @@ class MatchRules:
     rescue_base: float = 0.3
 
 
+def prepared(products: DataFrame) -> DataFrame:
+    """products (tokens, brand, ...) with what the scored matcher needs of each, made once per product and not per
+    pair: concepts, and `free`, those concepts that neither hold the brand nor stand in it."""
+    concepts = F.array_distinct(F.transform("tokens", text.concept))
+    return products.withColumn("concepts", concepts).withColumn("free", F.filter("concepts", lambda t: ~(F.contains(F.col("brand"), t) | F.contains(t, F.col("brand"))))).drop("tokens")
+
+
 def matcher_score(pairs: DataFrame, rule: MatchRules | None = None) -> DataFrame:
-    """Scores pairs of structs l and r with: tokens (array), grams (array), brand, category, quantity, unit,
-    types (array). Adds base, brand_class, quantity_class and score; pairs that a rule drops are gone."""
+    """Scores pairs of structs l and r, each prepared(): concepts, free, grams (arrays), brand, category, quantity,
+    unit, types (array). Adds base, brand_class, quantity_class and score; pairs that a rule drops are gone."""
     rule = rule or MatchRules()
     c = F.col
-    concepts = lambda side: F.transform(c(f"{side}.tokens"), text.concept)
-    base = 0.6 * similarity.jaccard(concepts("l"), concepts("r")) + 0.4 * similarity.jaccard(c("l.grams"), c("r.grams"))
-    scored = pairs.withColumn("trigram", similarity.jaccard(c("l.grams"), c("r.grams"))).withColumn("base", base)
+    scored = pairs.withColumn("trigram", similarity.jaccard(c("l.grams"), c("r.grams")))
+    scored = scored.withColumn("base", 0.6 * similarity.jaccard(c("l.concepts"), c("r.concepts")) + 0.4 * c("trigram"))
     scored = scored.withColumn("brand_class", similarity.brand_class(c("l.brand"), c("r.brand"))).withColumn("quantity_class", quantity.quantity_class(c("l.quantity"), c("l.unit"), c("r.quantity"), c("r.unit")))
     match = c("brand_class") == "match"
     scored = scored.filter((c("brand_class") != "reject") & (c("base") >= F.when(match, rule.threshold * 0.6).otherwise(rule.threshold * 0.7)))
     scored = scored.filter(~(match & rules.types_conflict(c("l.types"), c("r.types"))))
-    brandless = lambda side: F.filter(c(f"{side}.tokens"), lambda t: ~(F.contains(c(f"{side}.brand"), text.concept(t)) | F.contains(text.concept(t), c(f"{side}.brand"))))
-    common = F.size(F.array_intersect(F.transform(brandless("l"), text.concept), F.transform(brandless("r"), text.concept)))
-    scored = scored.filter(~(match & (F.coalesce(common, F.lit(0)) == 0) & (c("base") < 0.35)))
+    scored = scored.filter(~(match & ~F.coalesce(F.arrays_overlap("l.free", "r.free"), F.lit(False)) & (c("base") < 0.35)))
     capped = lambda x: F.least(F.lit(1.0), x)
     cpg = c("l.category").isin(*rule.cpg) | c("r.category").isin(*rule.cpg)
     same = c("l.category").eqNullSafe(c("r.category"))
@@ -125,7 +142,7 @@ def attribute_tier(brand_a, brand_b, type_a, type_b, size_a, size_b) -> Column:
     return F.when(brand & kind & size, 0.95).when(brand & kind, 0.80).when(kind & size, 0.65).when(kind, 0.50)
 
 
-def fast_match(products: DataFrame, catalogue: DataFrame, cap: int = 100, least: float = 0.40) -> DataFrame:
+def fast_match(products: DataFrame, catalogue: DataFrame, cap: int | None = 100, least: float = 0.40) -> DataFrame:
     """products (id, name, barcode, size, maybe brand), catalogue (off_id, off_name, off_barcode, off_size, maybe
     off_brand): barcode first; else shared tokens, .6 Jaccard + .3 hits per token + .15 for close sizes, confidence
     score + .2 up to .95. A brand inside the other or of ratio above .7 proposes its first 50 rows and adds two hits.
@@ -141,50 +158,154 @@ def fast_match(products: DataFrame, catalogue: DataFrame, cap: int = 100, least:
     full = shared.join(rest.select("id", "size", tokens("name").alias("t")), "id").join(catalogue.select("off_id", "off_size", tokens("off_name").alias("o")), "off_id")
     close = F.coalesce(F.least("size", "off_size") / F.greatest("size", "off_size") > 0.8, F.lit(False))
     score = 0.6 * similarity.jaccard(F.array_distinct("t"), F.array_distinct("o")) + 0.3 * F.col("shared") / F.size(F.array_distinct("t")) + F.when(close, 0.15).otherwise(0.0)
-    ranked = best_candidate(full.withColumn("score", score), "id", "off_id", "score").withColumn("confidence", F.least(F.col("score") + 0.2, F.lit(0.95)))
+    ranked = best_candidate(full.select("id", "off_id", score.alias("score")), "id", "off_id", "score").withColumn("confidence", F.least(F.col("score") + 0.2, F.lit(0.95)))
     by_token = ranked.filter(F.col("confidence") >= least).select("id", "off_id", "confidence", F.lit("token").alias("method"))
     left = rest.join(by_token, "id", "left_anti").withColumn("t", F.array_distinct(tokens("name"))).filter(F.size("t") >= 2)
     near = shared_token_pairs(postings(left, "id", F.slice("t", 1, 3)), postings(catalogue, "off_id", tokens("off_name"), 30), "id", "off_id")
     ratio = similarity.sequence_ratio(text.normal_name(F.col("name")), text.normal_name(F.col("off_name")))
-    spelt = near.join(left.select("id", "name"), "id").join(catalogue.select("off_id", "off_name"), "off_id").withColumn("confidence", ratio * 0.8)
+    spelt = near.join(left.select("id", "name"), "id").join(catalogue.select("off_id", "off_name"), "off_id").select("id", "off_id", (ratio * 0.8).alias("confidence"))
     by_spelling = best_candidate(spelt, "id", "off_id", "confidence").filter(F.col("confidence") >= least)
     return by_code.unionByName(by_token).unionByName(by_spelling.select("id", "off_id", "confidence", F.lit("fuzzy").alias("method")))
 
 
-def _brand_hits(products: DataFrame, catalogue: DataFrame, cap: int = 50, least: float = 0.7) -> DataFrame:
+def containing_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (a, b) of which one holds the other, both not empty. A text that stands in another has its first (up to)
+    three letters there, so pairs meet by equality on them and are then checked: no pair is missed, none is made in vain by a product."""
+    shorter = lambda df, c: df.select(c).filter(F.length(c) > 0).distinct().withColumn("_gram", F.substring(c, 1, 3))
+    grams = F.flatten(F.array(*[text.ngrams(F.col("_t"), n) for n in (1, 2, 3)]))
+    longer = lambda df, c: df.select(c).filter(F.length(c) > 0).distinct().withColumn("_t", F.col(c)).withColumn("_gram", F.explode(grams)).drop("_t")
+    one = shorter(left, a).join(longer(right, b), "_gram").filter(F.contains(b, a)).select(a, b)
+    other = longer(left, a).join(shorter(right, b), "_gram").filter(F.contains(a, b)).select(a, b)
+    return one.union(other).distinct()
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Distinct (a, b) whose sequence ratio is over `least`. Such texts differ in length by a bounded factor, so they meet by length."""
+    length = F.length(a)
+    near = F.sequence(F.floor(length * least / (2 - least)).cast("int"), F.ceil(length * (2 - least) / least).cast("int"))
+    mine = left.select(a).filter(length > 0).distinct().withColumn("_len", F.explode(near))
+    theirs = right.select(b).distinct().withColumn("_len", F.length(b))
+    return mine.join(theirs, "_len").filter(similarity.sequence_ratio(F.col(a), F.col(b)) > least).select(a, b)
+
+
+def long_enough(a: Column, b: Column, least: float) -> Column:
+    """Whether the lengths of two texts allow a sequence ratio of `least`: a cheap bound before the ratio itself."""
+    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+
+
+def _brand_hits(products: DataFrame, catalogue: DataFrame, cap: int | None = 50, least: float = 0.7) -> DataFrame:
     """(id, off_id, shared = 2) for the first rows of every catalogue brand that is close to the product's."""
     mine = products.select("id", text.normal_name(F.col("brand")).alias("b")).filter(F.length("b") > 0)
     theirs = postings(catalogue, "off_id", F.array(text.normal_name(F.col("off_brand"))), cap).filter(F.length("token") > 0)
-    inside = F.contains("b", "token") | F.contains("token", "b")
-    alike = mine.select("b").distinct().join(theirs.select("token").distinct(), inside | (similarity.sequence_ratio(F.col("b"), F.col("token")) > least))
+    alike = containing_pairs(mine, theirs, "b", "token").union(alike_pairs(mine, theirs, "b", "token", least)).distinct()
     return mine.join(alike, "b").join(theirs, "token").select("id", "off_id", F.lit(2).cast("long").alias("shared"))
 
 
-def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0.55) -> DataFrame:
-    """products (id, name, brand, size), catalogue (off_id, off_name, off_brand, off_size): score .40 brand +
-    .35 name + .25 size. Pass 1 takes candidates of the same brand and size, pass 2 of the brand, pass 3
-    with two tokens in common; a product that a pass settles (.70) leaves the next ones."""
+def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0.55, brand_cap: int | None = 100, token_cap: int | None = 50) -> DataFrame:
+    """products (id, name, brand, size), catalogue (off_id, off_name, off_brand, off_size): score .40 brand (same 1, inside
+    .8, else half the ratio) + .35 name + .25 size (same 1, within a tenth .9, within three tenths .5). Pass 1 takes
+    candidates of the same brand and size, pass 2 the first `brand_cap` of the brand, pass 3 those with two tokens in common
+    among the first `token_cap` of each (None: all); a product that a pass settles (.70) leaves the next ones."""
     tokens = lambda name: F.array_distinct(text.words(text.normal_name(F.col(name)), 1))
     p = products.withColumn("t", tokens("name"))
     o = catalogue.withColumn("o", tokens("off_name"))
-    brand = F.when(F.col("brand") == F.col("off_brand"), 1.0).when(F.contains("brand", "off_brand") | F.contains("off_brand", "brand"), 0.8).otherwise(0.0)
+    brand = F.when(F.col("brand") == F.col("off_brand"), 1.0).when(F.contains("brand", "off_brand") | F.contains("off_brand", "brand"), 0.8).otherwise(0.5 * similarity.sequence_ratio(F.col("brand"), F.col("off_brand")))
+    brand = F.when(F.col("brand").isNotNull() & F.col("off_brand").isNotNull(), brand).otherwise(0.0)
     name = 0.6 * similarity.overlap(F.col("t"), F.col("o")) + 0.4 * similarity.sequence_ratio(F.col("name"), F.col("off_name"))
-    size = F.when(F.col("size") == F.col("off_size"), 1.0).when(quantity.within_share(F.col("size"), F.col("off_size")), 0.9).otherwise(0.5)
-    score = 0.40 * F.coalesce(brand, F.lit(0.0)) + 0.35 * name + 0.25 * F.coalesce(size, F.lit(0.5))
+    apart = F.abs(F.col("size") - F.col("off_size")) / F.greatest("size", "off_size")
+    size = F.when(F.col("size") == F.col("off_size"), 1.0).when(apart < 0.1, 0.9).when(apart < 0.3, 0.5).otherwise(0.0)
+    score = 0.40 * brand + 0.35 * name + 0.25 * size
 
     def settle(pairs: DataFrame, number: int, bonus: float) -> DataFrame:
-        best = best_candidate(pairs.withColumn("score", score), "id", "off_id", "score").filter("score >= 0.70")
+        best = best_candidate(pairs.select("id", "off_id", score.alias("score")), "id", "off_id", "score").filter("score >= 0.70")
         return best.select("id", "off_id", F.least(F.col("score") + bonus, F.lit(0.95)).alias("confidence"), F.lit(number).alias("pass"))
 
     first = settle(p.join(o, (F.col("brand") == F.col("off_brand")) & (F.col("size") == F.col("off_size"))), 1, 0.1)
     left = p.join(first, "id", "left_anti")
-    second = settle(left.join(o, F.col("brand") == F.col("off_brand")), 2, 0.0)
+    branded = postings(o.filter("off_brand is not null"), "off_id", F.array("off_brand"), brand_cap).withColumnRenamed("token", "brand")
+    second = settle(left.join(branded, "brand").join(o, "off_id"), 2, 0.0)
     left = left.join(second, "id", "left_anti")
-    shared = shared_token_pairs(postings(left, "id", F.col("t")), postings(o, "off_id", F.col("o"), 50), "id", "off_id", 2)
+    shared = shared_token_pairs(postings(left, "id", F.col("t")), postings(o, "off_id", F.col("o"), token_cap), "id", "off_id", 2)
     third = settle(shared.join(left, "id").join(o, "off_id"), 3, 0.0)
     return first.unionByName(second).unionByName(third).filter(F.col("confidence") >= least)
 
 
+def _priced_pairs(products: DataFrame, most_apart: float) -> DataFrame:
+    """Pairs of one category and different stores, prices positive and at most so many percent apart, smaller id first."""
+    rows = products.filter("price > 0")
+    pairs = blocked_pairs(rows, rows, ["category"], "id").filter(F.col("l.store") != F.col("r.store"))
+    low, high = F.least("l.price", "r.price"), F.greatest("l.price", "r.price")
+    return pairs.withColumn("savings_pct", F.round((high - low) / high * 100, 1)).filter((high - low) / low * 100 <= most_apart)
+
+
+def ratio_match(products: DataFrame, least: float = 0.7, most_apart: float = 200.0, other: str = "other") -> DataFrame:
+    """products (id, store, category, name, quantity, unit, price): pairs of a category (but `other`) of different stores whose
+    names have the sequence ratio, whose quantities are within a fifth (or unknown), and whose prices are near. Gives a, b, score, savings_pct."""
+    pairs = _priced_pairs(products.filter(F.col("category") != other), most_apart)
+    a, b = (quantity.amount(F.col(f"{s}.quantity"), F.col(f"{s}.unit")) for s in "lr")
+    unknown = ~F.coalesce((F.col("l.quantity") > 0) & (F.length("l.unit") > 0) & (F.col("r.quantity") > 0) & (F.length("r.unit") > 0), F.lit(False))
+    fits = unknown | F.coalesce((a["unit"] == b["unit"]) & (a["value"] / b["value"]).between(0.8, 1.2), F.lit(False))
+    names = [F.lower(F.coalesce(f"{s}.name", F.lit(""))) for s in "lr"]
+    scored = pairs.filter(fits & long_enough(*names, least)).withColumn("score", similarity.sequence_ratio(*names))
+    return scored.filter(F.col("score") >= least).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "score", "savings_pct")
+
+
+def sign_match(products: DataFrame, signs: list[str], least: float = 0.65, most_apart: float = 150.0, other: str = "other") -> DataFrame:
+    """products (id, store, category, name, brand, quantity, unit, price): names of three letters with equal size signs; both
+    per kilogram, or quantities that agree (of a missing one only outside `other`); then .3 brand + .7 name ratio (from .85 and
+    .55 on), else the name ratio from `least` on. Gives a, b, score, method, savings_pct."""
+    pairs = _priced_pairs(products.filter(F.length("name") >= 3), most_apart)
+    held = lambda s: F.filter(F.array(*[F.when(F.contains(F.lower(F.col(f"{s}.name")), F.lit(x)), F.lit(x)) for x in sorted(signs)]), lambda x: x.isNotNull())
+    kilo = lambda s: quantity.per_kilo(F.col(f"{s}.name"), F.col(f"{s}.quantity"), quantity.unit_name(F.col(f"{s}.unit")))
+    a, b = (quantity.amount(F.col(f"{s}.quantity"), F.col(f"{s}.unit")) for s in "lr")
+    known = [F.coalesce((F.col(f"{s}.quantity") > 0) & (F.length(f"{s}.unit") > 0), F.lit(False)) for s in "lr"]
+    agree = F.coalesce((a["unit"] == b["unit"]) & (a["value"] / b["value"]).between(0.8, 1.2), F.lit(False))
+    fits = (kilo("l") & kilo("r")) | F.when(known[0] & known[1], agree).when(~known[0] & ~known[1], True).otherwise(F.col("l.category") != other)
+    names = [text.normal_name(F.col(f"{s}.name")) for s in "lr"]
+    brands = [rules.known_brand(F.col(f"{s}.brand")) for s in "lr"]
+    low = F.least(F.lit(0.55), F.lit(least))
+    near = pairs.filter((held("l") == held("r")) & fits & long_enough(*names, 0.55)).withColumn("n", similarity.sequence_ratio(*names)).filter(F.col("n") >= low)
+    near = near.withColumn("m", F.when(brands[0].isNotNull() & brands[1].isNotNull(), similarity.sequence_ratio(*brands)))
+    both = (F.col("m") >= 0.85) & (F.col("n") >= 0.55)
+    score = F.when(both, 0.3 * F.col("m") + 0.7 * F.col("n")).when(F.col("n") >= least, F.col("n"))
+    found = near.withColumn("score", score).withColumn("method", F.when(both, "brand+name").otherwise("name_only"))
+    return found.filter("score is not null").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "score", "method", "savings_pct")
+
+
+def offline_match(products: DataFrame, catalogue: DataFrame, least: float = 0.6, first: int = 1000) -> DataFrame:
+    """products (id, name, brand), catalogue (off_id, off_name, off_brand): .5 for a brand inside the other (.4 for a ratio over
+    .8) + .3 word overlap + .2 sequence ratio. Candidates share a brand word of three letters; a product without any takes the
+    `first` catalogue rows, of which only those of a close brand can reach `least`."""
+    brand = lambda c: F.nullif(F.replace(F.lower(F.col(c)), F.lit("-"), F.lit(" ")), F.lit(""))
+    parts = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: F.length(w) > 2)
+    p, o = products.withColumn("b", brand("brand")), catalogue.withColumn("ob", brand("off_brand"))
+    by_word = shared_token_pairs(postings(p, "id", parts("brand")), postings(o, "off_id", parts("off_brand")), "id", "off_id").select("id", "off_id")
+    rest = p.join(by_word, "id", "left_anti").filter("b is not null")
+    head = o.orderBy("off_id").limit(first).filter("ob is not null")
+    near = containing_pairs(rest, head, "b", "ob").union(alike_pairs(rest, head, "b", "ob", 0.8)).distinct()
+    by_brand = rest.join(near, "b").join(head, "ob").select("id", "off_id")
+    inside = F.contains("ob", "b") | F.contains("b", "ob")
+    close = F.when(inside, 0.5).when(similarity.sequence_ratio(F.col("b"), F.col("ob")) > 0.8, 0.4).otherwise(0.0)
+    n, m = text.normal_name(F.col("name")), text.normal_name(F.col("off_name"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 0))
+    pairs = by_word.union(by_brand).join(p, "id").join(o, "off_id")
+    score = F.coalesce(close, F.lit(0.0)) + 0.3 * similarity.overlap(words(n), words(m)) + 0.2 * similarity.sequence_ratio(n, m)
+    best = best_candidate(pairs.select("id", "off_id", F.least(score, F.lit(1.0)).alias("confidence")), "id", "off_id", "confidence")
+    return best.filter(F.col("confidence") >= least)
+
+
+def with_tiers(matches: DataFrame, score: str, tiers: list[tuple[float, str]]) -> DataFrame:
+    """matches that reach the lowest tier, with the name of the highest they reach; tiers from the highest down."""
+    name = F.coalesce(*[F.when(F.col(score) >= low, F.lit(tier)) for low, tier in tiers])
+    return matches.withColumn("tier", name).filter("tier is not null")
+
+
+def match_key(brand: Column, kind: Column, size: Column, variants: Column) -> Column:
+    """brand:type:size:variants, null where brand or type is missing."""
+    parts = [F.lower(brand), kind, F.coalesce(size.cast("string"), F.lit("")), F.array_join(F.array_sort(variants), "+")]
+    return F.when(brand.isNotNull() & kind.isNotNull(), F.concat_ws(":", *parts))
+
+
 def strict_match(pairs: DataFrame, least: float = 0.60, most_ratio: float = 2.5) -> DataFrame:
     """Pairs of structs l and r (id, name, types, quantity, price): types meet, quantities within .75 to
     1.25, prices within the ratio unless quantities are within 10 %, two common words, .6 Jaccard + .4

@@ -65,17 +65,17 @@ def first_fit(products: DataFrame, catalogue: DataFrame) -> DataFrame:
     return best.select("id", "m.off_id", "m.fits")
 
 
-def hybrid_match(products: DataFrame, catalogue: DataFrame, n_docs: int, least: float = 0.45) -> DataFrame:
+def hybrid_match(products: DataFrame, catalogue: DataFrame, n_docs: int | None = None, least: float = 0.45) -> DataFrame:
     """products (id, name, brand, size, barcode), catalogue (off_*): barcode; then .85 of .4 brand + .3 size +
     .3 name against TF-IDF cosine. The brand result wins from .75 on, or from nine tenths of the cosine.
     Where neither reaches `least`, .5 times sequence ratio with all catalogue names, if that does."""
     by_code = products.join(catalogue.filter("off_barcode is not null").groupBy(F.col("off_barcode").alias("barcode")).agg(F.min("off_id").alias("off_id")), "barcode").select("id", "off_id", F.lit(1.0).alias("confidence"), F.lit("barcode").alias("method"))
     rest = products.join(by_code, "id", "left_anti")
     p, o = rest.withColumn("t", _tokens("name")), catalogue.withColumn("o", _tokens("off_name"))
-    same = p.join(o, F.col("brand") == F.col("off_brand"))
+    same = p.join(o, F.col("brand") == F.col("off_brand")).select("id", "off_id", "size", "off_size", "t", "o")
     close = F.when(quantity.within_share(F.col("size"), F.col("off_size")), 1.0).otherwise(0.0)
-    brand = matching.best_candidate(same.withColumn("score", 0.85 * (0.4 + 0.3 * close + 0.3 * similarity.jaccard(F.col("t"), F.col("o")))), "id", "off_id", "score").select("id", F.col("off_id").alias("brand_off"), F.col("score").alias("brand_score")).filter(F.col("brand_score") >= least)
-    idf = matching.inverse_frequencies(matching.postings(o, "off_id", F.col("o")), "off_id", n_docs).select("token", "idf")
+    brand = matching.best_candidate(same.select("id", "off_id", (0.85 * (0.4 + 0.3 * close + 0.3 * similarity.jaccard(F.col("t"), F.col("o")))).alias("score")), "id", "off_id", "score").select("id", F.col("off_id").alias("brand_off"), F.col("score").alias("brand_score")).filter(F.col("brand_score") >= least)
+    idf = matching.inverse_frequencies(matching.postings(o, "off_id", F.col("o")), "off_id", catalogue.count() if n_docs is None else n_docs).select("token", "idf")
     cos = matching.cosine_pairs(matching.tfidf_weights(p, "id", F.col("t"), idf), matching.tfidf_weights(o, "off_id", F.col("o"), idf), "id", "off_id")
     cosine = matching.best_candidate(cos, "id", "off_id", "cosine").select("id", F.col("off_id").alias("cos_off"), "cosine").filter(F.col("cosine") >= least)
     both = brand.join(cosine, "id", "full")
@@ -96,7 +96,7 @@ def _nearest_names(products: DataFrame, catalogue: DataFrame, least: float) -> D
     return matching.best_candidate(scored.filter(F.col("ratio") >= least), "n", "off_id", "ratio").select("n", "off_id", "ratio")
 
 
-def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int = 50, least: float = 0.45) -> DataFrame:
+def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int | None = 50, least: float = 0.45) -> DataFrame:
     """Names against catalogue names as written and transliterated either way; shared words propose,
     .6 sequence ratio + .4 Jaccard decides. Tiers from .85 and .75."""
     variants = lambda c: F.array_distinct(F.array(F.lower(F.col(c)), text.to_latin(F.col(c)), text.to_cyrillic(F.col(c))))
@@ -111,7 +111,7 @@ def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int = 5
 def importer_matches(products: DataFrame, catalogue: DataFrame, brand_least: float = 0.6, prefix_least: float = 0.7) -> DataFrame:
     """All matches: barcode 1.0; brand inside brand and sequence ratio; the first 20 letters of the name and ratio times .8."""
     by_code = products.join(catalogue, F.col("barcode") == F.col("off_barcode")).select("id", "off_id", F.lit(1.0).alias("confidence"), F.lit("barcode").alias("method"))
-    brands = products.select("brand").distinct().join(catalogue.select("off_brand").distinct(), F.contains("off_brand", "brand") | F.contains("brand", "off_brand"))
+    brands = matching.containing_pairs(products, catalogue, "brand", "off_brand")
     ratio = similarity.sequence_ratio(F.lower("name"), F.lower("off_name"))
     by_brand = products.join(brands, "brand").join(catalogue, "off_brand").withColumn("confidence", ratio).filter(F.col("confidence") >= brand_least).select("id", "off_id", "confidence", F.lit("brand").alias("method"))
     key = lambda c: F.substring(text.normal_name(F.col(c)), 1, 20)
@@ -146,11 +146,33 @@ def shared_identifier_groups(rows: DataFrame, identifier: str, store: str, membe
 
 
 def containing_brand_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 4) -> DataFrame:
-    """Distinct brand pairs of which one holds the other. Brands are first dealt by their words, so no product of all pairs is formed."""
-    words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.split(c, " ")).alias("w"))
-    pairs = words(left, a).join(words(right, b), "w").select(a, b).distinct()
+    """Distinct brand pairs that are equal or of which one of `least` letters stands in the other."""
     inside = ((F.length(a) >= least) & F.contains(b, a)) | ((F.length(b) >= least) & F.contains(a, b)) | (F.col(a) == F.col(b))
-    return pairs.filter(inside)
+    return matching.containing_pairs(left, right, a, b).filter(inside)
+
+
+def close_brand_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.7) -> DataFrame:
+    """Distinct brand pairs of which one holds the other, or whose sequence ratio is over `least`."""
+    return matching.containing_pairs(left, right, a, b).union(matching.alike_pairs(left, right, a, b, least)).distinct()
+
+
+def name_lookup(rows: DataFrame, table: DataFrame, name: str, known: str, value: str, order: str) -> DataFrame:
+    """rows with `value` of the table row of the same name; else of the one named like the row without its first word; else of
+    the first (by `order`) whose name holds the row's or stands in it. Names are compared in normal form."""
+    key, other = text.normal_name(F.col(name)), text.normal_name(F.col(known))
+    rest = F.nullif(F.regexp_replace(key, "^[^ ]+ ?", ""), F.lit(""))
+    exact = fallback_lookup(rows, table, [(key, other), (rest, other)], value, order)
+    left = exact.filter(F.col(value).isNull()).select(key.alias("_a")).distinct()
+    named = table.select(other.alias("_b"), F.col(value).alias("_found"), F.col(order).alias("_ord"))
+    first = matching.containing_pairs(left, named, "_a", "_b").join(named, "_b").groupBy("_a").agg(F.min_by("_found", "_ord").alias("_found"))
+    return exact.withColumn("_key", key).join(first, F.col("_key") == F.col("_a"), "left").withColumn(value, F.coalesce(value, "_found")).drop("_key", "_a", "_found")
+
+
+def prefix_lookup(rows: DataFrame, table: DataFrame, name: str, known: str, value: str, order: str, letters: int = 30) -> DataFrame:
+    """rows with `value` of the last table row (by `order`) whose name begins with the same letters."""
+    start = lambda c: F.substring(F.lower(F.trim(F.col(c))), 1, letters)
+    last = table.select(start(known).alias("_p"), value, order).filter("_p <> ''").groupBy("_p").agg(F.max_by(value, order).alias(value))
+    return rows.withColumn("_q", start(name)).join(last, F.col("_q") == F.col("_p"), "left").drop("_p", "_q")
 
 
 def denied(groups: DataFrame, deny: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import materialize
+
 
 def all_of(conditions: list[Column]) -> Column:
     """Conjunction of optional filters; with none, every row passes."""
@@ -82,3 +84,37 @@ def bucketed_counts(df: DataFrame, value: Column, limits: list[tuple[str, float]
     """Rows per named bucket; limits are lower bounds, highest first."""
     name = reduce(lambda c, lim: c.when(value >= lim[1], lim[0]), limits, F.when(F.lit(False), "")).otherwise(rest)
     return df.groupBy(name.alias("bucket")).agg(F.count("*").alias("n_rows"))
+
+
+def active(deleted_at: Column | None = None, status: Column | None = None, flags: tuple[Column, ...] = ()) -> Column:
+    """Rows that live: not deleted, of status active or none, with all flags set."""
+    alive = deleted_at.isNull() if deleted_at is not None else F.lit(True)
+    if status is not None:
+        alive = alive & (status.isNull() | (status == "active"))
+    return reduce(lambda a, b: a & F.coalesce(b.cast("boolean"), F.lit(False)), flags, alive)
+
+
+def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """df with consecutive numbers from 1 in a total order. Rows are dealt by ranges and numbered inside them, on top of
+    the sizes of the ranges before: no task holds them all."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_held")).withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_inside", inside).join(sizes, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def name_prefixes(df: DataFrame, name: str, words: int = 3) -> DataFrame:
+    """The distinct beginnings of names, in order, for completion while typing."""
+    start = F.array_join(F.slice(F.split(F.trim(name), r"\s+"), 1, words), " ")
+    return df.select(start.alias("prefix")).filter(F.length("prefix") > 0).distinct().orderBy("prefix")
+
+
+def accepted_source(sources: list[tuple[str, DataFrame]], least: int, share: float = 0.5) -> DataFrame:
+    """The rows of the first source that has the given share of the least number of rows, with its name; if none has, those
+    of the last one (a cache). Sources are counted, not collected."""
+    counts = reduce(DataFrame.unionByName, [s.agg(F.count("*").alias("held")).withColumn("_rank", F.lit(i)) for i, (_, s) in enumerate(sources)])
+    enough = counts.filter((F.col("held") >= share * least) | (F.col("_rank") == len(sources) - 1)).agg(F.min("_rank").alias("_chosen"))
+    rows = reduce(DataFrame.unionByName, [s.withColumns({"source_name": F.lit(n), "_rank": F.lit(i)}) for i, (n, s) in enumerate(sources)])
+    return rows.join(F.broadcast(enough), F.col("_rank") == F.col("_chosen")).drop("_rank", "_chosen")  # one row
+

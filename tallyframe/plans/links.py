@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import quantity, similarity, text
+from tallyframe.functions import quantity, rules, similarity, text
 from tallyframe.operators import grouping, matching, phases, standardise
 from tallyframe.plans.catalog import register
 from tallyframe.plans.offers import OFFERS, group_members, offers
-from tallyframe.session import read_table
+from tallyframe.session import materialize, read_table
 
 
 def _parts(spark, d) -> DataFrame:
@@ -105,12 +105,19 @@ register(
 )
 
 
+#: Types of the table's invented names.
+TYPES = {"holding": ["bolt", "screw", "nail"], "turning": ["ring", "gear"]}
+_TYPES_SQL = "list_filter([CASE WHEN regexp_matches(' ' || {0}.p_name || ' ', ' (bolt|screw|nail) ') THEN 'holding' END, CASE WHEN regexp_matches(' ' || {0}.p_name || ' ', ' (ring|gear) ') THEN 'turning' END], lambda t: t IS NOT NULL)"
+
+
 def q_match_v3_scored(spark, d):
-    """Scored matcher within type and size blocks; half the parts have no brand."""
+    """Scored matcher within type and size blocks; half the parts have no brand, names tell shapes or colours as types."""
+    types = rules.product_types(F.col("name"), TYPES)
     p = _parts(spark, d).select(
         "id", F.split("name", " ").alias("tokens"), text.ngrams(F.col("name")).alias("grams"), F.when(F.col("id") % 2 == 0, F.col("brand")).alias("brand"), F.col("type").alias("category"),
-        F.col("size").alias("quantity"), F.lit("g").alias("unit"), F.array().cast("array<string>").alias("types"),
+        F.col("size").alias("quantity"), F.lit("g").alias("unit"), types.alias("types"),
     )
+    p = matching.prepared(p)
     pairs = matching.blocked_pairs(p, p, ["category", "quantity"], "id")
     return matching.matcher_score(pairs).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "brand_class", "quantity_class", F.floor(F.col("score") * 1000 + 0.5).alias("permille"))
 
@@ -119,9 +126,9 @@ register(
     "q_match_v3_scored",
     q_match_v3_scored,
     f"""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_partkey % 2 = 0 THEN lower(a.p_brand) END AS ba, CASE WHEN b.p_partkey % 2 = 0 THEN lower(b.p_brand) END AS bb,
-   CAST({_MEET} AS DOUBLE) / {_EITHER} AS j, {_G} AS g FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
+   {_TYPES_SQL.format('a')} AS ta, {_TYPES_SQL.format('b')} AS tb, CAST({_MEET} AS DOUBLE) / {_EITHER} AS j, {_G} AS g FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
  c AS (SELECT *, CAST(0.6 AS DOUBLE) * j + CAST(0.4 AS DOUBLE) * g AS base, CASE WHEN ba IS NULL AND bb IS NULL THEN 'both_unknown' WHEN ba IS NULL OR bb IS NULL THEN 'one_unknown' WHEN ba = bb OR contains(ba, bb) OR contains(bb, ba) THEN 'match' ELSE 'reject' END AS brand_class FROM p),
- k AS (SELECT * FROM c WHERE brand_class <> 'reject' AND base >= CASE WHEN brand_class = 'match' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END AND NOT (brand_class = 'match' AND j = 0 AND base < 0.35)),
+ k AS (SELECT * FROM c WHERE brand_class <> 'reject' AND base >= CASE WHEN brand_class = 'match' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END AND NOT (brand_class = 'match' AND len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) = 0) AND NOT (brand_class = 'match' AND j = 0 AND base < 0.35)),
  s AS (SELECT *, CASE WHEN brand_class = 'match' THEN least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, base + CAST(0.15 AS DOUBLE)) + CAST(0.05 AS DOUBLE)) + CAST(0.12 AS DOUBLE)) WHEN brand_class = 'one_unknown' THEN least(1.0::DOUBLE, base * CAST(0.85 AS DOUBLE) + CAST(0.05 AS DOUBLE)) ELSE least(1.0::DOUBLE, base + CAST(0.05 AS DOUBLE)) END AS s1 FROM k),
  r AS (SELECT *, CASE WHEN g >= 0.65 AND base >= 0.3 AND s1 < 0.5 THEN CAST(0.51 AS DOUBLE) ELSE s1 END AS score FROM s)
  SELECT a, b, brand_class, 'same_size' AS quantity_class, CAST(floor(score * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS permille FROM r WHERE score >= 0.5""",
@@ -145,12 +152,11 @@ register("q_shared_tokens_ge2", q_shared_tokens_ge2, f"SELECT doc_id, item_id, c
 
 
 def q_tfidf_cosine_top1(spark, d):
-    """For every benchmark item the document with the largest TF-IDF cosine."""
+    """For every benchmark item the document with the largest TF-IDF cosine. Texts are tokenised and counted once."""
     docs, items, tokens = _index(spark, d)
-    index = matching.postings(docs, "doc_id", tokens)
-    idf = matching.inverse_frequencies(index, "doc_id", docs.count())
-    weigh = lambda df, key: matching.tfidf_weights(df, key, tokens, idf.select("token", "idf"))
-    pairs = matching.cosine_pairs(weigh(items, "item_id"), weigh(docs, "doc_id"), "item_id", "doc_id")
+    counts = materialize(matching.token_counts(docs, "doc_id", tokens), "tfidf-counts")
+    idf = matching.inverse_frequencies(counts, "doc_id", docs.count()).select("token", "idf")
+    pairs = matching.cosine_pairs(matching.weighted(matching.token_counts(items, "item_id", tokens), "item_id", idf), matching.weighted(counts, "doc_id", idf), "item_id", "doc_id")
     return matching.best_candidate(pairs.withColumn("cosine", F.floor(F.col("cosine") * 10000 + 0.5).cast("long")), "item_id", "doc_id", "cosine")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tallyframe.operators.relational import keep_first
+from tallyframe.operators.relational import keep_first, last_values
 
 #: All spellings of a listing's fields, so that one schema reads every feed.
 LISTING = T.StructType(
@@ -20,8 +20,10 @@ LISTING = T.StructType(
 
 
 def read_listings(spark: SparkSession, path: str | list[str], schema: T.StructType = LISTING) -> DataFrame:
-    """JSON arrays of listings with the file each row came from."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_name"))
+    """JSON arrays of listings with the file each row came from and its place there (a file is read in one piece, so that
+    the numbers of its rows grow in their order)."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.withColumn("source_file", F.col("_metadata.file_name")).withColumn("source_row", F.monotonically_increasing_id())
 
 
 def _first(*names: str) -> Column:
@@ -38,13 +40,13 @@ def unify_listings(raw: DataFrame, bgn_per_eur: float = 1.95583) -> DataFrame:
     return raw.select(
         F.coalesce(_first("sku", "product_id", "internal_code"), F.hex(F.xxhash64(name))).alias("sku"), name.alias("name"), "store", _first("brand").alias("brand"), euro.alias("price"), old.alias("old_price"),
         F.coalesce("discount_pct", "discount").alias("discount"), _first("quantity").alias("quantity"), _first("product_url", "store_product_url").alias("url"), _first("image_url", "image").alias("image"),
-        *[c for c in ("source_file",) if c in raw.columns],
+        *[c for c in ("source_file", "source_row") if c in raw.columns],
     )
 
 
-def accepted(listings: DataFrame, most: float = 10_000.0) -> DataFrame:
-    """Rows with a name and a plausible price."""
-    return listings.filter(F.col("name").isNotNull() & (F.col("price") > 0) & (F.col("price") <= most))
+def accepted(listings: DataFrame, most: float = 10_000.0, least: float = 0.0) -> DataFrame:
+    """Rows with a name and a plausible price: over 0, from `least` to `most`."""
+    return listings.filter(F.col("name").isNotNull() & (F.col("price") > 0) & (F.col("price") >= least) & (F.col("price") <= most))
 
 
 def newest_only(rows: DataFrame, pattern: str = r"(.+)_(\d{8})\.json", file: str = "source_file") -> DataFrame:
@@ -54,9 +56,9 @@ def newest_only(rows: DataFrame, pattern: str = r"(.+)_(\d{8})\.json", file: str
     return dated.join(latest, "_store").filter("_date = _latest").drop("_store", "_date", "_latest")
 
 
-def first_by_file(rows: DataFrame, key: str, file: str = "source_file") -> DataFrame:
-    """The first row of each key in file order; rows of one file in the order of their names."""
-    return keep_first(rows, [key], [file, "name"])
+def first_by_file(rows: DataFrame, key: str, file: str = "source_file", place: str = "source_row") -> DataFrame:
+    """The first row of each key in file order, then by its place in the file."""
+    return keep_first(rows, [key], [file, place])
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
@@ -76,8 +78,8 @@ def read_sitemap(spark: SparkSession, path: str, part: str = "/p/") -> DataFrame
 
 
 class PagedSource(DataSource):
-    """Rows of a paged service: options `pages` (count) and `fetch` (module:function of a page
-    number, giving tuples); every page is a partition. Registered by register_paged()."""
+    """Rows of a paged service: options `pages` (count) and `fetch` (module:function of a page number, giving tuples), or
+    `total`, `fetchsize` and a function of offset and size; every page is a partition. Registered by register_paged()."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,7 +94,8 @@ class PagedSource(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.pages, self.fetch = int(options["pages"]), options["fetch"]
+        self.fetch, self.size, self.total = options["fetch"], int(options.get("fetchsize", 0)), int(options.get("total", 0))
+        self.pages = -(-self.total // self.size) if self.size else int(options["pages"])
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.pages)]
@@ -101,17 +104,33 @@ class _PagedReader(DataSourceReader):
         import importlib
 
         module, _, function = self.fetch.partition(":")
-        yield from getattr(importlib.import_module(module), function)(partition.value)
+        at = partition.value
+        arguments = (at * self.size, min(self.size, self.total - at * self.size)) if self.size else (at,)
+        yield from getattr(importlib.import_module(module), function)(*arguments)
 
 
 def register_paged(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
-def write_document(groups: DataFrame, path: str, meta: dict[str, str]) -> None:
-    """One JSON document per group row, with the same meta fields, as text files."""
-    row = F.struct(F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]).alias("meta"), F.struct("*").alias("group"))
-    groups.select(F.to_json(row).alias("value")).write.mode("overwrite").text(path)
+def write_document(products: DataFrame, groups: DataFrame, path: str, meta: dict[str, str]) -> None:
+    """The served document in its three parts, meta, products and groups, as JSON lines in folders of these names: a
+    document of any size is written by many tasks, and readers take the parts they need."""
+    about = products.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in meta.items()])
+    for name, part in (("meta", about), ("products", products), ("groups", groups)):
+        part.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def read_with_results(spark: SparkSession, folder: str, results: DataFrame, pattern: str = "*", name: str = "file_name") -> DataFrame:
+    """Files of a folder (path, modificationTime, length, not their content) with what was read out of each elsewhere
+    (results: file_name and more columns); files without results have nulls there."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime", "length")
+    return files.withColumn(name, F.element_at(F.split("path", "/"), -1)).join(results, name, "left")
+
+
+def latest_pages(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of rows that several pages repeat, the last one."""
+    return last_values(rows, [key], order, [c for c in rows.columns if c != key])
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tallyframe.functions.quantity import parse_price
 from tallyframe.operators.relational import keep_first
 
 
@@ -102,11 +103,13 @@ def embedded_offers(pages: DataFrame, schema: str, key: str, unique: str, html:
     return keep_first(rows.select(key, "pos", "o.*"), [key, unique], ["pos"]).drop("pos")
 
 
-def after_marker(pages: DataFrame, key: str, marker: str, fields: dict[str, str], html: str = "html", window: int = 2000, most: int = 300) -> DataFrame:
-    """Each chunk that follows a marker (up to `window` characters), with fields by regular expression."""
+def after_marker(pages: DataFrame, key: str, marker: str, fields: dict[str, str | list[str]], html: str = "html", window: int = 2000, most: int = 300) -> DataFrame:
+    """Each chunk that follows a marker (up to `window` characters), with fields by regular expression; of several
+    expressions the first that finds something (a nested price, then a flat one)."""
     chunks = pages.select(key, F.posexplode(F.split(F.col(html), F.regexp_replace(F.lit(marker), r"([\\.\[\]{}()*+?^$|])", r"\\$1"))).alias("pos", "chunk"))
     near = chunks.filter(F.col("pos").between(1, most)).withColumn("chunk", F.substring("chunk", 1, window))
-    return near.select(key, "pos", *[_some(F.regexp_extract("chunk", p, 1)).alias(n) for n, p in fields.items()])
+    each = lambda p: F.coalesce(*[_some(F.regexp_extract("chunk", x, 1)) for x in ([p] if isinstance(p, str) else p)])
+    return near.select(key, "pos", *[each(p).alias(n) for n, p in fields.items()])
 
 
 def flat_array_values(pages: DataFrame, key: str, json: Column, window: int) -> DataFrame:
@@ -114,13 +117,85 @@ def flat_array_values(pages: DataFrame, key: str, json: Column, window: int) ->
     return pages.select(key, F.posexplode(F.from_json(json, "array<string>")).alias("pos", "value")).withColumn("window", F.lit(window))
 
 
+def decoded_products(values: DataFrame, key: str, is_id: Column, fields: dict[str, tuple[Column, int]]) -> DataFrame:
+    """values (key, pos, value) of a flat array, in which a product's fields follow its id: per id each field's first value
+    (a condition on `value`, and how many positions it may stand behind the nearest id)."""
+    ids = values.filter(is_id & (F.col("pos") > 0)).select(key, F.col("value").alias("id")).distinct()
+    for name, (is_field, back) in fields.items():
+        w = Window.partitionBy(key).orderBy("pos").rowsBetween(-back, -1)
+        near = values.withColumn("id", F.last(F.when(is_id & (F.col("pos") > 0), F.col("value")), ignorenulls=True).over(w)).filter(is_field & F.col("id").isNotNull())
+        ids = ids.join(near.groupBy(key, "id").agg(F.min_by("value", "pos").alias(name)), [key, "id"], "left")
+    return ids
+
+
+#: Fixed format: the parts of a grid item that are used.
+GRID = "struct<gridbox:struct<data:struct<productId:string,fullTitle:string,showBrand:boolean,brand:struct<name:string>,price:struct<price:double,oldPrice:double>,priceSecond:struct<price:double>>>>"
+
+
+def grid_products(items: DataFrame, json: str, bgn_per_eur: float = 1.95583) -> DataFrame:
+    """items with the product in a grid item's JSON: id, name, brand (only if it is to be shown), prices in euro and leva."""
+    d = F.col("_d")
+    euro = d["price"]["price"]
+    rows = items.withColumn("_d", F.from_json(json, GRID)["gridbox"]["data"])
+    return rows.withColumns(
+        {
+            "product_id": d["productId"], "name": d["fullTitle"], "brand": F.when(d["showBrand"], d["brand"]["name"]), "price_eur": euro, "old_price_eur": F.nullif(d["price"]["oldPrice"], F.lit(0.0)),
+            "price_bgn": F.coalesce(d["priceSecond"]["price"], F.round(euro * bgn_per_eur, 2)),
+        }
+    ).drop("_d")
+
+
+#: Fixed format: an offer with its price as text, deep inside.
+OFFER = "struct<klNr:string,title:string,subtitle:string,prices:struct<alternative:struct<formatted:struct<standard:string,old:string>>>>"
+
+
+def offer_products(offers: DataFrame, json: str) -> DataFrame:
+    """offers with sku, name (title and subtitle), price and old price of an offer's JSON."""
+    o = F.col("_o")
+    shown = o["prices"]["alternative"]["formatted"]
+    rows = offers.withColumn("_o", F.from_json(json, OFFER))
+    return rows.withColumns({"sku": o["klNr"], "name": title_subtitle(o["title"], o["subtitle"]), "price": parse_price(shown["standard"]), "old_price": parse_price(shown["old"])}).drop("_o")
+
+
+def priced_page(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with title, price (JSON-LD first, then inline), old price, brand, category and size, by regular expression."""
+    h = F.col(html)
+    one = lambda *patterns: F.coalesce(*[_some(F.trim(F.regexp_extract(h, p, 1))) for p in patterns])
+    return pages.withColumns(
+        {
+            "title": one("(?s)<h1[^>]*>([^<]+)", "<title>([^<|]*)"),
+            "price": parse_price(one(r'"price"\s*:\s*"?(\d+(?:[.,]\d+)?)', r'(?s)class="[^"]*price[^"]*"[^>]*>\s*(\d+(?:[.,]\d+)?)')),
+            "old_price": parse_price(one(r'(?s)class="[^"]*old[^"]*"[^>]*>\s*(\d+(?:[.,]\d+)?)', r"(?s)<(?:s|del)>\s*(\d+(?:[.,]\d+)?)")),
+            "brand": one(r'"brand"\s*:\s*(?:\{[^}]*?"name"\s*:\s*)?"([^"]+)"'),
+            "category": one(r'"category"\s*:\s*"([^"]+)"'),
+            "size": one(r"(?iu)(\d+(?:[.,]\d+)?\s*(?:kg|кг|g|гр|г|ml|мл|l|л))(?![\p{L}])"),
+        }
+    )
+
+
+def label_prices(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with old_price and price of a card: prices behind the labels of the old and the new price, else the highest and
+    the lowest of all prices in it."""
+    h, euro = F.col(html), r"(\d+(?:[.,]\d+)?)\s*(?:€|EUR|лв)"
+    behind = lambda label: parse_price(_some(F.regexp_extract(h, rf"(?isu){label}\s*</div>\s*<div[^>]*>\s*{euro}", 1)))
+    every = F.transform(F.regexp_extract_all(h, F.lit(euro), F.lit(1)), lambda p: parse_price(p))
+    old, new = F.coalesce(behind("old price"), F.array_max(every)), F.coalesce(behind("new price"), F.array_min(every))
+    return pages.withColumns({"price": new, "old_price": F.when(old > new, old)})
+
+
+def repaired_names(rows: DataFrame, patch: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """rows whose name is put together anew where the patch (key, title, subtitle) has one."""
+    better = patch.select(key, F.nullif(F.trim(title_subtitle(F.col("title"), F.col("subtitle"))), F.lit("")).alias("_better"))
+    return rows.join(better, key, "left").withColumn(name, F.coalesce("_better", name)).drop("_better")
+
+
 def title_subtitle(title: Column, subtitle: Column) -> Column:
     return F.concat_ws(" ", title, subtitle)
 
 
 def key_facts(html: Column) -> Column:
     """struct(features, fat, origin) from a list of key facts."""
-    items = F.transform(F.regexp_extract_all(html, F.lit("<li>([^<]+)</li>"), F.lit(1)), F.trim)
+    items = F.transform(F.regexp_extract_all(html, F.lit("<li>([^<]+)</li>"), F.lit(1)), lambda x: F.trim(x))
     fat = F.try_element_at(F.filter(items, lambda x: x.rlike(r"\d+(?:[.,]\d+)?\s*%")), F.lit(1))
     origin = F.try_element_at(F.filter(items, lambda x: F.lower(x).rlike("^(произход|origin)")), F.lit(1))
     return F.struct(items.alias("features"), fat.alias("fat"), origin.alias("origin"))
