@@ -218,7 +218,8 @@ def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0
 
     def settle(pairs: DataFrame, number: int, bonus: float) -> DataFrame:
         best = best_candidate(pairs.select("id", "off_id", score.alias("score")), "id", "off_id", "score").filter("score >= 0.70")
-        return best.select("id", "off_id", F.least(F.col("score") + bonus, F.lit(0.95)).alias("confidence"), F.lit(number).alias("pass"))
+        confidence = F.least(F.col("score") + bonus, F.lit(0.95)) if bonus else F.col("score")
+        return best.select("id", "off_id", confidence.alias("confidence"), F.lit(number).alias("pass"))
 
     first = settle(p.join(o, (F.col("brand") == F.col("off_brand")) & (F.col("size") == F.col("off_size"))), 1, 0.1)
     left = p.join(first, "id", "left_anti")

@@ -111,8 +111,32 @@ def r_rate_limiter(spark, d):
     return health.adaptive_delay(_events(spark, d).withColumn("failed", failed()), "user_id", "ts", "event_id", "failed")
 
 
-for _f in (r_alert_debounce, r_circuit_breaker, r_rate_limiter):
-    register(_f.__name__, _f)
+def _walk(chosen: str, start: str, names: str, step: str) -> str:
+    """SQL that goes through each user's events in order: r holds the state after event n, e is the next one."""
+    return f"""WITH RECURSIVE e AS (SELECT *, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_id, {chosen})),
+ r(user_id, n, ts, event_id, {names}) AS (SELECT user_id, 0::BIGINT, NULL::TIMESTAMP, NULL::BIGINT, {start} FROM (SELECT DISTINCT user_id FROM e) UNION ALL SELECT e.user_id, e.n, e.ts, e.event_id, {step})"""
+
+
+DEBOUNCE = _walk("TRUE AS bad FROM events WHERE event_type = 'error'", "NULL::DOUBLE, FALSE", "last, sent", "CASE WHEN last IS NULL OR s - last >= 21600 THEN s ELSE last END, last IS NULL OR s - last >= 21600 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1")
+register("r_alert_debounce", r_alert_debounce, DEBOUNCE + " SELECT user_id, ts, event_id, sent FROM r WHERE n > 0")
+
+BREAKER = _walk(
+    "event_type IN ('error', 'view') AS bad FROM events",
+    "'closed', 0::BIGINT, 0.0::DOUBLE, TRUE",
+    "state, held, since, allowed",
+    """CASE WHEN blocked THEN 'open' WHEN now = 'closed' THEN CASE WHEN bad AND c + 1 >= 3 THEN 'open' ELSE 'closed' END WHEN bad THEN 'open' WHEN c + 1 >= 2 THEN 'closed' ELSE 'half_open' END,
+ CASE WHEN blocked THEN held WHEN now = 'closed' THEN CASE WHEN bad THEN c + 1 ELSE 0 END WHEN bad OR c + 1 >= 2 THEN 0 ELSE c + 1 END,
+ CASE WHEN NOT blocked AND bad AND (now = 'half_open' OR c + 1 >= 3) THEN s ELSE since END, NOT blocked
+ FROM (SELECT e.user_id, e.n, e.ts, e.event_id, e.bad, e.s, r.held, r.since, r.state = 'open' AND e.s - r.since < 21600 AS blocked, CASE WHEN r.state = 'open' THEN 'half_open' ELSE r.state END AS now, CASE WHEN r.state = 'open' THEN 0 ELSE r.held END AS c FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) e""",
+) + " SELECT user_id, ts, event_id, state, allowed FROM r WHERE n > 0"
+register("r_circuit_breaker", r_circuit_breaker, BREAKER)
+
+register(
+    "r_rate_limiter",
+    r_rate_limiter,
+    _walk("event_type = 'error' AS bad FROM events", "1.0::DOUBLE, 0::BIGINT", "delay, good", "CASE WHEN bad THEN least(delay * 2, 30) WHEN good + 1 >= 5 THEN greatest(delay * 0.9::DOUBLE, 0.5) ELSE delay END, CASE WHEN bad OR good + 1 >= 5 THEN 0 ELSE good + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1")
+    + " SELECT user_id, ts, event_id, delay FROM r WHERE n > 0",
+)
 
 
 def q_upsert_merge(spark, d):

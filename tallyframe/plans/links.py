@@ -271,9 +271,16 @@ def r_components(spark, d):
     return grouping.link_components(pairs)
 
 
-for _f in (r_seq_ratio, r_fast_matcher, r_multi_pass, r_strict_greedy, r_greedy_groups, r_components):
+for _f in (r_seq_ratio, r_fast_matcher, r_multi_pass, r_strict_greedy, r_greedy_groups):
     register(_f.__name__, _f)
 
+register(
+    "r_components",
+    r_components,
+    f"""WITH RECURSIVE p AS (SELECT a.p_partkey AS a, b.p_partkey AS b {_PAIRS} WHERE CAST({_MEET} AS DOUBLE) / {_EITHER} > 0.9), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS label FROM r GROUP BY a""",
+)
+
 
 def q_fallback_lookup(spark, d):
     """Part names looked up among all part names: exact among every second part, then by the last word."""
@@ -361,5 +368,38 @@ def r_standard_products(spark, d):
     return standardise.standard_products(raw, ["red ring", "blue bolt"], [("fasteners", ["bolt"]), ("parts", ["ring", "gear"])], {"ASIA": ["promo"]})
 
 
-for _f in (r_jaccard_matcher, r_phase_matcher, r_hybrid_match, r_transliterated_match, r_importer_matches, r_standard_products):
+register(
+    "r_jaccard_matcher",
+    r_jaccard_matcher,
+    OFFERS
+    + """, s AS (SELECT product_id, arg_min(store, {'a': price4, 'b': store}) AS store FROM offers GROUP BY 1), w AS (SELECT p_partkey AS id, p_type, store, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1)) AS t FROM part JOIN s ON product_id = p_partkey)
+ SELECT a, b, score FROM (SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / len(list_distinct(list_concat(a.t, b.t))) AS score FROM w a JOIN w b ON a.p_type = b.p_type AND a.store < b.store) WHERE score >= 0.3""",
+)
+
+
+def _stored_parts(spark, d) -> DataFrame:
+    """Parts of three stores, with types as categories; a seventh has no size and a ninth no brand."""
+    k = F.col("id")
+    return _parts(spark, d).select(
+        "id", (k % 3).alias("store"), F.col("type").alias("category"), "name", F.when(k % 9 > 0, F.col("brand")).alias("brand"), F.when(k % 7 > 0, F.col("size")).alias("quantity"), F.when(k % 2 == 0, "kg").otherwise("кг").alias("unit"), "price"
+    )
+
+
+def r_ratio_match(spark, d):
+    return matching.ratio_match(_stored_parts(spark, d), 0.8, 200.0, "ECONOMY")
+
+
+def r_sign_match(spark, d):
+    return matching.sign_match(_stored_parts(spark, d), ["red", "blue", "xl"], 0.75, 150.0, "ECONOMY")
+
+
+def r_offline_match(spark, d):
+    products, catalogue = _catalogue(spark, d)
+    return matching.offline_match(products, catalogue)
+
+
+for _f in (r_ratio_match, r_sign_match, r_offline_match):
+    register(_f.__name__, _f)
+
+for _f in (r_phase_matcher, r_hybrid_match, r_transliterated_match, r_importer_matches, r_standard_products):
     register(_f.__name__, _f)

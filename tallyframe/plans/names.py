@@ -225,5 +225,9 @@ def r_size_normalise(spark, d):
     return rows.select("name", text.normalise_size(F.col("name")).alias("size"))
 
 
-for _f in (r_translit, r_size_normalise):
-    register(_f.__name__, _f)
+register("r_size_normalise", r_size_normalise, "SELECT * FROM (VALUES ('Мляко 1,5 Л', 'Мляко 1.5l'), ('Кафе 200 гр', 'Кафе 200g'), ('Олио 1л', 'Олио 1l'), ('Сирене 2 КГ', 'Сирене 2kg'), ('Вода 500 мл', 'Вода 500ml')) AS v(name, size)")
+register(
+    "r_translit",
+    r_translit,
+    "SELECT * FROM (VALUES ('Мляко прясно', 'mlyako pryasno', 'мляко прясно'), ('щастие и юнак', 'shtastie i yunak', 'щастие и юнак'), ('Кафе 200 гр', 'kafe 200 gr', 'кафе 200 гр'), ('tsh shtastie yug', 'tsh shtastie yug', 'цх щастие юг')) AS v(name, latin, cyrillic)",
+)

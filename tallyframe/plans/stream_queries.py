@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.operators import health
 from tallyframe.plans.catalog import register
+from tallyframe.plans.events import BREAKER, DEBOUNCE
 from tallyframe.session import read_table, scratch_path
 from tallyframe.streaming import streams
 
@@ -39,5 +41,47 @@ def r_stream_sync(spark, d):
     return spark.read.parquet(out)
 
 
-for _f in (r_stream_dedup, r_stream_windows, r_stream_sliding, r_stream_sessions, r_stream_debounce, r_stream_sync):
-    register(_f.__name__, _f)
+def r_stream_breaker(spark, d):
+    events = streams.read_events(spark, d).withColumn("failed", F.col("event_type").isin("error", "view"))
+    return streams.run_available(streams.breaker_states(events, "user_id", "failed", health.BreakerRules(3, 6 * 3600.0, 2)))
+
+
+def r_stream_health(spark, d):
+    return streams.run_available(streams.stream_health(streams.read_events(spark, d), F.col("event_type") == "error", ["event_type"], late="1 hour"))
+
+
+def r_stream_delistings(spark, d):
+    """Users not seen for a day. A stream that only runs over what there is ends with its last batch, so that those
+    whose day is over before the last event less the watermark's delay are told."""
+    return streams.run_available(streams.delistings(streams.read_events(spark, d), "user_id", 1, late="1 hour"))
+
+
+#: What the watermark has passed when the stream ends.
+_DONE = "(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events)"
+_COUNTS = "count(*) AS n_rows, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_failed, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS DOUBLE) / count(*) AS error_rate"
+_DAILY = f"SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS window_start, event_type, {_COUNTS} FROM events GROUP BY 1, 2 HAVING date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 1 DAY <= {_DONE}"
+_NEWEST = "arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE"
+
+register("r_stream_dedup", r_stream_dedup, "SELECT DISTINCT user_id, event_type FROM events")
+register("r_stream_windows", r_stream_windows, _DAILY)
+register("r_stream_health", r_stream_health, f"SELECT *, CASE WHEN n_rows < 5 THEN 'unknown' WHEN error_rate > 0.5 THEN 'critical' WHEN error_rate > 0.25 THEN 'unhealthy' WHEN error_rate > 0.1 THEN 'degraded' ELSE 'healthy' END AS level FROM ({_DAILY})")
+register(
+    "r_stream_sliding",
+    r_stream_sliding,
+    f"SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) - to_days(back) AS window_start, user_id, {_COUNTS} FROM events, (VALUES (0), (1)) AS v(back) GROUP BY 1, 2 HAVING date_trunc('day', CAST(ts AS TIMESTAMP)) - to_days(back) + INTERVAL 2 DAY <= {_DONE}".replace("GROUP BY 1, 2 HAVING date_trunc('day', CAST(ts AS TIMESTAMP)) - to_days(back)", "GROUP BY 1, 2 HAVING window_start"),
+)
+register(
+    "r_stream_sessions",
+    r_stream_sessions,
+    f"""WITH o AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS t, lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), g AS (SELECT user_id, t, sum(CASE WHEN before IS NULL OR t > before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS s FROM o)
+ SELECT user_id, min(t) AS started, max(t) + INTERVAL 6 HOUR AS ended, count(*) AS n_rows FROM g GROUP BY user_id, s HAVING max(t) + INTERVAL 6 HOUR <= {_DONE}""",
+)
+register("r_stream_debounce", r_stream_debounce, DEBOUNCE + " SELECT user_id, ts AS sent_at FROM r WHERE n > 0 AND sent")
+register("r_stream_breaker", r_stream_breaker, BREAKER)
+register("r_stream_delistings", r_stream_delistings, f"SELECT user_id, max(CAST(ts AS TIMESTAMP)) AS last_seen FROM events GROUP BY 1 HAVING max(CAST(ts AS TIMESTAMP)) + INTERVAL 1 DAY < {_DONE}")
+register(
+    "r_stream_sync",
+    r_stream_sync,
+    f"""WITH k AS (SELECT user_id, event_type, {_NEWEST} ts < TIMESTAMP '2024-01-02' GROUP BY ALL), i AS (SELECT user_id, event_type, {_NEWEST} ts >= TIMESTAMP '2024-01-02' GROUP BY ALL)
+ SELECT i.user_id, i.event_type, i.value, k.value AS known_price, CASE WHEN k.value IS NULL THEN 'new' WHEN abs(i.value - k.value) <= 0.01::DOUBLE THEN 'unchanged' WHEN i.value > k.value THEN 'increase' ELSE 'decrease' END AS outcome, coalesce(abs(i.value - k.value) > k.value, FALSE) AS spike, 0 AS batch FROM i LEFT JOIN k USING (user_id, event_type)""",
+)

@@ -122,17 +122,17 @@ def delistings(events: DataFrame, key: str, days: int, at: str = "ts", late: str
     that comes back starts anew."""
     kind = events.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), T.StructField("last_seen", T.TimestampType())])
-    held = T.StructType([T.StructField("last", T.DoubleType())])
+    held = T.StructType([T.StructField("last", T.LongType())])  # microseconds
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            yield pd.DataFrame({key: [group[0]], "last_seen": [pd.Timestamp(state.get[0], unit="s")]})
+            yield pd.DataFrame({key: [group[0]], "last_seen": [pd.Timestamp(state.get[0] * 1000)]})
             state.remove()
             return
-        last = max(b[at].max().timestamp() for b in batches)
+        last = max(b[at].max().value // 1000 for b in batches)
         last = max(last, state.get[0]) if state.exists else last
         state.update((last,))
-        state.setTimeoutTimestamp(max(int((last + days * 86400) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
 
     return events.select(key, at).withWatermark(at, late).groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 

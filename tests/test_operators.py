@@ -116,8 +116,6 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     files.write_csv(df, str(tmp_path / "c"), ["v"])
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
-    files.write_document(df, str(tmp_path / "d"), {"source": "t"})
-    assert json.loads(spark.read.text(str(tmp_path / "d")).orderBy("value").first().value)["meta"] == {"source": "t"}
     files.archive_json_lines(df, str(tmp_path / "a"))
     files.archive_json_lines(df, str(tmp_path / "a"))
     assert spark.read.json(str(tmp_path / "a")).count() == 4
