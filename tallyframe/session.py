@@ -29,25 +29,36 @@ def build_session(master: str | None = None, app: str = "tallyframe", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Where it is unset (a local session, as in tests) a temporary folder is
-    taken and remembered in the session's configuration.
+    Where it is unset in a local session, as in tests, a temporary folder is
+    taken and remembered in the session's configuration. On a cluster that
+    would be another folder on every machine, so it is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("tallyframe.local.scratch", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("tallyframe.local.scratch", path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tallyframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder, once no result that reads it is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyframe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and
-    the rows survive the loss of any executor."""
+    the rows survive the loss of any executor. Tables stay until clear_scratch()."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
