@@ -45,13 +45,12 @@ def serial_choice(candidates: DataFrame) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        best = alive.withColumn("n", F.row_number().over(Window.partitionBy("left").orderBy(F.col("score").desc(), "right"))).filter("n = 1").drop("n")
+        best = alive.groupBy("left").agg(F.min(F.struct((-F.col("score")).alias("low"), "right")).alias("b")).select("left", "b.right", (-F.col("b.low")).alias("score"))
         holder = best.groupBy("right").agg(F.min("left").alias("holder"))
-        lost = best.join(holder, "right").filter("left <> holder").select("left", "right")
-        step = materialize(alive.join(lost, ["left", "right"], "left_anti"), f"serial-{turn}")
-        if step.count() == alive.count():
+        lost = materialize(best.join(holder, "right").filter("left <> holder").select("left", "right"), f"serial-lost-{turn}")
+        if lost.isEmpty():
             return best
-        alive = step
+        alive = materialize(alive.join(lost, ["left", "right"], "left_anti"), f"serial-{turn}")
 
 
 def link_components(edges: DataFrame) -> DataFrame:

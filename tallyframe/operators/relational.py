@@ -37,9 +37,10 @@ def last_values(df: DataFrame, keys: list[str], order: list, columns: list[str])
 
 
 def best_per_pair(df: DataFrame, a: str, b: str, score: str, order: list) -> DataFrame:
-    """The best score of each unordered pair."""
-    ranked = df.withColumns({"_low": F.least(a, b), "_high": F.greatest(a, b)})
-    return keep_first(ranked, ["_low", "_high"], [F.col(score).desc(), *order]).drop("_low", "_high")
+    """The row of the best score of each unordered pair, by a partial aggregate; `order` (columns, rising) settles ties."""
+    rest = [c for c in df.columns if c not in order]
+    first = F.min(F.struct(F.col(score).isNull().alias("_none"), (-F.col(score)).alias("_low_score"), *order, *[F.col(c) for c in rest])).alias("_b")
+    return df.groupBy(F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")).agg(first).select(*[f"_b.{c}" for c in df.columns])
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
