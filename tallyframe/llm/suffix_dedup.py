@@ -8,10 +8,12 @@ that length has an anchor: its smallest hashed gram (of 37 bytes for strings of
 100, so that an anchor covers at most 64 starts). Neighbouring start
 positions with the same anchor form a range; a range with the bytes that its
 strings span is a context. Anchors that occur once in the corpus cannot lie in
-a repeated string and are left out. The contexts of an anchor meet, equal ones
-are joined, and the suffixes of a batch of them are sorted with a difference
-cover (see suffix_sort); neighbours in that order are compared over `length`
-bytes, and in each group of equal strings all but the first are marked.
+a repeated string and are left out. Equal contexts of an anchor are found by
+digest (64 bits, beside the anchor's 64) before their bytes are sent. Where an
+anchor has different contexts, these meet, and the suffixes of a batch of them
+are sorted with a difference cover (see suffix_sort); neighbours in that order
+are compared over `length` bytes, and in each group of equal strings all but
+the first are marked.
 
 Anchors in more than `hot` places do not meet in one task: their ranges are
 split into single strings, dealt out by the string itself.
@@ -34,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.arrow import free_names, modest_batches, small_batches, text_bytes
 from tallyframe.llm.suffix_sort import MOST, suffix_order
+from tallyframe.llm.suffix_stages import staged_marks
 from tallyframe.session import materialize
 
 _U = np.uint64
@@ -52,12 +55,14 @@ CUT = "_cut_spans"
 class RepeatRules:
     """length: bytes of a repeated string, 16 to 2,000. hot: places of an anchor beyond which its ranges are
     split (fewer, for long strings: see split_beyond). batch: bytes sorted at once, beside those of one anchor.
-    remembered: contexts a task remembers to drop copies early."""
+    remembered: contexts a task remembers to drop copies early. stages: sort the suffixes of the contexts that
+    differ in Spark stages (suffix_stages) and not in batches inside tasks; the result is the same."""
 
     length: int = 100
     hot: int = 6000
     batch: int = 300_000
     remembered: int = 60_000
+    stages: bool = False
 
     def __post_init__(self):
         if not 16 <= self.length <= 2000 or not 1 <= self.batch <= MOST // 2:
@@ -200,8 +205,8 @@ def _anchor_counts(docs: DataFrame, rules: RepeatRules, key: str, text: str) ->
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "fp long, id long, places int")
 
 
-#: Columns joined to the documents, under names that are free there: repeated anchors, hot ones, marks.
-FOUND = "_fps", "_hot_fps", "_marks"
+#: Columns joined to the documents, under names that are free there: repeated anchors, hot ones, marks, places asked for.
+FOUND = "_fps", "_hot_fps", "_marks", "_asked"
 
 
 def _with_anchors(batch: pa.RecordBatch, text: str, fps: str) -> list[bytes]:
@@ -218,12 +223,16 @@ def _chosen(found: Ranges, fps: list, hot: list) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(np.isin(found.fp, known) & ~is_hot), np.flatnonzero(is_hot), burning
 
 
-def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_name: str, hot_name: str) -> DataFrame:
-    """(fp, id, start, size, context) of ranges with repeated anchors; copies a task has seen are dropped."""
+def _places(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_name: str, hot_name: str) -> DataFrame:
+    """(fp, id, place, digest) of contexts of repeated anchors, without their bytes; place holds the start, the number of
+    starts less one, and whether a string may start in the context twice. Copies a task has seen are dropped."""
     length = rules.length
 
+    def digest(data: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
     def run(batches):
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in small_batches(batches, text):
             found = Ranges(_with_anchors(batch, text, fps_name), length)
             cold, hot, _ = _chosen(found, batch.column(fps_name).to_pylist(), batch.column(hot_name).to_pylist())
@@ -233,23 +242,49 @@ def _contexts(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_
             rows = list(zip(found.fp[which].tolist(), ids[doc].tolist(), (begin - found.starts[doc]).tolist(), begin.tolist(), size.tolist(), strict=True))
             for r in hot.tolist():
                 d = found.doc[r]
-                for at in range(int(found.at[r]), int(found.at[r] + found.n[r])):
-                    name = int.from_bytes(hashlib.blake2b(found.data[at : at + length], digest_size=8).digest(), "little", signed=True)
-                    rows.append((name, int(ids[d]), int(at - found.starts[d]), at, 1))
+                rows += [(None, int(ids[d]), int(at - found.starts[d]), at, 1) for at in range(int(found.at[r]), int(found.at[r] + found.n[r]))]
             kept = []
             for fp, doc_id, start, at, n in rows:
                 context = found.data[at : at + n + length - 1]
-                before = seen.get(context)
+                name = digest(context)
+                if fp is None:  # a single string: it is dealt by itself
+                    fp = digest(b"single" + context)
+                before = seen.get((fp, name))
                 if before is not None and before < (doc_id, start):
                     continue
                 if len(seen) >= rules.remembered:
                     seen.clear()
-                seen[context] = (doc_id, start)
-                kept.append((fp, doc_id, start, context))
+                seen[fp, name] = (doc_id, start)
+                kept.append((fp, doc_id, start << 8 | (n - 1) << 1 | _repeats_inside(context, length), name))
             columns = list(zip(*kept, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "id", "place", "digest"])
+
+    return anchored.mapInArrow(run, "fp long, id long, place long, digest long")
+
+
+def _first_places(places: DataFrame) -> DataFrame:
+    """(fp, id, start, size, needed) of the first occurrence of every distinct context of an anchor. Its bytes are needed
+    where the anchor has other contexts, or a string may start in it twice. An anchor has at most split_beyond places."""
+    firsts = places.repartition("fp").groupBy("fp", "digest").agg(F.min(F.struct("id", "place")).alias("first"))
+    several = F.count("*").over(Window.partitionBy("fp")) > 1
+    place = F.col("first.place")
+    return firsts.select("fp", F.col("first.id").alias("id"), F.shiftright(place, 8).cast("int").alias("start"), (F.shiftright(place, 1).bitwiseAND(F.lit(127)) + 1).cast("int").alias("size"), (several | (place.bitwiseAND(F.lit(1)) == 1)).alias("needed"))
+
+
+def _contexts(asked: DataFrame, rules: RepeatRules, key: str, text: str, asked_name: str) -> DataFrame:
+    """(fp, id, start, context) that documents are asked for: array<struct<fp,start,size>>."""
+    length = rules.length
+
+    def run(batches):
+        for batch in small_batches(batches, text):
+            some = batch.filter(batch.column(asked_name).is_valid())
+            rows = []
+            for doc_id, data, places in zip(some.column(key).cast(pa.int64()).to_pylist(), text_bytes(some.column(text)), some.column(asked_name).to_pylist(), strict=True):
+                rows += [(p["fp"], doc_id, p["start"], data[p["start"] : p["start"] + p["size"] + length - 1]) for p in places]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["fp", "id", "start", "context"])
 
-    return anchored.mapInArrow(run, "fp long, id long, start int, context binary")
+    return asked.mapInArrow(run, "fp long, id long, start int, context binary")
 
 
 def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
@@ -300,17 +335,23 @@ def _marks(contexts: DataFrame, rules: RepeatRules) -> DataFrame:
 def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text", cut: str = CUT) -> DataFrame:
     """docs with one more column, `cut`: the byte spans to remove, as begin, end, begin, end ..."""
     rules, docs = rules or RepeatRules(), modest_batches(docs)
-    fps_name, hot_name, marks_name, anchor_id, mark_id = free_names(docs, *FOUND, "_anchor_id", "_mark_id")
+    fps_name, hot_name, marks_name, asked_name, anchor_id, mark_id, asked_id = free_names(docs, *FOUND, "_anchor_id", "_mark_id", "_asked_id")
     # read twice, for the counts and for the join: cheaper to find again than to keep
     occurring = _anchor_counts(docs, rules, key, text)
     repeated = occurring.groupBy("fp").agg(F.sum("places").alias("all")).filter("all > 1").select("fp", (F.col("all") > rules.split_beyond).alias("is_hot"))
     of_doc = occurring.select("fp", "id").join(repeated, "fp").groupBy("id").agg(F.collect_set("fp").alias(fps_name), F.collect_set(F.when(F.col("is_hot"), F.col("fp"))).alias(hot_name))
     of_doc = materialize(of_doc.withColumnRenamed("id", anchor_id), "repeat-documents")
-    # the same shuffle of the texts serves both joins
+    # one shuffle of the texts serves all three joins; left joins leave its plan the same
     on = F.col(key).cast("long") == F.col(anchor_id)
-    firsts = _marks(_contexts(docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id), rules, key, text, fps_name, hot_name), rules)
-    firsts = firsts.groupBy(F.col("id").alias(mark_id)).agg(F.collect_list(F.struct("start", "mask")).alias(marks_name))
-    both = docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id).join(firsts.hint("merge"), F.col(key).cast("long") == F.col(mark_id), "left").drop(mark_id)
+    anchored = docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id)
+    firsts = materialize(_first_places(_places(anchored, rules, key, text, fps_name, hot_name)), "repeat-places")
+    asked = firsts.filter("needed").groupBy(F.col("id").alias(asked_id)).agg(F.collect_list(F.struct("fp", "start", "size")).alias(asked_name))
+    asked = docs.join(asked.hint("merge"), F.col(key).cast("long") == F.col(asked_id), "left").drop(asked_id)
+    contexts = _contexts(asked, rules, key, text, asked_name)
+    marks = staged_marks(contexts, rules.length) if rules.stages else _marks(contexts, rules)
+    marks = marks.unionByName(firsts.filter("not needed").select("id", "start", F.lit(0).cast("long").alias("mask")))
+    marks = marks.groupBy(F.col("id").alias(mark_id)).agg(F.collect_list(F.struct("start", "mask")).alias(marks_name))
+    both = docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id).join(marks.hint("merge"), F.col(key).cast("long") == F.col(mark_id), "left").drop(mark_id)
     length, fields = rules.length, docs.schema.names
 
     def run(batches):

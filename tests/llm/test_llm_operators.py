@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, html_extract, line_crf, mixing, near_dup, quality_rules, setsketch, suffix_dedup, url_filter, warc
+from tallyframe.llm import chat, decontaminate, html_extract, line_crf, mixing, near_dup, quality_rules, setsketch, suffix_dedup, suffix_stages, url_filter, warc
 from tallyframe.llm.suffix_sort import suffix_order
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, id string, fp string"
@@ -57,6 +57,27 @@ def test_suffix_order(depth):
         assert sorted(order) == list(range(len(s))) and heads == sorted(heads)
 
 
+@pytest.mark.parametrize("depth", [3, 4, 20])
+def test_suffix_ranks_in_stages(spark, depth):
+    draw = random.Random(depth)
+    strings = [[draw.randrange(1, draw.choice([2, 3, 4])) for _ in range(draw.randint(1, 25))] for _ in range(14)]
+    df = spark.createDataFrame([(c, i, s) for c, string in enumerate(strings) for i, s in enumerate(string)], "ctx long, i int, s long")
+    got = {(r.ctx, r.i): r["rank"] for r in suffix_stages.suffix_ranks(df, depth).collect()}
+    assert set(got) == {(c, i) for c, string in enumerate(strings) for i in range(len(string))}
+    ordered = sorted(got, key=got.__getitem__)
+    heads = [strings[c][i : i + depth] for c, i in ordered]
+    assert heads == sorted(heads)
+    equal = collections.defaultdict(set)
+    for (c, i), rank in got.items():
+        equal[rank].add(tuple(strings[c][i : i + depth]))
+    assert all(len(v) == 1 for v in equal.values())
+
+
+def test_repeats_sorted_in_stages(docs, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs, suffix_dedup.RepeatRules(stages=True)).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
 def brute_repeats(rows, length=100):
     seen, out = set(), {}
     for key, text in sorted(rows):
