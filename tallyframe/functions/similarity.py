@@ -41,6 +41,12 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def blend(first: Column, second: Column, share: float = 0.6) -> Column:
+    """A share of one similarity and the rest of another: of word Jaccard and sequence ratio, of overlap and sequence ratio, or
+    of sequence ratio and word Jaccard."""
+    return share * first + (1 - share) * second
+
+
 def brand_class(a: Column, b: Column, least: int = 4) -> Column:
     """match, reject, one_unknown or both_unknown; a brand of `least` letters may stand inside the other."""
     inside = ((F.length(a) >= least) & F.contains(b, a)) | ((F.length(b) >= least) & F.contains(a, b))

@@ -398,7 +398,22 @@ def r_offline_match(spark, d):
     return matching.offline_match(products, catalogue)
 
 
-for _f in (r_ratio_match, r_sign_match, r_offline_match):
+def r_blends(spark, d):
+    """The three blends with the sequence ratio, for pairs of a block."""
+    ratio = similarity.sequence_ratio(F.col("l.name"), F.col("r.name"))
+    pairs = _block_pairs(spark, d).withColumn("seq", ratio).withColumn("j", similarity.jaccard(_tokens("l"), _tokens("r"))).withColumn("o", similarity.overlap(_tokens("l"), _tokens("r")))
+    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.blend(F.col("j"), F.col("seq")).alias("strict"), similarity.blend(F.col("o"), F.col("seq")).alias("passes"), similarity.blend(F.col("seq"), F.col("j")).alias("translit"))
+
+
+def r_api_hits(spark, d):
+    """Catalogue rows of a product's brand as hits of a search, by score; from .55 on, the best one."""
+    products, catalogue = _catalogue(spark, d)
+    hits = products.join(catalogue, F.col("brand") == F.col("off_brand"))
+    scored = hits.select("id", "off_id", phases.api_score(hits).alias("score"))
+    return matching.best_candidate(scored, "id", "off_id", "score").filter("score >= 0.55")
+
+
+for _f in (r_ratio_match, r_sign_match, r_offline_match, r_blends, r_api_hits):
     register(_f.__name__, _f)
 
 for _f in (r_phase_matcher, r_hybrid_match, r_transliterated_match, r_importer_matches, r_standard_products):

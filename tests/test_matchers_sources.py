@@ -116,6 +116,51 @@ def test_containing_and_alike_pairs(spark):
     assert {(r.a, r.b) for r in matching.alike_pairs(left, right, "a", "b", 0.7).collect()} == near
 
 
+def test_close_brand_pairs(spark):
+    from tallyframe.operators import phases
+
+    a, b = ["acme", "nordwind", "zz"], ["acme foods", "nordwynd", "xy", "zz"]
+    got = phases.close_brand_pairs(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), "a", "b")
+    assert {(r.a, r.b) for r in got.collect()} == {(x, y) for x in a for y in b if x in y or y in x or ratio(x, y) > 0.7} and got.count() == 3
+
+
+def parts(sf):
+    import duckdb
+
+    return duckdb.sql(f"SELECT p_partkey, p_name, lower(p_brand), p_type, p_size FROM '{sf}/part.parquet'").fetchall()
+
+
+def test_blends_equal_plain_python(spark, sf):
+    import __spark_entry__ as entry
+
+    rows = {p[0]: p for p in parts(sf)}
+    got = entry.queries()["r_blends"](spark, sf).collect()
+    assert len(got) == sum(p[2:4] == q[2:4] for p in rows.values() for q in rows.values() if p[0] < q[0])
+    for r in got:
+        x, y, seq = set(rows[r.a][1].split()), set(rows[r.b][1].split()), ratio(rows[r.a][1], rows[r.b][1])
+        j, o = len(x & y) / len(x | y), len(x & y) / max(len(x), len(y))
+        assert (r.strict, r.passes, r.translit) == pytest.approx((0.6 * j + 0.4 * seq, 0.6 * o + 0.4 * seq, 0.6 * seq + 0.4 * j))
+
+
+def test_api_hits_equal_plain_python(spark, sf):
+    import __spark_entry__ as entry
+
+    rows, want = parts(sf), {}
+    words = lambda n: {w for w in n.split() if len(w) > 2}
+    for p in rows:
+        if p[0] % 2:
+            continue
+        scores = []
+        for q in rows:
+            if q[0] % 2 and p[2] == q[2]:
+                apart = max(p[4], q[4]) / min(p[4], q[4])
+                scores.append((-(0.4 + min(0.1 * len(words(p[1]) & words(q[1])), 0.4) + (0.2 if apart <= 1.1 else 0.1 if apart <= 1.5 else 0) + 0.2 * ratio(p[1], q[1])), q[0]))
+        if scores and -min(scores)[0] >= 0.55:
+            want[p[0]] = min(scores)
+    got = {r.id: (-r.score, r.off_id) for r in entry.queries()["r_api_hits"](spark, sf).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and want
+
+
 def test_best_candidate_without_scores(spark):
     df = spark.createDataFrame([(1, 5, None), (1, 4, 0.5), (1, 3, 0.5), (2, 7, None), (2, 6, None)], "p long, c long, s double")
     assert {(r.p, r.c, r.s) for r in matching.best_candidate(df, "p", "c", "s").collect()} == {(1, 3, 0.5), (2, 6, None)}
