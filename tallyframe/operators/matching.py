@@ -18,6 +18,23 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: list[str], key: str,
     return pairs.filter(condition if condition is not None else F.col(f"l.{key}") < F.col(f"r.{key}")).select("l", "r")
 
 
+def similar_pairs(rows: DataFrame, key: str, block: list[str], tokens: Column, least: float) -> DataFrame:
+    """Candidate pairs (structs l and r, smaller key first) of a block for a Jaccard similarity of at least `least` of token
+    sets: sets that similar share one of their rarest n - ceil(least * n) + 1 tokens, so only those meet, and sets whose
+    sizes rule it out do not. No pair that reaches the threshold is missed."""
+    sets = rows.withColumn("_set", F.array_distinct(tokens)).filter(F.size("_set") > 0)
+    each = sets.select(key, *block, F.size("_set").alias("_n"), F.explode("_set").alias("_token"))
+    frequent = each.groupBy("_token").agg(F.count("*").alias("_df"))
+    rare = each.join(frequent, "_token").groupBy(key, *block, "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_sorted"))
+    prefix = (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).cast("int")
+    heads = rare.select(key, *block, "_n", F.explode(F.slice("_sorted", 1, prefix)["_token"]).alias("_token"))
+    other = heads.withColumnsRenamed({key: "_other", "_n": "_m"})
+    fits = (F.col(key) < F.col("_other")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * least - 1e-9)
+    pairs = heads.join(other, [*block, "_token"]).filter(fits).select(key, "_other").distinct()
+    side = lambda name, by: rows.select(F.col(key).alias(by), F.struct("*").alias(name))
+    return pairs.join(side("l", key), key).join(side("r", "_other"), "_other").select("l", "r")
+
+
 def postings(df: DataFrame, key: str, tokens: Column, cap: int | None = None) -> DataFrame:
     """The inverted index (token, key), up to `cap` keys per token in key order where one is given."""
     rows = df.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(key))

@@ -32,8 +32,12 @@ def _tokens(side: str):
     return text.token_set(F.split(F.col(f"{side}.name"), " "))
 
 
+def _similar_parts(spark, d, tokens, least: float) -> DataFrame:
+    return matching.similar_pairs(_parts(spark, d), "id", ["type", "brand"], tokens, least)
+
+
 def q_jaccard_pairs(spark, d):
-    return _block_pairs(spark, d).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("score")).filter("score >= 0.3")
+    return _similar_parts(spark, d, F.split("name", " "), 0.3).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("score")).filter("score >= 0.3")
 
 
 register("q_jaccard_pairs", q_jaccard_pairs, f"SELECT a.p_partkey AS a, b.p_partkey AS b, CAST({_MEET} AS DOUBLE) / {_EITHER} AS score {_PAIRS} WHERE CAST({_MEET} AS DOUBLE) / {_EITHER} >= 0.3")
@@ -51,7 +55,7 @@ _G = f"CAST(len(list_intersect({_GRAMS.format('a')}, {_GRAMS.format('b')})) AS D
 
 def q_trigram_pairs(spark, d):
     score = similarity.jaccard(text.ngrams(F.col("l.name")), text.ngrams(F.col("r.name")))
-    return _block_pairs(spark, d).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("score")).filter("score >= 0.4")
+    return _similar_parts(spark, d, text.ngrams(F.col("name")), 0.4).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("score")).filter("score >= 0.4")
 
 
 register("q_trigram_pairs", q_trigram_pairs, f"SELECT a.p_partkey AS a, b.p_partkey AS b, {_G} AS score {_PAIRS} WHERE {_G} >= 0.4")
@@ -261,13 +265,13 @@ def r_strict_greedy(spark, d):
 
 
 def r_greedy_groups(spark, d):
-    pairs = _block_pairs(spark, d).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("score")).filter("score > 0.3")
+    pairs = _similar_parts(spark, d, F.split("name", " "), 0.3).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("score")).filter("score > 0.3")
     edges = pairs.select((F.col("a") * 1000000 + F.col("b")).alias("id"), F.array("a", "b").alias("members"), "score")
     return grouping.greedy_groups(edges)
 
 
 def r_components(spark, d):
-    pairs = _block_pairs(spark, d).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("s")).filter("s > 0.9")
+    pairs = _similar_parts(spark, d, F.split("name", " "), 0.9).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.jaccard(_tokens("l"), _tokens("r")).alias("s")).filter("s > 0.9")
     return grouping.link_components(pairs)
 
 

@@ -161,6 +161,18 @@ def test_api_hits_equal_plain_python(spark, sf):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and want
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_similar_pairs_miss_nothing(spark, least):
+    import random
+
+    draw = random.Random(int(least * 10))
+    rows = [(i, draw.choice("xy"), [draw.choice("abcdefgh") for _ in range(draw.randint(0, 7))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, block string, words array<string>")
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and p[2] and q[2] and len(set(p[2]) & set(q[2])) >= least * len(set(p[2]) | set(q[2]))}
+    got = {(r.l.id, r.r.id) for r in matching.similar_pairs(df, "id", ["block"], F.col("words"), least).collect()}
+    assert want <= got and len(got) < 60 * 59 / 2
+
+
 def test_best_candidate_without_scores(spark):
     df = spark.createDataFrame([(1, 5, None), (1, 4, 0.5), (1, 3, 0.5), (2, 7, None), (2, 6, None)], "p long, c long, s double")
     assert {(r.p, r.c, r.s) for r in matching.best_candidate(df, "p", "c", "s").collect()} == {(1, 3, 0.5), (2, 6, None)}
