@@ -344,7 +344,7 @@ def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "
     # one shuffle of the texts serves all three joins; left joins leave its plan the same
     on = F.col(key).cast("long") == F.col(anchor_id)
     anchored = docs.join(of_doc.hint("merge"), on, "left").drop(anchor_id)
-    firsts = materialize(_first_places(_places(anchored, rules, key, text, fps_name, hot_name)), "repeat-places")
+    firsts = _first_places(_places(anchored, rules, key, text, fps_name, hot_name))
     asked = firsts.filter("needed").groupBy(F.col("id").alias(asked_id)).agg(F.collect_list(F.struct("fp", "start", "size")).alias(asked_name))
     asked = docs.join(asked.hint("merge"), F.col(key).cast("long") == F.col(asked_id), "left").drop(asked_id)
     contexts = _contexts(asked, rules, key, text, asked_name)
