@@ -23,7 +23,9 @@ window.
 
 Defined results: null text or role counts as empty; turns that tie are
 ordered by role, then text; repeated rows are turns of their own; null
-conversation ids are one conversation; an empty table gives no windows.
+conversation ids are one conversation; an empty table gives no windows. A
+conversation's turns are put in order, and its digest is taken, by one task:
+windows repeat turns of the window before, and the digest is one value.
 """
 
 from __future__ import annotations
