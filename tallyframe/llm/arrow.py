@@ -55,7 +55,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 <
         yield batch.slice(start)
 
 
-def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.RecordBatch], pa.Array], limit: int = 4 << 20) -> DataFrame:
+def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 20) -> DataFrame:
     """The rows of df, all columns untouched, for which verdict(batch) holds."""
 
     def run(batches):

@@ -50,7 +50,7 @@ class FertilityRules:
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
     min_words: int = 50
     max_repeat_percent: int = 50
-    cached_words: int = 300_000
+    cached_words: int = 150_000
     bands: dict[str, Band] = field(default_factory=lambda: dict(DEFAULT_BANDS))
 
 
@@ -218,7 +218,7 @@ def quality_measures(docs: DataFrame, rules: FertilityRules | None = None, key:
 
     def run(batches):
         judge = Judge(rules)
-        for batch in small_batches(batches, text, 4 << 20):
+        for batch in small_batches(batches, text, 1 << 20):
             rows = judge.rows(text_bytes(batch.column(text)), batch.column(lang).to_pylist())
             columns = list(zip(*rows, strict=True)) or [()] * 10
             types = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2
