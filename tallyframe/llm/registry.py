@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.chat import chat_digest
 from tallyframe.llm.decontaminate import leak_report
+from tallyframe.llm.filter_audit import AUDIT_SQL, filter_audit
 from tallyframe.llm.html_extract import extract_pages
 from tallyframe.llm.line_crf import quality_scores
+from tallyframe.llm.line_dedup import LINES_SQL, line_report
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.near_dup import NearRules, near_duplicates
 from tallyframe.llm.quality_rules import quality_measures
@@ -18,6 +20,7 @@ from tallyframe.llm.sql_texts import LEAKS_SQL, NEAR_SQL, REPEATS_SQL, URLS_SQL
 from tallyframe.llm.suffix_dedup import repeat_report
 from tallyframe.llm.url_filter import judge_urls
 from tallyframe.llm.warc import WARC_SQL, archive_round_trip
+from tallyframe.llm.whitening import whitening_report
 from tallyframe.session import read_table
 
 
@@ -67,12 +70,25 @@ def op10_html_extract(spark, sf_dir):
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate, op8_near_dedup, op9_quality_classifier, op10_html_extract)}
+    found = (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_warc, op6_url_filter, op7_decontaminate, op8_near_dedup, op9_quality_classifier, op10_html_extract, op11_whitening, op12_filter_audit, op13_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    """op3, op9 and op10 have no SQL form: tokenisers and trained models."""
+    """op3, op9, op10 and op11 have no SQL form: tokenisers, trained models and singular values."""
     return {
         "op1_suffix_dedup": REPEATS_SQL,
         "op2_chat_format": CHAT_SQL,
@@ -81,4 +97,6 @@ def oracle_sql():
         "op6_url_filter": URLS_SQL,
         "op7_decontaminate": LEAKS_SQL,
         "op8_near_dedup": NEAR_SQL,
+        "op12_filter_audit": AUDIT_SQL,
+        "op13_line_dedup": LINES_SQL,
     }
