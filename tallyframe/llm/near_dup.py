@@ -1,12 +1,13 @@
 """Near-duplicate groups with SetSketch registers.
 
-1. Each text gets its set of word shingles, the set's digest and a sketch.
+1. Each text gets its set of word shingles, the set's 128-bit digest and a sketch.
    Equal sets fall into one class by digest; one document stands for it.
 2. Bands of register values deal the representatives into buckets.
 3. Buckets of at most `pair_limit` give their pairs; larger ones give pairs
    with two pivots only (the member with most company, and the smallest).
 4. Pairs whose jointly estimated similarity is far below the threshold go;
-   the others are verified on the full sets. Components of what holds follow.
+   the others are verified on the full sets, made again from the texts with 128
+   bits for each shingle. Components of what holds follow.
 5. Large buckets that still hold several components are not sampled: all
    their members are joined by an exact prefix filter on the rarest shingles
    (two sets of Jaccard similarity t share one of their (1-t)n+1 rarest), and
@@ -18,7 +19,8 @@ fewer than `hot_parts`, are joined by broadcast and the others by shuffle.
 
 Defined results: null or empty texts have empty sets and link with nothing;
 rows that share a key are one document, of which keep_first_of_group keeps one
-row; null keys stand alone; an empty table stays empty.
+row; null keys stand alone; very long texts are taken a megabyte at a time, their
+hashes as a whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import setsketch
 from tallyframe.llm.arrow import free_names, modest_batches, small_batches, text_bytes
-from tallyframe.llm.setsketch import SketchRules
+from tallyframe.llm.setsketch import SketchRules, WordDigests
 from tallyframe.operators.grouping import link_components
 from tallyframe.session import materialize
 
@@ -51,17 +53,16 @@ class NearRules:
 
 
 def sketches(docs: DataFrame, rules: NearRules, key: str, text: str) -> DataFrame:
-    """One row per document: id, n, h1, h2 (digest of the set), regs."""
+    """One row per document: id, n, h1, h2 (128-bit digest of the set), regs."""
     sketch = rules.sketch
 
     def run(batches):
+        digests = WordDigests()
         for batch in small_batches(batches, text):
-            sets = setsketch.shingle_sets(text_bytes(batch.column(text)), sketch.words)
-            with np.errstate(over="ignore"):
-                h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                h2 = np.array([setsketch.mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            regs = [setsketch.registers(s, sketch).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(regs, pa.binary())], ["id", "n", "h1", "h2", "regs"])
+            sets = setsketch.shingle_sets(text_bytes(batch.column(text)), sketch.words, digests)
+            halves = np.frombuffer(b"".join([setsketch.set_digest(s) for s in sets] or [bytes(16)]), "<i8").reshape(-1, 2)[: len(sets)]
+            regs = [setsketch.registers(s[0], sketch).tobytes() if len(s[0]) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(regs, pa.binary())], ["id", "n", "h1", "h2", "regs"])
 
     return modest_batches(docs).select(key, text).mapInArrow(run, "id long, n long, h1 long, h2 long, regs binary")
 
@@ -102,16 +103,16 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     words, percent = rules.sketch.words, rules.percent
 
     def run(batches):
-        last, held = None, None
+        last, held, digests = None, None, WordDigests()
         for whole in batches:
             for batch in small_batches([whole], "text_b"):
                 a, keep = batch.column("a").to_pylist(), []
-                sets = setsketch.shingle_sets(text_bytes(batch.column("text_b")), words)
+                sets = setsketch.shingle_sets(text_bytes(batch.column("text_b")), words, digests)
                 for i, (left, other) in enumerate(zip(a, sets, strict=True)):
                     if left != last:
-                        last, held = left, setsketch.shingle_sets(text_bytes(batch.column("text_a").slice(i, 1)), words)[0]
-                    common = len(np.intersect1d(held, other, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(held) + len(other) - common))
+                        last, held = left, setsketch.shingle_sets(text_bytes(batch.column("text_a").slice(i, 1)), words, digests)[0]
+                    common = setsketch.common(held, other)
+                    keep.append(100 * common >= percent * (len(held[0]) + len(other[0]) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
@@ -154,9 +155,10 @@ def rare_shingle_pairs(members: DataFrame, texts: DataFrame, rules: NearRules) -
     words, percent = rules.sketch.words, rules.percent
 
     def run(batches):
+        digests = WordDigests()
         for whole in batches:
             for batch in small_batches([whole], "text", 1 << 20):
-                sets = setsketch.shingle_sets(text_bytes(batch.column("text")), words)
+                sets = [s[0] for s in setsketch.shingle_sets(text_bytes(batch.column("text")), words, digests)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 cells = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "label")]
                 yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "label", "n", "shingle"])

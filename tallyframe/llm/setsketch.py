@@ -7,6 +7,9 @@ Registers of a union are the maxima of registers, so sketches merge.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,7 +61,8 @@ def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, begin and end of each word; words are split by ASCII white space."""
+    """Hash, begin and end of each word; words are split by ASCII white space. A polynomial: fit for features, not for
+    telling texts apart, since different words may be made to have one hash."""
     a = np.frombuffer(data, np.uint8)
     space = (a == 32) | ((a >= 9) & (a <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[1], space, [1]]).astype(np.int8)))
@@ -69,31 +73,105 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(_U)), begin, end
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles, A-Z lower-cased;
-    a text of fewer words is one shingle, one without words has none."""
-    data = b"\n".join(texts).lower()
-    hashes, begin, _ = word_hashes(data)
-    starts = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-    first = np.searchsorted(begin, starts)
-    n = len(hashes) - words + 1
-    odd = mix(np.arange(1, words + 2, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
-    whole = np.zeros(max(n, 0), _U)
+class _Numbered(dict):
+    """Numbers of words in the order in which they are met; their digests wait in `new`."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(hashlib.blake2b(word, digest_size=16).digest())
+        self[word] = len(self)
+        return len(self) - 1
+
+
+class WordDigests:
+    """128-bit digests of words; of the words met before, `most` and those of one call are remembered."""
+
+    def __init__(self, most: int = 100_000):
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.known, self.size = _Numbered(), np.zeros((1 << 12, 2), _U), 0
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """(n, 2) halves of the digests."""
+        if self.size > self.most:
+            self._forget()
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        new = self.numbers.new
+        if new:
+            if self.size + len(new) > len(self.known):
+                self.known = np.concatenate([self.known[: self.size], np.zeros((self.size + 2 * len(new), 2), _U)])
+            self.known[self.size : self.size + len(new)] = np.frombuffer(b"".join(new), "<u8").reshape(-1, 2)
+            self.size += len(new)
+            new.clear()
+        return self.known[at]
+
+
+def _pieces(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """data cut at white space into pieces of about `limit` bytes."""
+    start = 0
+    while len(data) - start > limit and (space := re.compile(rb"[ \t-\r]").search(data, start + limit)):
+        yield data[start : space.start()]
+        start = space.start()
+    yield data[start:]
+
+
+def shingle_sets(texts: list[bytes], words: int, digests: WordDigests) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, A-Z lower-cased, as two independent 64-bit hashes each, sorted by the first;
+    a text of fewer words is one shingle, one without words has none. Words count by 128-bit digests, so that different
+    shingles are told apart but for chances of 2**-128."""
+    hashed = [[digests.of(piece.split()) for piece in _pieces(t.lower())] for t in texts]
+    first = np.concatenate([[0], np.cumsum(np.fromiter((sum(map(len, h)) for h in hashed), np.int64, len(texts)))])
+    hashed = np.concatenate([*(p for h in hashed for p in h), np.zeros((0, 2), _U)])
+    n = len(hashed) - words + 1
+    odd = mix(np.arange(1, 2 * words + 3, dtype=_U) * _U(0xD1B54A32D192ED03)).reshape(-1, 2) | _U(1)
+    whole = np.zeros((max(n, 0), 2), _U)
     for i in range(words if n > 0 else 0):
-        whole += hashes[i : i + n] * odd[i]
+        whole += hashed[i : i + n] * odd[i]
     whole = mix(whole)
     sets = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            s = np.sort(whole[a : b - words + 1])
-            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            sets.append(_distinct(whole[a : b - words + 1]))
         elif b > a:
-            sets.append(mix((hashes[a:b] * odd[: b - a]).sum(keepdims=True) + odd[-1:] * np.array([b - a], _U)))
+            one = mix((hashed[a:b] * odd[: b - a]).sum(axis=0) + odd[-1] * _U(b - a))
+            sets.append((one[:1].copy(), one[1:].copy()))
         else:
-            sets.append(np.zeros(0, _U))
+            sets.append((np.zeros(0, _U), np.zeros(0, _U)))
     return sets
 
 
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of two hashes, sorted by the first."""
+    order = np.argsort(pairs[:, 0])
+    one, two = pairs[order, 0], pairs[order, 1]
+    same, equal = one[1:] == one[:-1], two[1:] == two[:-1]
+    if (same & ~equal).any():
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        one, two = pairs[order, 0], pairs[order, 1]
+        same, equal = one[1:] == one[:-1], two[1:] == two[:-1]
+    new = np.concatenate([[True], ~(same & equal)])
+    return one[new], two[new]
+
+
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
+
+
+def set_digest(shingles: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """128 bits of a whole set."""
+    return hashlib.blake2b(shingles[0].tobytes() + shingles[1].tobytes(), digest_size=16).digest()
+
+
 @lru_cache(maxsize=4)
 def _multipliers(rules: SketchRules) -> np.ndarray:
     return mix(np.arange(1, rules.registers + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(rules.seed)) | _U(1)

@@ -450,6 +450,78 @@ def test_near_groups_do_not_depend_on_hot_parts(spark, texts, hot_parts):
     assert got == brute_groups(rows)
 
 
+def test_words_of_equal_polynomials_stay_apart(spark):
+    """The Thue-Morse word and its complement have one polynomial hash for every odd number modulo 2**64; a text's set may
+    also have the sum of another's. Neither links, nor makes one class, in the pipeline's stage either."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, f"x y z {one}"), (2, f"x y z {other}"), (3, f"{one} " * 9 + "q r s"), (4, f"{other} " * 9 + "q r s"), (5, f"x y z {one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, near_dup.NearRules(setsketch.SketchRules(words=4))).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert {r.doc_id for r in near_dup.keep_first_of_group(df).collect()} == {1, 2, 3, 4}
+
+
+def test_sets_of_equal_sums_have_digests_of_their_own():
+    a, b = (np.array(x, np.uint64) for x in ([1, 10, 100], [2, 9, 100]))
+    assert a.sum() == b.sum() and setsketch.set_digest((a, a)) != setsketch.set_digest((b, b))
+    assert setsketch.common((a, a), (b, b)) == 1 and setsketch.common((a, a), (a, b)) == 1
+    same = np.array([[5, 1], [5, 2], [5, 1], [3, 9], [5, 2]], np.uint64)
+    assert [x.tolist() for x in setsketch._distinct(same)] == [[3, 5, 5], [9, 1, 2]]
+
+
+def test_shingles_do_not_depend_on_pieces_or_memory():
+    draw = random.Random(12)
+    texts = [sentence(draw, n).encode() for n in (0, 1, 3, 4, 500)] + [sentence(draw, 40000).encode() * 5]
+    want = setsketch.shingle_sets(texts, 4, setsketch.WordDigests())
+    small = setsketch.WordDigests(most=10)
+    for t, w in zip(texts, want, strict=True):
+        assert all((x == y).all() for x, y in zip(setsketch.shingle_sets([t], 4, small)[0], w, strict=True))
+        words = t.lower().split()
+        assert len(w[0]) == len({tuple(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1)))})
+
+
+def test_no_link_of_the_table_is_lost(spark):
+    """All pairs of sf0.1 that reach the threshold, found by their rarest shingles in plain Python, are inside one component, and components are those of the links."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    numbers, sets = {}, {}
+    for key, t in rows:
+        w = (t or "").encode().lower().split()
+        shingles = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[key] = {numbers.setdefault(s, len(numbers)) for s in shingles}
+    often = collections.Counter(s for own in sets.values() for s in own)
+    classes = collections.defaultdict(list)
+    for key in sorted(sets):
+        if sets[key]:
+            classes[frozenset(sets[key])].append(key)
+    index, parent = collections.defaultdict(list), {k: k for k in sets}
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    links = 0
+    for own, keys in classes.items():
+        for k in keys:
+            parent[root(max(k, keys[0]))] = root(min(k, keys[0]))
+        ordered = sorted(own, key=lambda s: (often[s], s))
+        for s in ordered[: len(own) - -(-80 * len(own) // 100) + 1]:
+            for other in index[s]:
+                n = len(own & sets[other])
+                if 100 * n >= 80 * (len(own) + len(sets[other]) - n):
+                    a, b = sorted((root(keys[0]), root(other)))
+                    parent[b], links = a, links + 1
+            index[s].append(keys[0])
+    low = {}
+    for k in sorted(sets):
+        low.setdefault(root(k), k)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.read.parquet(path), near_dup.NearRules(setsketch.SketchRules(words=4))).collect()}
+    assert links > 100 and got == {k: low[root(k)] for k in sets}
+
+
 def test_sketches_merge_and_estimate():
     rules = setsketch.SketchRules(registers=512)
     x = setsketch.mix(np.arange(1, 3001, dtype=np.uint64))
