@@ -9,7 +9,8 @@ that length has an anchor: its smallest hashed gram (of 37 bytes for strings of
 positions with the same anchor form a range; a range with the bytes that its
 strings span is a context. Anchors that occur once in the corpus cannot lie in
 a repeated string and are left out. Equal contexts of an anchor are found by
-digest (64 bits, beside the anchor's 64) before their bytes are sent. Where an
+digest (64 bits, beside the anchor's 64; so for texts alike by chance with a probability of
+about 2**-64 for each pair of an anchor's contexts) before their bytes are sent. Where an
 anchor has different contexts, these meet, and the suffixes of a batch of them
 are sorted with a difference cover (see suffix_sort); neighbours in that order
 are compared over `length` bytes, and in each group of equal strings all but
@@ -18,6 +19,10 @@ the first are marked.
 Anchors in more than `hot` places do not meet in one task: their ranges are
 split into single strings, dealt out by the string itself.
 
+Texts of any length are anchored about a megabyte at a time, so that a worker
+holds a few copies of its longest text and not hundreds of bytes for each byte
+of a text that repeats itself.
+
 Texts are shuffled once by key; marks come back to them by key. Spans never
 cross documents.
 
@@ -33,6 +38,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,10 @@ from tallyframe.session import materialize
 _U = np.uint64
 #: Starts in a piece of a range, at most: one bit of a mask each.
 PIECE = 64
+#: Bytes that are anchored at once, about; longer texts are cut into parts that overlap by a string less one byte.
+PART = 1 << 20
+#: Rows, or pieces with their bits, that are held at once.
+SLICE = 1 << 14
 CUT = "_cut_spans"
 
 
@@ -74,16 +84,35 @@ class RepeatRules:
         return min(self.hot, (MOST - self.batch - 16) // (self.length + PIECE + 1))
 
 
+def parts_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(number of the text, begin, bytes) of parts of the texts that are long enough, about PART bytes at a time.
+    Every string of a text is in just one part."""
+    held, size = [], 0
+    for i, data in enumerate(texts):
+        for begin in range(0, max(len(data) - length + 1, 0), PART):
+            part = data[begin : begin + PART + length - 1]
+            if held and size + len(part) > PART:
+                yield held
+                held, size = [], 0
+            held.append((i, begin, part))
+            size += len(part)
+    if held:
+        yield held
+
+
 class Ranges:
-    """The anchor ranges of the texts of one batch that are long enough."""
+    """The anchor ranges of parts of texts. docs: number of each part's text; starts, ends: of the part in the joined
+    data; shift: what turns a place in the data into one in the text."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, parts: list[tuple[int, int, bytes]], length: int):
         self.length = length
-        self.docs = np.array([i for i, t in enumerate(texts) if len(t) >= length], np.int64)
-        self.data = b"".join([texts[i] for i in self.docs])
-        sizes = np.array([len(texts[i]) for i in self.docs], np.int64)
+        self.docs = np.array([i for i, _, _ in parts], np.int64)
+        self.data = b"".join([p for _, _, p in parts])
+        sizes = np.array([len(p) for _, _, p in parts], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
+        self.begins = np.array([begin for _, begin, _ in parts], np.int64)
+        self.shift = self.begins - self.starts
         n = len(self.data)
         if not n:
             self.fp, self.at, self.n, self.doc = (np.zeros(0, np.int64) for _ in range(4))
@@ -198,9 +227,10 @@ def _anchor_counts(docs: DataFrame, rules: RepeatRules, key: str, text: str) ->
 
     def run(batches):
         for batch in small_batches(batches, text):
-            found = Ranges(text_bytes(batch.column(text)), rules.length)
-            ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[found.docs][found.doc]
-            yield pa.RecordBatch.from_arrays([pa.array(found.fp), pa.array(ids, pa.int64()), pa.array(found.places().astype(np.int32))], ["fp", "id", "places"])
+            ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            for parts in parts_of(text_bytes(batch.column(text)), rules.length):
+                found = Ranges(parts, rules.length)
+                yield pa.RecordBatch.from_arrays([pa.array(found.fp), pa.array(ids[found.docs][found.doc], pa.int64()), pa.array(found.places().astype(np.int32))], ["fp", "id", "places"])
 
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "fp long, id long, places int")
 
@@ -215,12 +245,15 @@ def _with_anchors(batch: pa.RecordBatch, text: str, fps: str) -> list[bytes]:
     return [t if s else b"" for t, s in zip(text_bytes(batch.column(text)), some, strict=True)]
 
 
-def _chosen(found: Ranges, fps: list, hot: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(column: pa.Array) -> np.ndarray:
+    """All anchors of a list column."""
+    return np.unique(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _chosen(found: Ranges, known: np.ndarray, burning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of ranges with repeated anchors that are not hot, and of those that are."""
-    known = np.unique(np.array([x for f in fps if f is not None for x in f], np.int64))
-    burning = np.unique(np.array([x for f in hot if f is not None for x in f], np.int64))
     is_hot = np.isin(found.fp, burning)
-    return np.flatnonzero(np.isin(found.fp, known) & ~is_hot), np.flatnonzero(is_hot), burning
+    return np.flatnonzero(np.isin(found.fp, known) & ~is_hot), np.flatnonzero(is_hot)
 
 
 def _places(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_name: str, hot_name: str) -> DataFrame:
@@ -231,33 +264,52 @@ def _places(anchored: DataFrame, rules: RepeatRules, key: str, text: str, fps_na
     def digest(data: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
-    def run(batches):
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
-        for batch in small_batches(batches, text):
-            found = Ranges(_with_anchors(batch, text, fps_name), length)
-            cold, hot, _ = _chosen(found, batch.column(fps_name).to_pylist(), batch.column(hot_name).to_pylist())
-            ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[found.docs]
-            which, begin, size = found.pieces(cold)
-            doc = found.doc[which]
-            rows = list(zip(found.fp[which].tolist(), ids[doc].tolist(), (begin - found.starts[doc]).tolist(), begin.tolist(), size.tolist(), strict=True))
-            for r in hot.tolist():
-                d = found.doc[r]
-                rows += [(None, int(ids[d]), int(at - found.starts[d]), at, 1) for at in range(int(found.at[r]), int(found.at[r] + found.n[r]))]
-            kept = []
-            for fp, doc_id, start, at, n in rows:
-                context = found.data[at : at + n + length - 1]
-                name = digest(context)
-                if fp is None:  # a single string: it is dealt by itself
-                    fp = digest(b"single" + context)
-                before = seen.get((fp, name))
-                if before is not None and before < (doc_id, start):
+    def packed(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "id", "place", "digest"])
+
+    def cold_rows(found: Ranges, cold: np.ndarray, ids: np.ndarray, seen: dict) -> Iterator[tuple[int, int, int, int]]:
+        which, begin, size = found.pieces(cold)
+        doc = found.doc[which]
+        for fp, doc_id, start, at, n in zip(found.fp[which].tolist(), ids[doc].tolist(), (begin + found.shift[doc]).tolist(), begin.tolist(), size.tolist(), strict=True):
+            context = found.data[at : at + n + length - 1]
+            name = digest(context)
+            before = seen.get((fp, name))
+            if before is not None and before < (doc_id, start):
+                continue
+            if len(seen) >= rules.remembered:
+                seen.clear()
+            seen[fp, name] = (doc_id, start)
+            yield fp, doc_id, start << 8 | (n - 1) << 1 | _repeats_inside(context, length), name
+
+    def single_rows(found: Ranges, hot: np.ndarray, ids: np.ndarray, seen: dict) -> Iterator[tuple[int, int, int, int]]:
+        """Each string of a hot range, dealt by itself; one seen earlier in the same task costs no digest."""
+        data = found.data
+        for r in hot.tolist():
+            doc_id, shift = int(ids[found.doc[r]]), int(found.shift[found.doc[r]])
+            for at in range(int(found.at[r]), int(found.at[r] + found.n[r])):
+                string = data[at : at + length]
+                before = seen.get(string)
+                if before is not None and before < (doc_id, at + shift):
                     continue
                 if len(seen) >= rules.remembered:
                     seen.clear()
-                seen[fp, name] = (doc_id, start)
-                kept.append((fp, doc_id, start << 8 | (n - 1) << 1 | _repeats_inside(context, length), name))
-            columns = list(zip(*kept, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "id", "place", "digest"])
+                seen[string] = (doc_id, at + shift)
+                yield digest(b"single" + string), doc_id, (at + shift) << 8, digest(string)
+
+    def run(batches):
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        singles: dict[bytes, tuple[int, int]] = {}
+        for batch in small_batches(batches, text):
+            known, burning = _anchors(batch.column(fps_name)), _anchors(batch.column(hot_name))
+            numbers = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            for parts in parts_of(_with_anchors(batch, text, fps_name), length):
+                found = Ranges(parts, length)
+                cold, hot = _chosen(found, known, burning)
+                ids = numbers[found.docs]
+                rows = chain(cold_rows(found, cold, ids, seen), single_rows(found, hot, ids, singles))
+                while some := list(islice(rows, SLICE)):
+                    yield packed(some)
 
     return anchored.mapInArrow(run, "fp long, id long, place long, digest long")
 
@@ -356,50 +408,55 @@ def mark_repeats(docs: DataFrame, rules: RepeatRules | None = None, key: str = "
 
     def run(batches):
         for batch in small_batches(batches, text):
-            found = Ranges(_with_anchors(batch, text, fps_name), length)
-            spans = [[] for _ in range(batch.num_rows)]
-            flagged = _flagged(found, *(batch.column(c).to_pylist() for c in (fps_name, hot_name, marks_name)))
-            if len(flagged):
-                n = len(found.data)
-                change = np.bincount(flagged, minlength=n + 1) - np.bincount(flagged + length, minlength=n + 1)
-                gone = np.cumsum(change[:n]) > 0
-                for i, a, b in zip(found.docs.tolist(), found.starts.tolist(), found.ends.tolist(), strict=True):
-                    own = gone[a:b]
-                    if own.any():
-                        spans[i] = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
+            texts = _with_anchors(batch, text, fps_name)
+            known, burning, marks = _anchors(batch.column(fps_name)), _anchors(batch.column(hot_name)), _marks_by_text(batch.column(marks_name))
+            gone: dict[int, np.ndarray] = {}
+            for parts in parts_of(texts, length):
+                found = Ranges(parts, length)
+                flagged = _flagged(found, *_chosen(found, known, burning), marks)
+                if not flagged.any():
+                    continue
+                # a byte goes if one of the `length` starts up to it is flagged
+                until = np.concatenate([np.zeros(length, np.int32), np.cumsum(flagged, dtype=np.int32)])
+                covered = until[length:] > until[:-length]
+                for i, begin, a, b in zip(found.docs.tolist(), found.begins.tolist(), found.starts.tolist(), found.ends.tolist(), strict=True):
+                    if covered[a:b].any():
+                        gone.setdefault(i, np.zeros(len(texts[i]), bool))[begin : begin + b - a] |= covered[a:b]
+            spans = [np.flatnonzero(np.diff(np.concatenate([[False], gone[i], [False]]).astype(np.int8))).tolist() if i in gone else [] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(spans, pa.list_(pa.int64()))], [*fields, cut])
 
     return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(cut, T.ArrayType(T.LongType()))]))
 
 
-def _flagged(found: Ranges, fps: list, burning: list, marks: list) -> np.ndarray:
-    """Starts, in the joined texts, of strings that also start earlier."""
-    cold, hot, _ = _chosen(found, fps, burning)
-    _, begin, size = found.pieces(cold)
-    if len(hot):
-        single = np.repeat(found.at[hot], found.n[hot])
-        single = single + np.arange(len(single)) - np.repeat(np.cumsum(found.n[hot]) - found.n[hot], found.n[hot])
-        begin, size = np.concatenate([begin, single]), np.concatenate([size, np.ones(len(single), np.int64)])
-    if not len(begin):
-        return begin
-    places, masks = [], []
-    for i, at in zip(found.docs.tolist(), found.starts.tolist(), strict=True):
-        for m in marks[i] or ():
-            places.append(at + m["start"])
-            masks.append(m["mask"])
+def _marks_by_text(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts, in order, and masks of each row's marks."""
+    found = []
+    for marks in column.to_pylist():
+        starts, masks = (np.array([m[k] for m in marks or ()], np.int64) for k in ("start", "mask"))
+        order = np.argsort(starts)
+        found.append((starts[order], masks[order].view(_U)))
+    return found
+
+
+def _flagged(found: Ranges, cold: np.ndarray, hot: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each place in the data, whether a string starts there that also starts earlier."""
     # what is not the first occurrence of its context is repeated as a whole
-    mask = np.full(len(begin), np.iinfo(_U).max, _U)
-    if places:
-        places, masks = np.array(places, np.int64), np.array(masks, np.int64).view(_U)
-        order = np.argsort(places)
-        places, masks = places[order], masks[order]
-        at = np.minimum(np.searchsorted(places, begin), len(places) - 1)
-        own = places[at] == begin
-        mask[own] = masks[at[own]]
+    mask = np.full(len(found.data), np.iinfo(_U).max, _U)
+    for i, begin, a, b in zip(found.docs.tolist(), found.begins.tolist(), found.starts.tolist(), found.ends.tolist(), strict=True):
+        starts, masks = marks[i]
+        own = slice(*np.searchsorted(starts, [begin, begin + b - a - found.length + 1]))
+        mask[starts[own] + (a - begin)] = masks[own]
+    flagged = np.zeros(len(found.data), bool)
+    for at, n in zip(found.at[hot].tolist(), found.n[hot].tolist(), strict=True):
+        flagged[at : at + n] = mask[at : at + n] & _U(1)
+    _, begin, size = found.pieces(cold)
     bit = np.arange(PIECE)
-    on = ((mask[:, None] >> bit.astype(_U)) & _U(1)).astype(bool) & (bit < size[:, None])
-    row, shift = np.nonzero(on)
-    return begin[row] + shift
+    for i in range(0, len(begin), SLICE):
+        first = begin[i : i + SLICE]
+        on = ((mask[first][:, None] >> bit.astype(_U)) & _U(1)).astype(bool) & (bit < size[i : i + SLICE, None])
+        row, shift = np.nonzero(on)
+        flagged[first[row] + shift] = True
+    return flagged
 
 
 def repeat_report(docs: DataFrame, rules: RepeatRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

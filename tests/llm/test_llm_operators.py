@@ -2,8 +2,12 @@
 
 import collections
 import hashlib
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -121,6 +125,47 @@ def test_one_anchor_with_many_long_contexts_fits_the_sort(spark):
         suffix_dedup.RepeatRules(length=2001)
 
 
+def test_repeats_in_parts(docs, texts, monkeypatch):
+    """Texts cut into parts of 150 starts, pieces with their bits and rows taken seven at a time."""
+    monkeypatch.setattr(suffix_dedup, "PART", 150)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 7)
+    for rules in (suffix_dedup.RepeatRules(), suffix_dedup.RepeatRules(hot=3, batch=500, remembered=4)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs, rules).collect()}
+        assert got == brute_repeats(list(enumerate(texts)))
+
+
+#: Run in a process of its own, so that its workers have no other past.
+MEMORY = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+from pyspark.sql import functions as F
+from tallyframe.llm.suffix_dedup import repeat_report
+from tallyframe.session import build_session
+spark = build_session("local[1]", "memory", **{{"spark.sql.shuffle.partitions": "1", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}})
+line = "A line of forty-six characters, again and again.\n"
+docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.repeat(F.lit("a"), 20_000_000)).otherwise(F.repeat(F.lit(line), 20_000_000 // len(line))).alias("text"))
+found = {{r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeat_report(docs).collect()}}
+n = 20_000_000 // len(line) * len(line)
+assert found == {{0: (20_000_000, 20_000_000 - 1, 1), 1: (n, n - len(line), 1)}}, found
+
+def peak(batches):
+    for _ in batches:
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], ["kb"])
+
+print("PEAK", max(r.kb for r in spark.range(1).mapInArrow(peak, "kb long").collect()))
+"""
+
+
+def test_repetitive_texts_of_20_megabytes_within_a_gigabyte():
+    """One letter, and one line: only what starts first stays. The largest worker held less than a gigabyte."""
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", MEMORY.format(root=root)], capture_output=True, text=True, timeout=600, env={**os.environ, "PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("PEAK")[1]) < 1_000_000
+
+
 def test_repeats_and_clashing_columns(docs, texts):
     extra = docs
     for name in ("hot", "fps", "marks", "_cut_spans", "_fps", "_anchor_id", "_mark_id", "_gone", "_mix_key", "_leak_spans", "mix_copies"):
