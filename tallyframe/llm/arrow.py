@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Word separators of the contracts: space, tab, LF, VT, FF, CR. bytes.split() uses exactly these.
@@ -47,7 +48,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 <
             yield batch
             continue
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(column.cast(pa.binary())).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(column.cast(pa.binary())).fill_null(0).to_pylist()):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

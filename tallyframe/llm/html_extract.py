@@ -14,7 +14,9 @@ tables hold none.
 
 Defined results: null html is an empty page with empty text; anything that is
 not markup is text; nesting has no limit; a node whose marginal equals the
-threshold is content; repeated rows are treated alike; an empty table stays
+threshold is content; repeated rows are treated alike; a very long page is
+parsed whole, as a batch of its own, by one worker; columns other than the key,
+the URL and the html are not read, whatever their names; an empty table stays
 empty.
 """
 

@@ -15,7 +15,9 @@ are relabelled once. Keys, languages and sources are no features.
 
 Defined results: a text without words gets the curve's value at its mean
 (`empty`); null is an empty text; repeated rows score alike; without any labels
-every score is 0.5; empty tables stay empty.
+every score is 0.5; a very long text is scored whole, as a batch of its own, by one worker; columns
+other than the key, the text and the labels are not read, whatever their names;
+empty tables stay empty.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ sorted. The result does not depend on either grid.
 Defined results: null texts have size 0 and are never taken; null sources
 are one source, last in order; a null key is digested like any other, and rows
 that tie in digest are ordered by key, size and digest of the text; repeated
-rows count one by one, each with copies of its own; an empty table stays empty.
+rows count one by one, each with copies of its own; very long texts are counted
+whole, one row at a time, and not moved; an empty table stays empty. Columns that are named like those
+added stay, and the added ones get underscores.
 """
 
 from __future__ import annotations
@@ -142,15 +144,14 @@ def _mixed(docs: DataFrame, rules: MixRules, key: str, text: str, source: str) -
 
 
 def mixed_documents(docs: DataFrame, rules: MixRules | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents the mix takes, with all their columns, the number of copies and the first copy's virtual
-    finish time, range-sorted by it. Rows that share key, source and text are numbered on both sides, so each
+    """The documents the mix takes, with all their columns, mix_copies (number of copies) and mix_finish (the first copy's
+    virtual finish time; both names with underscores where docs has such columns), range-sorted by the latter. Rows that share key, source and text are numbered on both sides, so each
     gets the copies of its own place in the order."""
     mixed = _mixed(docs, rules or MixRules(), key, text, source)
-    on_key, on_source, on_body, on_nth, body, nth = free_names(docs, "_mix_key", "_mix_source", "_mix_body", "_mix_nth", "_body", "_nth")
+    on_key, on_source, on_body, on_nth, body, nth, n_copies, finish = free_names(docs, "_mix_key", "_mix_source", "_mix_body", "_mix_nth", "_body", "_nth", "mix_copies", "mix_finish")
     same = Window.partitionBy("key", "source", "body").orderBy("virtual_finish", "row")
     copies = mixed.withColumn(on_nth, F.row_number().over(same)).filter("taken > 0")
-    copies = copies.select(F.col("key").alias(on_key), F.col("source").alias(on_source), F.col("body").alias(on_body), on_nth, F.expr("taken div size").cast("int").alias("mix_copies"), F.col("virtual_finish").alias("mix_finish"))
-    own = [c for c in ("mix_copies", "mix_finish") if c in docs.columns]
-    numbered = docs.drop(*own).withColumn(body, F.xxhash64(F.col(text))).withColumn(nth, F.row_number().over(Window.partitionBy(key, source, body).orderBy(F.lit(0))))
+    copies = copies.select(F.col("key").alias(on_key), F.col("source").alias(on_source), F.col("body").alias(on_body), on_nth, F.expr("taken div size").cast("int").alias(n_copies), F.col("virtual_finish").alias(finish))
+    numbered = docs.withColumn(body, F.xxhash64(F.col(text))).withColumn(nth, F.row_number().over(Window.partitionBy(key, source, body).orderBy(F.lit(0))))
     found = numbered.join(copies, F.col(key).eqNullSafe(F.col(on_key)) & F.col(source).eqNullSafe(F.col(on_source)) & (F.col(body) == F.col(on_body)) & (F.col(nth) == F.col(on_nth)))
-    return found.drop(on_key, on_source, on_body, on_nth, body, nth).orderBy("mix_finish", key)
+    return found.drop(on_key, on_source, on_body, on_nth, body, nth).orderBy(finish, key)

@@ -7,7 +7,8 @@ them.
 
 Each distinct word is encoded by itself, once per task while the bounded
 word cache holds it; a document's figures are sums over its words, so the
-whole text counts whatever its length.
+whole text counts whatever its length. A very long text is a batch of its own,
+split into words at once by one worker.
 
 Defined results: a null or empty text has no words and fails the base rule;
 repeated rows are judged alike; an empty table gives an empty table; columns

@@ -17,7 +17,8 @@ abfs, hdfs).
 
 Defined results: null html is an empty payload, a null URL an empty target;
 rows that share the smallest page_id of a group are all responses; a null
-page_id is never the one referred to; empty tables give empty archives.
+page_id is never the one referred to; a page of any length is one record, made and
+read back by itself; extra columns are not read; empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ INDEX_DDL = "page_id long, file string, offset long, length long, url string, di
 class WarcRules:
     """least_bytes: of payloads stored once. file_bytes: an archive file is closed beyond.
     gap: bytes between ranges that are read along; read_bytes: most in one read; task_bytes: of archive
-    that a reading task takes, about."""
+    that a reading task takes, about. hot_parts: payloads with more than this part of the rows, of which there are
+    fewer than that, are looked up by broadcast."""
 
     least_bytes: int = 100
     file_bytes: int = 256 << 20
@@ -50,6 +52,7 @@ class WarcRules:
     read_bytes: int = 8 << 20
     task_bytes: int = 32 << 20
     level: int = 6
+    hot_parts: int = 1000
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -94,13 +97,19 @@ def parse_record(data: bytes) -> dict:
 
 
 def with_decisions(pages: DataFrame, rules: WarcRules, key: str, url: str, html: str) -> DataFrame:
-    """page_id, url, html, size, digest, refers_to. Only digests held by two rows or more are joined to the pages."""
+    """page_id, url, html, size, digest, refers_to. Only digests held by two rows or more are joined to the pages; those of
+    hot payloads by broadcast, and their pages are dealt by page."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
     large = F.col("size") >= rules.least_bytes
-    firsts = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("held")).filter("held > 1").select(F.col("digest").alias("of"), "first")
-    joined = rows.join(firsts, (F.col("digest") == F.col("of")) & large, "left")
-    return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("of", "first")
+    firsts = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("held")).filter("held > 1").select(F.col("digest").alias("of"), "first", "held")
+    is_hot = F.col("held") * rules.hot_parts > rows.count()
+    hot = firsts.filter(is_hot).select(F.col("of").alias("hot_of"), F.col("first").alias("hot_first"))
+    looked = rows.join(F.broadcast(hot), (F.col("digest") == F.col("hot_of")) & large, "left")
+    dealt = F.when(F.col("hot_of").isNull(), F.col("digest")).otherwise(F.concat_ws(":", F.col("page_id"), F.col("digest")))
+    joined = looked.join(firsts.filter(~is_hot).select("of", "first"), (dealt == F.col("of")) & large, "left")
+    first = F.coalesce("hot_first", "first")
+    return joined.withColumn("refers_to", F.when(~first.eqNullSafe(F.col("page_id")), first)).drop("hot_of", "hot_first", "of", "first")
 
 
 def write_archive(pages: DataFrame, rules: WarcRules | None = None, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:

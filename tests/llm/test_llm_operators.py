@@ -173,7 +173,9 @@ def test_repeats_and_clashing_columns(docs, texts):
     for out in (suffix_dedup.remove_repeats(extra), near_dup.keep_first_of_group(extra), mixing.mixed_documents(extra), quality_rules.keep_quality(extra), decontaminate.remove_leaks(extra, docs.sparkSession.createDataFrame([(1, texts[9])], "item_id long, text string"))):
         rows = out.collect()
         assert set(extra.columns) <= set(out.columns) and rows
-        assert all(r[c] == "mine" for r in rows for c in ("hot", "fps", "marks", "_cut_spans", "_anchor_id", "_gone", "_mix_key", "_leak_spans"))
+        assert all(r[c] == "mine" for r in rows for c in ("hot", "fps", "marks", "_cut_spans", "_anchor_id", "_gone", "_mix_key", "_leak_spans", "mix_copies"))
+    mixed = mixing.mixed_documents(extra)
+    assert mixed.columns == [*extra.columns, "mix_copies_", "mix_finish"] and {r.mix_copies_ for r in mixed.collect()} <= {1, 2}
 
 
 def test_repeats_with_null_and_equal_keys(spark):
@@ -362,6 +364,20 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot_parts", [1, 3, 1000])
+def test_warc_of_one_payload_in_many_pages(spark, hot_parts):
+    """Hot payloads by broadcast or not, with clashing column names and a page beyond a batch."""
+    page, long = "<p>again and again</p>" * 9, "<p>long</p>" * 200_000
+    rows = [(i, f"u{i}", page) for i in range(3, 40)] + [(1, "u", "small"), (2, "u", "small"), (50, "v", long), (51, "v", long), (3, "u3", page), (None, "n", page), (60, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("digest", "size", "first", "of", "held", "hot_of"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = sorted((r.page_id is None, r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(df, warc.WarcRules(hot_parts=hot_parts)).collect())
+    first = {page: 3, long: 50}
+    revisit = lambda p, h: len(h or "") >= 100 and first[h] != p
+    assert got == sorted((p is None, p, "revisit" if revisit(p, h) else "response", first[h] if revisit(p, h) else None) for p, _, h in rows)
+
+
 def test_ranges_are_joined():
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 100, 5), ("b", 0, 5)]
     assert warc.coalesce_ranges(rows, 20, 1000) == [("a", 0, 15, [0, 1]), ("a", 100, 105, [2]), ("b", 0, 5, [3])]
