@@ -41,7 +41,7 @@ def test_quantities_agree(spark):
 
 @pytest.mark.parametrize(
     "text,want",
-    [("Мляко 500г", "Мляко 500g"), ("Олио 1л", "Олио 1l"), ("Кафе 200 гр", "Кафе 200g"), ("Мляко 1,5 Л", "Мляко 1.5l"), ("Сирене 2 КГ", "Сирене 2kg"), ("Вода 500 мл", "Вода 500ml"), ("Хляб", "Хляб")],
+    [("Мляко 500г", "Мляко 500g"), ("Олио 1л", "Олио 1l"), ("Кафе 200 гр", "Кафе 200g"), ("Мляко 1,5 Л", "Мляко 1.5l"), ("Сирене 2 КГ", "Сирене 2kg"), ("Вода 500 мл", "Вода 500ml"), ("Хляб", "Хляб"), ("500грама захар 2 gr 3KG", "500грама захар 2g 3kg"), ("5 лимона, 1,5 литра", "5 лимона, 1.5 литра")],
 )
 def test_normalise_size(spark, text, want):
     assert one(spark, T.normalise_size(F.lit(text))) == want
