@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("offers", "events", "names", "links", "listings", "feeds", "stream_queries")
+THEMES = ("offers", "events", "names", "links", "listings", "feeds", "dictionaries", "stream_queries")
 
 
 def load_all() -> None:
