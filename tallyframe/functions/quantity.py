@@ -146,8 +146,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def quantity_class(q1: Column, u1: Column, q2: Column, u2: Column) -> Column:
-    """same_size up to 1.3 times, different_size up to 5 times, incompatible beyond; unknown if it can't be told."""
-    a, b = amount(q1, u1), amount(q2, u2)
+    """amounts_class of two quantities with units. For many pairs of few rows, make each row's amount first."""
+    return amounts_class(amount(q1, u1), amount(q2, u2))
+
+
+def amounts_class(a: Column, b: Column) -> Column:
+    """Of amounts in base units: same_size up to 1.3 times, different_size up to 5 times, incompatible beyond; unknown if it can't be told."""
     r = ratio(a["value"], b["value"])
     known = a["unit"].isin("g", "ml", "pcs") & (a["unit"] == b["unit"]) & r.isNotNull()
     return F.when(~F.coalesce(known, F.lit(False)), "unknown").when(r <= 1.3, "same_size").when(r <= 5.0, "different_size").otherwise("incompatible")

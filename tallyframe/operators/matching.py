@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import quantity, rules, similarity, text
+from tallyframe.operators import spelling
+from tallyframe.session import materialize
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, block: list[str], key: str, condition: Column | None = None) -> DataFrame:
@@ -121,36 +123,39 @@ class MatchRules:
     rescue_trigram: float = 0.65
     rescue_base: float = 0.3
 
-
-def prepared(products: DataFrame) -> DataFrame:
-    """products (tokens, brand, ...) with what the scored matcher needs of each, made once per product and not per
-    pair: concepts, and `free`, those concepts that neither hold the brand nor stand in it."""
-    concepts = F.array_distinct(F.transform("tokens", text.concept))
-    return products.withColumn("concepts", concepts).withColumn("free", F.filter("concepts", lambda t: ~(F.contains(F.col("brand"), t) | F.contains(t, F.col("brand"))))).drop("tokens")
+    @property
+    def least_base(self) -> float:
+        """Below this blend no rule keeps a pair."""
+        return self.threshold * 0.6
 
 
 def matcher_score(pairs: DataFrame, rule: MatchRules | None = None) -> DataFrame:
-    """Scores pairs of structs l and r, each prepared(): concepts, free, grams (arrays), brand, category, quantity,
-    unit, types (array). Adds base, brand_class, quantity_class and score; pairs that a rule drops are gone."""
+    """Scores pairs of structs l and r (free, brand, category, amount, types) with their trigram and base, as
+    candidates.blended_pairs gives them for rule.least_base. Adds brand_class, quantity_class and score; pairs that a rule drops are gone."""
     rule = rule or MatchRules()
     c = F.col
-    scored = pairs.withColumn("trigram", similarity.jaccard(c("l.grams"), c("r.grams")))
-    scored = scored.withColumn("base", 0.6 * similarity.jaccard(c("l.concepts"), c("r.concepts")) + 0.4 * c("trigram"))
-    scored = scored.withColumn("brand_class", similarity.brand_class(c("l.brand"), c("r.brand"))).withColumn("quantity_class", quantity.quantity_class(c("l.quantity"), c("l.unit"), c("r.quantity"), c("r.unit")))
+    scored = pairs.withColumn("brand_class", similarity.brand_class(c("l.brand"), c("r.brand"))).withColumn("quantity_class", quantity.amounts_class(c("l.amount"), c("r.amount")))
     match = c("brand_class") == "match"
-    scored = scored.filter((c("brand_class") != "reject") & (c("base") >= F.when(match, rule.threshold * 0.6).otherwise(rule.threshold * 0.7)))
+    scored = scored.filter((c("brand_class") != "reject") & (c("base") >= F.when(match, rule.least_base).otherwise(rule.threshold * 0.7)))
     scored = scored.filter(~(match & rules.types_conflict(c("l.types"), c("r.types"))))
     scored = scored.filter(~(match & ~F.coalesce(F.arrays_overlap("l.free", "r.free"), F.lit(False)) & (c("base") < 0.35)))
-    capped = lambda x: F.least(F.lit(1.0), x)
     cpg = c("l.category").isin(*rule.cpg) | c("r.category").isin(*rule.cpg)
     same = c("l.category").eqNullSafe(c("r.category"))
-    s = F.when(match, capped(c("base") + rule.brand_boost + F.when(cpg, rule.cpg_boost).otherwise(0.0))).when(c("brand_class") == "one_unknown", c("base") * rule.unknown_brand).otherwise(c("base"))
-    scored = scored.withColumn("s", s)
-    s = F.when(c("quantity_class") == "same_size", capped(c("s") + rule.same_size)).when(c("quantity_class") == "incompatible", c("s") * F.when(match, rule.wrong_size_same_brand).otherwise(rule.wrong_size)).otherwise(c("s"))
-    scored = scored.withColumn("s", s).withColumn("s", F.when(match, capped(c("s") + F.when(same, rule.same_category).otherwise(rule.other_category))).otherwise(c("s")))
-    scored = scored.withColumn("s", F.when(same, c("s")).otherwise(c("s") * rule.category_penalty))
-    rescued = (c("trigram") >= rule.rescue_trigram) & (c("base") >= rule.rescue_base) & (c("s") < rule.threshold)
-    return scored.withColumn("score", F.when(rescued, rule.threshold + 0.01).otherwise(c("s"))).filter(c("score") >= rule.threshold).drop("s")
+    # every step takes the score before it once, times one number, plus another, and holds it at 1 where it adds: so the
+    # expression stays small enough to be compiled wherever the optimizer puts it
+    brand = c("brand_class")
+    held = lambda x, when: F.least(x, F.when(when, 1.0).otherwise(float("inf")))
+    one_unknown = F.when(brand == "one_unknown", rule.unknown_brand).otherwise(1.0)
+    s = held(c("base") * one_unknown + F.when(match, F.lit(rule.brand_boost)).otherwise(0.0) + F.when(match & cpg, rule.cpg_boost).otherwise(0.0), match)
+    same_size = c("quantity_class") == "same_size"
+    wrong_size = F.when(c("quantity_class") == "incompatible", F.when(match, rule.wrong_size_same_brand).otherwise(rule.wrong_size)).otherwise(1.0)
+    s = held(s * wrong_size + F.when(same_size, rule.same_size).otherwise(0.0), same_size)
+    s = held(s + F.when(match, F.when(same, rule.same_category).otherwise(rule.other_category)).otherwise(0.0), match)
+    s = s * F.when(same, 1.0).otherwise(rule.category_penalty)
+    rescue = (c("trigram") >= rule.rescue_trigram) & (c("base") >= rule.rescue_base)
+    # a pair to be rescued passes at any score; the others by their own
+    scored = scored.withColumn("s", s).filter(rescue | (c("s") >= rule.threshold))
+    return scored.withColumn("score", F.when(c("s") < rule.threshold, rule.threshold + 0.01).otherwise(c("s"))).drop("s")
 
 
 def attribute_tier(brand_a, brand_b, type_a, type_b, size_a, size_b) -> Column:
@@ -159,18 +164,25 @@ def attribute_tier(brand_a, brand_b, type_a, type_b, size_a, size_b) -> Column:
     return F.when(brand & kind & size, 0.95).when(brand & kind, 0.80).when(kind & size, 0.65).when(kind, 0.50)
 
 
-def fast_match(products: DataFrame, catalogue: DataFrame, cap: int | None = 100, least: float = 0.40) -> DataFrame:
+#: How many rows of a token, a brand, and a token of the last step the short form of fast_match takes.
+FAST_CAPS = {"token_cap": 100, "brand_cap": 50, "spelling_cap": 30}
+#: How many rows of a brand and of a token the short form of multi_pass_match takes.
+MULTI_PASS_CAPS = {"brand_cap": 100, "token_cap": 50}
+
+
+def fast_match(products: DataFrame, catalogue: DataFrame, least: float = 0.40, token_cap: int | None = None, brand_cap: int | None = None, spelling_cap: int | None = None) -> DataFrame:
     """products (id, name, barcode, size, maybe brand), catalogue (off_id, off_name, off_barcode, off_size, maybe
     off_brand): barcode first; else shared tokens, .6 Jaccard + .3 hits per token + .15 for close sizes, confidence
-    score + .2 up to .95. A brand inside the other or of ratio above .7 proposes its first 50 rows and adds two hits.
-    What is left goes by spelling: .8 times sequence ratio with the first 30 rows of each of its first three tokens."""
+    score + .2 up to .95. A brand inside the other or of ratio above .7 proposes its rows and adds two hits.
+    What is left goes by spelling: .8 times sequence ratio with the rows of each of its first three tokens. Caps, where given, take
+    only the first rows of each token, brand, and token of the last step (FAST_CAPS are those of the short form)."""
     codes = catalogue.filter("off_barcode is not null").groupBy("off_barcode").agg(F.min("off_id").alias("off_id"))
     by_code = products.join(codes, products.barcode == codes.off_barcode).select("id", "off_id", F.lit(1.0).alias("confidence"), F.lit("barcode").alias("method"))
     rest = products.join(by_code, "id", "left_anti")
     tokens = lambda name: text.words(text.normal_name(F.col(name)), 2)
-    shared = shared_token_pairs(postings(rest, "id", tokens("name")), postings(catalogue, "off_id", tokens("off_name"), cap), "id", "off_id")
+    shared = shared_token_pairs(postings(rest, "id", tokens("name")), postings(catalogue, "off_id", tokens("off_name"), token_cap), "id", "off_id")
     if "brand" in products.columns and "off_brand" in catalogue.columns:
-        hits = shared.unionByName(_brand_hits(rest.filter(F.size(tokens("name")) > 0), catalogue))
+        hits = shared.unionByName(_brand_hits(rest.filter(F.size(tokens("name")) > 0), catalogue, brand_cap))
         shared = hits.groupBy("id", "off_id").agg(F.sum("shared").alias("shared"))
     full = shared.join(rest.select("id", "size", tokens("name").alias("t")), "id").join(catalogue.select("off_id", "off_size", tokens("off_name").alias("o")), "off_id")
     close = F.coalesce(F.least("size", "off_size") / F.greatest("size", "off_size") > 0.8, F.lit(False))
@@ -178,7 +190,7 @@ def fast_match(products: DataFrame, catalogue: DataFrame, cap: int | None = 100,
     ranked = best_candidate(full.select("id", "off_id", score.alias("score")), "id", "off_id", "score").withColumn("confidence", F.least(F.col("score") + 0.2, F.lit(0.95)))
     by_token = ranked.filter(F.col("confidence") >= least).select("id", "off_id", "confidence", F.lit("token").alias("method"))
     left = rest.join(by_token, "id", "left_anti").withColumn("t", F.array_distinct(tokens("name"))).filter(F.size("t") >= 2)
-    near = shared_token_pairs(postings(left, "id", F.slice("t", 1, 3)), postings(catalogue, "off_id", tokens("off_name"), 30), "id", "off_id")
+    near = shared_token_pairs(postings(left, "id", F.slice("t", 1, 3)), postings(catalogue, "off_id", tokens("off_name"), spelling_cap), "id", "off_id")
     ratio = similarity.sequence_ratio(text.normal_name(F.col("name")), text.normal_name(F.col("off_name")))
     spelt = near.join(left.select("id", "name"), "id").join(catalogue.select("off_id", "off_name"), "off_id").select("id", "off_id", (ratio * 0.8).alias("confidence"))
     by_spelling = best_candidate(spelt, "id", "off_id", "confidence").filter(F.col("confidence") >= least)
@@ -197,32 +209,23 @@ def containing_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataF
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Distinct (a, b) whose sequence ratio is over `least`. Such texts differ in length by a bounded factor, so they meet by length."""
-    length = F.length(a)
-    near = F.sequence(F.floor(length * least / (2 - least)).cast("int"), F.ceil(length * (2 - least) / least).cast("int"))
-    mine = left.select(a).filter(length > 0).distinct().withColumn("_len", F.explode(near))
-    theirs = right.select(b).distinct().withColumn("_len", F.length(b))
-    return mine.join(theirs, "_len").filter(similarity.sequence_ratio(F.col(a), F.col(b)) > least).select(a, b)
-
-
-def long_enough(a: Column, b: Column, least: float) -> Column:
-    """Whether the lengths of two texts allow a sequence ratio of `least`: a cheap bound before the ratio itself."""
-    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+    """Distinct (a, b), both not empty, whose sequence ratio is over `least`."""
+    return spelling.spelt_pairs(left, right, a, b, least).filter(F.col("ratio") > least).select(a, b)
 
 
-def _brand_hits(products: DataFrame, catalogue: DataFrame, cap: int | None = 50, least: float = 0.7) -> DataFrame:
-    """(id, off_id, shared = 2) for the first rows of every catalogue brand that is close to the product's."""
+def _brand_hits(products: DataFrame, catalogue: DataFrame, cap: int | None, least: float = 0.7) -> DataFrame:
+    """(id, off_id, shared = 2) for the rows, or the first `cap`, of every catalogue brand that is close to the product's."""
     mine = products.select("id", text.normal_name(F.col("brand")).alias("b")).filter(F.length("b") > 0)
     theirs = postings(catalogue, "off_id", F.array(text.normal_name(F.col("off_brand"))), cap).filter(F.length("token") > 0)
     alike = containing_pairs(mine, theirs, "b", "token").union(alike_pairs(mine, theirs, "b", "token", least)).distinct()
     return mine.join(alike, "b").join(theirs, "token").select("id", "off_id", F.lit(2).cast("long").alias("shared"))
 
 
-def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0.55, brand_cap: int | None = 100, token_cap: int | None = 50) -> DataFrame:
+def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0.55, brand_cap: int | None = None, token_cap: int | None = None) -> DataFrame:
     """products (id, name, brand, size), catalogue (off_id, off_name, off_brand, off_size): score .40 brand (same 1, inside
     .8, else half the ratio) + .35 name + .25 size (same 1, within a tenth .9, within three tenths .5). Pass 1 takes
-    candidates of the same brand and size, pass 2 the first `brand_cap` of the brand, pass 3 those with two tokens in common
-    among the first `token_cap` of each (None: all); a product that a pass settles (.70) leaves the next ones."""
+    candidates of the same brand and size, pass 2 those (or the first `brand_cap`) of the brand, pass 3 those with two tokens in
+    common (among the first `token_cap` of each); a product that a pass settles (.70) leaves the next ones."""
     tokens = lambda name: F.array_distinct(text.words(text.normal_name(F.col(name)), 1))
     p = products.withColumn("t", tokens("name"))
     o = catalogue.withColumn("o", tokens("off_name"))
@@ -248,41 +251,44 @@ def multi_pass_match(products: DataFrame, catalogue: DataFrame, least: float = 0
     return first.unionByName(second).unionByName(third).filter(F.col("confidence") >= least)
 
 
-def _priced_pairs(products: DataFrame, most_apart: float) -> DataFrame:
-    """Pairs of one category and different stores, prices positive and at most so many percent apart, smaller id first."""
-    rows = products.filter("price > 0")
-    pairs = blocked_pairs(rows, rows, ["category"], "id").filter(F.col("l.store") != F.col("r.store"))
+def _priced_pairs(products: DataFrame, name: Column, least: float, most_apart: float) -> DataFrame:
+    """Pairs l and r of one category and different stores, prices positive and at most so many percent apart, smaller id first,
+    whose names have the sequence ratio `least`; with the ratio. Ratios are taken once for two names of a category,
+    whichever and however many products bear them."""
+    rows = materialize(products.filter("price > 0").withColumn("_name", name), "priced")
+    side = lambda c: rows.select("category", F.col("_name").alias(c))
+    empty = rows.filter("_name = ''").select("category", F.col("_name").alias("_a"), F.col("_name").alias("_b"), F.lit(1.0).alias("ratio")).distinct()
+    alike = materialize(spelling.spelt_pairs(side("_a"), side("_b"), "_a", "_b", least, ["category"]).unionByName(empty), "priced-names")
+    l, r = (rows.select(F.col("category").alias(f"_c{s}"), F.col("_name").alias(f"_n{s}"), F.struct(*products.columns).alias(s)) for s in "lr")
+    pairs = alike.join(l, (F.col("category") == F.col("_cl")) & (F.col("_a") == F.col("_nl"))).join(r, (F.col("category") == F.col("_cr")) & (F.col("_b") == F.col("_nr")))
     low, high = F.least("l.price", "r.price"), F.greatest("l.price", "r.price")
-    return pairs.withColumn("savings_pct", F.round((high - low) / high * 100, 1)).filter((high - low) / low * 100 <= most_apart)
+    pairs = pairs.filter((F.col("l.id") < F.col("r.id")) & (F.col("l.store") != F.col("r.store")) & ((high - low) / low * 100 <= most_apart))
+    return pairs.select("l", "r", "ratio", F.round((high - low) / high * 100, 1).alias("savings_pct"))
 
 
 def ratio_match(products: DataFrame, least: float = 0.7, most_apart: float = 200.0, other: str = "other") -> DataFrame:
     """products (id, store, category, name, quantity, unit, price): pairs of a category (but `other`) of different stores whose
     names have the sequence ratio, whose quantities are within a fifth (or unknown), and whose prices are near. Gives a, b, score, savings_pct."""
-    pairs = _priced_pairs(products.filter(F.col("category") != other), most_apart)
+    pairs = _priced_pairs(products.filter(F.col("category") != other), F.lower(F.coalesce("name", F.lit(""))), least, most_apart)
     a, b = (quantity.amount(F.col(f"{s}.quantity"), F.col(f"{s}.unit")) for s in "lr")
     unknown = ~F.coalesce((F.col("l.quantity") > 0) & (F.length("l.unit") > 0) & (F.col("r.quantity") > 0) & (F.length("r.unit") > 0), F.lit(False))
     fits = unknown | F.coalesce((a["unit"] == b["unit"]) & (a["value"] / b["value"]).between(0.8, 1.2), F.lit(False))
-    names = [F.lower(F.coalesce(f"{s}.name", F.lit(""))) for s in "lr"]
-    scored = pairs.filter(fits & long_enough(*names, least)).withColumn("score", similarity.sequence_ratio(*names))
-    return scored.filter(F.col("score") >= least).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "score", "savings_pct")
+    return pairs.filter(fits).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("ratio").alias("score"), "savings_pct")
 
 
 def sign_match(products: DataFrame, signs: list[str], least: float = 0.65, most_apart: float = 150.0, other: str = "other") -> DataFrame:
     """products (id, store, category, name, brand, quantity, unit, price): names of three letters with equal size signs; both
     per kilogram, or quantities that agree (of a missing one only outside `other`); then .3 brand + .7 name ratio (from .85 and
     .55 on), else the name ratio from `least` on. Gives a, b, score, method, savings_pct."""
-    pairs = _priced_pairs(products.filter(F.length("name") >= 3), most_apart)
+    pairs = _priced_pairs(products.filter(F.length("name") >= 3), text.normal_name(F.col("name")), min(0.55, least), most_apart)
     held = lambda s: F.filter(F.array(*[F.when(F.contains(F.lower(F.col(f"{s}.name")), F.lit(x)), F.lit(x)) for x in sorted(signs)]), lambda x: x.isNotNull())
     kilo = lambda s: quantity.per_kilo(F.col(f"{s}.name"), F.col(f"{s}.quantity"), quantity.unit_name(F.col(f"{s}.unit")))
     a, b = (quantity.amount(F.col(f"{s}.quantity"), F.col(f"{s}.unit")) for s in "lr")
     known = [F.coalesce((F.col(f"{s}.quantity") > 0) & (F.length(f"{s}.unit") > 0), F.lit(False)) for s in "lr"]
     agree = F.coalesce((a["unit"] == b["unit"]) & (a["value"] / b["value"]).between(0.8, 1.2), F.lit(False))
     fits = (kilo("l") & kilo("r")) | F.when(known[0] & known[1], agree).when(~known[0] & ~known[1], True).otherwise(F.col("l.category") != other)
-    names = [text.normal_name(F.col(f"{s}.name")) for s in "lr"]
     brands = [rules.known_brand(F.col(f"{s}.brand")) for s in "lr"]
-    low = F.least(F.lit(0.55), F.lit(least))
-    near = pairs.filter((held("l") == held("r")) & fits & long_enough(*names, 0.55)).withColumn("n", similarity.sequence_ratio(*names)).filter(F.col("n") >= low)
+    near = pairs.filter((held("l") == held("r")) & fits).withColumnRenamed("ratio", "n")
     near = near.withColumn("m", F.when(brands[0].isNotNull() & brands[1].isNotNull(), similarity.sequence_ratio(*brands)))
     both = (F.col("m") >= 0.85) & (F.col("n") >= 0.55)
     score = F.when(both, 0.3 * F.col("m") + 0.7 * F.col("n")).when(F.col("n") >= least, F.col("n"))
@@ -290,16 +296,16 @@ def sign_match(products: DataFrame, signs: list[str], least: float = 0.65, most_
     return found.filter("score is not null").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "score", "method", "savings_pct")
 
 
-def offline_match(products: DataFrame, catalogue: DataFrame, least: float = 0.6, first: int = 1000) -> DataFrame:
+def offline_match(products: DataFrame, catalogue: DataFrame, least: float = 0.6, first: int | None = None) -> DataFrame:
     """products (id, name, brand), catalogue (off_id, off_name, off_brand): .5 for a brand inside the other (.4 for a ratio over
     .8) + .3 word overlap + .2 sequence ratio. Candidates share a brand word of three letters; a product without any takes the
-    `first` catalogue rows, of which only those of a close brand can reach `least`."""
+    catalogue (or its `first` rows), of which only those of a close brand can reach `least`."""
     brand = lambda c: F.nullif(F.replace(F.lower(F.col(c)), F.lit("-"), F.lit(" ")), F.lit(""))
     parts = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: F.length(w) > 2)
     p, o = products.withColumn("b", brand("brand")), catalogue.withColumn("ob", brand("off_brand"))
     by_word = shared_token_pairs(postings(p, "id", parts("brand")), postings(o, "off_id", parts("off_brand")), "id", "off_id").select("id", "off_id")
     rest = p.join(by_word, "id", "left_anti").filter("b is not null")
-    head = o.orderBy("off_id").limit(first).filter("ob is not null")
+    head = (o if first is None else o.orderBy("off_id").limit(first)).filter("ob is not null")
     near = containing_pairs(rest, head, "b", "ob").union(alike_pairs(rest, head, "b", "ob", 0.8)).distinct()
     by_brand = rest.join(near, "b").join(head, "ob").select("id", "off_id")
     inside = F.contains("ob", "b") | F.contains("b", "ob")

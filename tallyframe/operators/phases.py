@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import quantity, similarity, text
-from tallyframe.operators import matching
+from tallyframe.operators import candidates, matching, spelling
 from tallyframe.operators.relational import keep_first
 
 
@@ -37,9 +37,9 @@ def phase_matcher(products: DataFrame, vectors: DataFrame, brand_least: float =
         return matching.mutual_best(found, "a", "b", "confidence", 0.0).withColumn("phase", F.lit(phase))
 
     def nearest(rest: DataFrame, keys: list[str], least: float, phase: int) -> DataFrame:
-        found = pairs_on(rest.join(vectors, "id").dropna(subset=keys), keys)
-        scored = found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.cosine(F.col("l.embedding"), F.col("r.embedding")).alias("confidence"))
-        return matching.mutual_best(scored, "a", "b", "confidence", least).withColumn("phase", F.lit(phase))
+        found = rest.join(vectors, "id").dropna(subset=[*keys, "store"])
+        best = candidates.mutual_nearest(found, found, keys, "id", "embedding", least, scale=None, order="store")
+        return best.select("a", "b", F.col("score").alias("confidence"), F.lit(phase).alias("phase"))
 
     named = products.withColumn("name", text.normal_name(F.col("name")))
     steps = [
@@ -86,19 +86,19 @@ def hybrid_match(products: DataFrame, catalogue: DataFrame, n_docs: int | None =
 
 
 def _nearest_names(products: DataFrame, catalogue: DataFrame, least: float) -> DataFrame:
-    """(n, off_id, ratio): the catalogue row nearest in spelling to each distinct name n, from `least` on. Names meet by
-    length: a ratio of `least` needs lengths within the factor (2 - least) / least of each other, so none is lost."""
-    length = F.length("n")
-    lengths = F.sequence(F.floor(length * least / (2 - least)).cast("int"), F.ceil(length * (2 - least) / least).cast("int"))
-    names = products.select("n").distinct().filter(length > 0).withColumn("_len", F.explode(lengths))
-    known = catalogue.select("off_id", text.normal_name(F.col("off_name")).alias("o")).filter(F.length("o") > 0).groupBy("o").agg(F.min("off_id").alias("off_id")).withColumn("_len", F.length("o"))
-    scored = names.join(known, "_len").withColumn("ratio", similarity.sequence_ratio(F.col("n"), F.col("o")))
-    return matching.best_candidate(scored.filter(F.col("ratio") >= least), "n", "off_id", "ratio").select("n", "off_id", "ratio")
-
-
-def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int | None = 50, least: float = 0.45) -> DataFrame:
-    """Names against catalogue names as written and transliterated either way; shared words propose,
-    .6 sequence ratio + .4 Jaccard decides. Tiers from .85 and .75."""
+    """(n, off_id, ratio): the catalogue row nearest in spelling to each distinct name n, from `least` on."""
+    known = catalogue.select("off_id", text.normal_name(F.col("off_name")).alias("o")).filter(F.length("o") > 0).groupBy("o").agg(F.min("off_id").alias("off_id"))
+    scored = spelling.spelt_pairs(products, known, "n", "o", least).join(known, "o").select("n", "off_id", "ratio")
+    return matching.best_candidate(scored, "n", "off_id", "ratio")
+
+
+#: Fixed value: how many rows of a word the short form of transliterated_match takes.
+TRANSLITERATED_CAP = 50
+
+
+def transliterated_match(products: DataFrame, catalogue: DataFrame, cap: int | None = None, least: float = 0.45) -> DataFrame:
+    """Names against catalogue names as written and transliterated either way; shared words propose (of a word all rows, or the
+    first `cap`; TRANSLITERATED_CAP is that of the short form), .6 sequence ratio + .4 Jaccard decides. Tiers from .85 and .75."""
     variants = lambda c: F.array_distinct(F.array(F.lower(F.col(c)), text.to_latin(F.col(c)), text.to_cyrillic(F.col(c))))
     p = products.select("id", F.explode(variants("name")).alias("v")).withColumn("t", _tokens("v", 2))
     o = catalogue.select("off_id", F.explode(variants("off_name")).alias("w")).withColumn("o", _tokens("w", 2))

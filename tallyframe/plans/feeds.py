@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import grouping, history, matching, phases, relational, standardise
-from tallyframe.plans.links import _parts, _vector_pairs, _VEC
+from tallyframe.operators import candidates, grouping, history, matching, phases, relational, standardise
+from tallyframe.plans.links import _parts, _vector_sides, _VEC
 from tallyframe.plans.listings import _part, _q, text_of
 from tallyframe.plans.offers import OFFERS, group_members, offers
 from tallyframe.session import read_table
@@ -308,7 +308,8 @@ def q_prefix_lookup(spark, d):
 
 @_q("q_nn_tiers", f"WITH {_VEC} SELECT a, b, score, CASE WHEN score >= 300000 THEN 'confident' WHEN score >= 200000 THEN 'likely' ELSE 'low' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS x FROM p) WHERE x = 1 AND score >= 100000")
 def q_nn_tiers(spark, d):
-    return matching.with_tiers(matching.best_candidate(_vector_pairs(spark, d), "a", "b", "score"), "score", [(300000, "confident"), (200000, "likely"), (100000, "low")])
+    nearest = candidates.nearest(*_vector_sides(spark, d), ["label"], "vec_id", "embedding", 0.1).filter("side = 'a'")
+    return matching.with_tiers(nearest.select(F.col("own").alias("a"), F.col("other").alias("b"), "score"), "score", [(300000, "confident"), (200000, "likely"), (100000, "low")])
 
 
 @_q("q_quantity_join", "SELECT a.p_partkey AS a, min(b.p_partkey) AS b, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND a.p_size >= 0.8 * b.p_size AND a.p_size <= 1.2 * b.p_size GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import quantity, rules, similarity, text
-from tallyframe.operators import grouping, matching, phases, standardise
+from tallyframe.operators import candidates, grouping, matching, phases, standardise
 from tallyframe.plans.catalog import register
 from tallyframe.plans.offers import OFFERS, group_members, offers
 from tallyframe.session import materialize, read_table
@@ -61,12 +61,12 @@ def q_trigram_pairs(spark, d):
 register("q_trigram_pairs", q_trigram_pairs, f"SELECT a.p_partkey AS a, b.p_partkey AS b, {_G} AS score {_PAIRS} WHERE {_G} >= 0.4")
 
 
-def q_blend(spark, d):
+def q_trigram_blend(spark, d):
     blend = 0.6 * similarity.jaccard(_tokens("l"), _tokens("r")) + 0.4 * similarity.jaccard(text.ngrams(F.col("l.name")), text.ngrams(F.col("r.name")))
     return _block_pairs(spark, d).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.floor(blend * 1000 + 0.5).alias("permille"))
 
 
-register("q_blend", q_blend, f"SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(floor((CAST(0.6 AS DOUBLE) * (CAST({_MEET} AS DOUBLE) / {_EITHER}) + CAST(0.4 AS DOUBLE) * ({_G})) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS permille {_PAIRS}")
+register("q_trigram_blend", q_trigram_blend, f"SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(floor((CAST(0.6 AS DOUBLE) * (CAST({_MEET} AS DOUBLE) / {_EITHER}) + CAST(0.4 AS DOUBLE) * ({_G})) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS permille {_PAIRS}")
 
 
 def q_exact_branded(spark, d):
@@ -118,11 +118,10 @@ def q_match_v3_scored(spark, d):
     """Scored matcher within type and size blocks; half the parts have no brand, names tell shapes or colours as types."""
     types = rules.product_types(F.col("name"), TYPES)
     p = _parts(spark, d).select(
-        "id", F.split("name", " ").alias("tokens"), text.ngrams(F.col("name")).alias("grams"), F.when(F.col("id") % 2 == 0, F.col("brand")).alias("brand"), F.col("type").alias("category"),
-        F.col("size").alias("quantity"), F.lit("g").alias("unit"), types.alias("types"),
+        "id", "name", F.split("name", " ").alias("tokens"), text.ngrams(F.col("name")).alias("grams"), F.when(F.col("id") % 2 == 0, F.col("brand")).alias("brand"), F.col("type").alias("category"),
+        F.col("size").alias("quantity"), quantity.amount(F.col("size"), F.lit("g")).alias("amount"), types.alias("types"),
     )
-    p = matching.prepared(p)
-    pairs = matching.blocked_pairs(p, p, ["category", "quantity"], "id")
+    pairs = candidates.blended_pairs(p, ["category", "quantity"], "id", matching.MatchRules().least_base)
     return matching.matcher_score(pairs).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "brand_class", "quantity_class", F.floor(F.col("score") * 1000 + 0.5).alias("permille"))
 
 
@@ -159,9 +158,9 @@ def q_tfidf_cosine_top1(spark, d):
     """For every benchmark item the document with the largest TF-IDF cosine. Texts are tokenised and counted once."""
     docs, items, tokens = _index(spark, d)
     counts = materialize(matching.token_counts(docs, "doc_id", tokens), "tfidf-counts")
-    idf = matching.inverse_frequencies(counts, "doc_id", docs.count()).select("token", "idf")
-    pairs = matching.cosine_pairs(matching.weighted(matching.token_counts(items, "item_id", tokens), "item_id", idf), matching.weighted(counts, "doc_id", idf), "item_id", "doc_id")
-    return matching.best_candidate(pairs.withColumn("cosine", F.floor(F.col("cosine") * 10000 + 0.5).cast("long")), "item_id", "doc_id", "cosine")
+    idf = materialize(matching.inverse_frequencies(counts, "doc_id", docs.count()).select("token", "idf"), "tfidf-idf")
+    weights = materialize(matching.weighted(counts, "doc_id", idf), "tfidf-weights")
+    return candidates.best_by_cosine(matching.weighted(matching.token_counts(items, "item_id", tokens), "item_id", idf), weights, "item_id", "doc_id")
 
 
 _TOK = "SELECT {0}, token, count(*) AS n FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) > 2 GROUP BY ALL"
@@ -178,14 +177,13 @@ register(
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-def _vector_pairs(spark, d):
+def _vector_sides(spark, d):
     e = read_table(spark, d, "embeddings")
-    pairs = matching.blocked_pairs(e, e, ["label"], "vec_id", (F.col("l.vec_id") % 2 == 0) & (F.col("r.vec_id") % 2 == 1))
-    return pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), F.floor(similarity.cosine(F.col("l.embedding"), F.col("r.embedding")) * 1000000 + 0.5).alias("score"))
+    return e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1")
 
 
 def q_mutual_nn(spark, d):
-    return matching.mutual_best(_vector_pairs(spark, d), "a", "b", "score", 100000)
+    return candidates.mutual_nearest(*_vector_sides(spark, d), ["label"], "vec_id", "embedding", 0.1)
 
 
 _VEC = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(floor({_COS} * 1000000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"
@@ -193,7 +191,8 @@ register("q_mutual_nn", q_mutual_nn, f"WITH {_VEC}, r AS (SELECT *, row_number()
 
 
 def q_nn_threshold(spark, d):
-    return matching.best_candidate(_vector_pairs(spark, d), "a", "b", "score").filter("score >= 200000")
+    found = candidates.nearest(*_vector_sides(spark, d), ["label"], "vec_id", "embedding", 0.2)
+    return found.filter("side = 'a'").select(F.col("own").alias("a"), F.col("other").alias("b"), "score")
 
 
 register("q_nn_threshold", q_nn_threshold, f"WITH {_VEC} SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS x FROM p) WHERE x = 1 AND score >= 200000")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,7 +61,11 @@ def json_ld_products(pages: DataFrame, key: str, html: str = "html") -> DataFram
     return keep_first(flat, [key, "name"], ["block", "pos"]).drop("block", "pos")
 
 
-def bracketed(text: str | None, marker: str, window: int) -> str | None:
+#: A string, closed or not, or a bracket outside of one.
+_BRACKETS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[\[\]]', re.DOTALL)
+
+
+def bracketed(text: str | None, marker: str, window: int | None = None) -> str | None:
     """The JSON array that follows the marker, by bracket matching outside of strings."""
     start = (text or "").find(marker)
     if start < 0:
@@ -68,26 +73,23 @@ def bracketed(text: str | None, marker: str, window: int) -> str | None:
     begin = text.find("[", start + len(marker) - 1)
     if begin < 0:
         return None
-    depth, quoted, skip = 0, False, False
-    for i in range(begin, min(len(text), begin + window)):
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == "[":
+    depth = 0
+    for token in _BRACKETS.finditer(text, begin, len(text) if window is None else min(len(text), begin + window)):
+        if text[token.start()] == "[":
             depth += 1
-        elif c == "]":
+        elif text[token.start()] == "]":
             depth -= 1
             if not depth:
-                return text[begin : i + 1]
+                return text[begin : token.end()]
     return None
 
 
-def embedded_array(html: Column, marker: str = '"offers":[', window: int = 500_000) -> Column:
-    """The array behind a marker inside a page, as JSON text."""
+#: Characters in which the short forms look for the end of an array, and for the fields of a chunk, and chunks of a page they take.
+ARRAY_WINDOW, CHUNK_WINDOW, CHUNKS = 500_000, 2000, 300
+
+
+def embedded_array(html: Column, marker: str = '"offers":[', window: int | None = None) -> Column:
+    """The array behind a marker inside a page, as JSON text; with a window, only if it ends within so many characters."""
 
     @F.pandas_udf(StringType())
     def find(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -103,11 +105,12 @@ def embedded_offers(pages: DataFrame, schema: str, key: str, unique: str, html:
     return keep_first(rows.select(key, "pos", "o.*"), [key, unique], ["pos"]).drop("pos")
 
 
-def after_marker(pages: DataFrame, key: str, marker: str, fields: dict[str, str | list[str]], html: str = "html", window: int = 2000, most: int = 300) -> DataFrame:
-    """Each chunk that follows a marker (up to `window` characters), with fields by regular expression; of several
+def after_marker(pages: DataFrame, key: str, marker: str, fields: dict[str, str | list[str]], html: str = "html", window: int | None = None, most: int | None = None) -> DataFrame:
+    """Each chunk that follows a marker (or the first `most`, up to `window` characters of each), with fields by regular expression; of several
     expressions the first that finds something (a nested price, then a flat one)."""
-    chunks = pages.select(key, F.posexplode(F.split(F.col(html), F.regexp_replace(F.lit(marker), r"([\\.\[\]{}()*+?^$|])", r"\\$1"))).alias("pos", "chunk"))
-    near = chunks.filter(F.col("pos").between(1, most)).withColumn("chunk", F.substring("chunk", 1, window))
+    chunks = pages.select(key, F.posexplode(F.split(F.col(html), re.escape(marker))).alias("pos", "chunk"))
+    near = chunks.filter(F.col("pos") >= 1 if most is None else F.col("pos").between(1, most))
+    near = near if window is None else near.withColumn("chunk", F.substring("chunk", 1, window))
     each = lambda p: F.coalesce(*[_some(F.regexp_extract("chunk", x, 1)) for x in ([p] if isinstance(p, str) else p)])
     return near.select(key, "pos", *[each(p).alias(n) for n, p in fields.items()])
 
