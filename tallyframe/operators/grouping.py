@@ -2,23 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import materialize
 
 
-def greedy_groups(edges: DataFrame) -> DataFrame:
+#: Links of a component that one task settles, at most; larger components go by rounds.
+AT_ONCE = 200_000
+
+
+def _settled(rows: DataFrame, component: str, order: list[Column], pick: Callable, schema: str, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """What pick gives for the rows of each component of at most at_once rows, taken in `order`, and the rows of larger ones. A task
+    takes its components one after the other, so it holds what is taken of one of them at a time."""
+    counted = rows.join(rows.groupBy(component).agg(F.count("*").alias("_links")), component)
+    counted = materialize(counted, "settle")
+    names = [c for c in rows.columns if c != component]
+
+    def run(batches):
+        taken, last = set(), None
+        for batch in batches:
+            found = []
+            for label, *row in zip(*(batch.column(c).to_pylist() for c in (component, *names)), strict=True):
+                if label != last:
+                    taken, last = set(), label
+                chosen = pick(row, taken)
+                if chosen is not None:
+                    found.append(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), batch.select(names).schema, strict=True)], names) if found else batch.select(names).slice(0, 0)
+
+    small = counted.filter(F.col("_links") <= at_once).drop("_links").repartition(component).sortWithinPartitions(component, *order)
+    return small.mapInArrow(run, schema), counted.filter(F.col("_links") > at_once).drop("_links", component)
+
+
+def greedy_groups(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """edges: id, members (array of long), score. Edges are taken by score, then id; one
-    keeps its members not yet taken, and counts if two or more are left. Equal to going
-    through them one by one: in each round every edge that comes first for all of its free
-    members is settled. Returns id, members (those it got), score."""
+    keeps its members not yet taken, and counts if two or more are left. Components of edges are settled
+    one by one where they have at most at_once edges, others by rounds, in each of which every edge that comes first for
+    all of its free members is settled; either way equal to going through all edges. Returns id, members (those it got), score."""
+    rows = edges.select("id", F.array_sort(F.array_distinct("members")).alias("members"), "score").filter(F.size("members") >= 2)
+    rows = materialize(rows, "greedy-edges")
+    labels = link_components(rows.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")))
+    labelled = rows.withColumn("_first", F.element_at("members", 1)).join(labels.withColumnRenamed("label", "_component"), F.col("_first") == F.col("node")).drop("_first", "node")
+
+    def pick(row: list, taken: set) -> tuple | None:
+        number, members, score = row
+        free = [m for m in members if m not in taken]
+        if len(free) < 2:
+            return None
+        taken.update(free)
+        return number, free, score
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    settled, large = _settled(labelled.select("_component", *rows.columns), "_component", [F.col("score").desc(), F.col("id")], pick, kinds, at_once)
+    return settled if large.isEmpty() else settled.unionByName(_greedy_rounds(large))
+
+
+def _greedy_rounds(edges: DataFrame) -> DataFrame:
+    """greedy_groups by rounds."""
     taken = None
     done = []
     turn = 0
-    free = materialize(edges.select("id", F.array_distinct("members").alias("members"), "score").filter(F.size("members") >= 2), "greedy-0")
+    free = materialize(edges, "greedy-0")
     while True:
         turn += 1
         rows = free.select("id", "score", F.explode("members").alias("member"))
@@ -37,11 +86,30 @@ def greedy_groups(edges: DataFrame) -> DataFrame:
     return out
 
 
-def serial_choice(candidates: DataFrame) -> DataFrame:
-    """candidates: left, right, score. Lefts choose in order the best right still free (then the
-    smallest); the same result by deferred acceptance: each round every left proposes to its best
-    right that no smaller left holds. Returns left, right, score."""
-    alive = materialize(candidates.select("left", "right", "score"), "serial-0")
+def serial_choice(candidates: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """candidates: left, right (whole numbers), score. Lefts choose in order the best right still free (then the
+    smallest). Components of candidates are settled one by one where they have at most at_once rows, others by
+    rounds of deferred acceptance: every left proposes to its best right that no smaller left holds; the same
+    result. Returns left, right, score."""
+    rows = materialize(candidates.select("left", "right", "score"), "serial-all")
+    labels = link_components(rows.select((F.col("left") * 2).alias("a"), (F.col("right") * 2 + 1).alias("b")))
+    labelled = rows.join(labels.withColumnRenamed("label", "_component"), F.col("left") * 2 == F.col("node")).select("_component", *rows.columns)
+
+    def pick(row: list, taken: set) -> tuple | None:
+        left, right, _ = row
+        if ("left", left) in taken or right in taken:
+            return None
+        taken.update((("left", left), right))
+        return tuple(row)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    settled, large = _settled(labelled, "_component", [F.col("left"), F.col("score").desc(), F.col("right")], pick, kinds, at_once)
+    return settled if large.isEmpty() else settled.unionByName(_serial_rounds(large))
+
+
+def _serial_rounds(candidates: DataFrame) -> DataFrame:
+    """serial_choice by rounds."""
+    alive = materialize(candidates, "serial-0")
     turn = 0
     while True:
         turn += 1
