@@ -93,6 +93,11 @@ def words(text: Column, longer_than: int = 1, stop: list[str] = ()) -> Column:
     return F.filter(found, lambda w: ~w.isin(list(stop))) if stop else found
 
 
+def plain_tokens(text: Column) -> Column:
+    """The words of normal_name in one pass, as they are, with empty ones at the ends."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+
+
 def token_set(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(tokens))
 

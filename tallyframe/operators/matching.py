@@ -69,7 +69,7 @@ def tfidf_weights(df: DataFrame, key: str, tokens: Column, idf: DataFrame) -> Da
 def weighted(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
     """(key, token, weight) from token counts, scaled to unit length."""
     raw = counts.join(idf, "token").withColumn("w", (1 + F.log("n")) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = materialize(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
     return raw.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 

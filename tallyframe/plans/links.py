@@ -9,7 +9,7 @@ from tallyframe.functions import quantity, rules, similarity, text
 from tallyframe.operators import candidates, grouping, matching, phases, standardise
 from tallyframe.plans.catalog import register
 from tallyframe.plans.offers import OFFERS, group_members, offers
-from tallyframe.session import materialize, read_table
+from tallyframe.session import materialize, read_table, spread
 
 
 def _parts(spark, d) -> DataFrame:
@@ -156,11 +156,12 @@ register("q_shared_tokens_ge2", q_shared_tokens_ge2, f"SELECT doc_id, item_id, c
 
 def q_tfidf_cosine_top1(spark, d):
     """For every benchmark item the document with the largest TF-IDF cosine. Texts are tokenised and counted once."""
-    docs, items, tokens = _index(spark, d)
-    counts = materialize(matching.token_counts(docs, "doc_id", tokens), "tfidf-counts")
+    docs, items, _ = _index(spark, d)
+    counted = lambda df, key: matching.token_counts(df, key, text.plain_tokens(F.col("text"))).filter(F.length("token") > 2)
+    counts = materialize(counted(spread(docs), "doc_id"), "tfidf-counts")
     idf = materialize(matching.inverse_frequencies(counts, "doc_id", docs.count()).select("token", "idf"), "tfidf-idf")
-    weights = materialize(matching.weighted(counts, "doc_id", idf), "tfidf-weights")
-    return candidates.best_by_cosine(matching.weighted(matching.token_counts(items, "item_id", tokens), "item_id", idf), weights, "item_id", "doc_id")
+    weights = [matching.weighted(c, key, idf) for c, key in ((counted(items, "item_id"), "item_id"), (counts, "doc_id"))]
+    return candidates.best_by_cosine(*weights, "item_id", "doc_id")
 
 
 _TOK = "SELECT {0}, token, count(*) AS n FROM (SELECT {0}, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM {1}) WHERE length(token) > 2 GROUP BY ALL"
