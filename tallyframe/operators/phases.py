@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import quantity, similarity, text
 from tallyframe.operators import candidates, matching, spelling
 from tallyframe.operators.relational import keep_first
+from tallyframe.session import materialize
 
 
 def _tokens(name: str, longer: int = 1) -> Column:
@@ -37,7 +38,7 @@ def phase_matcher(products: DataFrame, vectors: DataFrame, brand_least: float =
         return matching.mutual_best(found, "a", "b", "confidence", 0.0).withColumn("phase", F.lit(phase))
 
     def nearest(rest: DataFrame, keys: list[str], least: float, phase: int) -> DataFrame:
-        found = rest.join(vectors, "id").dropna(subset=[*keys, "store"])
+        found = materialize(rest.join(vectors, "id").dropna(subset=[*keys, "store"]).select("id", "store", *keys, "embedding"), "phase-vectors")
         best = candidates.mutual_nearest(found, found, keys, "id", "embedding", least, scale=None, order="store")
         return best.select("a", "b", F.col("score").alias("confidence"), F.lit(phase).alias("phase"))
 
@@ -48,11 +49,11 @@ def phase_matcher(products: DataFrame, vectors: DataFrame, brand_least: float =
         lambda rest: nearest(rest, ["brand"], brand_least, 3),
         lambda rest: nearest(rest, ["category"], category_least, 4),
     ]
-    rest, found = named, []
+    rest, found = materialize(named, "phase-rest"), []
     for step in steps:
-        new = step(rest)
-        found.append(new)
-        rest = rest.join(new.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti")
+        if found:
+            rest = materialize(rest.join(found[-1].select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti"), "phase-rest")
+        found.append(materialize(step(rest), "phase-found"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -349,7 +349,23 @@ def r_jaccard_matcher(spark, d):
 
 def r_phase_matcher(spark, d):
     vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return phases.phase_matcher(_stocked(spark, d), vectors, 0.2, 0.3)
+    found = phases.phase_matcher(_stocked(spark, d), vectors, 0.2, 0.3)
+    return found.select("a", "b", F.floor(F.col("confidence") * 1000000 + 0.5).alias("micro"), "phase")
+
+
+def _phase_sql() -> str:
+    """Each phase: pairs of the rest, those that are each other's best, and the rest without them."""
+    parts, rest = [], "s0"
+    cosine = "list_cosine_similarity(CAST(u.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+    vectors = "JOIN embeddings u ON u.vec_id = x.id JOIN embeddings v ON v.vec_id = y.id"
+    for n, (keys, score, joins, least) in enumerate([(("brand", "name", "size"), "1.0::DOUBLE", "", 0), (("name", "size"), "0.98::DOUBLE", "", 0), (("brand",), cosine, vectors, 0.2), (("category",), cosine, vectors, 0.3)], 1):
+        on = " AND ".join(f"x.{k} = y.{k}" for k in keys)
+        parts.append(f"p{n} AS (SELECT x.id AS a, y.id AS b, {score} AS c FROM {rest} x JOIN {rest} y ON {on} AND x.store < y.store {joins})")
+        parts.append(f"m{n} AS (SELECT a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS i, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS j FROM p{n}) WHERE i = 1 AND j = 1 AND c >= {least}::DOUBLE)")
+        parts.append(f"s{n} AS (SELECT * FROM {rest} WHERE id NOT IN (SELECT a FROM m{n} UNION ALL SELECT b FROM m{n}))")
+        rest = f"s{n}"
+    union = " UNION ALL ".join(f"SELECT a, b, CAST(floor(c * 1000000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS micro, {n} AS phase FROM m{n}" for n in range(1, 5))
+    return ", " + ", ".join(parts) + " " + union
 
 
 def r_hybrid_match(spark, d):
@@ -369,7 +385,24 @@ def r_importer_matches(spark, d):
 
 def r_standard_products(spark, d):
     raw = offers(spark, d).select(F.col("product_id").alias("sku"), "store", F.concat("name", F.lit(" "), F.col("size").cast("string"), F.lit(" g")).alias("name"), (F.col("price4") / 10000).alias("price"), (F.col("old4") / 10000).alias("old_price"))
-    return standardise.standard_products(raw, ["red ring", "blue bolt"], [("fasteners", ["bolt"]), ("parts", ["ring", "gear"])], {"ASIA": ["promo"]})
+    found = standardise.standard_products(raw, ["red ring", "blue bolt"], [("fasteners", ["bolt"]), ("parts", ["ring", "gear"])], {"ASIA": ["promo"]})
+    return found.withColumn("errors", F.array_join("errors", ","))
+
+
+_DECIMAL = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 12)), {1}) AS DOUBLE)"
+_STANDARD = (
+    OFFERS
+    + """, r AS (SELECT product_id AS sku, store, name || ' ' || size || ' g' AS raw_name, name, CAST(size AS DOUBLE) AS quantity, price4 / 10000.0::DOUBLE AS price, old4 / 10000.0::DOUBLE AS old FROM offers),
+ d AS (SELECT *, CASE WHEN old > price AND price > 0 THEN """
+    + _DECIMAL.format("(old - price) / old * 100", 1)
+    + """ END AS discount FROM r)
+ SELECT sku, store, raw_name, raw_name AS clean_name, CASE WHEN name = 'blue bolt' THEN 'blue bolt' WHEN name = 'red ring' THEN 'red ring' END AS brand,
+   CASE WHEN contains(name, 'bolt') THEN 'fasteners' WHEN contains(name, 'ring') OR contains(name, 'gear') THEN 'parts' ELSE 'other' END AS category, price,
+   CASE WHEN old > price AND old < 3 * price THEN old END AS old_price, quantity, 'g' AS unit, CASE WHEN quantity > 0 THEN """
+    + _DECIMAL.format("price / quantity * 1000", 2)
+    + """ END AS unit_price, discount,
+   concat_ws(',', CASE WHEN price <= 0 OR price > 10000 THEN 'price:range' END, CASE WHEN discount > 90 THEN 'discount:deep' END) AS errors FROM d"""
+)
 
 
 register(
@@ -420,5 +453,9 @@ def r_api_hits(spark, d):
 for _f in (r_ratio_match, r_sign_match, r_offline_match, r_blends, r_api_hits):
     register(_f.__name__, _f)
 
-for _f in (r_phase_matcher, r_hybrid_match, r_transliterated_match, r_importer_matches, r_standard_products):
+for _f in (r_hybrid_match, r_transliterated_match, r_importer_matches):
     register(_f.__name__, _f)
+
+_PHASES = OFFERS + ", t AS (SELECT product_id, arg_min(store, {'a': price4, 'b': store}) AS store FROM offers GROUP BY 1), s0 AS (SELECT p_partkey AS id, store, p_name AS name, lower(p_brand) AS brand, p_type AS category, p_size AS size FROM part JOIN t ON product_id = p_partkey)"
+register("r_phase_matcher", r_phase_matcher, _PHASES + _phase_sql())
+register("r_standard_products", r_standard_products, _STANDARD)
