@@ -247,11 +247,17 @@ def q_translit_names(spark, d):
     return _part(spark, d).select("p_partkey", cyrillic.alias("cyrillic"), text.to_latin(cyrillic).alias("latin"), F.array_join(text.expand_tokens(F.split("p_name", " "), {"red": "rot"}), ",").alias("grown"))
 
 
-@_q("q_comparison_tokens", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda t: length(t) = 3 AND t <> 'red' OR length(t) = 2))), ',') AS tokens FROM part")
+_WORDS_OF_NAME = "list_filter(string_split(p_name, ' '), lambda t: length(t) > 1 AND t <> 'red')"
+
+
+@_q(
+    "q_comparison_tokens",
+    f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat({_WORDS_OF_NAME}, list_transform(list_filter({_WORDS_OF_NAME}, lambda t: length(t) >= 4), lambda t: {_TO_CYR.format('t')}), CASE WHEN contains(p_name, 'ring') THEN ['hoop'] ELSE [] END))), ',') AS tokens FROM part",
+)
 def q_comparison_tokens(spark, d):
-    """Tokens of three letters and less, so that none has a transliteration."""
-    tokens = text.comparison_tokens(text_of("p_name", "= 250-300 g 20% offer 5 kg"), ["offer"], ["red"])
-    return _part(spark, d).select("p_partkey", F.array_join(F.filter(tokens, lambda t: F.length(t) < 4), ",").alias("tokens"))
+    """Words with their transliterations (from four letters on) and synonyms, after ranges, percents, noise and quantities are gone."""
+    tokens = text.comparison_tokens(text_of("p_name", "= 250-300 g 20% offer 5 kg"), ["offer"], ["red"], {"ring": "hoop"})
+    return _part(spark, d).select("p_partkey", F.array_join(tokens, ",").alias("tokens"))
 
 
 @_q("q_size_spelling", "SELECT p_partkey, p_name || ' ' || p_size || '.5l ' || p_size || 'g ' || p_size || 'kg 1.5' AS spelt FROM part")

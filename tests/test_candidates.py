@@ -208,3 +208,48 @@ def test_no_caps_unless_asked_for(spark):
     chunks = spark.createDataFrame([(1, "".join(f'MARK.{"y" * 2500}"t":"{i}"' for i in range(500)))], "id long, html string")
     assert [r.t for r in web.after_marker(chunks, "id", "MARK.", {"t": '"t":"([^"]*)"'}).orderBy("pos").collect()] == [str(i) for i in range(500)]
     assert web.after_marker(chunks, "id", "MARK.", {"t": '"t":"([^"]*)"'}, window=web.CHUNK_WINDOW, most=web.CHUNKS).filter("t is null").count() == 300
+
+
+def test_transliterated_match_equals_plain_python(spark):
+    """Names in either script; every variant of a name with every variant of a catalogue name that shares a word of three letters."""
+    draw = random.Random(21)
+    stock = ["мляко", "сирене", "mlyako", "sirene", "kafe", "кафе", "milk", "шоколад", "shokolad", "fresh", "на", "ab"]
+    name = lambda: " ".join(draw.choice(stock).title() for _ in range(draw.randint(1, 4)))
+    products, known = [(i, name()) for i in range(30)] + [(99, None)], [(i, name()) for i in range(40)] + [(98, None)]
+    p, o = spark.createDataFrame(products, "id long, name string"), spark.createDataFrame(known, "off_id long, off_name string")
+    forms = lambda df, c: {r[0]: {x for x in r[1:] if x is not None} for r in df.select(df.columns[0], F.lower(c), text.to_latin(F.col(c)), text.to_cyrillic(F.col(c))).collect()}
+    left, right = forms(p, "name"), forms(o, "off_name")
+    tokens = lambda v: {w for w in v.split() if len(w) > 2}
+    share = lambda x, y: len(x & y) / len(x | y) if x & y else 0.0
+    want = {}
+    for i, mine in left.items():
+        scores = {}
+        near = {j for j, theirs in right.items() for v in mine for w in theirs if tokens(v) & tokens(w)}
+        for j in near:
+            scores[j] = max(0.6 * ratio(v, w) + 0.4 * share(tokens(v), tokens(w)) for v in mine for w in right[j])
+        best = min(((-s, j) for j, s in scores.items()), default=None)
+        if best and -best[0] >= 0.45:
+            want[i] = (best[1], round(-best[0], 9), "confident" if -best[0] >= 0.85 else "likely" if -best[0] >= 0.75 else "low")
+    got = {r.id: (r.off_id, round(r.score, 9), r.tier) for r in phases.transliterated_match(p, o).collect()}
+    assert got == want and len({t for _, _, t in want.values()}) >= 2
+
+
+def test_strict_match_equals_plain_python(spark):
+    draw = random.Random(22)
+    words = ["fresh", "whole", "milk", "cheese", "smoked", "aged", "x"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(2, 5))), draw.choice([["a"], ["b"], ["a", "b"], []]), draw.choice([None, 1.0, 1.05, 2.0]), draw.choice([1.0, 2.0, 6.0])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, name string, types array<string>, quantity double, price double")
+    pairs = matching.blocked_pairs(df.withColumn("k", F.lit(1)), df.withColumn("k", F.lit(1)), ["k"], "id")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and set(a[2]) & set(b[2]):
+                sized = a[3] is None or b[3] is None or 0.75 <= a[3] / b[3] <= 1.25
+                near = a[3] is not None and b[3] is not None and max(a[3], b[3]) / min(a[3], b[3]) <= 1.1
+                x, y = ({w for w in r[1].split() if len(w) > 2} for r in (a, b))
+                if sized and (near or max(a[4], b[4]) / min(a[4], b[4]) <= 2.5) and len(x & y) >= 2:
+                    score = 0.6 * len(x & y) / len(x | y) + 0.4 * ratio(a[1], b[1])
+                    if score >= 0.60:
+                        want[a[0], b[0]] = round(score, 9)
+    got = {(r.left, r.right): round(r.score, 9) for r in matching.strict_match(pairs).collect()}
+    assert got == want and len(want) > 20
