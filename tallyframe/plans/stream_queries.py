@@ -8,7 +8,7 @@ from tallyframe.operators import health
 from tallyframe.plans.catalog import register
 from tallyframe.plans.events import BREAKER, DEBOUNCE
 from tallyframe.session import read_table, scratch_path
-from tallyframe.streaming import streams
+from tallyframe.streaming import stateful, streams
 
 
 def r_stream_dedup(spark, d):
@@ -56,6 +56,12 @@ def r_stream_delistings(spark, d):
     return streams.run_available(streams.delistings(streams.read_events(spark, d), "user_id", 1, late="1 hour"))
 
 
+def r_stream_monitor(spark, d):
+    """Health of each user after each event, and the silences of more than twelve hours."""
+    with stateful.rocksdb_state(spark):
+        return streams.run_available(stateful.monitored(streams.read_events(spark, d), "user_id", F.col("event_type") == "error", 12 * 3600.0, late="1 hour"))
+
+
 #: What the watermark has passed when the stream ends.
 _DONE = "(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events)"
 _COUNTS = "count(*) AS n_rows, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_failed, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS DOUBLE) / count(*) AS error_rate"
@@ -85,3 +91,16 @@ register(
     f"""WITH k AS (SELECT user_id, event_type, {_NEWEST} ts < TIMESTAMP '2024-01-02' GROUP BY ALL), i AS (SELECT user_id, event_type, {_NEWEST} ts >= TIMESTAMP '2024-01-02' GROUP BY ALL)
  SELECT i.user_id, i.event_type, i.value, k.value AS known_price, CASE WHEN k.value IS NULL THEN 'new' WHEN abs(i.value - k.value) <= 0.01::DOUBLE THEN 'unchanged' WHEN i.value > k.value THEN 'increase' ELSE 'decrease' END AS outcome, coalesce(abs(i.value - k.value) > k.value, FALSE) AS spike, 0 AS batch FROM i LEFT JOIN k USING (user_id, event_type)""",
 )
+register(
+    "r_stream_monitor",
+    r_stream_monitor,
+    f"""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events),
+ o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e),
+ g AS (SELECT *, sum(CASE WHEN ts > before + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM o),
+ i AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+ m AS (SELECT user_id, ts, event_id, life, count(*) OVER l AS n_rows, avg(bad) OVER (PARTITION BY user_id, life ORDER BY ts, event_id ROWS 19 PRECEDING) AS error_rate,
+   CAST(sum(bad) OVER (PARTITION BY user_id, life, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after
+   FROM i WINDOW l AS (PARTITION BY user_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+ SELECT user_id, ts, event_id, n_rows, error_rate, streak, CASE WHEN n_rows < 5 THEN 'unknown' WHEN error_rate > 0.5 OR streak >= 10 THEN 'critical' WHEN error_rate > 0.25 OR streak >= 5 THEN 'unhealthy' WHEN error_rate > 0.1 OR streak >= 3 THEN 'degraded' ELSE 'healthy' END AS level FROM m
+ UNION ALL SELECT user_id, ts, NULL, n_rows, error_rate, streak, 'silent' FROM m WHERE ts + INTERVAL 12 HOUR < coalesce(after, {_DONE})""",
+)
