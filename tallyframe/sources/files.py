@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tallyframe.operators.relational import keep_first, last_values
 
@@ -91,28 +91,74 @@ class PagedSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _PagedReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _PagedStream(self.options)
+
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.fetch, self.size, self.total = options["fetch"], int(options.get("fetchsize", 0)), int(options.get("total", 0))
-        self.pages = -(-self.total // self.size) if self.size else int(options["pages"])
+        self.pages = -(-self.total // self.size) if self.size else int(options.get("pages", 0))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.pages)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, function = self.fetch.partition(":")
         at = partition.value
         arguments = (at * self.size, min(self.size, self.total - at * self.size)) if self.size else (at,)
-        yield from getattr(importlib.import_module(module), function)(*arguments)
+        yield from _named(self.fetch)(*arguments)
+
+
+class _PagedStream(DataSourceStreamReader):
+    """Pages as a stream whose offset is the number of pages read. Batches take `pages_per_batch` pages (0: all there are), so that a
+    scan that stops goes on after its last batch. `pages_now` (module:function) asks the service anew how many pages it has;
+    without it the batch options hold. The page counted last is taken for full: it is not read again when it grows."""
+
+    def __init__(self, options: dict):
+        self.pages, self.step, self.now, self.done = _PagedReader(options), int(options.get("pages_per_batch", 0)), options.get("pages_now"), 0
+
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def latestOffset(self) -> dict:
+        there = _named(self.now)() if self.now else self.pages.pages
+        return {"page": max(self.done, min(there, self.done + self.step) if self.step else there)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Also called with the offset to go on from, when a query starts again."""
+        self.done = max(self.done, end["page"])
+        return [InputPartition(i) for i in range(start["page"], end["page"])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.pages.read(partition)
+
+
+def _named(name: str) -> Callable:
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
 
 
 def register_paged(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
+def scan_pages(spark: SparkSession, path: str, order: list[str], key: str, **options: str) -> DataFrame:
+    """Scans a paged service to its end and returns the last row of each key, by batch and then by `order`. Batches are kept below
+    path/rows and progress in path/state: a scan that was stopped, or one that is repeated after the service has grown, reads only
+    pages that no finished batch holds, and a batch that is run again replaces its rows."""
+    register_paged(spark)
+    stream = spark.readStream.format("paged").options(**options).load()
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state")
+    query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return latest_pages(spark.read.parquet(f"{path}/rows"), key, ["batch", *order]).drop("batch")
+
+
 def write_document(products: DataFrame, groups: DataFrame, path: str, meta: dict[str, str]) -> None:
     """The served document in its three parts, meta, products and groups, as JSON lines in folders of these names: a
     document of any size is written by many tasks, and readers take the parts they need."""
