@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("offers", "events", "names", "links", "listings", "feeds", "dictionaries", "stream_queries", "versioned", "hot_events")
+THEMES = ("offers", "events", "names", "links", "listings", "feeds", "dictionaries", "stream_queries", "versioned", "hot_events", "stores")
 
 
 def load_all() -> None:
