@@ -80,6 +80,28 @@ def q_marker_chunks(spark, d):
     return web.after_marker(_part(spark, d).withColumn("html", html), "p_partkey", '"canonicalUrl"', fields).withColumn("price", F.col("price").try_cast("double"))
 
 
+#: A page: a whole entry; one without a title, which finds the next one's; the first one again; a price that is no number; an entry
+#: whose title is too far away; one that ends the page. Column names stand for their values.
+LOOK_AHEAD_PAGE = [
+    '<html>{"klNr":"1', "p_partkey", '","title":"', "p_name", '","subtitle":"', "p_type", '","price":', "p_size", '.5},\n{"klNr":"2', "p_partkey", '","price":', "p_size", '},{"klNr":"1', "p_partkey", '","title":"again","price":7},',
+    '{"klNr":"","title":"none"},{"klNr":"3', "p_partkey", '","title":"', "p_brand", '","subtitle":"","price":1.2.3},' + "x" * 2500, '{"klNr":"4', "p_partkey", '","note":"' + "y" * 1990, '","title":"too far"},{"klNr":"5', "p_partkey", '","title":"last"',
+]
+_PAGE = " || ".join(x if x.startswith("p_") else "'" + x.replace("\n", "' || chr(10) || '") + "'" for x in LOOK_AHEAD_PAGE)
+
+
+@_q(
+    "q_look_ahead",
+    f"""WITH h AS (SELECT p_partkey, {_PAGE} AS html FROM part), i AS (SELECT p_partkey, html, unnest(range(1, length(html) + 1)) AS p FROM h), m AS (SELECT p_partkey, p, substring(html, p, 2000) AS c FROM i WHERE substring(html, p, 8) = '"klNr":"'),
+ f AS (SELECT *, regexp_extract(c, '^"klNr":"([0-9]+)"', 1) AS kl FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, kl ORDER BY p) AS n FROM f WHERE kl <> '')
+ SELECT p_partkey, kl AS id, nullif(regexp_extract(c, '"title":"([^"]+)"', 1), '') AS title, nullif(regexp_extract(c, '"subtitle":"([^"]*)"', 1), '') AS subtitle, TRY_CAST(nullif(regexp_extract(c, '"price":([0-9.]+)', 1), '') AS DOUBLE) AS price FROM o WHERE n = 1 AND regexp_extract(c, '"title":"([^"]+)"', 1) <> ''""",
+)
+def q_look_ahead(spark, d):
+    """Entries with a title within 2,000 characters of their number."""
+    pages = _part(spark, d).withColumn("html", F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in LOOK_AHEAD_PAGE]))
+    fields = {"title": '"title":"([^"]+)"', "subtitle": '"subtitle":"([^"]*)"', "price": r'"price":([\d.]+)'}
+    return web.look_ahead(pages, "p_partkey", '"klNr":"([0-9]+)"', fields, 2000).filter("title IS NOT NULL").withColumn("price", F.col("price").try_cast("double"))
+
+
 @_q("q_flat_array", "SELECT p_partkey, 'id-' || p_partkey || x AS id, p_name AS name, CASE WHEN x = 'a' THEN p_size || '.5' END AS price FROM part, (VALUES ('a'), ('b')) AS v(x)")
 def q_flat_array(spark, d):
     """Two products in a flat array: id, name, price; the second has no price, and what stands before any id counts for nothing."""
