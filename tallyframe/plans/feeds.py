@@ -187,7 +187,7 @@ def q_override(spark, d):
 def q_tier_waterfall(spark, d):
     """The first source has under half of the rows it should, the second enough; the third is the cache."""
     p = _part(spark, d).select(F.col("p_partkey").alias("id"))
-    return relational.accepted_source([("first", p.filter("id % 50 = 0")), ("second", p.filter("id % 2 = 0")), ("cache", p)], 100)
+    return relational.accepted_source([("first", p.filter("id % 50 = 0")), ("second", p.filter("id % 2 = 0")), ("cache", p)], p.count() // 2)
 
 
 @_q("q_priority_first", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'a' WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'c' END AS feed FROM part")

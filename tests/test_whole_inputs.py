@@ -50,6 +50,10 @@ def test_qty_compat_classes_pairs_all_parts(spark):
     assert any(400 <= v for r in found for v in r if type(v) is int)
 
 
+def test_tier_waterfall_takes_the_second_source_at_any_size(spark):
+    same_as_sql(spark, "q_tier_waterfall", entry.oracle_sql()["q_tier_waterfall"], "/root/testdata/sf0.1")
+
+
 def test_parse_quantity_reads_packs(spark):
     """A pack without a known unit after it takes the first unit's letters anywhere in the label, as the reference does."""
     base = {"g": (1.0, "g"), "kg": (1000.0, "g"), "ml": (1.0, "ml"), "l": (1000.0, "ml")}
