@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import phases
+from tallyframe.functions import similarity
+from tallyframe.operators import grouping, matching, phases
 
 
 def rows_made(df):
@@ -34,3 +35,48 @@ def test_first_fit_joins_classes(spark):
     df = phases.first_fit(spark.createDataFrame(p, "id long, brand string, size double"), spark.createDataFrame(c, "off_id long, off_brand string, off_size double, ord long"))
     assert {r.id: (not r.fits, r.off_id) for r in df.collect()} == {i: (w[0], w[2]) for i, w in want.items()}
     assert max(rows_made(df)) <= 1000
+
+
+def test_valid_groups_pair_distinct_words(spark):
+    """Five groups of 400 rows: equal to all pairs, nulls included, from a few pairs of word sets."""
+    draw = random.Random(2)
+    words = {"a": ["x y", "y z"], "b": ["x y"], "c": ["x y", "z w"], "d": ["x y", None], "e": ["x y"]}
+    prices = {"a": [1.0, 2.0], "b": [1.0, 3.0], "c": [1.0], "d": [1.0], "e": [None, -1.0]}
+    rows = [(g, draw.choice(words[g]), draw.choice(prices[g])) for g in words for _ in range(400)] + [("f", "x", 1.0)]
+
+    def good(a, b):
+        x, y = set((a[1] or "").split()), set((b[1] or "").split())
+        alike = a[1] is not None and b[1] is not None and len(x & y) / len(x | y) >= 0.3
+        near = max(a[2], b[2]) / min(a[2], b[2]) <= 2.5 if (a[2] or 0) > 0 and (b[2] or 0) > 0 else None
+        return False if not alike or near is False else near
+
+    want = {}
+    for g in words:
+        own = [r for r in rows if r[0] == g]
+        told = {good(a, b) for i, a in enumerate(own) for b in own[:i]} - {None}
+        want[g] = (all(told) if told else None, len(own) * (len(own) - 1) // 2)
+    df = grouping.valid_groups(spark.createDataFrame(rows, "g string, name string, price double").select("g", F.split("name", " ").alias("w"), "price"), "g", "w", lambda x, y: similarity.jaccard(x, y) >= 0.3, "price")
+    assert {r.g: (r.valid, r.n_pairs) for r in df.collect()} == want and {v for v, _ in want.values()} == {True, False, None}
+    assert max(rows_made(df)) <= 100
+
+
+def test_repaired_by_class_equals_pairs(spark):
+    draw = random.Random(3)
+    rows = [(g, i * 10 + g, draw.choice("ns"), draw.choice([1.0, 2.0, 9.0]), draw.choice([["x"], ["x", "y"], ["y", "z"], ["w"], None])) for g in range(4) for i in range(150 if g else 1)]
+    p = spark.createDataFrame(rows, "group_id long, product_id long, store string, price double, w array<string>")
+    pairs = matching.blocked_pairs(p, p, ["group_id"], "product_id").select("l.group_id", F.col("l.product_id").alias("a"), F.col("r.product_id").alias("b"), F.arrays_overlap("l.w", "r.w").alias("matches"))
+    df = grouping.repaired_by_class(p, "w", F.arrays_overlap, 100.0)
+    want = {tuple(r) for r in grouping.repaired_groups(p.drop("w"), pairs, 100.0).collect()}
+    assert {tuple(r) for r in df.collect()} == want and 0 < len(want) < len(rows)
+    assert max(rows_made(df)) <= len(rows)
+
+
+def test_tier_counts_equal_pairs(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.choice("tu"), draw.choice(["n", "m", None]), draw.choice(["b", "c", None]), draw.choice([1.0, 10.0, 11.0, None])) for i in range(600)]
+    p = spark.createDataFrame(rows, "id long, type string, name string, brand string, size double")
+    tier = matching.attribute_tier(F.col("l.brand"), F.col("r.brand"), F.col("l.type"), F.col("r.type"), F.col("l.size"), F.col("r.size"))
+    want = matching.blocked_pairs(p, p, ["type", "name"], "id").groupBy(tier.alias("tier")).agg(F.count("*").alias("n_pairs"))
+    df = matching.tier_counts(p)
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in want.collect()} and df.count() == 4
+    assert max(rows_made(df)) <= 1000
