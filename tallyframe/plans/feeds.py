@@ -277,8 +277,7 @@ _PAIRED = "FROM m a JOIN m b ON a.group_id = b.group_id AND a.product_id < b.pro
 def q_repaired_groups(spark, d):
     """Groups of a type; names match if they share a word."""
     p = _part(spark, d).select(F.col("p_type").alias("group_id"), F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 2 == 0, "n").otherwise("s").alias("store"), F.col("p_retailprice").alias("price"), F.split("p_name", " ").alias("w"))
-    pairs = matching.blocked_pairs(p, p, ["group_id"], "product_id").select("l.group_id", F.col("l.product_id").alias("a"), F.col("r.product_id").alias("b"), F.arrays_overlap("l.w", "r.w").alias("matches"))
-    return grouping.repaired_groups(p.drop("w"), pairs, 100.0)
+    return grouping.repaired_by_class(p, "w", F.arrays_overlap, 100.0)
 
 
 @_q("q_denied_groups", _GROUPS + " SELECT group_id, count(*) AS n FROM m WHERE group_id NOT IN (SELECT p_type || ':' || p_name FROM part WHERE p_size < 10) GROUP BY 1")
