@@ -80,3 +80,58 @@ def test_tier_counts_equal_pairs(spark):
     df = matching.tier_counts(p)
     assert {tuple(r) for r in df.collect()} == {tuple(r) for r in want.collect()} and df.count() == 4
     assert max(rows_made(df)) <= 1000
+
+
+def blocks_of(draw, n):
+    return [(i, draw.choice("tuv"), draw.choice(["red ring", "ring red", "red bolt", "old gear", "hot old gear", None])) for i in range(n)]
+
+
+def test_pairs_by_class_score_classes_once(spark, monkeypatch):
+    """Some 30,000 pairs, of which only those of distinct names are scored; equal to all pairs, also where classes and blocks are cut."""
+    rows = spark.createDataFrame(blocks_of(random.Random(5), 450), "id long, block string, name string")
+    words = lambda s: F.split(F.col(f"{s}.name"), " ")
+    want = matching.blocked_pairs(rows, rows, ["block"], "id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), similarity.recall(words("l"), words("r")).alias("s"))
+    want = sorted(tuple(r) for r in want.fillna(-1.0).collect())
+    for keys, pairs in ((1000, 20_000_000), (7, 500)):
+        monkeypatch.setattr(matching, "CLASS_KEYS", keys)
+        monkeypatch.setattr(matching, "TASK_PAIRS", pairs)
+        got = matching.pairs_by_class(rows, rows, ["block"], "id", lambda p: p.select("*", similarity.recall(words("l"), words("r")).alias("s"))).fillna(-1.0)
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 30_000
+    monkeypatch.undo()
+    seen = []
+    matching.pairs_by_class(rows, rows, ["block"], "id", lambda p: seen.append(p.count()) or p.withColumn("s", F.lit(1.0)))
+    assert seen[0] <= 3 * 6 * 6
+
+
+def test_similar_classes_expand_to_all_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame(blocks_of(random.Random(6), 300), "id long, block string, name string")
+    tokens = F.split("name", " ")
+    words = lambda s: F.split(F.col(f"{s}.name"), " ")
+    score = similarity.jaccard(words("l"), words("r"))
+    want = matching.blocked_pairs(rows, rows, ["block"], "id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("s")).filter("s >= 0.3")
+    want = sorted(tuple(r) for r in want.collect())
+    for keys, pairs in ((1000, 20_000_000), (4, 100)):
+        monkeypatch.setattr(matching, "CLASS_KEYS", keys)
+        monkeypatch.setattr(matching, "TASK_PAIRS", pairs)
+        classes, members = matching.similar_classes(rows, "id", ["block"], tokens, similarity.jaccard, 0.3)
+        assert sorted(tuple(r) for r in matching.expanded(classes, members, "a", "b").collect()) == want
+        assert classes.count() <= 3 * 15
+
+
+def test_greedy_similar_and_components_equal_all_edges(spark):
+    """Keys beyond a million too, whose ids fell together before."""
+    draw = random.Random(7)
+    rows = [(i * 37_003, b, sorted(set(n.split())) if n else None) for i, b, n in blocks_of(draw, 200)]
+    df = spark.createDataFrame(rows, "id long, block string, words array<string>")
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    edges = [(-jaccard(x[2], y[2]), x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] and y[2] and jaccard(x[2], y[2]) > 0.3]
+    taken, want = set(), set()
+    for low, a, b in sorted(edges):
+        if not {a, b} & taken:
+            taken |= {a, b}
+            want.add((a, b, round(-low, 9)))
+    got = grouping.greedy_similar(df, "id", ["block"], "words", 0.3)
+    assert {(*r.members, round(r.score, 9)) for r in got.collect()} == want and max(b for _, b, _ in want) > 1_000_000
+    links = spark.createDataFrame([(a, b) for low, a, b in edges if -low > 0.6], "a long, b long")
+    found = grouping.similar_components(df, "id", ["block"], "words", 0.6)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in grouping.link_components(links).collect()}
