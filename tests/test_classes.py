@@ -135,3 +135,22 @@ def test_greedy_similar_and_components_equal_all_edges(spark):
     links = spark.createDataFrame([(a, b) for low, a, b in edges if -low > 0.6], "a long, b long")
     found = grouping.similar_components(df, "id", ["block"], "words", 0.6)
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in grouping.link_components(links).collect()}
+
+
+def test_matchers_compare_classes_once(spark, monkeypatch):
+    """Forty times the same products and catalogue: the same matches for all, and no more pairs compared than for one."""
+    compared, best = [], matching.best_candidate
+    monkeypatch.setattr(matching, "best_candidate", lambda pairs, *args: compared.append(pairs.count()) or best(pairs, *args))
+    names = ["red ring", "blue bolt", "green gear", "red gear", "old bolt"]
+    p = [(2 * i, n, b, 10.0, None) for i, (n, b) in enumerate((n, b) for n in names for b in ("acme", "nord"))]
+    o = [(2 * i + 1, n, b, 9.5) for i, (n, b) in enumerate((n, b) for n in names for b in ("acme", "nordic"))]
+    many = lambda rows: [(r[0] + 1000 * i, *r[1:]) for i in range(40) for r in rows]
+    product = lambda rows: spark.createDataFrame(rows, "id long, name string, brand string, size double, barcode string")
+    offer = lambda rows: spark.createDataFrame(rows, "off_id long, off_name string, off_brand string, off_size double").withColumn("off_barcode", F.lit(None).cast("string"))
+    for match in (matching.multi_pass_match, matching.offline_match, phases.hybrid_match, phases.transliterated_match):
+        compared.clear()
+        few = {r.id: r.off_id for r in match(product(p), offer(o)).collect()}
+        once = max(compared)
+        got = {r.id: r.off_id for r in match(product(many(p)), offer(many(o))).collect()}
+        assert got == {k + 1000 * i: v for k, v in few.items() for i in range(40)} and few
+        assert max(compared[len(compared) // 2:]) == once <= 100
