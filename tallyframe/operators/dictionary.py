@@ -2,8 +2,8 @@
 
 A rule table has one row per term: term, and whatever it stands for. Distinct names are
 cut into their word n-grams (or, for terms that may stand inside words, into the
-substrings that have a term's length) once, and meet the terms by equality, so that neither the plan nor
-the work per name grows with the number of rules. Spark broadcasts the rules while
+substrings that have a term's length) once, and meet the distinct terms by equality, so that neither the plan nor
+the work per name grows with the number of rules, however often they are listed. Spark broadcasts the rules while
 they are small; a name or term that stands out is split by adaptive skew joins.
 
 Terms and names are compared in lower case, letters and digits only, other
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import rules
+from tallyframe.session import materialize, spread
 
 
 def plain_words(text: Column) -> Column:
@@ -44,29 +45,57 @@ def substrings(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of_length(n) for n in lengths])))
 
 
-def dictionary_hits(rows: DataFrame, text: str, terms: DataFrame, within: list[str] | None = None, anywhere: bool = False) -> DataFrame:
-    """Distinct (text, within..., hit, letters and the columns of terms) of the terms that stand in a text: between word limits,
-    or with `anywhere` also inside words. terms: term, ...; with `within`, of columns that rows and terms both
-    have, a term counts for rows of its own value, or for all where it is null. One row of sizes comes to the driver."""
-    within = within or []
+def _names(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of these columns, the text first, without null texts. They are written, so that rows are read once for them."""
+    return materialize(rows.select(*columns).filter(F.col(columns[0]).isNotNull()).distinct(), "dictionary-names")
+
+
+def _known(terms: DataFrame, within: list[str], anywhere: bool) -> DataFrame:
+    """terms with `hit`, what is looked up, and its `letters`; columns of within as _of_<name>."""
     form = F.lower if anywhere else plain_words
-    known = terms.withColumn("hit", form(F.col("term"))).filter("hit <> ''").withColumn("letters", F.length("hit")).withColumnsRenamed({c: f"_of_{c}" for c in within})
-    names = rows.select(text, *within).filter(F.col(text).isNotNull()).distinct()
+    return terms.withColumn("hit", form(F.col("term"))).filter("hit <> ''").withColumn("letters", F.length("hit")).withColumnsRenamed({c: f"_of_{c}" for c in within})
+
+
+def _hits(names: DataFrame, text: str, known: DataFrame, within: list[str], anywhere: bool) -> DataFrame:
+    """dictionary_hits of distinct names and terms as of _known. Terms are written first, so that Spark knows how few they are."""
+    form = F.lower if anywhere else plain_words
+    known = materialize(known, "dictionary-terms")
     if anywhere:
         lengths = known.agg(F.collect_set("letters")).first()[0]
         grams = substrings(form(F.col(text)), sorted(lengths) or [1])
     else:
         grams = word_grams(form(F.col(text)), known.agg(F.coalesce(F.max(F.size(F.split("hit", " "))), F.lit(1))).first()[0])
-    each = names.withColumn("_gram", F.explode(grams))
+    each = spread(names).withColumn("_gram", F.explode(grams))
     fits = F.col("_gram") == F.col("hit")
     for c in within:
         fits = fits & (F.col(f"_of_{c}").isNull() | (F.col(f"_of_{c}") == F.col(c)))
     return each.join(known, fits).drop("_gram")
 
 
+def dictionary_hits(rows: DataFrame, text: str, terms: DataFrame, within: list[str] | None = None, anywhere: bool = False) -> DataFrame:
+    """Distinct (text, within..., hit, letters and the columns of terms) of the terms that stand in a text: between word limits,
+    or with `anywhere` also inside words. terms: term, ...; with `within`, of columns that rows and terms both
+    have, a term counts for rows of its own value, or for all where it is null. One row of sizes comes to the driver."""
+    within = within or []
+    return _hits(_names(rows, [text, *within]), text, _known(terms, within, anywhere), within, anywhere)
+
+
+def _best(names: DataFrame, text: str, terms: DataFrame, out: str, value: str = "value", order: list[str] | None = None, within: list[str] | None = None, anywhere: bool = False) -> DataFrame:
+    """(text, within..., out) of the distinct names that have a term. Of terms that are looked up alike only the first can be chosen, so
+    that a term listed many times meets a name once."""
+    within = within or []
+    known, own = _known(terms, within, anywhere), [f"_of_{c}" for c in within]
+    by = order or ["ord"]
+    first = known.groupBy("hit", "letters", *own).agg(F.min_by(F.struct(F.col(value).alias("value"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)]), F.struct(*by)).alias("first"))
+    hits = _hits(names, text, first, within, anywhere)
+    places = [F.col(f"first.by{i}").alias(f"by{i}") for i in range(len(by))]
+    rank = F.struct(*[F.col(c).isNull().alias(f"own{i}") for i, c in enumerate(own)], *([] if order else [(-F.col("letters")).alias("long")]), *places)
+    return hits.groupBy(text, *within).agg(F.min_by("first.value", rank).alias(out))
+
+
 def _joined(rows: DataFrame, found: DataFrame, text: str, within: list[str]) -> DataFrame:
-    """rows with the columns found for their text; null where there are none."""
-    renamed = found.withColumnsRenamed({c: f"_by_{c}" for c in (text, *within)})
+    """rows with the columns found for their text; null where there are none. What is found is written first, so that Spark knows its size."""
+    renamed = materialize(found, "dictionary-found").withColumnsRenamed({c: f"_by_{c}" for c in (text, *within)})
     on = [rows[c].eqNullSafe(renamed[f"_by_{c}"]) for c in within]
     return rows.join(renamed, [rows[text] == renamed[f"_by_{text}"], *on], "left").drop(*[f"_by_{c}" for c in (text, *within)])
 
@@ -75,16 +104,18 @@ def with_best_term(rows: DataFrame, text: str, terms: DataFrame, out: str, value
     """rows with `out`: the value of the longest term that stands in the text, of the first (by ord) among equals. With `order`,
     the first by those columns instead. With `within`, terms of the row's own value come before those of all."""
     within = within or []
-    hits = dictionary_hits(rows, text, terms, within, anywhere)
-    own = [F.col(f"_of_{c}").isNull().alias(f"own{i}") for i, c in enumerate(within)]
-    rank = F.struct(*own, *([F.col(c) for c in order] if order else [(-F.col("letters")).alias("long"), F.col("ord")]))
-    best = hits.groupBy(text, *within).agg(F.min_by(value, rank).alias(out))
-    return _joined(rows, best, text, within)
+    return _joined(rows, _best(_names(rows, [text, *within]), text, terms, out, value, order, within, anywhere), text, within)
+
+
+def _firsts(terms: DataFrame, value: str, anywhere: bool) -> DataFrame:
+    """(hit, letters, value, ord): what is looked up, once for each value."""
+    return _known(terms, [], anywhere).groupBy("hit", "letters", value).agg(F.min("ord").alias("ord"))
 
 
 def with_terms(rows: DataFrame, text: str, terms: DataFrame, out: str, value: str = "value") -> DataFrame:
     """rows with `out`: the distinct values of the terms that stand in the text, by their smallest ord; empty where there are none."""
-    firsts = dictionary_hits(rows, text, terms).groupBy(text, value).agg(F.min("ord").alias("ord"))
+    hits = _hits(_names(rows, [text]), text, _firsts(terms, value, False), [], False)
+    firsts = hits.groupBy(text, value).agg(F.min("ord").alias("ord"))
     found = firsts.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("ord", value)))[value].alias(out))
     joined = _joined(rows, found, text, [])
     return joined.withColumn(out, F.coalesce(out, F.array().cast(joined.schema[out].dataType)))
@@ -93,7 +124,7 @@ def with_terms(rows: DataFrame, text: str, terms: DataFrame, out: str, value: st
 def with_scored_term(rows: DataFrame, text: str, terms: DataFrame, out: str, value: str = "value", weigh: bool = True) -> DataFrame:
     """rows with `out`, struct(value, score): the value whose terms, anywhere in the text, are longest in sum (or most); the first by
     ord among equals. A term that is listed several times for a value counts once."""
-    hits = dictionary_hits(rows, text, terms, anywhere=True).groupBy(text, value, "hit", "letters").agg(F.min("ord").alias("ord"))
+    hits = _hits(_names(rows, [text]), text, _firsts(terms, value, True), [], True)
     scores = hits.groupBy(text, value).agg(F.sum(F.col("letters") if weigh else F.lit(1)).alias("score"), F.min("ord").alias("ord"))
     best = scores.groupBy(text).agg(F.min_by(F.struct(value, "score"), F.struct(-F.col("score"), "ord")).alias(out))
     return _joined(rows, best, text, [])
@@ -102,30 +133,33 @@ def with_scored_term(rows: DataFrame, text: str, terms: DataFrame, out: str, val
 def with_category(rows: DataFrame, text: str, terms: DataFrame, out: str, least: int = 5) -> DataFrame:
     """rows with `out`: the first category (by ord) with a keyword between word limits; else the first with a keyword of `least`
     letters anywhere."""
-    strict = with_best_term(rows, text, terms, "_strict", order=["ord"])
-    left = strict.filter(F.col("_strict").isNull()).select(text).distinct()
-    loose = with_best_term(left, text, terms.filter(F.length("term") >= least), "_loose", order=["ord"], anywhere=True).filter(F.col("_loose").isNotNull())
-    return _joined(strict, loose, text, []).withColumn(out, F.coalesce("_strict", "_loose")).drop("_strict", "_loose")
+    names = _names(rows, [text])
+    strict = materialize(_best(names, text, terms, out, order=["ord"]).filter(F.col(out).isNotNull()), "dictionary-strict")
+    left = materialize(names.join(strict, text, "left_anti"), "dictionary-left")
+    loose = _best(left, text, terms.filter(F.length("term") >= least), out, order=["ord"], anywhere=True)
+    return _joined(rows, strict.unionByName(loose), text, [])
 
 
 def with_house_brand(rows: DataFrame, text: str, store: str, brands: DataFrame, out: str) -> DataFrame:
     """rows with `out`: the longest brand of the row's own store, else the longest of all stores' (brands: term, value, ord, and the
     store's column, null for brands of all), between word limits, else anywhere."""
-    strict = with_best_term(rows, text, brands, "_strict", within=[store])
-    left = strict.filter(F.col("_strict").isNull()).select(text).distinct()
+    names = _names(rows, [text, store])
+    strict = materialize(_joined(names, _best(names, text, brands, "_strict", within=[store]), text, [store]), "dictionary-strict")
+    left = materialize(strict.filter(F.col("_strict").isNull()).select(text).distinct(), "dictionary-left")
     general = brands.filter(F.col(store).isNull()).drop(store)
-    loose = with_best_term(left, text, general, "_loose", anywhere=True).filter(F.col("_loose").isNotNull())
-    return _joined(strict, loose, text, []).withColumn(out, F.coalesce("_strict", "_loose")).drop("_strict", "_loose")
+    found = _joined(strict, _best(left, text, general, "_loose", anywhere=True), text, []).select(text, store, F.coalesce("_strict", "_loose").alias(out))
+    return _joined(rows, found, text, [store])
 
 
 def with_resolved_brand(rows: DataFrame, text: str, aliases: DataFrame, house: DataFrame, patterns: dict[str, str], out: str) -> DataFrame:
     """rows with `out`, struct(brand, method, confidence): first alias (by ord) .95, else pattern .90, else longest house brand .85,
     else Latin prefix .80. aliases, house: term, value, ord, of any number; patterns: a few regular expressions."""
-    found = with_best_term(with_best_term(rows, text, aliases, "_alias", order=["ord"]), text, house, "_house")
+    names = _names(rows, [text])
+    found = _joined(_joined(names, _best(names, text, aliases, "_alias", order=["ord"]), text, []), _best(names, text, house, "_house"), text, [])
     row = lambda brand, method, confidence: F.when(brand.isNotNull(), F.struct(brand.alias("brand"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence")))
     regex = F.coalesce(*[F.when(F.col(text).rlike("(?iu)" + p), F.lit(b)) for p, b in patterns.items()], F.lit(None).cast("string"))
     best = F.coalesce(row(F.col("_alias"), "alias", 0.95), row(regex, "regex", 0.90), row(F.col("_house"), "house", 0.85), row(rules.latin_prefix(F.col(text)), "prefix", 0.80))
-    return found.withColumn(out, best).drop("_alias", "_house")
+    return _joined(rows, found.select(text, best.alias(out)).filter(F.col(out).isNotNull()), text, [])
 
 
 def with_normal_brand(rows: DataFrame, brand: str, variants: DataFrame, out: str) -> DataFrame:

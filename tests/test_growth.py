@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import grouping
+from tallyframe.operators import dictionary, grouping
 
 
 def serial(rows):
@@ -37,3 +37,25 @@ def test_serial_choice_by_class(spark, at_once):
     linked = spark.createDataFrame([(a[0], b[0], s) for a, b, s in links], "left long, right long, score double")
     got = grouping.serial_choice_by_class(linked, frame(sides[0]), frame(sides[1]), at_once).collect()
     assert {r.left: (r.right, r.score) for r in got} == want and len(got) == len(want) > 40
+
+
+def test_terms_listed_many_times_meet_a_name_once(spark, monkeypatch):
+    """The first by ord of a term's rows counts, by store too, and the work is that of the distinct terms."""
+    met, real = [], dictionary.materialize
+    monkeypatch.setattr(dictionary, "materialize", lambda df, name: met.append((name, real(df, name))) or met[-1][1])
+    terms = [(f"Brand#{i}", f"v{i}-{copy}", 100 * copy + i, "A" if i % 2 else None) for i in range(5) for copy in range(40)]
+    known = spark.createDataFrame(terms, "term string, value string, ord long, store string")
+    rows = spark.createDataFrame([(n, f"a brand {n % 7}{'x' if n % 5 == 4 else ''} b", "A" if n % 2 else "B") for n in range(70)] + [(70, None, None)], "id long, name string, store string")
+    every = known.drop("store")
+    best = {r.id: r.out for r in dictionary.with_best_term(rows, "name", every, "out").collect()}
+    assert best == {n: f"v{n % 7}-0" if n < 70 and n % 5 < 4 and n % 7 < 5 else None for n in range(71)}
+    house = {r.id: r.out for r in dictionary.with_house_brand(rows, "name", "store", known, "out").collect()}
+    assert house == {n: best[n] if best[n] and (n % 7 % 2 == 0 or n % 2) else None for n in range(71)}
+    inside = spark.createDataFrame([(1, "XBrand#3Y brand#1"), (2, None)], "id long, name string")
+    scored = {r.id: r.out for r in dictionary.with_scored_term(inside, "name", every.withColumn("value", F.lower("term")), "out").collect()}
+    assert tuple(scored[1]) == ("brand#1", 7) and scored[2] is None
+    assert {r.id: r.out for r in dictionary.with_category(inside, "name", every, "out").collect()} == {1: "v1-0", 2: None}
+    found = {r.id: r.found for r in dictionary.with_resolved_brand(rows, "name", every, every, {"brand 6": "six"}, "found").collect()}
+    assert all((found[n] and found[n].brand) == (best[n] or ("six" if n < 70 and n % 7 == 6 else None)) for n in range(71))
+    sizes = [df.count() for name, df in met if name == "dictionary-terms"]
+    assert len(sizes) == 8 and max(sizes) == 5, sizes
