@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import stores
 from tallyframe.plans.catalog import register
-from tallyframe.session import read_table
+from tallyframe.session import materialize, read_table, spread
 
 #: What stands before and after a name; every part gets each of them, in every store.
 AROUND = [
@@ -20,11 +20,16 @@ NAMES = ("Billa", "Lidl", "Kaufland")
 
 
 def q_store_names(spark, d):
+    """Each name is cleaned once in each form and store, by all cores, whichever and however many parts bear it."""
     around = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(a).alias("before"), F.lit(b).alias("behind")) for i, (a, b) in enumerate(AROUND)])
-    rows = read_table(spark, d, "part").select("p_partkey", "p_name", F.explode(around).alias("a"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("store"))
+    parts = read_table(spark, d, "part").select("p_partkey", "p_name", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("store"))
+    rows = spread(parts.select("p_name", "store").distinct()).select("p_name", "store", F.explode(around).alias("a"))
     raw = F.concat("a.before", "p_name", "a.behind")
     bulk = stores.bulk_size(raw)
-    return rows.select("p_partkey", "a.form", "store", stores.store_name(raw, F.col("store")).alias("name"), bulk.value.alias("bulk_value"), bulk.unit.alias("bulk_unit"))
+    cleaned = rows.select(F.col("p_name").alias("_name"), F.col("store").alias("_store"), "a.form", stores.store_name(raw, F.col("store")).alias("name"), bulk.value.alias("bulk_value"), bulk.unit.alias("bulk_unit"))
+    cleaned = materialize(cleaned, "store-names")
+    same = F.col("p_name").eqNullSafe(F.col("_name")) & F.col("store").eqNullSafe(F.col("_store"))
+    return spread(parts).join(cleaned, same).select("p_partkey", "form", "store", "name", "bulk_value", "bulk_unit")
 
 
 def _chain(patterns: list[str]) -> str:

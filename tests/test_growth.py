@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import dictionary, grouping
+from tallyframe.operators import candidates, dictionary, grouping, phases
+from tallyframe.plans import stores as store_plans
+from tallyframe.sources import web
 
 
 def serial(rows):
@@ -59,3 +61,49 @@ def test_terms_listed_many_times_meet_a_name_once(spark, monkeypatch):
     assert all((found[n] and found[n].brand) == (best[n] or ("six" if n < 70 and n % 7 == 6 else None)) for n in range(71))
     sizes = [df.count() for name, df in met if name == "dictionary-terms"]
     assert len(sizes) == 8 and max(sizes) == 5, sizes
+
+
+def test_names_of_stores_are_cleaned_once(spark, tmp_path, monkeypatch):
+    """Parts of one name in one store share its cleaned forms; parts without a name keep their rows."""
+    cleaned, real = [], store_plans.materialize
+    monkeypatch.setattr(store_plans, "materialize", lambda df, name: cleaned.append(real(df, name)) or cleaned[-1])
+    names = ["red bolt", "hot  gear", None]
+    spark.createDataFrame([(k, names[k // 3 % 3]) for k in range(90)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = store_plans.q_store_names(spark, str(tmp_path)).collect()
+    assert cleaned[0].count() == 3 * 3 * len(store_plans.AROUND) and len(got) == 90 * len(store_plans.AROUND)
+    plain = {r.p_partkey: (r.store, r.name, r.bulk_value) for r in got if r.form == 0}
+    assert plain == {k: (store_plans.NAMES[k % 3], names[k // 3 % 3] and names[k // 3 % 3].replace("  ", " "), None) for k in range(90)}
+
+
+def test_look_ahead_sorts_no_contexts(spark):
+    """Fields are taken before places of a name meet, so that the rows that meet are small."""
+    pages = spark.createDataFrame([(1, '"k":"7","t":"a"' + "x" * 5000 + '"k":"7","t":"b"')], "page int, html string")
+    found = web.look_ahead(pages, "page", '"k":"([0-9]+)"', {"t": '"t":"([^"]+)"'}, 2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("context" in line for line in plan.splitlines() if "Aggregate" in line), plan
+    assert [tuple(r) for r in found.collect()] == [(1, "7", "a")]
+
+
+def test_python_gets_few_chunks_at_once(spark, monkeypatch):
+    """However many pairs of chunks a partition holds; the session's own setting is back afterwards."""
+    name, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, candidates.materialize
+    before = spark.conf.get(name)
+    monkeypatch.setattr(candidates, "materialize", lambda df, what: seen.setdefault(what, spark.conf.get(name)) and real(df, what))
+    draw = random.Random(9)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    left, right = (spark.createDataFrame([r for r in rows if r[0] % 2 == s], "id long, v array<double>").withColumn("b", F.lit(1)) for s in (0, 1))
+    got = {r.own: r.other for r in candidates.nearest(left, right, ["b"], "id", "v", -1.0, size=4).filter("side = 'a'").collect()}
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
+    score = lambda a, b: int(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) * 1_000_000 + 0.5)
+    assert all(score(a, b) >= max(score(a, c) for c in range(1, 60, 2)) - 1 for a, b in got.items()) and len(got) == 30
+    assert {seen["vector-chunks"], seen["vector-best"]} == {str(candidates.CHUNKS_AT_ONCE)} and spark.conf.get(name) == before
+
+
+def test_phases_make_few_pairs_of_equal_products(spark, monkeypatch):
+    """Two hundred products alike in each of three stores: the firsts of stores are each other's, and no other pair is made."""
+    made, real = [], phases.matching.mutual_best
+    monkeypatch.setattr(phases.matching, "mutual_best", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    rows = [(1000 * s + i, f"s{s}", "name", "brand", "kind", 1) for s in (2, 1, 3) for i in range(200)]
+    products = spark.createDataFrame(rows, "id long, store string, name string, brand string, category string, size int")
+    got = phases.phase_matcher(products, spark.createDataFrame([], "id long, embedding array<float>")).collect()
+    assert {(r.a, r.b, r.phase) for r in got} == {(1000, 2000, 1), (1001, 2001, 2)} and made == [3, 3]
