@@ -8,7 +8,7 @@ from tallyframe.operators import candidates, grouping, history, matching, phases
 from tallyframe.plans.links import _parts, _vector_sides, _VEC
 from tallyframe.plans.listings import _part, _q, text_of
 from tallyframe.plans.offers import OFFERS, group_members, offers
-from tallyframe.session import read_table
+from tallyframe.session import read_table, spread
 from tallyframe.sources import files, web
 
 # pages made of table rows --------------------------------------------------------------------------
@@ -97,7 +97,7 @@ _PAGE = " || ".join(x if x.startswith("p_") else "'" + x.replace("\n", "' || chr
 )
 def q_look_ahead(spark, d):
     """Entries with a title within 2,000 characters of their number."""
-    pages = _part(spark, d).withColumn("html", F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in LOOK_AHEAD_PAGE]))
+    pages = spread(_part(spark, d)).withColumn("html", F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in LOOK_AHEAD_PAGE]))
     fields = {"title": '"title":"([^"]+)"', "subtitle": '"subtitle":"([^"]*)"', "price": r'"price":([\d.]+)'}
     return web.look_ahead(pages, "p_partkey", '"klNr":"([0-9]+)"', fields, 2000).filter("title IS NOT NULL").withColumn("price", F.col("price").try_cast("double"))
 

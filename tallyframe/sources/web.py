@@ -119,13 +119,15 @@ def look_ahead(pages: DataFrame, key: str, marker: str, fields: dict[str, str],
     """(key, name, *fields): for each place where `marker` fits, what its group holds, and what each field's expression first finds in the
     `reach` characters from there on, which may run past the next marker; null where it finds nothing. Of places with the same name on a
     page the first one holds, whether or not it has the fields. Contexts overlap, so that they are found by an expression that
-    looks ahead and takes the marker only. Null pages and pages without markers have no rows."""
+    looks ahead and takes the marker only; fields are taken from them where they are found, so that contexts are not sorted or shuffled.
+    Null pages and pages without markers have no rows."""
     ungrouped = re.sub(r"[(](?![?])", "(?:", marker)
     context = f"(?s)(?=({ungrouped}.{{0,{reach}}})){ungrouped}"
     places = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(context), F.lit(1))).alias("pos", "context"))
-    named = places.select(key, "pos", F.substring("context", 1, reach).alias("context"), F.regexp_extract("context", marker, 1).alias(name))
-    first = named.groupBy(key, name).agg(F.min_by("context", "pos").alias("context"))
-    return first.select(key, name, *[_some(F.regexp_extract("context", x, 1)).alias(n) for n, x in fields.items()])
+    near = F.substring("context", 1, reach)
+    named = places.select(key, F.regexp_extract("context", marker, 1).alias(name), F.struct("pos", *[_some(F.regexp_extract(near, x, 1)).alias(f"_{i}") for i, x in enumerate(fields.values())]).alias("_place"))
+    first = named.groupBy(key, name).agg(F.min("_place").alias("_place"))
+    return first.select(key, name, *[F.col(f"_place._{i}").alias(n) for i, n in enumerate(fields)])
 
 
 def flat_array_values(pages: DataFrame, key: str, json: Column, window: int) -> DataFrame:
