@@ -1,13 +1,16 @@
 """Work that must not grow faster than its input: results against plain Python, and what is made on the way."""
 
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import candidates, dictionary, grouping, phases
+from tallyframe.operators import candidates, dictionary, grouping, matching, phases
 from tallyframe.plans import stores as store_plans
 from tallyframe.sources import web
+from tallyframe.streaming import stateful
 
 
 def serial(rows):
@@ -107,3 +110,48 @@ def test_phases_make_few_pairs_of_equal_products(spark, monkeypatch):
     products = spark.createDataFrame(rows, "id long, store string, name string, brand string, category string, size int")
     got = phases.phase_matcher(products, spark.createDataFrame([], "id long, embedding array<float>")).collect()
     assert {(r.a, r.b, r.phase) for r in got} == {(1000, 2000, 1), (1001, 2001, 2)} and made == [3, 3]
+
+
+def test_monitor_tells_a_key_in_one_frame(spark, monkeypatch):
+    """Ten events a day apart, each of which ends a silence: one frame of 19 rows."""
+    got = []
+    events = spark.createDataFrame([("a", 1, 1)], "who string, t long, event_id long").withColumn("ts", F.timestamp_seconds("t"))
+    grouped = type(events.groupBy("who"))
+    monkeypatch.setattr(grouped, "transformWithStateInPandas", lambda self, processor, *a, **k: got.append(processor) or events.limit(0).selectExpr("who AS key", "t AS at_us", "event_id AS tie", "t AS n_rows", "0.5D AS error_rate", "t AS streak", "true AS silent"))
+    stateful.monitored(events, "who", F.lit(False), 3600.0)
+
+    class Held:
+        exists, update = lambda self: False, lambda self, row: None
+
+    class Handle:
+        getValueState, registerTimer = lambda self, *a: Held(), lambda self, at: None
+
+    got[0].init(Handle())
+    day = 86_400_000_000
+    rows = pd.DataFrame({"at_us": [i * day for i in range(10)], "tie": range(10), "bad": [i % 2 == 1 for i in range(10)]})
+    frames = list(got[0].handleInputRows(("a",), iter([rows]), None))
+    assert len(frames) == 1 and frames[0]["silent"].tolist() == [False, True] * 9 + [False]
+    assert frames[0]["tie"].tolist() == [x for i in range(9) for x in (i, None)] + [9] and set(frames[0]["n_rows"]) == {1}
+
+
+@pytest.mark.parametrize("often", [0, 5, 100_000])
+def test_norms_of_frequent_and_other_tokens(spark, monkeypatch, often):
+    """By broadcast, by shuffle and by both; a key of several rows is one; the plan to count shuffles keys, not tokens."""
+    monkeypatch.setattr(matching, "OFTEN", often)
+    draw = random.Random(5)
+    texts = [(i % 25, [draw.choice("aaaabbbcd") + draw.choice(["", "", str(draw.randrange(40))]) for _ in range(30)]) for i in range(30)]
+    rows = spark.createDataFrame(texts, "id long, t array<string>")
+    counts = matching.counted_tokens(rows, "id", lambda df: df["t"])
+    want, df = {}, {}
+    for key, words in texts:
+        for w in words:
+            want.setdefault(key, {}).setdefault(w, 0)
+            want[key][w] += 1
+    for found in want.values():
+        for w in found:
+            df[w] = df.get(w, 0) + 1
+    assert {(r.id, r.token): r.n for r in counts.collect()} == {(k, w): n for k, found in want.items() for w, n in found.items()}
+    idf = matching.inverse_frequencies(counts, "id", 25)
+    norms = {r.id: r.norm for r in matching.token_norms(counts, "id", idf).collect()}
+    for key, found in want.items():
+        assert math.isclose(norms[key], sum(((1 + math.log(n)) * (math.log(26 / (df[w] + 1)) + 1)) ** 2 for w, n in found.items()) ** 0.5)
