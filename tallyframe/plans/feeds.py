@@ -335,6 +335,5 @@ def q_nn_tiers(spark, d):
 
 @_q("q_quantity_join", "SELECT a.p_partkey AS a, min(b.p_partkey) AS b, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND a.p_size >= 0.8 * b.p_size AND a.p_size <= 1.2 * b.p_size GROUP BY 1")
 def q_quantity_join(spark, d):
-    p = _parts(spark, d)
-    pairs = matching.blocked_pairs(p, p, ["brand", "type"], "id", (F.col("l.id") != F.col("r.id")) & (F.col("l.size") >= 0.8 * F.col("r.size")) & (F.col("l.size") <= 1.2 * F.col("r.size")))
-    return pairs.groupBy(F.col("l.id").alias("a")).agg(F.min("r.id").alias("b"), F.count("*").alias("n"))
+    fits = lambda x, y: (x >= 0.8 * y) & (x <= 1.2 * y)
+    return matching.first_and_count(_parts(spark, d), ["brand", "type"], "id", "size", fits)
